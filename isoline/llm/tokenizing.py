@@ -11,8 +11,12 @@ import os
 import re
 import struct
 
-ODD = re.compile(r"[^\S \n]|\x00|<\|")
+import numpy as np
+
+ODD_ASCII = ("<|", *"\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
+_MARKS = frozenset(".,;:!?")
 _OPEN: dict = {}
 
 
@@ -27,41 +31,83 @@ class PieceEncoder:
     drops_space: the tokenizer drops white space (pieces are what stands between spaces and line ends); else a piece starts with its space.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.drops_space = self.tok.encode("a b", add_special_tokens=False).ids == self.tok.encode("a\n  b", add_special_tokens=False).ids
-        self.limit, self.ids, self.counts = limit, {}, {}
+        self.limit, self.ids, self.older = limit // 2, {}, {}
+        self.marks = {m: self._whole(m) for m in ("", *_MARKS)}
+        #: ids that end a pre-token, for tokenizers that mark word ends
+        self.ends = np.array([str(self.tok.id_to_token(i)).endswith("</w>") for i in range(self.tok.get_vocab_size())]) if self.drops_space else None
 
     def pieces(self, text: str) -> list[str] | None:
         """None: encode it whole."""
-        if ODD.search(text):
-            return None
-        if self.drops_space:
+        if self.drops_space:  # white space and special strings inside a piece are then the tokenizer's own affair
             return text.replace("\n", " ").split(" ")
-        if RUNS.search(text):
+        if any(map(text.__contains__, ODD_ASCII)) or not text.isascii() and ODD.search(text) or RUNS.search(text):
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def _learn(self, cut: list[list[str] | None]) -> None:
-        if len(self.ids) > self.limit:
-            self.ids.clear()
-            self.counts.clear()
-        known = self.ids.keys()
-        new: set[str] = set()
+        """Makes self.ids hold every piece. Two generations bound the table: pieces that were not met for one generation are forgotten."""
+        every: set[str] = set()
         for x in cut:
             if x:
-                new.update(set(x) - known)
-        new = list(new)
+                every.update(x)
+        if len(self.ids) > self.limit:
+            self.older, self.ids = self.ids, {}
+        new, ids, older = [], self.ids, self.older
+        for w in every:
+            if w not in ids:
+                if (found := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    ids[w] = found
+        if self.drops_space and new:
+            new = self._learn_words(new)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.many(part, add_special_tokens=False), strict=True):
-                i = e.ids
-                self.ids[w] = struct.pack(f"<{len(i)}I", *i)
-                self.counts[w] = len(i)
+                ids[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _learn_words(self, new: list[str]) -> list[str]:
+        """Learns words of Latin letters, with or without a mark after them; the others are returned.
+
+        A run of letters is one pre-token and a mark after it another, and case does not count, so it is enough to encode each run of letters once. They
+        are joined by spaces and encoded at once: the last id of a pre-token says that it ends, so the ids can be dealt out.
+        """
+        ids, older, whole, rest, wanted = self.ids, self.older, [], [], {}
+        for w in new:
+            mark = w[-1:] if w[-1:] in _MARKS else ""
+            stem = w[:-1] if mark else w
+            if not stem.isalpha() or max(stem) >= "\u0100":
+                rest.append(w)
+                continue
+            stem = stem.lower()
+            if (found := ids.get(stem) or older.get(stem)) is None:
+                wanted[stem] = None
+            else:
+                ids[stem] = found
+            whole.append((w, stem, mark))
+        wanted = list(wanted)
+        for at in range(0, len(wanted), 1000):
+            words = wanted[at : at + 1000]
+            got = np.array(self.many([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[got]) + 1)).tolist()
+            if len(ends) != len(words):
+                for w in words:
+                    ids[w] = self._whole(w)
+                continue
+            raw, start = got.tobytes(), 0
+            for w, stop in zip(words, ends, strict=True):
+                ids[w] = raw[start:stop]
+                start = stop
+        for w, stem, mark in whole:
+            ids[w] = ids[stem] + self.marks[mark]
+        return rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -71,10 +117,7 @@ class PieceEncoder:
         return [b"".join(map(get, x)) if x is not None else self._whole(t) for x, t in zip(cut, texts, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
-        cut = [self.pieces(t) for t in texts]
-        self._learn(cut)
-        get = self.counts.__getitem__
-        return [sum(map(get, x)) if x is not None else len(self._whole(t)) // 4 for x, t in zip(cut, texts, strict=True)]
+        return [len(x) // 4 for x in self.encode(texts)]
 
     def _whole(self, text: str) -> bytes:
         i = self.tok.encode(text, add_special_tokens=False).ids
