@@ -16,7 +16,8 @@ import numpy as np
 ODD_ASCII = ("<|", *"\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
 ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
-_MARKS = frozenset(".,;:!?")
+#: a stop or comma after another mark: the tokenizer may take the two together
+GLUED = re.compile(r"[.,](?<=[^\w \n].|_.)")
 _OPEN: dict = {}
 
 
@@ -25,13 +26,24 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def _latin(text: str) -> bool:
+    """No character beyond Latin-1: lower case is then one character for one, and nothing is there to normalise."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class PieceEncoder:
     """Ids of texts, through a bounded table of pieces.
 
     drops_space: the tokenizer drops white space (pieces are what stands between spaces and line ends); else a piece starts with its space.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,13 +51,19 @@ class PieceEncoder:
         self.many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.drops_space = self.tok.encode("a b", add_special_tokens=False).ids == self.tok.encode("a\n  b", add_special_tokens=False).ids
         self.limit, self.ids, self.older = limit // 2, {}, {}
-        self.marks = {m: self._whole(m) for m in ("", *_MARKS)}
+        #: does neither case nor a space before a stop or comma change the ids?
+        same = lambda a, b: self.tok.encode(a, add_special_tokens=False).ids == self.tok.encode(b, add_special_tokens=False).ids
+        self.folds = self.drops_space and same("A\u00c0\u00de. b,c", "a\u00e0\u00fe . b ,c")
         #: ids that end a pre-token, for tokenizers that mark word ends
         self.ends = np.array([str(self.tok.id_to_token(i)).endswith("</w>") for i in range(self.tok.get_vocab_size())]) if self.drops_space else None
 
     def pieces(self, text: str) -> list[str] | None:
         """None: encode it whole."""
         if self.drops_space:  # white space and special strings inside a piece are then the tokenizer's own affair
+            if self.folds and _latin(text):
+                text = text.lower()
+                if not GLUED.search(text):
+                    text = text.replace(".", " .").replace(",", " ,")
             return text.replace("\n", " ").split(" ")
         if any(map(text.__contains__, ODD_ASCII)) or not text.isascii() and ODD.search(text) or RUNS.search(text):
             return None
@@ -59,13 +77,13 @@ class PieceEncoder:
                 every.update(x)
         if len(self.ids) > self.limit:
             self.older, self.ids = self.ids, {}
-        new, ids, older = [], self.ids, self.older
-        for w in every:
-            if w not in ids:
-                if (found := older.get(w)) is None:
-                    new.append(w)
-                else:
-                    ids[w] = found
+        ids, older = self.ids, self.older
+        new = every.difference(ids)
+        if older:
+            again = new.intersection(older)
+            ids.update(zip(again, map(older.__getitem__, again), strict=True))
+            new -= again
+        new = list(new)
         if self.drops_space and new:
             new = self._learn_words(new)
         for at in range(0, len(new), 20_000):
@@ -74,39 +92,24 @@ class PieceEncoder:
                 ids[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def _learn_words(self, new: list[str]) -> list[str]:
-        """Learns words of Latin letters, with or without a mark after them; the others are returned.
+        """Learns words of Latin letters, joined by spaces and encoded at once; the others are returned.
 
-        A run of letters is one pre-token and a mark after it another, and case does not count, so it is enough to encode each run of letters once. They
-        are joined by spaces and encoded at once: the last id of a pre-token says that it ends, so the ids can be dealt out.
+        A run of letters is one pre-token, and the last id of a pre-token says that it ends, so the ids can be dealt out.
         """
-        ids, older, whole, rest, wanted = self.ids, self.older, [], [], {}
+        ids, plain, rest = self.ids, [], []
         for w in new:
-            mark = w[-1:] if w[-1:] in _MARKS else ""
-            stem = w[:-1] if mark else w
-            if not stem.isalpha() or max(stem) >= "\u0100":
-                rest.append(w)
-                continue
-            stem = stem.lower()
-            if (found := ids.get(stem) or older.get(stem)) is None:
-                wanted[stem] = None
-            else:
-                ids[stem] = found
-            whole.append((w, stem, mark))
-        wanted = list(wanted)
-        for at in range(0, len(wanted), 1000):
-            words = wanted[at : at + 1000]
+            (plain if w.isalpha() and max(w) < "\u0100" else rest).append(w)
+        for at in range(0, len(plain), 1000):
+            words = plain[at : at + 1000]
             got = np.array(self.many([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.ends[got]) + 1)).tolist()
             if len(ends) != len(words):
-                for w in words:
-                    ids[w] = self._whole(w)
+                rest += words
                 continue
             raw, start = got.tobytes(), 0
             for w, stop in zip(words, ends, strict=True):
                 ids[w] = raw[start:stop]
                 start = stop
-        for w, stem, mark in whole:
-            ids[w] = ids[stem] + self.marks[mark]
         return rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
