@@ -43,7 +43,7 @@ class PieceEncoder:
     drops_space: the tokenizer drops white space (pieces are what stands between spaces and line ends); else a piece starts with its space.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
