@@ -2,14 +2,15 @@
 
 1. Each text becomes its set of word shingles; HASHES minima over it give BANDS band keys and a packed signature of the minima's low BITS bits.
    Documents with equal sets form a class, and only class representatives go on, so thousands of exact copies cost one entry.
-2. Candidates are representatives that share a band key. Every member of a bucket is paired with the bucket's smallest member only (a star);
-   the packed signatures give a collision-corrected similarity by bit counts, and pairs far below the limit go.
+2. Candidates are representatives that share a band key. Every member of a bucket is paired with one centre only (a star), the member that meets
+   most others in its buckets; the packed signatures give a collision-corrected similarity by bit counts, and pairs far below the limit go.
 3. The pairs that are left are confirmed on the full shingle sets, and confirmed links are joined into components.
 4. A star can miss a link between two members that are not linked to its centre, so buckets whose members are not all in one component are met again:
-   members outside the centre's component against the bucket's members in other components, estimated, confirmed, and joined in the same way.
+   members outside the centre's component against the bucket's members in other components. The join itself asks for a high estimate, also from a longer
+   signature (LONG minima) that only texts of such buckets get; what is left is confirmed and joined in the same way.
    After that every candidate pair is either inside one component or has been refused.
 
-Six rows in 42 bands miss a pair of similarity 0.8 with probability 3e-6 and one of 0.9 with 2e-14; the estimate is refused six standard deviations below the limit.
+Six rows in 42 bands miss a pair of similarity 0.8 with probability 3e-6 and one of 0.9 with 2e-14; the estimate is refused five standard deviations below the limit (3e-7).
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ WORDS64 = -(-HASHES * BITS // 64)
 _rng = np.random.default_rng(20240607)
 A = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+#: Minima of the longer signature, for texts in buckets that a star does not settle.
+LONG = 4096
 BAND_SEEDS = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+A_LONG = (_rng.integers(1, 1 << 32, LONG, dtype=np.uint64) | 1).astype(np.uint32)
+B_LONG = _rng.integers(0, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32)
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -63,24 +68,24 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, a: np.ndarray = A, b: np.ndarray = B) -> np.ndarray:
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 256):
-        part = x[at : at + 256, None] * A
-        part += B
+    least, step = np.full(len(a), 0xFFFFFFFF, np.uint32), max(1, 65_536 // len(a))
+    for at in range(0, len(x), step):
+        part = x[at : at + step, None] * a
+        part += b
         np.minimum(least, part.min(axis=0), out=least)
     return least
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each (mixed) minimum, as WORDS64 64-bit integers."""
+    """The low BITS bits of each (mixed) minimum, as 64-bit integers."""
     m = least ^ least >> np.uint32(15)
     m = m * np.uint32(0x2C1B3C6D)
     m ^= m >> np.uint32(13)
-    bits = np.zeros(WORDS64 * 64, np.uint8)
+    bits = np.zeros(-(-len(least) * BITS // 64) * 64, np.uint8)
     for k in range(BITS):
-        bits[k : HASHES * BITS : BITS] = m >> np.uint32(k) & np.uint32(1)
+        bits[k : len(least) * BITS : BITS] = m >> np.uint32(k) & np.uint32(1)
     return np.packbits(bits).view(np.int64)
 
 
@@ -113,15 +118,34 @@ def _sign(width: int):
     return run
 
 
-def estimate(sig_a: str, sig_b: str) -> Column:
-    """Collision-corrected similarity from packed signatures, by bit counts (BITS is 2 bits a minimum: a minimum differs if either bit does)."""
-    differ = None
-    for k in range(WORDS64):
-        x = F.col(sig_a)[k].bitwiseXOR(F.col(sig_b)[k])
-        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-        differ = n if differ is None else differ + n
+def _sign_long(width: int):
+    schema = pa.schema([("rep", pa.int64()), ("long_sig", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in rows_of(batches, 500):
+            yield batch(schema, {"rep": b.column(0), "long_sig": [packed(minima(shingle_set(t, width), A_LONG, B_LONG)) for t in b.column(1).to_pylist()]})
+
+    return run
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Minima that differ in one pair of packed words (a minimum differs if either of its two bits does)."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def _corrected(differ: Column, hashes: int) -> Column:
     chance = 2.0**-BITS
-    return ((1 - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
+    return ((1 - differ / F.lit(float(hashes))) - chance) / (1 - chance)
+
+
+def estimate_long(sig_a: str, sig_b: str) -> Column:
+    return _corrected(F.aggregate(F.zip_with(sig_a, sig_b, _differ), F.lit(0), lambda n, x: n + x), LONG)
+
+
+def estimate(sig_a: str, sig_b: str) -> Column:
+    """Collision-corrected similarity from packed signatures, by bit counts."""
+    return _corrected(sum((_differ(F.col(sig_a)[k], F.col(sig_b)[k]) for k in range(1, WORDS64)), _differ(F.col(sig_a)[0], F.col(sig_b)[0])), HASHES)
 
 
 def _confirm(width: int, percent: int):
@@ -153,15 +177,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     classes = named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
     reps = written(named.join(classes.withColumnRenamed("rep", "doc_id"), ["set_digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "set_digest", "bands", "sig").dropDuplicates(["set_digest"]), "classes")
     entries = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other").select("band", "centre")
-    members = written(entries.join(buckets, "band").where("rep <> centre"), "buckets")
-    slack = 6 * ((1 - percent / 100) * 0.75 * (1 - 0.75 * (1 - percent / 100)) / HASHES) ** 0.5 / 0.75
+    buckets = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(entries.join(buckets, "band"), "buckets")
+    # how many others a text meets in all its buckets: the text that a group's copies were made from meets most of them
+    met = written(members.groupBy("rep").agg(F.sum("size").alias("met")).join(reps.select("rep", "sig", "bands").dropDuplicates(["rep"]), "rep"), "met")
+    members = written(members.join(met.select("rep", "met"), "rep").select("band", "rep", "met"), "members")
+    centre_of = lambda df: df.groupBy("band").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("centre"))
+    centres = centre_of(members)
+    differs = 0.75 * (1 - percent / 100)
+    slack = lambda hashes: 5 * (differs * (1 - differs) / hashes) ** 0.5 / 0.75  # noqa: E731  five standard deviations
     sigs = reps.select("rep", "n_shingles", "sig")
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         """pairs (u, v) of representatives, distinct: those whose full sets are similar enough."""
         a, b = sigs.toDF("u", "n_u", "sig_u"), sigs.toDF("v", "n_v", "sig_v")
-        sized = (F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (estimate("sig_u", "sig_v") >= percent / 100 - slack)
+        sized = (F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (estimate("sig_u", "sig_v") >= percent / 100 - slack(HASHES))
         likely = written(pairs.join(a, "u").join(b, "v").where(sized).select("u", "v").distinct(), f"{label}-likely")
         asked = likely.select("u").union(likely.select("v")).distinct().toDF("doc_id")
         known = written(texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
@@ -169,15 +199,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         return written(likely.join(left, "u").join(right, "v").where(_confirm(width, percent)("text_u", "text_v")).select("u", "v"), f"{label}-links")
 
     # rows that repeat a doc_id can make one id the representative of two classes: no link is needed then, they are one node already
-    links = confirmed(members.select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), "star")
+    pair = (F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
+    links = confirmed(members.select("band", "rep").join(centres, "band").where("rep <> centre").select(*pair).distinct(), "star")
     component = written(connected_components(links), "star-components")
+
     of = lambda name, out: component.toDF(name, out)
-    placed = members.join(of("rep", "own"), "rep", "left").join(of("centre", "middle"), "centre", "left").select("band", "rep", "centre", F.coalesce("own", "rep").alias("own"), F.coalesce("middle", "centre").alias("middle"))
-    placed = written(placed, "placed")
-    apart = placed.where("own <> middle").select("band", F.col("rep").alias("u"), F.col("own").alias("own_u"))
+    placed = members.join(centres, "band").join(of("rep", "own"), "rep", "left").join(of("centre", "middle"), "centre", "left")
+    placed = written(placed.select("band", "rep", F.coalesce("own", "rep").alias("own"), F.coalesce("middle", "centre").alias("middle")), "placed")
+    apart = placed.where("own <> middle")  # in another component than their bucket's centre
     if not apart.isEmpty():
-        rest = placed.select(F.col("band").alias("band_v"), F.col("rep").alias("v"), F.col("own").alias("own_v"))
-        pairs = apart.join(rest, F.expr("band = band_v and own_u <> own_v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        mixed = placed.select("band", "rep", "own", (F.col("own") != F.col("middle")).alias("off")).join(apart.select("band").distinct(), "band", "left_semi")
+        asked = mixed.select(F.col("rep").alias("doc_id")).distinct()
+        fine = texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sign_long(width), "rep bigint, long_sig array<bigint>").dropDuplicates(["rep"])
+        mixed = written(mixed.join(fine.join(met.select("rep", "sig", "bands"), "rep"), "rep"), "mixed")
+        side = lambda x: mixed.select(*(F.col(c).alias(f"{c}_{x}") for c in mixed.columns))
+        # a pair is met once: from its member outside the centre's component (the larger, if both are), and in the first bucket that the two share
+        once = F.expr("band_u = band_v and own_u <> own_v and off_u and (not off_v or rep_u > rep_v)")
+        alike = (estimate("sig_u", "sig_v") >= percent / 100 - slack(HASHES)) & (estimate_long("long_sig_u", "long_sig_v") >= percent / 100 - slack(LONG))
+        first = F.array_min(F.array_intersect("bands_u", "bands_v")) == F.col("band_u")
+        pairs = side("u").where("off_u").join(side("v"), once & alike & first).select(F.greatest("rep_u", "rep_v").alias("u"), F.least("rep_u", "rep_v").alias("v")).distinct()
         more = confirmed(pairs, "rest")
         if not more.isEmpty():
             component = written(connected_components(links.unionByName(more)), "components")
