@@ -180,19 +180,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     buckets = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = written(entries.join(buckets, "band"), "buckets")
     # how many others a text meets in all its buckets: the text that a group's copies were made from meets most of them
-    met = written(members.groupBy("rep").agg(F.sum("size").alias("met")).join(reps.select("rep", "sig", "bands").dropDuplicates(["rep"]), "rep"), "met")
-    members = written(members.join(met.select("rep", "met"), "rep").select("band", "rep", "met"), "members")
+    met = written(members.groupBy("rep").agg(F.sum("size").alias("met")).join(reps.select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "rep"), "met")
+    members = written(members.join(met.select("rep", "met", "n_shingles", "sig"), "rep"), "members")
     centre_of = lambda df: df.groupBy("band").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("centre"))
     centres = centre_of(members)
+    sized = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     differs = 0.75 * (1 - percent / 100)
     slack = lambda hashes: 5 * (differs * (1 - differs) / hashes) ** 0.5 / 0.75  # noqa: E731  five standard deviations
-    sigs = reps.select("rep", "n_shingles", "sig")
-
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        """pairs (u, v) of representatives, distinct: those whose full sets are similar enough."""
-        a, b = sigs.toDF("u", "n_u", "sig_u"), sigs.toDF("v", "n_v", "sig_v")
-        sized = (F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (estimate("sig_u", "sig_v") >= percent / 100 - slack(HASHES))
-        likely = written(pairs.join(a, "u").join(b, "v").where(sized).select("u", "v").distinct(), f"{label}-likely")
+        """pairs (u, v) of representatives: those whose full sets are similar enough."""
+        likely = written(pairs.distinct(), f"{label}-likely")
         asked = likely.select("u").union(likely.select("v")).distinct().toDF("doc_id")
         known = written(texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
         left, right = known.toDF("u", "text_u"), known.toDF("v", "text_v")
@@ -200,7 +197,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     # rows that repeat a doc_id can make one id the representative of two classes: no link is needed then, they are one node already
     pair = (F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
-    links = confirmed(members.select("band", "rep").join(centres, "band").where("rep <> centre").select(*pair).distinct(), "star")
+    middles = centres.join(met.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("sig").alias("sig_centre")), "centre")
+    likely = F.expr("rep <> centre") & sized("n_shingles", "n_centre") & (estimate("sig", "sig_centre") >= percent / 100 - slack(HASHES))
+    links = confirmed(members.join(middles.withColumnRenamed("band", "band_centre"), F.expr("band = band_centre") & likely).select(*pair), "star")
     component = written(connected_components(links), "star-components")
 
     of = lambda name, out: component.toDF(name, out)
@@ -211,13 +210,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         mixed = placed.select("band", "rep", "own", (F.col("own") != F.col("middle")).alias("off")).join(apart.select("band").distinct(), "band", "left_semi")
         asked = mixed.select(F.col("rep").alias("doc_id")).distinct()
         fine = texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sign_long(width), "rep bigint, long_sig array<bigint>").dropDuplicates(["rep"])
-        mixed = written(mixed.join(fine.join(met.select("rep", "sig", "bands"), "rep"), "rep"), "mixed")
+        mixed = written(mixed.join(fine.join(met.select("rep", "n_shingles", "sig", "bands"), "rep"), "rep"), "mixed")
         side = lambda x: mixed.select(*(F.col(c).alias(f"{c}_{x}") for c in mixed.columns))
         # a pair is met once: from its member outside the centre's component (the larger, if both are), and in the first bucket that the two share
         once = F.expr("band_u = band_v and own_u <> own_v and off_u and (not off_v or rep_u > rep_v)")
         alike = (estimate("sig_u", "sig_v") >= percent / 100 - slack(HASHES)) & (estimate_long("long_sig_u", "long_sig_v") >= percent / 100 - slack(LONG))
         first = F.array_min(F.array_intersect("bands_u", "bands_v")) == F.col("band_u")
-        pairs = side("u").where("off_u").join(side("v"), once & alike & first).select(F.greatest("rep_u", "rep_v").alias("u"), F.least("rep_u", "rep_v").alias("v")).distinct()
+        pairs = side("u").where("off_u").join(side("v"), once & sized("n_shingles_u", "n_shingles_v") & alike & first).select(F.greatest("rep_u", "rep_v").alias("u"), F.least("rep_u", "rep_v").alias("v"))
         more = confirmed(pairs, "rest")
         if not more.isEmpty():
             component = written(connected_components(links.unionByName(more)), "components")
