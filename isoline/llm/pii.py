@@ -137,13 +137,14 @@ class SkipChain:
         n = unary.sum(axis=1, keepdims=True)
         self.unary = np.log((unary + MISSED * n / N_LABELS + 1e-3) / (n * (1 + MISSED) + 1e-3 * N_LABELS))
 
-        def odds(t, floor):
-            t = (t + t.T) / 2 + floor * (t.sum() + 1)
-            t = t + np.eye(N_LABELS) * floor * 100 * (t.sum() + 1)
+        def odds(t, floor, twins):
+            """twins: the prior weight, against the counts, of each label's agreement with itself."""
+            n = t.sum() + 1
+            t = (t + t.T) / 2 + floor * n + twins * n * np.eye(N_LABELS)
             p = t / t.sum()
             return np.log(p) - np.log(p.sum(axis=1))[:, None] - np.log(p.sum(axis=0))[None]
 
-        self.chain, self.skip = odds(chain, 0.01), odds(skip, DISAGREE)
+        self.chain, self.skip = odds(chain, 0.01, 0.0), odds(skip, DISAGREE, 1.0)
 
     def beliefs(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Loopy sum-product over the edges: the sites' label probabilities. unary in logs, one row a site; chain and skip are arrays of site pairs."""
