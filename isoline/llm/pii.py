@@ -144,7 +144,7 @@ class SkipChain:
             p = t / t.sum()
             return np.log(p) - np.log(p.sum(axis=1))[:, None] - np.log(p.sum(axis=0))[None]
 
-        self.chain, self.skip = odds(chain, 0.01, 0.0), odds(skip, DISAGREE, 1.0)
+        self.chain, self.skip = odds(chain, 0.1, 0.0), odds(skip, DISAGREE, 1.0)
 
     def beliefs(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Loopy sum-product over the edges: the sites' label probabilities. unary in logs, one row a site; chain and skip are arrays of site pairs."""
