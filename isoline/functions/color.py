@@ -13,6 +13,56 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     return sixths / 6, F.when(top == 0, F.lit(0.0)).otherwise(d / F.nullif(top, F.lit(0.0))), top
 
 
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """h = 1 is h = 0."""
+    sixth = F.floor(h * 6)
+    f, i = h * 6 - sixth, F.pmod(sixth, F.lit(6))
+    p, q, t = v * (1 - s), v * (1 - f * s), v * (1 - (1 - f) * s)
+    pick = lambda *six: F.element_at(F.array(*six), i.cast("int") + 1)
+    return pick(v, q, p, p, t, v), pick(t, v, v, q, p, p), pick(p, p, t, v, v, q)
+
+
+def rgb_to_hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    light = (top + low) / 2
+    s = F.when(top == low, F.lit(0.0)).otherwise(F.try_divide(top - low, F.when(light > 0.5, 2 - top - low).otherwise(top + low)))
+    return rgb_to_hsv(r, g, b)[0], s, light
+
+
+def hsl_to_rgb(h: Column, s: Column, light: Column) -> tuple[Column, Column, Column]:
+    """Each channel is light - a * max(-1, min(k - 3, 9 - k, 1)) with k = (n + 12 h) mod 12 and n = 0, 8, 4."""
+    a = s * F.least(light, 1 - light)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + h * 12, F.lit(12.0))
+        return light - a * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+
+    return channel(0), channel(8), channel(4)
+
+
+def multiply(a: tuple, b: tuple) -> list[Column]:
+    return [x * y for x, y in zip(a, b, strict=True)]
+
+
+def lerp(a: tuple, b: tuple, t: Column) -> list[Column]:
+    return [x + (y - x) * t for x, y in zip(a, b, strict=True)]
+
+
+def from_hex(text: Column) -> list[Column]:
+    """Channels r, g, b, a (0 .. 255) of #rgb, #rgba, #rrggbb or #rrggbbaa; alpha defaults to 255; nulls for other texts."""
+    ok = text.rlike("^#([0-9A-Fa-f]{3,4}|[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$")
+    long = F.when(F.length(text) < 6, F.regexp_replace(F.substring(text, 2, 4), "(.)", "$1$1")).otherwise(F.substring(text, 2, 8))
+    full = F.when(ok, F.rpad(long, 8, "f"))
+    return [F.conv(F.substring(full, 1 + 2 * k, 2), 16, 10).cast("int") for k in range(4)]
+
+
+def gradient_samples(spark, stops: list, n: int):
+    """n colours (i, t, r, g, b) at equal distances from the first to the last stop."""
+    lo, hi = min(s[0] for s in stops), max(s[0] for s in stops)
+    df = spark.range(n).select(F.col("id").alias("i"), (lo + F.col("id") * ((hi - lo) / max(n - 1, 1))).alias("t"))
+    return df.select("i", "t", *(c.alias(k) for c, k in zip(gradient(F.col("t"), stops), "rgb", strict=True)))
+
+
 def to_hex(r: Column, g: Column, b: Column) -> Column:
     """#rrggbb from channels 0 .. 255."""
     return F.lower(F.concat(F.lit("#"), *(F.lpad(F.hex(c.cast("int")), 2, "0") for c in (r, g, b))))

@@ -66,7 +66,88 @@ def chaikin_open(c: Column) -> Column:
     return F.when(n < 3, c).otherwise(F.concat(F.slice(c, 1, 1), inner, F.slice(c, n, 1)))
 
 
+def chaikin_closed(c: Column) -> Column:
+    """One round of corner cutting of a closed ring, its seam included: 2n - 1 vertices, the first repeated at the end."""
+    n = F.size(c)
+    mix = lambda a, b, t: point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)
+
+    def cut(i: Column) -> Column:
+        p, q, r = F.get(c, F.pmod(i - 1, n - 1)), F.get(c, i), F.get(c, i + 1)
+        return F.array(mix(p, q, 0.75), mix(q, r, 0.25))
+
+    out = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), cut))
+    m = F.size(out)
+    return F.when(n < 4, c).otherwise(F.concat(F.slice(out, 2, m - 1), F.slice(out, 1, 1), F.slice(out, 2, 1)))
+
+
+def chaikin(c: Column, rounds: int, closed: bool = False) -> Column:
+    for _ in range(rounds):
+        c = chaikin_closed(c) if closed else chaikin_open(c)
+    return c
+
+
+def point_along(c: Column, t, legacy: bool = False) -> Column:
+    """The point at the share t of a line's length. legacy: the first segment that ends at or before that length is extended instead."""
+    state = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
+    goal = length(c) * t
+
+    def step(a: Column, i: Column) -> Column:
+        p, q = F.get(c, i), F.get(c, i + 1)
+        seg = F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
+        k = F.coalesce(F.try_divide(goal - a["run"], seg), F.lit(0.0))
+        here = (a["run"] + seg <= goal) if legacy else (a["run"] + seg >= goal)
+        found = F.when(a["at"].isNull() & here, point(p["x"] + (q["x"] - p["x"]) * k, p["y"] + (q["y"] - p["y"]) * k)).otherwise(a["at"])
+        return F.struct((a["run"] + seg).alias("run"), found.alias("at"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), state, step)["at"]
+    return F.when(F.size(c) > 1, F.coalesce(found, F.element_at(c, -1))).otherwise(F.get(c, F.lit(0)))
+
+
+def midpoint(c: Column) -> Column:
+    return point_along(c, 0.5)
+
+
+def centroid(ring: Column) -> Column:
+    """Centroid of the area; a ring without area gives its first vertex."""
+    k = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    six = area(ring) * 6
+    x, y = (F.try_divide(_sum(_pairs(ring, lambda p, q, a=a: (p[a] + q[a]) * k(p, q))), six) for a in "xy")
+    return F.when(x.isNull(), F.get(ring, F.lit(0))).otherwise(point(x, y))
+
+
+def offset_line(c: Column, d) -> Column:
+    """Each segment moved to its right by d, unjoined: the moved start of every segment and the moved end of the last. Segments without length are left out."""
+    n = F.size(c)
+    kept = F.filter(c, lambda p, i: (i == 0) | (p != F.get(c, i - 1)))
+
+    def moved(p: Column, q: Column, at: Column) -> Column:
+        seg = F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
+        return point(at["x"] + (q["y"] - p["y"]) * F.try_divide(F.lit(1.0) * d, seg), at["y"] - (q["x"] - p["x"]) * F.try_divide(F.lit(1.0) * d, seg))
+
+    m = F.size(kept)
+    starts = F.zip_with(F.slice(kept, 1, m - 1), F.slice(kept, 2, m - 1), lambda p, q: moved(p, q, p))
+    return F.when((n < 2) | (m < 2), c).otherwise(F.concat(starts, F.array(moved(F.get(kept, m - 2), F.get(kept, m - 1), F.get(kept, m - 1)))))
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule."""
     crossings = _pairs(ring, lambda p, q: F.when(((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]), 1.0).otherwise(0.0))
     return _sum(crossings) % 2 == 1
+
+
+def signed_distance(ring: Column, x: Column, y: Column) -> Column:
+    """Distance of (x, y) from a ring's outline, positive inside (even-odd)."""
+    def seg(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        t = F.least(F.greatest(F.coalesce(F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        ex, ey = x - p["x"] - dx * t, y - p["y"] - dy * t
+        return F.sqrt(ex * ex + ey * ey)
+
+    return F.array_min(_pairs(ring, seg)) * F.when(contains(ring, x, y), 1.0).otherwise(-1.0)
+
+
+def svg_path(c: Column, decimals: int = 3) -> Column:
+    """M x y L x y ..., with Z instead of the last vertex's repetition where the line is closed."""
+    at = F.transform(c, lambda p: F.format_string(f"%.{decimals}f %.{decimals}f", p["x"], p["y"]))
+    body = F.concat(F.lit("M "), F.array_join(at, " L "))
+    return F.when(F.size(c) == 0, F.lit("")).otherwise(F.concat(body, F.when(is_closed(c) & (F.size(c) > 1), F.lit(" Z")).otherwise(F.lit(""))))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoline.functions.color import gradient
+
 
 def _valid(v: str, nodata: float | None) -> Column:
     return F.lit(True) if nodata is None else F.col(v) != nodata
@@ -84,7 +86,84 @@ def _outside(kernel: list[float], r: int, size: int):
         yield size - 1, size - n, size - 1, high
 
 
+def blend(bottom: tuple, top: tuple, mode: str = "normal", strength: float = 1.0) -> list[Column]:
+    """Channels r, g, b, a in 0 .. 255 of a pixel under another: bytes are cut, and colours are not divided by the resulting alpha."""
+    if mode not in ("normal", "multiply"):
+        raise ValueError(f"no blend mode {mode}")
+    *cb, ab = (c / 255 for c in bottom)
+    *ct, at = (c / 255 for c in top)
+    at = at * strength if strength < 1 else at
+    out = [(t * b if mode == "multiply" else t) * at + b * ab * (1 - at) for b, t in zip(cb, ct, strict=True)]
+    return [(c * 255).cast("int") for c in (*out, at + ab * (1 - at))]
+
+
 def blend_multiply(bottom: Column, top: Column, strength: float) -> Column:
     """Opaque channels 0 .. 255: multiplied, mixed by strength, truncated."""
     b, t = bottom / 255, top / 255
     return ((b * t * strength + b * (1 - strength)) * 255).cast("int")
+
+
+def offset(amount: float):
+    return lambda v: v + float(amount)
+
+
+def scale(factor: float):
+    return lambda v: v * float(factor)
+
+
+def clamp_extremes(cells: DataFrame, bottom: float, top: float, nodata: float | None = None) -> DataFrame:
+    """Cuts the lowest share `bottom` and the highest share `top` of the range (not of the cells)."""
+    span = F.col("vmax") - F.col("vmin")
+    v = F.least(F.greatest(F.col("value"), F.col("vmin") + span * bottom), F.col("vmax") - span * top)
+    return cells.join(statistics(cells, nodata), "raster_id", "left").withColumn("value", F.when(_valid("value", nodata), v).otherwise(F.col("value"))).drop("vmin", "vmax", "n")
+
+
+def sharpen(cells: DataFrame, radius: float, amount: float, width: int, height: int) -> DataFrame:
+    """Unsharp mask: (v - amount * blurred) / (1 - amount)."""
+    if amount == 1:
+        raise ValueError("amount must not be 1")
+    soft = gaussian_blur(cells, radius, width, height).withColumnRenamed("value", "soft")
+    return cells.join(soft, ["raster_id", "x", "y"]).select("raster_id", "x", "y", ((F.col("value") - amount * F.col("soft")) / (1 - amount)).alias("value"))
+
+
+def convolve(cells: DataFrame, kernel: list[float], axis: str) -> DataFrame:
+    """A kernel of odd length along x or y; cells whose neighbourhood leaves the raster become 0."""
+    if len(kernel) % 2 == 0:
+        raise ValueError("the kernel's length must be odd")
+    r, other = len(kernel) // 2, "y" if axis == "x" else "x"
+    w = Window.partitionBy("raster_id", other).orderBy(axis)
+    taps = [F.lag("value", r - k).over(w) * float(c) if k <= r else F.lead("value", k - r).over(w) * float(c) for k, c in enumerate(kernel)]
+    return cells.select("raster_id", "x", "y", F.coalesce(sum(taps[1:], taps[0]), F.lit(0.0)).alias("value"))
+
+
+def combine(a: DataFrame, b: DataFrame, f) -> DataFrame:
+    """f(value of a, value of b) of cells at the same place; both rasters must have the same cells, or the query fails."""
+    both = a.select("x", "y", F.col("value").alias("__a"), "raster_id").join(b.select("x", "y", F.col("value").alias("__b")), ["x", "y"], "full")
+    same = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("rasters differ in size"))).otherwise(f(F.col("__a"), F.col("__b")))
+    return both.select("raster_id", "x", "y", same.alias("value"))
+
+
+def to_image(v: Column, factor: float = 255.0, nodata: float | None = None) -> list[Column]:
+    """Grey r, g, b and alpha: rounded half to even and kept in 0 .. 255; no-data is transparent."""
+    grey = F.least(F.greatest(F.rint(v * factor), F.lit(0.0)), F.lit(255.0)).cast("int")
+    return [grey, grey, grey, F.lit(255) if nodata is None else F.when(v == nodata, 0).otherwise(255)]
+
+
+def to_single_band(r: Column, g: Column, b: Column, a: Column, weights: tuple = (0.2126, 0.7152, 0.0722), factor: float = 1 / 255, nodata: float = -9999.0) -> Column:
+    """Luminance; transparent pixels are no-data."""
+    return F.when(a == 0, F.lit(nodata)).otherwise((r * weights[0] + g * weights[1] + b * weights[2]) * factor)
+
+
+def merge_channels(r: Column, g: Column, b: Column, a: Column | None = None) -> list[Column]:
+    """Channels 0 .. 1 as bytes, cut."""
+    return [F.least(F.greatest((c * 255).cast("int"), F.lit(0)), F.lit(255)) for c in (r, g, b, F.lit(1.0) if a is None else a)]
+
+
+def split_channels(r: Column, g: Column, b: Column, a: Column) -> list[Column]:
+    """Bytes as channels 0 .. 1."""
+    return [c / 255 for c in (r, g, b, a)]
+
+
+def gradient_map(v: Column, stops: list) -> list[Column]:
+    """Colours of a gradient as bytes, cut; opaque."""
+    return [*((c * 255).cast("int") for c in gradient(v, stops)), F.lit(255)]
