@@ -111,7 +111,8 @@ def centroid(ring: Column) -> Column:
     """Centroid of the area; a ring without area gives its first vertex."""
     k = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
     six = area(ring) * 6
-    x, y = (F.try_divide(_sum(_pairs(ring, lambda p, q, a=a: (p[a] + q[a]) * k(p, q))), six) for a in "xy")
+    x = F.try_divide(_sum(_pairs(ring, lambda p, q: (p["x"] + q["x"]) * k(p, q))), six)
+    y = F.try_divide(_sum(_pairs(ring, lambda p, q: (p["y"] + q["y"]) * k(p, q))), six)
     return F.when(x.isNull(), F.get(ring, F.lit(0))).otherwise(point(x, y))
 
 
@@ -147,7 +148,7 @@ def signed_distance(ring: Column, x: Column, y: Column) -> Column:
 
 
 def svg_path(c: Column, decimals: int = 3) -> Column:
-    """M x y L x y ..., with Z instead of the last vertex's repetition where the line is closed."""
+    """M x y L x y ..., with Z after the last vertex where the line is closed."""
     at = F.transform(c, lambda p: F.format_string(f"%.{decimals}f %.{decimals}f", p["x"], p["y"]))
     body = F.concat(F.lit("M "), F.array_join(at, " L "))
     return F.when(F.size(c) == 0, F.lit("")).otherwise(F.concat(body, F.when(is_closed(c) & (F.size(c) > 1), F.lit(" Z")).otherwise(F.lit(""))))
