@@ -23,9 +23,9 @@ def bbox_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tup
     return a.join(b, on).drop("__lcx", "__lcy", "__rcx", "__rcy")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, box: tuple, size: float) -> DataFrame:
-    """Pairs of a point and a box that holds it (inclusive); a point has one cell, so only boxes are spread."""
+def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, box: tuple, size: float, how: str = "inner") -> DataFrame:
+    """Pairs of a point and a box that holds it (inclusive); a point has one cell, so only boxes are spread. how: also left, left_semi or left_anti."""
     a = points.withColumn("__lcx", F.floor(F.col(x) / size)).withColumn("__lcy", F.floor(F.col(y) / size))
     b = _cells(boxes, box, size, "__r")
     on = F.expr("__lcx = __rcx and __lcy = __rcy") & F.col(x).between(F.col(box[0]), F.col(box[1])) & F.col(y).between(F.col(box[2]), F.col(box[3]))
-    return a.join(b, on).drop("__lcx", "__lcy", "__rcx", "__rcy")
+    return a.join(b, on, how).drop("__lcx", "__lcy", "__rcx", "__rcy")

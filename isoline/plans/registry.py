@@ -10,149 +10,132 @@ from pyspark.sql import functions as F
 from isoline.functions import bounds as B
 from isoline.functions import color, crs, geometry, tags
 from isoline.operators import features, joins, raster
+from isoline.plans import grids, shapes  # noqa: F401  (they fill the register)
+from isoline.plans.collect import BOX, BXS, CELLS, LNS, PTS, QUERIES, STOPS, gradient_sql, register
 
-BOX = ("xmin", "xmax", "ymin", "ymax")
-STOPS = [(0.0, (0.6, 1.0, 0.3)), (0.2, (0.9, 1.0, 0.1)), (0.4, (1.0, 0.6, 0.1)), (0.9, (0.9, 0.9, 0.9)), (1.0, (0.8, 0.9, 1.0))]
-
-PTS = "pts AS (SELECT event_id, (event_id*7919 % 36000)/CAST(100 AS DOUBLE) - 180 AS lon, (event_id*15487 % 17000)/CAST(100 AS DOUBLE) - 85 AS lat, event_type, user_id, value FROM events)"
-BXS = "bxs AS (SELECT p_partkey, CAST(p_partkey*37 % 360 - 180 AS DOUBLE) AS xmin, CAST(p_partkey*37 % 360 - 180 + p_size AS DOUBLE) AS xmax, CAST(p_partkey*53 % 170 - 85 AS DOUBLE) AS ymin, p_partkey*53 % 170 - 85 + p_size/CAST(2 AS DOUBLE) AS ymax FROM part)"
-LNS = "v AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y) AS n, x, y FROM (SELECT l_orderkey, l_linenumber, CAST(l_linenumber*10 + l_partkey % 10 AS DOUBLE) AS x, CAST(l_suppkey % 50 AS DOUBLE) AS y FROM lineitem))"
-CELLS = "cells AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value AS v FROM events)"
-
-_Q: dict[str, tuple[Callable, str]] = {}
-
-
-def _register(sql: str):
-    def keep(f):
-        _Q[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
-@_register(f"WITH {PTS}, {BXS} SELECT p_partkey, CAST(count(*) AS BIGINT) AS n, min(value) AS vmin, max(value) AS vmax FROM pts JOIN bxs ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax WHERE event_type = 'purchase' GROUP BY p_partkey")
+@register(f"WITH {PTS}, {BXS} SELECT p_partkey, CAST(count(*) AS BIGINT) AS n, min(value) AS vmin, max(value) AS vmax FROM pts JOIN bxs ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax WHERE event_type = 'purchase' GROUP BY p_partkey")
 def points_in_boxes(spark, d):
     p = features.points(spark, d).where(tags.any_tag("tags", ("type", "purchase")))
     return joins.points_in_boxes(p, features.boxes(spark, d), "lon", "lat", BOX, 20.0).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
 
 
-@_register(f"WITH {BXS} SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM bxs a JOIN bxs b ON a.p_partkey < b.p_partkey AND a.xmax > b.xmin AND a.xmin < b.xmax AND a.ymax > b.ymin AND a.ymin < b.ymax")
+@register(f"WITH {BXS} SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM bxs a JOIN bxs b ON a.p_partkey < b.p_partkey AND a.xmax > b.xmin AND a.xmin < b.xmax AND a.ymax > b.ymin AND a.ymin < b.ymax")
 def bbox_self_join(spark, d):
     a = features.boxes(spark, d).toDF("a_key", "ax", "aX_", "ay", "aY_")
     b = features.boxes(spark, d).toDF("b_key", "bx", "bX_", "by", "bY_")
     return joins.bbox_join(a, b, ("ax", "aX_", "ay", "aY_"), ("bx", "bX_", "by", "bY_"), 25.0).where("a_key < b_key").select("a_key", "b_key")
 
 
-@_register(f"WITH {BXS} SELECT p_partkey FROM bxs WHERE xmax > 0 AND xmin < 50 AND ymax > -20 AND ymin < 30")
+@register(f"WITH {BXS} SELECT p_partkey FROM bxs WHERE xmax > 0 AND xmin < 50 AND ymax > -20 AND ymin < 30")
 def bbox_intersects(spark, d):
     return features.boxes(spark, d).where(B.intersects(BOX, (0, 50, -20, 30))).select("p_partkey")
 
 
-@_register(f"WITH {BXS} SELECT p_partkey FROM bxs WHERE xmin >= 0 AND xmax <= 50 AND ymin >= -20 AND ymax <= 30")
+@register(f"WITH {BXS} SELECT p_partkey FROM bxs WHERE xmin >= 0 AND xmax <= 50 AND ymin >= -20 AND ymax <= 30")
 def bbox_within(spark, d):
     return features.boxes(spark, d).where(B.within(BOX, (0, 50, -20, 30))).select("p_partkey")
 
 
-@_register(f"WITH {BXS} SELECT p_partkey, greatest(xmin, 0.0::DOUBLE) AS ixmin, least(xmax, 50.0::DOUBLE) AS ixmax, greatest(ymin, -20.0::DOUBLE) AS iymin, least(ymax, 30.0::DOUBLE) AS iymax FROM bxs WHERE xmax > 0 AND xmin < 50 AND ymax > -20 AND ymin < 30")
+@register(f"WITH {BXS} SELECT p_partkey, greatest(xmin, 0.0::DOUBLE) AS ixmin, least(xmax, 50.0::DOUBLE) AS ixmax, greatest(ymin, -20.0::DOUBLE) AS iymin, least(ymax, 30.0::DOUBLE) AS iymax FROM bxs WHERE xmax > 0 AND xmin < 50 AND ymax > -20 AND ymin < 30")
 def bbox_intersection(spark, d):
     i = B.intersection(BOX, (0, 50, -20, 30))
     return features.boxes(spark, d).select("p_partkey", *(c.alias(n) for c, n in zip(i, ("ixmin", "ixmax", "iymin", "iymax"), strict=True))).where("ixmin is not null")
 
 
-@_register(f"WITH {BXS} SELECT p_partkey, (xmin+xmax)/2 - 3 AS x1, (xmin+xmax)/2 + 3 AS x2, (ymin+ymax)/2 - 2 AS y1, (ymin+ymax)/2 + 2 AS y2 FROM bxs")
+@register(f"WITH {BXS} SELECT p_partkey, (xmin+xmax)/2 - 3 AS x1, (xmin+xmax)/2 + 3 AS x2, (ymin+ymax)/2 - 2 AS y1, (ymin+ymax)/2 + 2 AS y2 FROM bxs")
 def bbox_resize(spark, d):
     x, y = B.resize_x(BOX, 6.0), B.resize_y(BOX, 4.0)
     return features.boxes(spark, d).select("p_partkey", x[0].alias("x1"), x[1].alias("x2"), y[2].alias("y1"), y[3].alias("y2"))
 
 
-@_register(f"WITH {BXS} SELECT min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, CAST(count(*) AS BIGINT) AS n FROM bxs")
+@register(f"WITH {BXS} SELECT min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, CAST(count(*) AS BIGINT) AS n FROM bxs")
 def data_extent(spark, d):
     return features.boxes(spark, d).agg(*B.extent(), F.count("*").alias("n"))
 
 
-@_register("SELECT event_id FROM events WHERE event_type = 'purchase' OR user_id = 7")
+@register("SELECT event_id FROM events WHERE event_type = 'purchase' OR user_id = 7")
 def tag_filter_or(spark, d):
     return features.points(spark, d).where(tags.any_tag("tags", ("type", "purchase"), ("user", "7"))).select("event_id")
 
 
-@_register("SELECT event_id FROM events WHERE event_type <> 'view'")
+@register("SELECT event_id FROM events WHERE event_type <> 'view'")
 def tag_not_equal(spark, d):
     return features.points(spark, d).where(tags.tag_ne("tags", "type", "view") & tags.tag_ne("tags", "missing", "x")).select("event_id")
 
 
-@_register("SELECT event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'error')")
+@register("SELECT event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'error')")
 def tag_in_list(spark, d):
     return features.points(spark, d).where(tags.tag_in("tags", "type", ["click", "error"]) & tags.has_tag("tags", "user")).select("event_id", tags.tag("tags", "type").alias("kind"))
 
 
-@_register(f"WITH {PTS} SELECT event_id FROM pts WHERE lon BETWEEN -10 AND 30 AND lat BETWEEN 0 AND 40 ORDER BY event_id LIMIT 100")
+@register(f"WITH {PTS} SELECT event_id FROM pts WHERE lon BETWEEN -10 AND 30 AND lat BETWEEN 0 AND 40 ORDER BY event_id LIMIT 100")
 def take_in_box(spark, d):
     """A top-k report: the limit is the feature."""
     return features.points(spark, d).where(B.contains_point((-10, 30, 0, 40), F.col("lon"), F.col("lat"))).orderBy("event_id").limit(100).select("event_id")
 
 
-@_register(f"WITH {PTS} SELECT event_id, round(6378137*radians(lon), 3) + 0.0::DOUBLE AS mx, round(6378137*ln(tan(pi()/4 + radians(lat)/2)), 3) + 0.0::DOUBLE AS my FROM pts")
+@register(f"WITH {PTS} SELECT event_id, round(6378137*radians(lon), 3) + 0.0::DOUBLE AS mx, round(6378137*ln(tan(pi()/4 + radians(lat)/2)), 3) + 0.0::DOUBLE AS my FROM pts")
 def web_mercator(spark, d):
     x, y = crs.transform_xy(F.col("lon"), F.col("lat"), 4326, 3857)
     return features.points(spark, d).select("event_id", (F.round(x, 3) + F.lit(0.0)).alias("mx"), (F.round(y, 3) + F.lit(0.0)).alias("my"))
 
 
-@_register(f"WITH {LNS} SELECT l_orderkey, round(sum(sqrt((x-px)*(x-px) + (y-py)*(y-py))), 6) AS length FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)) GROUP BY l_orderkey HAVING count(*) >= 2")
+@register(f"WITH {LNS} SELECT l_orderkey, round(sum(sqrt((x-px)*(x-px) + (y-py)*(y-py))), 6) AS length FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)) GROUP BY l_orderkey HAVING count(*) >= 2")
 def line_length(spark, d):
     return features.lines(spark, d).select("l_orderkey", F.round(geometry.length(F.col("c")), 6).alias("length"))
 
 
-@_register(f"WITH {LNS} SELECT l_orderkey, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM v GROUP BY l_orderkey HAVING count(*) >= 2")
+@register(f"WITH {LNS} SELECT l_orderkey, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM v GROUP BY l_orderkey HAVING count(*) >= 2")
 def line_bounds(spark, d):
     return features.lines(spark, d).select("l_orderkey", *(c.alias(n) for c, n in zip(geometry.bounds(F.col("c")), BOX, strict=True)))
 
 
-@_register(f"WITH {LNS}, k AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)) SELECT l_orderkey, CAST(CASE WHEN count(*) < 3 THEN count(*) ELSE 2 + 2*(count(*) - 2) END AS BIGINT) AS n, round(CASE WHEN count(*) < 3 THEN sum(x) ELSE sum(CASE WHEN px IS NULL OR nx IS NULL THEN x ELSE px*0.25::DOUBLE + x*0.75::DOUBLE + x*0.75::DOUBLE + nx*0.25::DOUBLE END) END, 6) AS sx FROM k GROUP BY l_orderkey HAVING count(*) >= 2")
+@register(f"WITH {LNS}, k AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)) SELECT l_orderkey, CAST(CASE WHEN count(*) < 3 THEN count(*) ELSE 2 + 2*(count(*) - 2) END AS BIGINT) AS n, round(CASE WHEN count(*) < 3 THEN sum(x) ELSE sum(CASE WHEN px IS NULL OR nx IS NULL THEN x ELSE px*0.25::DOUBLE + x*0.75::DOUBLE + x*0.75::DOUBLE + nx*0.25::DOUBLE END) END, 6) AS sx FROM k GROUP BY l_orderkey HAVING count(*) >= 2")
 def chaikin_once(spark, d):
     s = features.lines(spark, d).select("l_orderkey", geometry.chaikin_open(F.col("c")).alias("c"))
     return s.select("l_orderkey", F.size("c").cast("bigint").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, p: a + p["x"]), 6).alias("sx"))
 
 
-@_register("SELECT s_suppkey, CAST((s_nationkey + 1) * (s_suppkey % 7 + 1) AS DOUBLE) AS area, true AS ccw, -CAST((s_nationkey + 1) * (s_suppkey % 7 + 1) AS DOUBLE) AS reversed_area FROM supplier")
+@register("SELECT s_suppkey, CAST((s_nationkey + 1) * (s_suppkey % 7 + 1) AS DOUBLE) AS area, true AS ccw, -CAST((s_nationkey + 1) * (s_suppkey % 7 + 1) AS DOUBLE) AS reversed_area FROM supplier")
 def ring_area(spark, d):
     c = F.col("c")
     return features.rings(spark, d).select("s_suppkey", geometry.area(c).alias("area"), geometry.is_ccw(c).alias("ccw"), geometry.area(F.reverse(c)).alias("reversed_area"))
 
 
-@_register("SELECT s_suppkey, CAST(s_suppkey*31 % 300 AS DOUBLE)*2 + 5 AS x0, CAST(s_suppkey*17 % 120 AS DOUBLE)*-1 + 7 AS y0 FROM supplier")
+@register("SELECT s_suppkey, CAST(s_suppkey*31 % 300 AS DOUBLE)*2 + 5 AS x0, CAST(s_suppkey*17 % 120 AS DOUBLE)*-1 + 7 AS y0 FROM supplier")
 def ring_affine(spark, d):
     return features.rings(spark, d).select("s_suppkey", geometry.affine(F.col("c"), 2.0, -1.0, 5.0, 7.0)[0].alias("p")).select("s_suppkey", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"))
 
 
-@_register("WITH r AS (SELECT s_suppkey, s_suppkey*31 % 300 AS x, s_suppkey*17 % 120 AS y, s_nationkey+1 AS w, s_suppkey % 7 + 1 AS h FROM supplier), p AS (SELECT c_custkey, c_custkey*13 % 320 + 0.5::DOUBLE AS px, c_custkey*7 % 130 + 0.5::DOUBLE AS py FROM customer) SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n FROM r JOIN p ON px > x AND px < x+w AND py > y AND py < y+h GROUP BY s_suppkey")
+@register("WITH r AS (SELECT s_suppkey, s_suppkey*31 % 300 AS x, s_suppkey*17 % 120 AS y, s_nationkey+1 AS w, s_suppkey % 7 + 1 AS h FROM supplier), p AS (SELECT c_custkey, c_custkey*13 % 320 + 0.5::DOUBLE AS px, c_custkey*7 % 130 + 0.5::DOUBLE AS py FROM customer) SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n FROM r JOIN p ON px > x AND px < x+w AND py > y AND py < y+h GROUP BY s_suppkey")
 def points_in_rings(spark, d):
     r = features.rings(spark, d).select("s_suppkey", "c", *(c.alias(n) for c, n in zip(geometry.bounds(F.col("c")), BOX, strict=True)))
     p = features.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 13 % 320 + 0.5).alias("px"), (F.col("c_custkey") * 7 % 130 + 0.5).alias("py"))
     return joins.points_in_boxes(p, r, "px", "py", BOX, 10.0).where(geometry.contains(F.col("c"), F.col("px"), F.col("py"))).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
-@_register("SELECT round(min(value), 6) AS vmin, round(max(value), 6) AS vmax, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'error'")
+@register("SELECT round(min(value), 6) AS vmin, round(max(value), 6) AS vmax, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'error'")
 def raster_statistics(spark, d):
     cells = features.read(spark, d, "events").select(F.lit("r").alias("raster_id"), F.when(F.col("event_type") == "error", -9999.0).otherwise(F.col("value")).alias("value"))
     return raster.statistics(cells, -9999.0).select("vmin", "vmax", "n")
 
 
-@_register(f"WITH {CELLS} SELECT x, y, round((v - m) / (t - m), 6) AS value FROM cells, (SELECT min(v) AS m, max(v) AS t FROM cells)")
+@register(f"WITH {CELLS} SELECT x, y, round((v - m) / (t - m), 6) AS value FROM cells, (SELECT min(v) AS m, max(v) AS t FROM cells)")
 def raster_normalize(spark, d):
     return raster.normalize(features.raster(spark, d)).select("x", "y", F.round("value", 6).alias("value"))
 
 
-@_register(f"WITH {CELLS} SELECT x, y, least(greatest(v, 100), 300) AS value FROM cells")
+@register(f"WITH {CELLS} SELECT x, y, least(greatest(v, 100), 300) AS value FROM cells")
 def raster_clamp(spark, d):
     return raster.per_cell(features.raster(spark, d), raster.clamp(100, 300)).select("x", "y", "value")
 
 
-@_register(f"WITH {CELLS} SELECT x, y, floor((v - 5) / 25) * 25 + 5 AS value FROM cells")
+@register(f"WITH {CELLS} SELECT x, y, floor((v - 5) / 25) * 25 + 5 AS value FROM cells")
 def raster_steps(spark, d):
     return raster.per_cell(features.raster(spark, d), raster.steps(25.0, 5.0)).select("x", "y", F.col("value").cast("double").alias("value"))
 
 
-@_register(f"WITH {CELLS} SELECT c.x, c.y, round(a.v - b.v, 6) AS value FROM cells c JOIN cells a ON a.x = greatest(c.x, 1) AND a.y = greatest(c.y, 1) JOIN cells b ON b.x = a.x - 1 AND b.y = a.y - 1")
+@register(f"WITH {CELLS} SELECT c.x, c.y, round(a.v - b.v, 6) AS value FROM cells c JOIN cells a ON a.x = greatest(c.x, 1) AND a.y = greatest(c.y, 1) JOIN cells b ON b.x = a.x - 1 AND b.y = a.y - 1")
 def raster_hillshade(spark, d):
     return raster.hillshade(features.raster(spark, d)).select("x", "y", F.round("value", 6).alias("value"))
 
@@ -164,38 +147,31 @@ def _blur_sql(radius: float) -> str:
     return f"WITH {CELLS}, taps(o, w) AS (VALUES {taps}), size AS (SELECT max(x) AS xm, max(y) AS ym FROM cells), h AS ({step('cells', 'x', 'y')}), g AS ({step('h', 'y', 'x')}) SELECT x, y, round(v, 6) AS value FROM g"
 
 
-@_register(_blur_sql(2.0))
+@register(_blur_sql(2.0))
 def raster_blur(spark, d):
     cells = features.raster(spark, d)
     w, h = cells.agg(F.max("x") + 1, F.max("y") + 1).first()
     return raster.gaussian_blur(cells, 2.0, w, h).select("x", "y", F.round("value", 6).alias("value"))
 
 
-@_register(f"WITH {CELLS}, b AS (SELECT x, y, floor(v / 2) AS b, floor(v / 4) + 100 AS t FROM cells) SELECT x, y, CAST(trunc(((b/255)*(t/255)*0.5::DOUBLE + (b/255)*0.5::DOUBLE)*255) AS INTEGER) AS value FROM b")
+@register(f"WITH {CELLS}, b AS (SELECT x, y, floor(v / 2) AS b, floor(v / 4) + 100 AS t FROM cells) SELECT x, y, CAST(trunc(((b/255)*(t/255)*0.5::DOUBLE + (b/255)*0.5::DOUBLE)*255) AS INTEGER) AS value FROM b")
 def raster_blend(spark, d):
     b, t = F.floor(F.col("value") / 2).cast("double"), F.floor(F.col("value") / 4).cast("double") + 100
     return features.raster(spark, d).select("x", "y", raster.blend_multiply(b, t, 0.5).alias("value"))
 
 
-def _gradient_sql(k: int) -> str:
-    v, out = "t", f"{STOPS[-1][1][k]}::DOUBLE"
-    for (p, a), (q, b) in reversed(list(zip(STOPS, STOPS[1:]))):
-        out = f"CASE WHEN {v} < {q}::DOUBLE THEN {a[k]}::DOUBLE + ({v} - {p}::DOUBLE) * {(b[k] - a[k]) / (q - p)!r}::DOUBLE ELSE {out} END"
-    return f"round(CASE WHEN {v} <= 0 THEN {STOPS[0][1][k]}::DOUBLE ELSE {out} END, 6)"
-
-
-@_register(f"SELECT event_id, {_gradient_sql(0)} AS r, {_gradient_sql(1)} AS g, {_gradient_sql(2)} AS b FROM (SELECT event_id, value / 500 AS t FROM events)")
+@register(f"SELECT event_id, {gradient_sql(0)} AS r, {gradient_sql(1)} AS g, {gradient_sql(2)} AS b FROM (SELECT event_id, value / 500 AS t FROM events)")
 def gradient_colors(spark, d):
     c = color.gradient(F.col("value") / 500, STOPS)
     return features.read(spark, d, "events").select("event_id", *(F.round(x, 6).alias(n) for x, n in zip(c, "rgb", strict=True)))
 
 
-@_register("SELECT p_partkey, lower('#' || printf('%02x', CAST(p_size*5 AS INTEGER)) || printf('%02x', CAST(p_partkey % 256 AS INTEGER)) || '0a') AS hex FROM part")
+@register("SELECT p_partkey, lower('#' || printf('%02x', CAST(p_size*5 AS INTEGER)) || printf('%02x', CAST(p_partkey % 256 AS INTEGER)) || '0a') AS hex FROM part")
 def color_hex(spark, d):
     return features.read(spark, d, "part").select("p_partkey", color.to_hex(F.col("p_size") * 5, F.col("p_partkey") % 256, F.lit(10)).alias("hex"))
 
 
-@_register(f"WITH {BXS} SELECT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, (CASE WHEN ty >= 0 THEN 'N' ELSE 'S' END) || printf('%02d', CAST(abs(ty) AS INTEGER)) || (CASE WHEN tx >= 0 THEN 'E' ELSE 'W' END) || printf('%03d', CAST(abs(tx) AS INTEGER)) AS tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs)) GROUP BY tx, ty")
+@register(f"WITH {BXS} SELECT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, (CASE WHEN ty >= 0 THEN 'N' ELSE 'S' END) || printf('%02d', CAST(abs(ty) AS INTEGER)) || (CASE WHEN tx >= 0 THEN 'E' ELSE 'W' END) || printf('%03d', CAST(abs(tx) AS INTEGER)) AS tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs)) GROUP BY tx, ty")
 def tile_cover(spark, d):
     b = features.boxes(spark, d).select("p_partkey", F.explode(F.sequence(F.floor("xmin"), F.ceil("xmax") - 1)).alias("tx"), "ymin", "ymax").select("tx", F.explode(F.sequence(F.floor("ymin"), F.ceil("ymax") - 1)).alias("ty"))
     name = F.format_string("%s%02d%s%03d", F.when(F.col("ty") >= 0, "N").otherwise("S"), F.abs("ty"), F.when(F.col("tx") >= 0, "E").otherwise("W"), F.abs("tx"))
@@ -203,8 +179,8 @@ def tile_cover(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _Q.items()}
+    return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _Q.items()}
+    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
