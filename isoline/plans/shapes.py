@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isoline.functions import algorithms, color, coords, crs, geometry, text
+from isoline.functions import algorithms, color, coords, crs, geometry, regions, text
 from isoline.operators import features, joins
 from isoline.plans.collect import BOX, BXS, LNS, PTS, STOPS, gradient_sql, register
 from isoline.render import canvas, labels, svg
@@ -209,3 +209,27 @@ def draw_map(spark, d):
     rings = finish(features.rings(spark, d).select(F.col("s_suppkey").alias("feature_id"), F.lit("polygon").alias("geom_type"), F.array("c").alias("parts"), tags.alias("tags")))
     m = svg.Map((0, 330, 0, 130), 1000, 500, layers=[svg.Layer("areas", "rings", svg.Style(fill="#ffeecc", stroke="#000000")), svg.Layer("names", "rings", svg.Style(symbol_radius=1.5, fill="#ff0000", label_tag="name", label_size=8))])
     return svg.draw(m, {"rings": (rings, 4326)})
+
+
+def _area(parts):
+    return F.round(F.aggregate(F.transform(parts, geometry.area), F.lit(0.0), lambda a, v: a + v), 3)
+
+
+@register(f"WITH {RINGS} SELECT s_suppkey, round(w*h + 2*(w+h)*0.5::DOUBLE + 0.25::DOUBLE*12*sin(pi()/12), 3) AS grown, CASE WHEN least(w,h) > 1 THEN round((w-1)*(h-1), 3) END AS shrunk FROM r")
+def ring_offset(spark, d):
+    r = features.rings(spark, d).select("s_suppkey", regions.offset_polygon(F.array("c"), 0.5).alias("a"), regions.offset_polygon(F.array("c"), -0.5).alias("b"))
+    return r.select("s_suppkey", _area(F.col("a")).alias("grown"), _area(F.col("b")).alias("shrunk"))
+
+
+@register(f"WITH {RINGS} SELECT s_suppkey, round(w + 0.25::DOUBLE*12*sin(pi()/12), 3) AS area FROM r")
+def segment_buffer(spark, d):
+    r = features.rings(spark, d).select("s_suppkey", regions.buffer_line(F.array(F.slice("c", 1, 2)), 0.5).alias("p"))
+    return r.select("s_suppkey", _area(F.col("p")).alias("area"))
+
+
+@register("SELECT s_nationkey, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT s_nationkey, i, unnest(range(y, y + h)) AS j FROM (SELECT s_nationkey, y, h, unnest(range(x, x + w)) AS i FROM (SELECT s_nationkey, s_suppkey*31 % 300 AS x, s_suppkey*17 % 120 AS y, s_nationkey+1 AS w, s_suppkey % 7 + 1 AS h FROM supplier))) GROUP BY s_nationkey")
+def rings_dissolved(spark, d):
+    """The SQL counts the unit squares of the whole-numbered rectangles."""
+    r = features.rings(spark, d).join(features.read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+    out = regions.dissolve(r.select("s_nationkey", F.array("c").alias("parts")), "s_nationkey", "parts", 60.0)
+    return out.select("s_nationkey", _area(F.col("parts")).alias("area"))
