@@ -1,7 +1,8 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give base spans (email, ip, card, phone). Sites of a text are its base spans and the other email-like and number-like tokens. Neighbouring
-sites share chain potentials; sites with equal or similar content (the same mailbox, the same last digits) share skip potentials, however far apart.
+sites share chain potentials; sites with equal or similar content (the same mailbox, the same last digits) share skip potentials, however far apart:
+every free site with every base span of its key, so that its evidence does not fall with the number of copies, and with the next free site of the key.
 Loopy belief propagation over that graph, with base spans held fixed, lets a label spread to a repeated token that no pattern accepts, such as a
 known telephone number without its plus sign. Potentials are log-odds of smoothed counts over the whole corpus; the base spans are the labels.
 """
@@ -113,21 +114,29 @@ def _shape_key(token: str) -> tuple[int, str]:
     return bool(base_spans(token)) * 32 + at * 16 + size * 4 + ("+" in token) * 2 + (token.count(".") >= 3), f"{int(at)}{int(n > 15)}{key}"
 
 
-def sites(text: str, base: list[Span]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], np.ndarray]:
-    """(start, end, label; -1 where free) in order; skip edges between following sites of one key; shapes."""
+def sites(text: str, base: list[Span]) -> tuple[list[tuple[int, int, int]], list[str], np.ndarray]:
+    """(start, end, label; -1 where free) in order; keys; shapes."""
     rows, end = [], 0
     for s, e, label in sorted([*((s, e, k + 1) for k, s, e in base), *((s, e, -1) for s, e in _free(text, base))]):
         if s >= end:
             rows.append((s, e, label))
             end = e
-    last: dict[str, int] = {}
-    skips, shapes = [], np.zeros(len(rows), np.int64)
+    keys, shapes = [], np.zeros(len(rows), np.int64)
     for i, (s, e, _) in enumerate(rows):
         shapes[i], key = _shape_key(text[s:e])
-        if key in last:
-            skips.append((last[key], i))
-        last[key] = i
-    return rows, skips, shapes
+        keys.append(key)
+    return rows, keys, shapes
+
+
+def following(keys: list[str], among: list[int]) -> list[tuple[int, int]]:
+    """Pairs of following sites of one key, of the sites in among."""
+    last: dict[str, int] = {}
+    out = []
+    for i in among:
+        if keys[i] in last:
+            out.append((last[keys[i]], i))
+        last[keys[i]] = i
+    return out
 
 
 class SkipChain:
@@ -174,16 +183,23 @@ class SkipChain:
         base = base_spans(text)
         if not base:  # no label that could spread: shapes alone never reach CERTAIN
             return base, base
-        rows, skips, shapes = sites(text, base)
-        if not skips or all(label > 0 for _, _, label in rows):
+        rows, keys, shapes = sites(text, base)
+        held: dict[str, np.ndarray] = {}  # by key, how many base spans have each label
+        for key, (_, _, label) in zip(keys, rows, strict=True):
+            if label > 0:
+                held.setdefault(key, np.zeros(N_LABELS))[label] += 1
+        free = [i for i, (_, _, label) in enumerate(rows) if label < 0]
+        if not any(keys[i] in held for i in free):
             return base, base
         unary = self.unary[shapes].copy()
         for i, (_, _, label) in enumerate(rows):
             if label > 0:
                 unary[i] = -50.0
                 unary[i, label] = 0.0
+            elif keys[i] in held:  # the messages of fixed sites are rows of the potential, so their edges need not be listed one by one
+                unary[i] += held[keys[i]] @ self.skip
         chain = np.array([(i, i + 1) for i in range(len(rows) - 1)], np.int64).reshape(-1, 2)
-        p = self.beliefs(unary, chain, np.array(skips, np.int64).reshape(-1, 2))
+        p = self.beliefs(unary, chain, np.array(following(keys, free), np.int64).reshape(-1, 2))
         best = p.argmax(axis=1)
         new = [(int(k) - 1, s, e) for (s, e, label), k, q in zip(rows, best, p, strict=True) if label < 0 and k and q[k] >= CERTAIN]
         return base, sorted(base + new)
@@ -195,11 +211,11 @@ def _count(batches):
         for text in b.column(0).to_pylist():
             if "@" not in text and not _DIGIT.search(text):
                 continue
-            rows, skips, shapes = sites(text, base_spans(text))
+            rows, keys, shapes = sites(text, base_spans(text))
             labels = np.array([max(0, x[2]) for x in rows], np.int64)
             np.add.at(tables["unary"], (shapes, labels), 1)
             np.add.at(tables["chain"], (labels[:-1], labels[1:]), 1)
-            for i, j in skips:
+            for i, j in following(keys, list(range(len(rows)))):
                 if (labels[i] > 0) == (labels[j] > 0):  # a token that the patterns missed says nothing against its twin
                     tables["skip"][labels[i], labels[j]] += 1
     rows = [(name, int(i), int(j), int(t[i, j])) for name, t in tables.items() for i, j in zip(*np.nonzero(t), strict=True)]

@@ -150,6 +150,14 @@ def test_pii(docs, empty):
     assert pii.redacted(TEXTS[5], pii.base_spans(TEXTS[5])) == "Mail <email> or <phone>, again 442079460958."
 
 
+def test_pii_spreads_to_every_copy(spark):
+    for k in (1, 2, 5, 50):
+        text = "call +44 20 7946 0958 now" + " or 442079460958 again" * k
+        others = [(1, "order 1234567 and 99887766 for x@y.org"), (2, "order 1234567, 1234567"), (3, "442079460958, 442079460958")]
+        got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame([(0, text), *others], "doc_id bigint, text string")).collect()}
+        assert got[0].count("phone:") == k + 1 and got[1] == "email:31:38" and got[2] == got[3] == ""
+
+
 def test_quality(spark, docs, empty):
     good, bad = [(k, f"plain words and more words {k}.") for k in range(200)], [(k, f"### {k} $$$ %%%") for k in range(200, 400)]
     d = spark.createDataFrame(good + bad, "doc_id bigint, text string")
