@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Fixed masks pick some of SPAN consecutive token positions and ignore the rest, so a seed survives substitutions at ignored positions. Test seeds
-are joined with the seeds at every position of every training text; around each hit the benchmark item is aligned with the text and tokens are
+Fixed masks pick some of consecutive token positions and ignore the rest, so a seed survives substitutions at ignored positions. The masks of an item
+are such that every pattern of substitutions within the limit leaves one of them whole at some place of the window, so no overlap goes unproposed. Test
+seeds are joined with the seeds at every position of every training text; around each hit the benchmark item is aligned with the text and tokens are
 compared position by position. The test side is broadcast in blocks of a checked size; the training side is never shuffled before the hits.
 """
 
@@ -10,13 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions that count in a window of SPAN tokens. The second and third leave out whole residues modulo 5, so regular substitutions of every fifth token are survived too.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 6, 7, 8))
-SPAN = 9
+#: By the tokens of a window, masks that keep a seed under every pattern of at most a fifth of its tokens substituted (tests try them all). LONG_MASKS
+#: does from 9 tokens on, with 4 substitutions at most.
+LONG_MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 3, 6, 8))
+SHORT_MASKS = {
+    5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    7: ((0, 1, 3, 4),),
+    8: ((0, 1, 3, 4),),
+}
 #: Most seeds broadcast at once (about 24 bytes each, in a hash relation some four times that).
 BLOCK_SEEDS = 250_000
 
 
+def masks_of(w: int, percent: int) -> tuple[tuple[int, ...], ...]:
+    """Masks one of which is whole in any w aligned tokens of which percent are equal."""
+    wrong = max(0, w - max(1, -(-w * percent // 100)))
+    if w >= 9 and wrong <= min(w, 20) // 5:
+        return LONG_MASKS
+    if w in SHORT_MASKS and wrong <= 1:
+        return SHORT_MASKS[w]
+    # the longest run of equal tokens has at least this length
+    return (tuple(range(-(-(w - wrong) // (wrong + 1)))),)
+
+
 def tokens(text: Column) -> Column:
     """Hashes of the text's tokens: letters and digits in lower case."""
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -30,17 +48,18 @@ def _seeds(h: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 20, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_digest: bool = False, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, matched, of_tokens, first_token.
 
-    An item and a text overlap when, in some alignment that a seed proposes, at least percent of the tokens are equal in some window of
+    An item and a text overlap when, in some alignment, at least percent of the tokens are equal in some window of
     min(window, item length) consecutive item tokens. matched is the largest such count, of_tokens the window, first_token the text token at which
-    the first best window starts. Items shorter than SPAN tokens are sought as a whole (a solid mask of their length); items without tokens match
-    nothing. Null texts are empty; null ids form one document; rows that repeat an id are joined into one result row per item; empty tables give no
+    the first best window starts. Seeds propose every alignment within the limit; items without tokens match nothing. Null texts are empty; null ids form one document; rows that repeat an id are joined into one result row per item; empty tables give no
     rows; other columns are not read. with_digest adds text_digest, the sha2-256 of the text, to the key.
     """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), tokens(F.col(item_text_col)).alias("item_h")).where(F.size("item_h") > 0)
-    short = sorted(r[0] for r in items.where(F.size("item_h") < SPAN).select(F.size("item_h")).distinct().collect())  # at most SPAN - 1 rows
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    sizes = [r[0] for r in items.select(F.least(F.size("item_h"), F.lit(window))).distinct().collect()]  # at most window rows
+    families = {n: masks_of(n, percent) for n in sizes}
+    masks = sorted({m for f in families.values() for m in f} or {(0,)})
     at = F.explode(F.sequence(F.lit(0), F.size("item_h") - 1))
-    own = F.when(F.size("item_h") >= SPAN, F.col("k") < len(MASKS)).otherwise(F.array(*(F.lit(len(m)) for m in masks))[F.col("k")] == F.size("item_h")) if short else F.lit(True)
+    length = F.least(F.size("item_h"), F.lit(window))
+    own = F.array(*(length.isin([n for n, f in families.items() if m in f]) for m in masks))[F.col("k")]
     seeds = items.select("item_id", "item_h", at.alias("item_at")).select("item_id", "item_h", "item_at", F.posexplode(_seeds(F.col("item_h"), F.col("item_at"), masks)).alias("k", "seed"))
     seeds = seeds.where(F.col("seed").isNotNull() & own).select("item_id", "item_at", "seed")
     blocks = max(1, -(-seeds.count() // block_seeds))
@@ -48,7 +67,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 20, percent
     texts = docs.select(*(c.alias(k) for k, c in keys.items()), tokens(F.col(text_col)).alias("h")).where(F.size("h") > 0)
     placed = texts.select(*keys, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("at"))
     found = placed.select(*keys, "h", "at", F.explode(_seeds(F.col("h"), F.col("at"), masks)).alias("seed")).where(F.col("seed").isNotNull())
-    shift, n, w = F.col("at") - F.col("item_at"), F.size("item_h"), F.least(F.size("item_h"), F.lit(window))
+    shift, n, w = F.col("at") - F.col("item_at"), F.size("item_h"), length
     equal = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("h", F.col("shift") + i).eqNullSafe(F.get("item_h", i)).cast("int"))
     sums = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda i: F.aggregate(F.slice("equal", i + 1, F.col("w")), F.lit(0), lambda a, x: a + x))
     out = None

@@ -180,6 +180,47 @@ def test_decontamination(spark, docs, empty):
     assert decontam.overlaps(empty, bench).count() == 0 and decontam.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_keep_a_seed_under_every_pattern():
+    for w, percent in [*((w, 80) for w in range(1, 21)), (9, 90), (20, 95), (24, 84), (7, 70), (12, 60), (3, 100), (20, 5)]:
+        wrong = w - max(1, -(-w * percent // 100))
+        places = [{i + o for o in m} for m in decontam.masks_of(w, percent) for i in range(w - m[-1])]
+        for changed in itertools.combinations(range(w), wrong):
+            assert any(p.isdisjoint(changed) for p in places), (w, percent, changed)
+
+
+def test_decontamination_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    items = [(n, [f"i{n}t{k}" for k in range(n)]) for n in (1, 2, 4, 5, 7, 8, 9, 10, 12, 15, 16, 20, 33)] + [(100, ["a", "b"] * 8)]
+    texts = []
+    for _, item in items:
+        w = min(20, len(item))
+        wrong = w + -w * 80 // 100
+        for extra in range(9):
+            t = list(item[:w] if extra % 3 else item)
+            for k in rng.choice(w, min(w, wrong + (extra > 6)), replace=False):
+                t[k] = f"x{extra}y{k}"
+            texts.append(["z"] * (extra % 4) + t + ["a"] * (extra % 2))
+    swapped = list(items[10][1])
+    for k in (8, 9, 11):
+        swapped[k] = "other"
+    texts += [swapped, items[12][1][5:21], items[5][1][1:], ["q", *items[3][1][:4]]]
+    want = set()
+    for d, t in enumerate(texts):
+        for item_id, item in items:
+            n, w, best = len(item), min(20, len(item)), None
+            for shift in range(-n + 1, len(t)):
+                eq = [0 <= shift + j < len(t) and t[shift + j] == item[j] for j in range(n)]
+                for s in range(n - w + 1):
+                    m, first = sum(eq[s : s + w]), max(0, shift + s)
+                    if 100 * m >= 80 * w and (best is None or (m, -first) > best):
+                        best = (m, -first)
+            if best:
+                want.add((d, item_id, best[0], w, -best[1]))
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id bigint, text string")
+    assert {tuple(r) for r in decontam.overlaps(d, bench).collect()} == want
+
+
 def test_lm(docs, empty):
     rows = lm.score_texts(docs).collect()
     train = [r[1] or "" for r in ROWS if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
