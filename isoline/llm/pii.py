@@ -105,11 +105,18 @@ def _free(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def _mailbox(token: str) -> str:
+    """The local part and the first label of the domain, so that a mailbox without its domain ending has the key of the whole one."""
+    local, _, domain = token.partition("@")
+    label = domain.split(".")[0]
+    return f"{local}@{label}" if local and label else token
+
+
 def _shape_key(token: str) -> tuple[int, str]:
     digits = "".join(_DIGIT.findall(token))
     n = len(digits)
     at, size = "@" in token, (n > 7) + (n > 15) + (n > 19)
-    key = token.strip(_EDGE).lower() if at else digits if n > 15 else digits[-7:]
+    key = _mailbox(token.strip(_EDGE).lower()) if at else digits if n > 15 else digits[-7:]
     # what a pattern accepts by itself is told apart, so only evidence from other tokens can label the rest
     return bool(base_spans(token)) * 32 + at * 16 + size * 4 + ("+" in token) * 2 + (token.count(".") >= 3), f"{int(at)}{int(n > 15)}{key}"
 

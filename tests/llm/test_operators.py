@@ -158,6 +158,12 @@ def test_pii_spreads_to_every_copy(spark):
         assert got[0].count("phone:") == k + 1 and got[1] == "email:31:38" and got[2] == got[3] == ""
 
 
+def test_pii_spreads_to_a_mailbox_without_its_ending(spark):
+    texts = ["write to A.b@c.org now, or a.b@c again", "a.b@d and b@c and a.b@c_d, not a.b@c.org", "a.b@c alone, a.b@c"]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: "email:9:18,email:27:32", 1: "email:31:40", 2: ""}
+
+
 def test_quality(spark, docs, empty):
     good, bad = [(k, f"plain words and more words {k}.") for k in range(200)], [(k, f"### {k} $$$ %%%") for k in range(200, 400)]
     d = spark.createDataFrame(good + bad, "doc_id bigint, text string")
