@@ -24,9 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group with similarity 0.8 or more on shingles of five words. Documents without an id stay, and of rows that repeat an id one stays."""
+    """One document, that with the smallest doc_id, of each group with similarity 0.8 or more on shingles of five words. Documents without an id stay, and of rows that repeat an id and its text one stays."""
     kept = near_dup.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(docs.where("doc_id is null"))
 
 

@@ -164,6 +164,18 @@ def _confirm(width: int, percent: int):
     return F.pandas_udf(run, "boolean")
 
 
+def _of_repeated_ids(texts: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates of a table in which a doc_id has different sets: each row is a node of its own, then groups that share a doc_id are joined."""
+    rows = written(texts.where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    grouped = near_duplicates(rows, width=width, percent=percent, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    owners = written(rows.select("row", "doc_id").join(grouped, "row").select("doc_id", "component_id").distinct(), "owners")
+    least = owners.groupBy("component_id").agg(F.min("doc_id").alias("v"))
+    component = connected_components(owners.join(least, "component_id").select(F.col("doc_id").alias("u"), "v"), "shared")
+    entry = signed.select("doc_id", "n_shingles").join(component.toDF("doc_id", "component"), "doc_id", "left")
+    found = F.coalesce("component", "doc_id")
+    return entry.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
@@ -173,6 +185,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(width), "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>, sig array<bigint>"), "signatures")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("set_digest")).alias("a"), F.max(F.xxhash64("set_digest")).alias("b")).where("a <> b")
+    if not several.isEmpty():
+        return _of_repeated_ids(texts, signed, width, percent)
     named = signed.where("doc_id is not null and set_digest is not null")
     classes = named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
     reps = written(named.join(classes.withColumnRenamed("rep", "doc_id"), ["set_digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "set_digest", "bands", "sig").dropDuplicates(["set_digest"]), "classes")
@@ -195,7 +210,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         left, right = known.toDF("u", "text_u"), known.toDF("v", "text_v")
         return written(likely.join(left, "u").join(right, "v").where(_confirm(width, percent)("text_u", "text_v")).select("u", "v"), f"{label}-links")
 
-    # rows that repeat a doc_id can make one id the representative of two classes: no link is needed then, they are one node already
     pair = (F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
     middles = centres.join(met.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("sig").alias("sig_centre")), "centre")
     likely = F.expr("rep <> centre") & sized("n_shingles", "n_centre") & (estimate("sig", "sig_centre") >= percent / 100 - slack(HASHES))
@@ -221,6 +235,5 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         if not more.isEmpty():
             component = written(connected_components(links.unionByName(more)), "components")
     entry = signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left").join(component.toDF("rep", "component"), "rep", "left")
-    # a doc_id that repeats may be in two classes; its group is the least of theirs
     found = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component", "rep", "doc_id"))
     return entry.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))

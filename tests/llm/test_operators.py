@@ -142,6 +142,19 @@ def test_near_duplicates_of_one_base(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a), (5, b), (7, a), (7, b), (7, ""), (9, b + " more"), (None, b), (1, c), (1, a + " x y z " + c), (1, c), (2, c + " more"), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_dup.near_duplicates(d, width=2).collect())
+    group = {3: 3, 5: 3, 7: 3, 9: 3, 1: 1, 2: 1, 4: 4, None: None}
+    assert got == sorted((str(i), group[i], i is None or group[i] == i) for i, _ in rows)
+    stay = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.near_dup_stage(spark, d, "").collect())
+    assert stay == sorted([("1", c), ("1", a + " x y z " + c), ("3", a), ("4", ""), ("None", b)])
+
+
 def test_pii(docs, empty):
     got = {str(r.doc_id): r for r in pii.find_pii(docs).collect()}
     assert (got["5"].n_email, got["5"].n_phone, got["2"].n_email) == (1, 1, 0)
