@@ -49,6 +49,32 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def path_exists(spark: SparkSession, uri: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+#: Keys that `join_keys` may broadcast at most, and the rows below which a key is never hot.
+HOT_KEYS, HOT_ROWS = 10_000, 500
+
+
+def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str, total: int | None = None) -> DataFrame:
+    """left joined (inner) with right, which has each key once and, in column `rows`, how many rows left has of it.
+
+    Keys that hold more than total / HOT_KEYS rows (HOT_ROWS at least) are met by a broadcast, so no task gets all rows of a hot key; as total is the sum
+    of right's rows, there are fewer than HOT_KEYS of them however large the tables are. All others are met by a shuffle. left is read twice.
+    """
+    if total is None:
+        total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) > max(HOT_ROWS, total // HOT_KEYS)
+    some = right.where(hot)
+    if some.isEmpty():
+        return left.join(right, key)
+    often = F.broadcast(some)
+    rare = left.join(F.broadcast(some.select(key)), key, "left_anti").join(right.where(~hot), key)
+    return left.join(often, key).unionByName(rare)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

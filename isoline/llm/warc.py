@@ -17,9 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoline.llm.common import batch, fresh_path, open_fs, rows_of, text_or_empty, written
+from isoline.llm.common import batch, fresh_path, join_keys, open_fs, rows_of, text_or_empty, written
 from isoline.llm.seekable import SeekableReader, SeekableWriter
 
+#: Revisit rows that are broadcast at most (about 40 bytes each).
+BROADCAST_REVISITS = 200_000
+FRAMES_A_TASK, MOST_TASKS = 64, 20_000
 INDEX = "page_id bigint, bundle string, frame int, frame_offset bigint, record_bytes bigint"
 _INDEX = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_offset", pa.int64()), ("record_bytes", pa.int64())])
 _PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -111,21 +114,24 @@ def write_bundles(pages: DataFrame, *, folder: str | None = None, least_bytes: i
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     all_pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("html"))
-    digests = all_pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least_bytes)).select("page_id", F.sha1("html").alias("digest"))
-    last = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where("first <> refers_to").select("digest", "refers_to")
-    revisits = digests.join(last, "digest").where("page_id <> refers_to").distinct()
-    keyed = all_pages.withColumn("digest", F.sha1("html"))
-    records = keyed.join(revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    digest = F.unhex(F.sha1("html"))
+    digests = written(all_pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least_bytes)).select("page_id", digest.alias("digest")), "payload-digests")
+    last = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first"), F.count("*").alias("copies")).where("first <> refers_to").select("digest", "refers_to", "copies")
+    revisits = join_keys(digests, last, "digest", "copies").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    revisits = written(revisits, "revisits")
+    keyed = all_pages.withColumn("digest", digest)
+    few = revisits.count() <= BROADCAST_REVISITS  # else payloads are dealt by their page
+    records = keyed.join(F.broadcast(revisits) if few else revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     return written(records.mapInArrow(_write(folder, frame_bytes), INDEX), "warc-index")
 
 
 def _read(batches):
     for b in batches:
-        for name in b.column(0).to_pylist():
+        for name, first, last in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             files, path = open_fs(name)
             with files.open_input_file(path) as source:
                 reader = SeekableReader(source, source.size())
-                for k in range(len(reader.frames)):
+                for k in range(first, last + 1):
                     f, out = io.BytesIO(reader.frame(k)), {x.name: [] for x in _PAGES}
                     while (record := parse_record(f)) is not None:
                         head, http, payload = record
@@ -139,9 +145,14 @@ def _read(batches):
 
 
 def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Per record, from the bundles: page_id, payload_bytes, payload_digest, record_type, refers_to. Frame checksums and payload digests are verified."""
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    """Per record, from the bundles: page_id, payload_bytes, payload_digest, record_type, refers_to. Frame checksums and payload digests are verified.
+
+    Each task reads about FRAMES_A_TASK frames of one bundle, so the archive's size sets the number of tasks.
+    """
+    parts = index.groupBy("bundle", F.expr(f"frame div {FRAMES_A_TASK}").alias("part")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    parts = written(parts.select("bundle", "first", "last"), "warc-parts")
+    dealt = parts.repartition(min(MOST_TASKS, max(1, parts.count())))  # a number given here is not merged by adaptive execution
+    return dealt.mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def read_record(bundle: str, frame: int, frame_offset: int) -> tuple[dict, dict, bytes]:
