@@ -83,13 +83,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ih FROM benchmark),
-masks(k, m) AS (VALUES (0, [0, 1, 2, 4, 7, 8]), (1, [0, 1, 3, 5, 6, 8]), (2, [0, 2, 3, 6, 7, 8])),
-ds AS (SELECT doc_id, k, pos, list_transform(m, lambda o: h[pos + o + 1]) AS seed FROM (SELECT doc_id, h, unnest(range(0, len(h) - 8)) AS pos FROM d), masks),
-bs AS (SELECT item_id, k, pos AS item_at, list_transform(m, lambda o: ih[pos + o + 1]) AS seed FROM (SELECT item_id, ih, unnest(range(0, len(ih) - 8)) AS pos FROM i), masks
-       UNION ALL SELECT item_id, 10 + len(ih), 0, ih FROM i WHERE len(ih) BETWEEN 1 AND 8),
-short AS (SELECT DISTINCT len(ih) AS n FROM i WHERE len(ih) BETWEEN 1 AND 8),
-da AS (SELECT * FROM ds UNION ALL SELECT doc_id, 10 + n, pos, h[pos + 1 : pos + n] FROM (SELECT doc_id, h, n, unnest(range(0, len(h) - n + 1)) AS pos FROM d, short)),
-hits AS (SELECT DISTINCT doc_id, item_id, pos - item_at AS shift FROM da JOIN bs USING (k, seed)),
+n AS (SELECT item_id, ih, len(ih) AS n, least(len(ih), 20) AS w, (least(len(ih), 20) * 80 + 99) // 100 AS need FROM i WHERE len(ih) > 0),
+-- need of w tokens are equal, so some run of this many is
+r AS (SELECT item_id, ih, n, w // (w - need + 1) AS run FROM n),
+runs AS (SELECT DISTINCT run FROM r),
+dr AS (SELECT doc_id, run, pos, h[pos + 1 : pos + run] AS g FROM (SELECT doc_id, h, run, unnest(range(0, len(h) - run + 1)) AS pos FROM d, runs)),
+ir AS (SELECT item_id, run, item_at, ih[item_at + 1 : item_at + run] AS g FROM (SELECT item_id, ih, run, unnest(range(0, n - run + 1)) AS item_at FROM r)),
+hits AS (SELECT DISTINCT doc_id, item_id, pos - item_at AS shift FROM dr JOIN ir USING (run, g)),
 al AS (SELECT doc_id, item_id, shift, least(len(ih), 20) AS w, len(ih) AS n, list_transform(range(0, len(ih)), lambda j: CASE WHEN shift + j >= 0 AND h[greatest(0, shift + j) + 1] = ih[j + 1] THEN 1 ELSE 0 END) AS eq FROM hits JOIN d USING (doc_id) JOIN i USING (item_id)),
 sums AS (SELECT doc_id, item_id, shift, w, unnest(range(0, n - w + 1)) AS s, eq FROM al),
 c AS (SELECT doc_id, item_id, w, CAST(list_sum(eq[s + 1 : s + w]) AS BIGINT) AS matched, greatest(0, shift + s) AS first FROM sums),

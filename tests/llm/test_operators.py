@@ -194,7 +194,7 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(7, item), (8, "tiny item here"), (9, None), (None, "")], "item_id bigint, text string")
     got = sorted((str(r.doc_id), r.item_id, r.matched, r.of_tokens, r.first_token) for r in decontam.overlaps(d, bench).collect())
     assert got == [("1", 7, 14, 15, 1), ("4", 8, 3, 3, 0), ("None", 7, 15, 15, 0)]
-    assert sorted((str(r.doc_id), r.item_id) for r in decontam.overlaps(d, bench, block_seeds=5).collect()) == [g[:2] for g in got]
+    assert sorted((str(r.doc_id), r.item_id) for r in decontam.overlaps(d, bench, broadcast_seeds=5, broadcast_hits=0).collect()) == [g[:2] for g in got]
     assert sorted(str(r.doc_id) for r in decontam.decontaminate(d, bench).collect()) == ["2", "3"]
     assert decontam.overlaps(empty, bench).count() == 0 and decontam.overlaps(docs, bench.limit(0)).count() == 0
 
