@@ -1,16 +1,22 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns give base spans (email, ip, card, phone). Sites of a text are its base spans and the other email-like and number-like tokens. Neighbouring
-sites share chain potentials; sites with equal or similar content (the same mailbox, the same last digits) share skip potentials, however far apart:
-every free site with every base span of its key, so that its evidence does not fall with the number of copies, and with the next free site of the key.
-Loopy belief propagation over that graph, with base spans held fixed, lets a label spread to a repeated token that no pattern accepts, such as a
-known telephone number without its plus sign. Potentials are log-odds of smoothed counts over the whole corpus; the base spans are the labels.
+Patterns give base spans (email, ip, card, phone). Sites of a text are its base spans and its other email-like tokens (also with spaces around the @) and
+numbers of seven digits or more. Neighbouring sites share chain potentials; sites with equal content (the same mailbox, the same last digits) share skip
+potentials, and numbers that differ in one of their last ten digits weaker ones, however far apart: a free site with the base spans of its key, so that its
+evidence does not fall with the number of copies, and with the next free site of the key.
+
+The weights are fitted by pseudo-likelihood on counts of all texts, with base spans as labels. A site is seen without the marks that its pattern asks for
+(plus signs, separators, domain endings), so labels are told from shape, the word before, neighbours and twins; free sites with a labelled twin are left out,
+as their label is what is sought. Loopy belief propagation, in blocks of bounded memory, then labels the free sites of every document; a site that its own
+pattern refused bears the odds of MISSED against any label, and shape and word are bounded, so they alone never label it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +28,13 @@ from pyspark.sql import functions as F
 from isoline.llm.common import batch, rows_of, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-N_LABELS, N_SHAPES = len(KINDS) + 1, 64  # label 0: none
-#: The share of tokens of a shape that may bear a label which the patterns missed, and of skip pairs that may disagree.
-MISSED, DISAGREE, CERTAIN, ROUNDS = 0.02, 1e-4, 0.9, 20
+N_LABELS, N_SHAPES, N_WORDS, EDGE_LABEL = len(KINDS) + 1, 16, 17, len(KINDS) + 1  # label 0: none; EDGE_LABEL: no neighbour
+#: The odds of a label that the patterns missed; the bound of what shape and word before say; the probability from which a span is added.
+MISSED, BOUND, CERTAIN, ROUNDS = 0.02, 2.0, 0.9, 20
+#: Prior means of the weights for agreement with an equal and with a similar site (the fit may move them), and the precision of the prior.
+EQUAL_PRIOR, SIMILAR_PRIOR, PRECISION = 9.0, 3.0, 1.0
+#: Characters before a site in which the word before it is sought; messages computed at once.
+WORD_WINDOW, MESSAGES = 40, 1 << 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,6 +44,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"(?<![0-9])\+?\(?[0-9][0-9(). -]*[0-9]")
+_WORD = re.compile(r"[A-Za-z]+")
 _EDGE = ".,;:!?#$%&*()[]<>{}\"'|"
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -75,24 +86,29 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _free(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Email-like and number-like tokens that overlap no base span."""
+    """Email-like and number-like tokens that overlap no base span. Scans stop at the next @, so their cost is linear."""
     found, end = [], 0
     at = text.find("@")
     while at >= 0:
-        start = at
-        while start > max(end, at - 64) and not text[start - 1].isspace() and text[start - 1] != "@":
+        start, stop, after = at, at + 1, text.find("@", at + 1)
+        last = len(text) if after < 0 else after
+        if start > end + 1 and text[start - 1] == " ":
+            start -= 1
+        if stop < last - 1 and text[stop] == " ":
+            stop += 1
+        low, high = start, stop
+        while start > end and not text[start - 1].isspace():
             start -= 1
-        stop = at + 1
-        while stop < min(len(text), at + 256) and not text[stop].isspace() and text[stop] != "@":
+        while stop < last and not text[stop].isspace():
             stop += 1
-        while stop > at + 1 and text[stop - 1] in _EDGE:
+        whole = stop
+        while stop > high and text[stop - 1] in _EDGE:
             stop -= 1
-        while start < at and text[start] in _EDGE:
+        while start < low and text[start] in _EDGE:
             start += 1
-        if start < at and stop > at + 1:
+        if start < low and stop > high:
             found.append((start, stop))
-        end = stop
-        at = text.find("@", at + 1)
+        end, at = whole, after
     found += [(m.start(), m.end()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m[0])) >= 7]
     out, k, end = [], 0, 0
     spans = sorted((s, e) for _, s, e in taken)
@@ -113,26 +129,55 @@ def _mailbox(token: str) -> str:
 
 
 def _shape_key(token: str) -> tuple[int, str]:
+    """The shape without the marks that patterns ask for, and the content that equal sites share."""
+    if "@" in token:
+        return 0, f"@{_mailbox(token.replace(' ', '').strip(_EDGE).lower())}"
     digits = "".join(_DIGIT.findall(token))
     n = len(digits)
-    at, size = "@" in token, (n > 7) + (n > 15) + (n > 19)
-    key = _mailbox(token.strip(_EDGE).lower()) if at else digits if n > 15 else digits[-7:]
-    # what a pattern accepts by itself is told apart, so only evidence from other tokens can label the rest
-    return bool(base_spans(token)) * 32 + at * 16 + size * 4 + ("+" in token) * 2 + (token.count(".") >= 3), f"{int(at)}{int(n > 15)}{key}"
-
-
-def sites(text: str, base: list[Span]) -> tuple[list[tuple[int, int, int]], list[str], np.ndarray]:
-    """(start, end, label; -1 where free) in order; keys; shapes."""
-    rows, end = [], 0
-    for s, e, label in sorted([*((s, e, k + 1) for k, s, e in base), *((s, e, -1) for s, e in _free(text, base))]):
-        if s >= end:
-            rows.append((s, e, label))
-            end = e
-    keys, shapes = [], np.zeros(len(rows), np.int64)
-    for i, (s, e, _) in enumerate(rows):
-        shapes[i], key = _shape_key(text[s:e])
-        keys.append(key)
-    return rows, keys, shapes
+    size = (n > 7) + (n > 9) + (n > 12) + (n > 15) + (n > 19)
+    return 1 + 2 * size + (token.count(".") >= 3), f"{int(n > 15)}{digits if n > 15 else digits[-7:]}"
+
+
+def _similar_keys(token: str) -> list[str]:
+    """Keys that two numbers share if they differ in one of their last ten digits."""
+    digits = "" if "@" in token else "".join(_DIGIT.findall(token))[-10:]
+    return [f"{digits[:k]}?{digits[k + 1 :]}" for k in range(10)] if len(digits) == 10 else []
+
+
+class Sites:
+    """The sites of a text: spans with labels (-1 where free), keys, shapes, the word before, and the labels of base spans with equal and similar content."""
+
+    def __init__(self, text: str, base: list[Span]):
+        self.spans, end = [], 0
+        for s, e, label in sorted([*((s, e, k + 1) for k, s, e in base), *((s, e, -1) for s, e in _free(text, base))]):
+            if s >= end:
+                self.spans.append((s, e, label))
+                end = e
+        n = len(self.spans)
+        self.label = np.array([x[2] for x in self.spans], np.int64).reshape(n)
+        self.shape, self.word, self.keys = np.zeros(n, np.int64), np.zeros(n, np.int64), []
+        for i, (s, e, _) in enumerate(self.spans):
+            self.shape[i], key = _shape_key(text[s:e])
+            self.keys.append(key)
+            before = _WORD.findall(text[max(0, s - WORD_WINDOW) : s])
+            self.word[i] = 1 + zlib.crc32(before[-1].lower().encode()) % (N_WORDS - 1) if before else 0
+        known = np.flatnonzero(self.label > 0)
+        held: dict[str, np.ndarray] = {}
+        near: dict[str, np.ndarray] = {}
+        for i in known:
+            held.setdefault(self.keys[i], np.zeros(N_LABELS, np.int64))[self.label[i]] += 1
+            for k in _similar_keys(text[self.spans[i][0] : self.spans[i][1]]):
+                near.setdefault(k, np.zeros(N_LABELS, np.int64))[self.label[i]] += 1
+        self.equal, self.similar = np.zeros((n, N_LABELS), np.int64), np.zeros((n, N_LABELS), np.int64)
+        if held:
+            for i in range(n):
+                own = np.eye(N_LABELS, dtype=np.int64)[self.label[i]] if self.label[i] > 0 else 0
+                if self.keys[i] in held:
+                    self.equal[i] = held[self.keys[i]] - own
+                found = [near[k] - own for k in (_similar_keys(text[self.spans[i][0] : self.spans[i][1]]) if near else []) if k in near]
+                if found:  # an equal number is found under every key, a similar one under one: what all keys share is not counted
+                    self.similar[i] = np.maximum(0, np.max(found, axis=0) - self.equal[i])
+        self.equal, self.similar = np.minimum(self.equal, 2), np.minimum(self.similar, 2)
 
 
 def following(keys: list[str], among: list[int]) -> list[tuple[int, int]]:
@@ -146,40 +191,80 @@ def following(keys: list[str], among: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-class SkipChain:
-    """Log potentials from counts: unary (shape, label), chain (label, label), skip (label, label)."""
+#: Of 11 states of a site's twins, how many of them have each label: none; one or more of label 1 to 4; one or more without a label.
+TWINS = np.zeros((11, N_LABELS))
+for _k in range(1, N_LABELS):
+    TWINS[2 * _k - 1, _k], TWINS[2 * _k, _k] = 1, 2
+TWINS[9, 0], TWINS[10, 0] = 1, 2
+_SIZES = (N_SHAPES, N_WORDS, N_LABELS + 1, N_LABELS + 1, 11, 11, N_LABELS)
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        n = unary.sum(axis=1, keepdims=True)
-        self.unary = np.log((unary + MISSED * n / N_LABELS + 1e-3) / (n * (1 + MISSED) + 1e-3 * N_LABELS))
 
-        def odds(t, floor, twins):
-            """twins: the prior weight, against the counts, of each label's agreement with itself."""
-            n = t.sum() + 1
-            t = (t + t.T) / 2 + floor * n + twins * n * np.eye(N_LABELS)
-            p = t / t.sum()
-            return np.log(p) - np.log(p.sum(axis=1))[:, None] - np.log(p.sum(axis=0))[None]
+def _twin_state(counts: np.ndarray) -> np.ndarray:
+    k = counts.argmax(axis=1)
+    return np.where(counts.max(axis=1) == 0, 0, np.where(k == 0, 8, 2 * k - 2) + counts.max(axis=1))
 
-        self.chain, self.skip = odds(chain, 0.1, 0.0), odds(skip, DISAGREE, 1.0)
+
+class SkipChain:
+    """Log potentials: shape (shape, label), word (word before, label), chain (label, label; EDGE_LABEL at the ends), equal and similar (label, label)."""
+
+    def __init__(self):
+        same, diagonal = np.zeros((N_LABELS, N_LABELS)), np.arange(1, N_LABELS)
+        same[diagonal, diagonal] = 1
+        self.shape, self.word = np.zeros((N_SHAPES, N_LABELS)), np.zeros((N_WORDS, N_LABELS))
+        self.chain = np.zeros((N_LABELS + 1, N_LABELS + 1))
+        self.equal, self.similar = EQUAL_PRIOR * same, SIMILAR_PRIOR * same
+
+    NAMES = ("shape", "word", "chain", "equal", "similar")
+
+    def fit(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> SkipChain:
+        """Maximises the pseudo-likelihood of counted sites, with a Gaussian prior around the weights given, by gradient steps of adaptive size."""
+        if not len(codes):
+            return self
+        s, w, left, right, eq, sim, y = np.unravel_index(codes, _SIZES)
+        weight = counts / counts.sum()
+        start = {n: getattr(self, n).copy() for n in self.NAMES}
+        first, second = ({n: np.zeros_like(v) for n, v in start.items()} for _ in range(2))
+        hot = np.eye(N_LABELS)[y]
+        for t in range(1, rounds + 1):
+            z = self.shape[s] + self.word[w] + self.chain[left, :N_LABELS] + self.chain[:N_LABELS, right].T + TWINS[eq] @ self.equal + TWINS[sim] @ self.similar
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            g = (p / p.sum(axis=1, keepdims=True) - hot) * weight[:, None]
+            grad = {n: PRECISION / counts.sum() * (getattr(self, n) - start[n]) for n in self.NAMES}
+            np.add.at(grad["shape"], s, g)
+            np.add.at(grad["word"], w, g)
+            np.add.at(grad["chain"][:, :N_LABELS], left, g)
+            np.add.at(grad["chain"].T[:, :N_LABELS], right, g)
+            grad["equal"] += TWINS[eq].T @ g
+            grad["similar"] += TWINS[sim].T @ g
+            for n in self.NAMES:
+                first[n] = 0.9 * first[n] + 0.1 * grad[n]
+                second[n] = 0.99 * second[n] + 0.01 * grad[n] ** 2
+                getattr(self, n).__isub__(0.1 * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.99**t)) + 1e-12) / (1 + t / 30))
+        return self
 
     def beliefs(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Loopy sum-product over the edges: the sites' label probabilities. unary in logs, one row a site; chain and skip are arrays of site pairs."""
         edges = np.concatenate([chain, skip]).reshape(-1, 2)
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         m = len(edges)
-        pair = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)]) if m else np.zeros((0, N_LABELS, N_LABELS))
-        pair, back = np.concatenate([pair, pair.transpose(0, 2, 1)]), np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        message = np.zeros((2 * m, N_LABELS))
-        belief = unary.copy()
+        tables = np.stack([self.chain[:N_LABELS, :N_LABELS], self.equal, self.chain[:N_LABELS, :N_LABELS].T, self.equal.T])
+        kind = np.concatenate([np.repeat([0, 1, 2, 3], [len(chain), len(skip)] * 2)]).astype(np.int8)
+        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        message, belief = np.zeros((2 * m, N_LABELS)), unary.copy()
         for _ in range(ROUNDS if m else 0):
-            x = (belief[source] - message[back])[:, :, None] + pair
-            top = x.max(axis=1)
-            new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-            new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - message).max()
-            message = (message + new) / 2
+            moved, new = 0.0, np.empty_like(message)
+            for at in range(0, 2 * m, MESSAGES):
+                part = slice(at, at + MESSAGES)
+                x = (belief[source[part]] - message[back[part]])[:, :, None] + tables[kind[part]]
+                top = x.max(axis=1)
+                out = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
+                out -= out.max(axis=1, keepdims=True)
+                moved = max(moved, float(np.abs(out - message[part]).max()))
+                new[part] = (message[part] + out) / 2
+            message = new
             belief = unary.copy()
-            np.add.at(belief, target, message)
+            for k in range(N_LABELS):
+                belief[:, k] += np.bincount(target, message[:, k], len(unary))
             if moved < 1e-3:
                 break
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -188,53 +273,54 @@ class SkipChain:
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """(base spans, all spans), both by kind and start."""
         base = base_spans(text)
-        if not base:  # no label that could spread: shapes alone never reach CERTAIN
+        if "@" not in text and not _DIGIT.search(text):
             return base, base
-        rows, keys, shapes = sites(text, base)
-        held: dict[str, np.ndarray] = {}  # by key, how many base spans have each label
-        for key, (_, _, label) in zip(keys, rows, strict=True):
-            if label > 0:
-                held.setdefault(key, np.zeros(N_LABELS))[label] += 1
-        free = [i for i, (_, _, label) in enumerate(rows) if label < 0]
-        if not any(keys[i] in held for i in free):
+        sites = Sites(text, base)
+        free = np.flatnonzero(sites.label < 0)
+        if not len(free):
             return base, base
-        unary = self.unary[shapes].copy()
-        for i, (_, _, label) in enumerate(rows):
-            if label > 0:
-                unary[i] = -50.0
-                unary[i, label] = 0.0
-            elif keys[i] in held:  # the messages of fixed sites are rows of the potential, so their edges need not be listed one by one
-                unary[i] += held[keys[i]] @ self.skip
-        chain = np.array([(i, i + 1) for i in range(len(rows) - 1)], np.int64).reshape(-1, 2)
-        p = self.beliefs(unary, chain, np.array(following(keys, free), np.int64).reshape(-1, 2))
+        odds = self.shape[sites.shape[free]] + self.word[sites.word[free]]
+        unary = np.clip(odds - odds[:, :1], -BOUND, BOUND)
+        unary[:, 1:] += np.log(MISSED)
+        unary += sites.equal[free] @ self.equal + sites.similar[free] @ self.similar
+        # a neighbour that is a base span, or none at all, adds a row of the chain's potential; free neighbours get an edge
+        around = np.concatenate([[EDGE_LABEL], sites.label, [EDGE_LABEL]])
+        before, after = around[free], around[free + 2]
+        unary[before > 0] += self.chain[before[before > 0], :N_LABELS]
+        unary[after > 0] += self.chain[:N_LABELS, after[after > 0]].T
+        place = np.cumsum(sites.label < 0) - 1
+        chain = np.stack([place[free[after < 0]], place[free[after < 0]] + 1], axis=1)
+        skip = place[np.array(following(sites.keys, free.tolist()), np.int64).reshape(-1, 2)]
+        p = self.beliefs(unary, chain, skip)
         best = p.argmax(axis=1)
-        new = [(int(k) - 1, s, e) for (s, e, label), k, q in zip(rows, best, p, strict=True) if label < 0 and k and q[k] >= CERTAIN]
+        new = [(int(best[j]) - 1, *sites.spans[i][:2]) for j, i in enumerate(free.tolist()) if best[j] and p[j, best[j]] >= CERTAIN]
         return base, sorted(base + new)
 
 
 def _count(batches):
-    tables = {"unary": np.zeros((N_SHAPES, N_LABELS), np.int64), "chain": np.zeros((N_LABELS, N_LABELS), np.int64), "skip": np.zeros((N_LABELS, N_LABELS), np.int64)}
+    counts: Counter = Counter()
     for b in rows_of(batches, 1000):
         for text in b.column(0).to_pylist():
             if "@" not in text and not _DIGIT.search(text):
                 continue
-            rows, keys, shapes = sites(text, base_spans(text))
-            labels = np.array([max(0, x[2]) for x in rows], np.int64)
-            np.add.at(tables["unary"], (shapes, labels), 1)
-            np.add.at(tables["chain"], (labels[:-1], labels[1:]), 1)
-            for i, j in following(keys, list(range(len(rows)))):
-                if (labels[i] > 0) == (labels[j] > 0):  # a token that the patterns missed says nothing against its twin
-                    tables["skip"][labels[i], labels[j]] += 1
-    rows = [(name, int(i), int(j), int(t[i, j])) for name, t in tables.items() for i, j in zip(*np.nonzero(t), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["name", "i", "j", "n"])
+            sites = Sites(text, base_spans(text))
+            if not sites.spans:
+                continue
+            y = np.maximum(sites.label, 0)
+            around = np.concatenate([[EDGE_LABEL], y, [EDGE_LABEL]])
+            equal, repeats = sites.equal.copy(), Counter(sites.keys)
+            lone = (sites.label < 0) & (equal.sum(axis=1) == 0)
+            equal[lone, 0] = [min(2, repeats[sites.keys[i]] - 1) for i in np.flatnonzero(lone)]
+            seen = (sites.label > 0) | lone & (sites.similar.sum(axis=1) == 0)  # a token that the patterns missed says nothing against its twin
+            code = np.ravel_multi_index((sites.shape, sites.word, around[:-2], around[2:], _twin_state(equal), _twin_state(sites.similar), y), _SIZES)
+            counts.update(code[seen].tolist())
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["code", "n"])
 
 
 def fit_pii(docs: DataFrame, text_col: str = "text") -> SkipChain:
-    """Counts over all texts; at most N_SHAPES * N_LABELS + 2 * N_LABELS ** 2 sums reach the driver."""
-    tables = {"unary": np.zeros((N_SHAPES, N_LABELS)), "chain": np.zeros((N_LABELS, N_LABELS)), "skip": np.zeros((N_LABELS, N_LABELS))}
-    for r in docs.select(text_or_empty(text_col).alias("text")).mapInArrow(_count, "name string, i int, j int, n bigint").groupBy("name", "i", "j").agg(F.sum("n").alias("n")).collect():
-        tables[r["name"]][r["i"], r["j"]] = r["n"]
-    return SkipChain(**tables)
+    """Weights from counts over all texts. What reaches the driver is a row for each kind of site met, of which there can be six million at most."""
+    found = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+    return SkipChain().fit(found.column("code").to_numpy(), found.column("n").to_numpy().astype(np.float64))
 
 
 def spans_text(spans: list[Span]) -> str:
