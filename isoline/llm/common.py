@@ -58,23 +58,39 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
 HOT_KEYS, HOT_ROWS = 10_000, 500
 
 
-def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str, total: int | None = None) -> DataFrame:
+def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
     """left joined (inner) with right, which has each key once and, in column `rows`, how many rows left has of it.
 
     Keys that hold more than total / HOT_KEYS rows (HOT_ROWS at least) are met by a broadcast, so no task gets all rows of a hot key; as total is the sum
     of right's rows, there are fewer than HOT_KEYS of them however large the tables are. All others are met by a shuffle. left is read twice.
     """
-    if total is None:
-        total = right.agg(F.sum(rows)).first()[0] or 0
-    hot = F.col(rows) > max(HOT_ROWS, total // HOT_KEYS)
-    some = right.where(hot)
-    if some.isEmpty():
+    sums = right.agg(F.sum(rows).alias("total"), F.max(rows).alias("most")).first()
+    limit = max(HOT_ROWS, (sums["total"] or 0) // HOT_KEYS)
+    if (sums["most"] or 0) <= limit:
         return left.join(right, key)
-    often = F.broadcast(some)
-    rare = left.join(F.broadcast(some.select(key)), key, "left_anti").join(right.where(~hot), key)
+    hot = F.col(rows) > limit
+    often = F.broadcast(right.where(hot))
+    rare = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key)
     return left.join(often, key).unionByName(rare)
 
 
+class Scratch:
+    """Written tables that no result reads: clear() removes them together."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.n = spark, fresh_path(spark, label), 0
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n:03d}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoline.llm.common import batch, rows_of, text_or_empty, written
+from isoline.llm.common import Scratch, batch, join_keys, rows_of, text_or_empty, written
 from isoline.llm.graph import connected_components
 
 ROWS, BANDS, BITS = 6, 42, 2
@@ -35,6 +35,8 @@ A = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 #: Minima of the longer signature, for texts in buckets that a star does not settle.
 LONG = 4096
+#: Pairs that one sending of a text serves; members of a bucket that one task compares with as many others.
+PAIRS_A_TEXT, BLOCK_ROWS = 256, 4096
 BAND_SEEDS = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 A_LONG = (_rng.integers(1, 1 << 32, LONG, dtype=np.uint64) | 1).astype(np.uint32)
 B_LONG = _rng.integers(0, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32)
@@ -176,6 +178,26 @@ def _of_repeated_ids(texts: DataFrame, signed: DataFrame, width: int, percent: i
     return entry.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _confirmed(scratch: Scratch, texts: DataFrame, pairs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """pairs (u, v) of representatives: those whose full sets are similar enough.
+
+    A text that many pairs name is sent once for each PAIRS_A_TEXT of them, so neither its pairs nor its copies land in one task.
+    """
+    likely = scratch.written(pairs.distinct(), f"{label}-likely")
+    dealt, counts = likely, {}
+    for end, other in (("u", "v"), ("v", "u")):
+        counts[end] = scratch.written(likely.groupBy(end).agg(F.count("*").alias("pairs")), f"{label}-{end}")
+        parts = F.ceil(F.col("pairs") / PAIRS_A_TEXT)
+        dealt = join_keys(dealt, counts[end], end, "pairs").withColumn(f"part_{end}", F.pmod(F.xxhash64(other), parts).cast("int")).drop("pairs")
+    asked = counts["u"].select("u").union(counts["v"].select("v")).distinct().toDF("doc_id")
+    known = scratch.written(texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
+    for end in "uv":
+        sent = known.toDF(end, f"text_{end}").join(counts[end], end)
+        sent = sent.select(end, f"text_{end}", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pairs") / PAIRS_A_TEXT).cast("int") - 1)).alias(f"part_{end}"))
+        dealt = dealt.join(sent, [end, f"part_{end}"])
+    return scratch.written(dealt.where(_confirm(width, percent)("text_u", "text_v")).select("u", "v"), f"{label}-links")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
@@ -183,57 +205,62 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     with nothing. Rows that repeat a doc_id are one node of the graph. A null doc_id cannot be named by a group: such a row has a null component and
     is kept. Long texts are used whole. Empty tables give no rows. Other columns of docs are not read.
     """
+    scratch = Scratch(docs.sparkSession, "near-dup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(width), "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>, sig array<bigint>"), "signatures")
     several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("set_digest")).alias("a"), F.max(F.xxhash64("set_digest")).alias("b")).where("a <> b")
     if not several.isEmpty():
         return _of_repeated_ids(texts, signed, width, percent)
     named = signed.where("doc_id is not null and set_digest is not null")
-    classes = named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
-    reps = written(named.join(classes.withColumnRenamed("rep", "doc_id"), ["set_digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "set_digest", "bands", "sig").dropDuplicates(["set_digest"]), "classes")
+    # equal sets have equal signatures; a third of all rows may be copies, so rows are reduced in each task before the shuffle
+    same = named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")))
+    reps = scratch.written(same, "classes")
     entries = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(entries.join(buckets, "band"), "buckets")
+    buckets = scratch.written(entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = scratch.written(join_keys(entries, buckets, "band", "size"), "members")
     # how many others a text meets in all its buckets: the text that a group's copies were made from meets most of them
-    met = written(members.groupBy("rep").agg(F.sum("size").alias("met")).join(reps.select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "rep"), "met")
-    members = written(members.join(met.select("rep", "met", "n_shingles", "sig"), "rep"), "members")
-    centre_of = lambda df: df.groupBy("band").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("centre"))
-    centres = centre_of(members)
+    met = scratch.written(members.groupBy("rep").agg(F.sum("size").alias("met")).join(reps.select("rep", "n_shingles", "sig", "bands"), "rep"), "met")
+    members = scratch.written(members.drop("size").join(met.select("rep", "met", "n_shingles", "sig"), "rep"), "members-met")
+    centres = scratch.written(members.groupBy("band").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("centre"), F.count("*").alias("size")), "centres")
     sized = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     differs = 0.75 * (1 - percent / 100)
     slack = lambda hashes: 5 * (differs * (1 - differs) / hashes) ** 0.5 / 0.75  # noqa: E731  five standard deviations
-    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        """pairs (u, v) of representatives: those whose full sets are similar enough."""
-        likely = written(pairs.distinct(), f"{label}-likely")
-        asked = likely.select("u").union(likely.select("v")).distinct().toDF("doc_id")
-        known = written(texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
-        left, right = known.toDF("u", "text_u"), known.toDF("v", "text_v")
-        return written(likely.join(left, "u").join(right, "v").where(_confirm(width, percent)("text_u", "text_v")).select("u", "v"), f"{label}-links")
-
-    pair = (F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
-    middles = centres.join(met.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("sig").alias("sig_centre")), "centre")
+    middles = scratch.written(centres.join(met.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("sig").alias("sig_centre")), "centre"), "middles")
     likely = F.expr("rep <> centre") & sized("n_shingles", "n_centre") & (estimate("sig", "sig_centre") >= percent / 100 - slack(HASHES))
-    links = confirmed(members.join(middles.withColumnRenamed("band", "band_centre"), F.expr("band = band_centre") & likely).select(*pair), "star")
-    component = written(connected_components(links), "star-components")
+    star = join_keys(members, middles, "band", "size").where(likely).select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
+    links = _confirmed(scratch, texts, star, width, percent, "star")
+    component = scratch.written(connected_components(links, write=scratch.written), "star-components")
 
     of = lambda name, out: component.toDF(name, out)
-    placed = members.join(centres, "band").join(of("rep", "own"), "rep", "left").join(of("centre", "middle"), "centre", "left")
-    placed = written(placed.select("band", "rep", F.coalesce("own", "rep").alias("own"), F.coalesce("middle", "centre").alias("middle")), "placed")
-    apart = placed.where("own <> middle")  # in another component than their bucket's centre
+    middle = scratch.written(centres.join(of("centre", "middle"), "centre", "left").select("band", "size", F.coalesce("middle", "centre").alias("middle")), "middle-components")
+    placed = join_keys(members.select("band", "rep"), middle, "band", "size").join(of("rep", "own"), "rep", "left")
+    placed = scratch.written(placed.select("band", "rep", "size", F.coalesce("own", "rep").alias("own"), "middle"), "placed")
+    apart = placed.where("own <> middle").groupBy("band").agg(F.max("size").alias("size"))  # buckets with members in another component than their centre
+    apart = scratch.written(apart, "apart")
     if not apart.isEmpty():
-        mixed = placed.select("band", "rep", "own", (F.col("own") != F.col("middle")).alias("off")).join(apart.select("band").distinct(), "band", "left_semi")
+        mixed = join_keys(placed.select("band", "rep", "own", (F.col("own") != F.col("middle")).alias("off")), apart, "band", "size")
+        mixed = scratch.written(mixed, "mixed")
         asked = mixed.select(F.col("rep").alias("doc_id")).distinct()
         fine = texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sign_long(width), "rep bigint, long_sig array<bigint>").dropDuplicates(["rep"])
-        mixed = written(mixed.join(fine.join(met.select("rep", "n_shingles", "sig", "bands"), "rep"), "rep"), "mixed")
-        side = lambda x: mixed.select(*(F.col(c).alias(f"{c}_{x}") for c in mixed.columns))
+        mixed = scratch.written(mixed.join(fine.join(met.select("rep", "n_shingles", "sig", "bands"), "rep"), "rep"), "mixed-signatures")
+        # a bucket is cut into blocks, and each block of it meets each other one in a key of its own
+        blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+        block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+        every = F.explode(F.sequence(F.lit(0), blocks - 1))
+        side = lambda x, at_u, at_v: mixed.select(*(F.col(c).alias(f"{c}_{x}") for c in mixed.columns), at_u.alias(f"at_u_{x}"), F.col("size").alias("size"), F.col("rep").alias("rep")).select("*", at_v.alias(f"at_v_{x}"))
         # a pair is met once: from its member outside the centre's component (the larger, if both are), and in the first bucket that the two share
-        once = F.expr("band_u = band_v and own_u <> own_v and off_u and (not off_v or rep_u > rep_v)")
+        once = F.expr("band_u = band_v and at_u_u = at_u_v and at_v_u = at_v_v and own_u <> own_v and off_u and (not off_v or rep_u > rep_v)")
         alike = (estimate("sig_u", "sig_v") >= percent / 100 - slack(HASHES)) & (estimate_long("long_sig_u", "long_sig_v") >= percent / 100 - slack(LONG))
         first = F.array_min(F.array_intersect("bands_u", "bands_v")) == F.col("band_u")
-        pairs = side("u").where("off_u").join(side("v"), once & sized("n_shingles_u", "n_shingles_v") & alike & first).select(F.greatest("rep_u", "rep_v").alias("u"), F.least("rep_u", "rep_v").alias("v"))
-        more = confirmed(pairs, "rest")
+        left, right = side("u", block, every).drop("rep", "size").where("off_u"), side("v", every, block).drop("rep", "size")
+        pairs = left.join(right, once & sized("n_shingles_u", "n_shingles_v") & alike & first).select(F.greatest("rep_u", "rep_v").alias("u"), F.least("rep_u", "rep_v").alias("v"))
+        more = _confirmed(scratch, texts, pairs, width, percent, "rest")
         if not more.isEmpty():
-            component = written(connected_components(links.unionByName(more)), "components")
-    entry = signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left").join(component.toDF("rep", "component"), "rep", "left")
-    found = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return entry.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
+            component = scratch.written(connected_components(links.unionByName(more), write=scratch.written), "components")
+    # classes with their components, then rows with their classes: hot classes are met by a broadcast
+    found = reps.select("set_digest", "rep", "copies").join(component.toDF("rep", "component"), "rep", "left")
+    found = written(found.select("set_digest", "copies", F.coalesce("component", "rep").alias("component_id")), "class-components")
+    scratch.clear()
+    out = join_keys(named.select("doc_id", "n_shingles", "set_digest"), found, "set_digest", "copies").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("doc_id is null or set_digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select("*", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
