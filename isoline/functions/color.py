@@ -49,10 +49,10 @@ def lerp(a: tuple, b: tuple, t: Column) -> list[Column]:
 
 
 def from_hex(text: Column) -> list[Column]:
-    """Channels r, g, b, a (0 .. 255) of #rgb, #rgba, #rrggbb or #rrggbbaa; alpha defaults to 255; nulls for other texts."""
-    ok = text.rlike("^#([0-9A-Fa-f]{3,4}|[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$")
-    long = F.when(F.length(text) < 6, F.regexp_replace(F.substring(text, 2, 4), "(.)", "$1$1")).otherwise(F.substring(text, 2, 8))
-    full = F.when(ok, F.rpad(long, 8, "f"))
+    """Channels r, g, b, a (0 .. 255) of the first #rgb, #rgba, #rrggbb or #rrggbbaa in a text; alpha defaults to 255. Other texts, and runs of 5 or 7 digits, give nulls."""
+    digits = F.regexp_extract(text, "#([0-9A-Fa-f]{3,8})", 1)
+    long = F.when(F.length(digits) < 5, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
+    full = F.when(F.length(digits).isin(3, 4, 6, 8), F.rpad(long, 8, "f"))
     return [F.conv(F.substring(full, 1 + 2 * k, 2), 16, 10).cast("int") for k in range(4)]
 
 
@@ -63,9 +63,10 @@ def gradient_samples(spark, stops: list, n: int):
     return df.select("i", "t", *(c.alias(k) for c, k in zip(gradient(F.col("t"), stops), "rgb", strict=True)))
 
 
-def to_hex(r: Column, g: Column, b: Column) -> Column:
-    """#rrggbb from channels 0 .. 255."""
-    return F.lower(F.concat(F.lit("#"), *(F.lpad(F.hex(c.cast("int")), 2, "0") for c in (r, g, b))))
+def to_hex(r: Column, g: Column, b: Column, a: Column | None = None) -> Column:
+    """#rrggbb from channels 0 .. 255, or #rrggbbaa where alpha is below 255."""
+    two = lambda c: F.lower(F.lpad(F.hex(c.cast("int")), 2, "0"))
+    return F.concat(F.lit("#"), *map(two, (r, g, b)), F.lit("") if a is None else F.when(a == 255, F.lit("")).otherwise(two(a)))
 
 
 def gradient(v: Column, stops: list[tuple[float, tuple[float, float, float]]]) -> list[Column]:

@@ -122,7 +122,7 @@ def transform_parts(parts: Column, source: int, target: int) -> Column:
 
 def transform_box(box: tuple, source: int, target: int, steps: int = 1) -> list[Column]:
     """xmin, xmax, ymin, ymax of the transformed box: by two corners for steps = 1, else by steps + 1 places along each side."""
-    x0, x1, y0, y1 = (F.lit(float(v)) if not isinstance(v, Column) else v for v in box)
+    x0, x1, y0, y1 = (v if isinstance(v, Column) else F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in box)
     if steps == 1:
         at = [(x0, y0), (x1, y1)]
     else:

@@ -117,17 +117,17 @@ def centroid(ring: Column) -> Column:
 
 
 def offset_line(c: Column, d) -> Column:
-    """Each segment moved to its right by d, unjoined: the moved start of every segment and the moved end of the last. Segments without length are left out."""
-    n = F.size(c)
+    """Each segment moved to its right by d, unjoined: the moved start and the moved end of every segment. Segments without length are left out; d = 0 changes nothing."""
+    d = d if isinstance(d, Column) else F.lit(float(d))
     kept = F.filter(c, lambda p, i: (i == 0) | (p != F.get(c, i - 1)))
 
-    def moved(p: Column, q: Column, at: Column) -> Column:
-        seg = F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
-        return point(at["x"] + (q["y"] - p["y"]) * F.try_divide(F.lit(1.0) * d, seg), at["y"] - (q["x"] - p["x"]) * F.try_divide(F.lit(1.0) * d, seg))
+    def moved(p: Column, q: Column) -> Column:
+        k = F.try_divide(d, F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])))
+        dx, dy = (q["y"] - p["y"]) * k, (p["x"] - q["x"]) * k
+        return F.array(point(p["x"] + dx, p["y"] + dy), point(q["x"] + dx, q["y"] + dy))
 
     m = F.size(kept)
-    starts = F.zip_with(F.slice(kept, 1, m - 1), F.slice(kept, 2, m - 1), lambda p, q: moved(p, q, p))
-    return F.when((n < 2) | (m < 2), c).otherwise(F.concat(starts, F.array(moved(F.get(kept, m - 2), F.get(kept, m - 1), F.get(kept, m - 1)))))
+    return F.when((m < 2) | (d == 0), c).otherwise(F.flatten(F.zip_with(F.slice(kept, 1, F.greatest(m - 1, F.lit(0))), F.slice(kept, 2, F.greatest(m - 1, F.lit(0))), moved)))
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:

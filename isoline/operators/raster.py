@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +35,30 @@ def statistics(cells: DataFrame, nodata: float | None = None) -> DataFrame:
     return cells.groupBy("raster_id").agg(F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.count(v).alias("n"))
 
 
+#: Rows of statistics (one for each raster) that are broadcast at most.
+MOST_RASTERS = 10_000
+
+
+def with_statistics(cells: DataFrame, nodata: float | None = None) -> DataFrame:
+    """Cells with the vmin, vmax and n of their raster. Statistics of up to MOST_RASTERS rasters are taken first and broadcast, so cells stay where they are; more are joined by a shuffle."""
+    found = statistics(cells, nodata)
+    rows = found.take(MOST_RASTERS + 1)
+    if len(rows) > MOST_RASTERS:
+        return cells.join(found, "raster_id", "left")
+    return cells.join(F.broadcast(cells.sparkSession.createDataFrame(rows, found.schema)), "raster_id", "left")
+
+
 def normalize(cells: DataFrame, lo: float = 0.0, hi: float = 1.0, nodata: float | None = None) -> DataFrame:
     """Linear to lo .. hi; a constant raster becomes lo."""
-    joined = cells.join(statistics(cells, nodata), "raster_id", "left")
     scale = F.when(F.col("vmax") == F.col("vmin"), F.lit(0.0)).otherwise((hi - lo) / F.nullif(F.col("vmax") - F.col("vmin"), F.lit(0.0)))
-    return joined.withColumn("value", F.when(_valid("value", nodata), lo + (F.col("value") - F.col("vmin")) * scale).otherwise(F.col("value"))).drop("vmin", "vmax", "n")
+    return with_statistics(cells, nodata).withColumn("value", F.when(_valid("value", nodata), lo + (F.col("value") - F.col("vmin")) * scale).otherwise(F.col("value"))).drop("vmin", "vmax", "n")
 
 
-def hillshade(cells: DataFrame) -> DataFrame:
-    """v(x, y) - v(x-1, y-1); the left column copies x = 1 and the top row copies y = 1."""
-    w = Window.partitionBy("raster_id", F.col("x") - F.col("y")).orderBy("x")
-    inner = cells.withColumn("shade", F.col("value") - F.lag("value").over(w)).where("x > 0 and y > 0").select("raster_id", F.col("x").alias("ix"), F.col("y").alias("iy"), "shade")
+def hillshade(cells: DataFrame, nodata: float | None = None) -> DataFrame:
+    """v(x, y) - v(x-1, y-1), or 0 where one of the two is no-data; the left column copies x = 1 and the top row copies y = 1."""
+    before = cells.select("raster_id", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), F.col("value").alias("__from"))
+    shade = F.when(_valid("value", nodata) & _valid("__from", nodata), F.col("value") - F.col("__from")).otherwise(F.lit(0.0))
+    inner = cells.join(before, ["raster_id", "x", "y"]).select("raster_id", F.col("x").alias("ix"), F.col("y").alias("iy"), shade.alias("shade"))
     at = cells.select("raster_id", "x", "y", F.greatest(F.col("x"), F.lit(1)).alias("ix"), F.greatest(F.col("y"), F.lit(1)).alias("iy"))
     return at.join(inner, ["raster_id", "ix", "iy"]).select("raster_id", "x", "y", F.col("shade").alias("value"))
 
@@ -57,10 +72,29 @@ def gaussian_kernel(radius: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian_blur(cells: DataFrame, radius: float, width: int, height: int) -> DataFrame:
-    """Separable, edges extended. Each cell gives its share to the cells around it, and shares are summed: partial sums are combined before the shuffle."""
+#: From this kernel reach on, blurring works on tiles of TILE cells a side (or more for large reaches) with a halo, instead of sums of shares.
+TILED_REACH, TILE = 5, 256
+
+
+def gaussian_blur(cells: DataFrame, radius: float, width: int, height: int, nodata: float | None = None) -> DataFrame:
+    """Separable, edges extended. With nodata, such cells give nothing and keep their value, and the others share their weight.
+
+    Small kernels: each cell gives its share to the cells around it, and shares are summed, partly before the shuffle. Large ones: each cell goes to the
+    tiles within reach (at most nine), and a tile with its halo is one task's array of bounded size.
+    """
     kernel = gaussian_kernel(radius)
     r = len(kernel) // 2
+    cells = cells.select("raster_id", "x", "y", "value")
+    if radius == 0:
+        return cells
+    if nodata is not None:
+        ok = _valid("value", nodata) & F.col("value").isNotNull()
+        top = gaussian_blur(cells.withColumn("value", F.when(ok, F.col("value")).otherwise(0.0)), radius, width, height).withColumnRenamed("value", "__v")
+        low = gaussian_blur(cells.withColumn("value", F.when(ok, 1.0).otherwise(0.0)), radius, width, height).withColumnRenamed("value", "__w")
+        both = cells.join(top, ["raster_id", "x", "y"]).join(low, ["raster_id", "x", "y"])
+        return both.select("raster_id", "x", "y", F.when(ok, F.try_divide("__v", "__w")).otherwise(F.col("value")).alias("value"))
+    if r > TILED_REACH:
+        return _blur_tiles(cells, kernel, width, height)
 
     def along(df: DataFrame, axis: str, size: int) -> DataFrame:
         taps = F.explode(F.array(*(F.struct(F.lit(k - r).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(kernel))))
@@ -72,7 +106,29 @@ def gaussian_blur(cells: DataFrame, radius: float, width: int, height: int) -> D
         other = "y" if axis == "x" else "x"
         return inner.groupBy("raster_id", F.col("to").alias(axis), other).agg(F.sum(F.col("value") * F.col("t.w")).alias("value"))
 
-    return cells if radius == 0 else along(along(cells.select("raster_id", "x", "y", "value"), "x", width), "y", height).select("raster_id", "x", "y", "value")
+    return along(along(cells, "x", width), "y", height).select("raster_id", "x", "y", "value")
+
+
+def _blur_tiles(cells: DataFrame, kernel: list[float], width: int, height: int) -> DataFrame:
+    r, weights = len(kernel) // 2, np.array(kernel)
+    side = max(TILE, 2 * r)
+    reach = lambda axis, size: F.sequence(F.floor(F.greatest(F.col(axis) - r, F.lit(0)) / side), F.floor(F.least(F.col(axis) + r, F.lit(size - 1)) / side))
+    dealt = cells.withColumn("tx", F.explode(reach("x", width))).withColumn("ty", F.explode(reach("y", height)))
+
+    def blur(frame: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(frame["tx"].iloc[0]) * side, int(frame["ty"].iloc[0]) * side
+        w, h = min(side, width - x0), min(side, height - y0)
+        low_x, low_y, high_x, high_y = max(0, x0 - r), max(0, y0 - r), min(width, x0 + w + r), min(height, y0 + h + r)
+        a = np.full((high_y - low_y, high_x - low_x), np.nan)
+        a[frame["y"].to_numpy() - low_y, frame["x"].to_numpy() - low_x] = frame["value"]
+        a = np.pad(a, ((r - (y0 - low_y), r - (high_y - y0 - h)), (r - (x0 - low_x), r - (high_x - x0 - w))), mode="edge")
+        a = sum(k * a[:, i : i + w] for i, k in enumerate(weights))
+        a = sum(k * a[i : i + h] for i, k in enumerate(weights))
+        mine = frame[frame["x"].between(x0, x0 + w - 1) & frame["y"].between(y0, y0 + h - 1)]
+        return pd.DataFrame({"raster_id": mine["raster_id"], "x": mine["x"], "y": mine["y"], "value": a[mine["y"].to_numpy() - y0, mine["x"].to_numpy() - x0]})
+
+    kind = dict(cells.dtypes)["raster_id"]
+    return dealt.groupBy("raster_id", "tx", "ty").applyInPandas(blur, f"raster_id {kind}, x int, y int, value double")
 
 
 def _outside(kernel: list[float], r: int, size: int):
@@ -115,7 +171,7 @@ def clamp_extremes(cells: DataFrame, bottom: float, top: float, nodata: float |
     """Cuts the lowest share `bottom` and the highest share `top` of the range (not of the cells)."""
     span = F.col("vmax") - F.col("vmin")
     v = F.least(F.greatest(F.col("value"), F.col("vmin") + span * bottom), F.col("vmax") - span * top)
-    return cells.join(statistics(cells, nodata), "raster_id", "left").withColumn("value", F.when(_valid("value", nodata), v).otherwise(F.col("value"))).drop("vmin", "vmax", "n")
+    return with_statistics(cells, nodata).withColumn("value", F.when(_valid("value", nodata), v).otherwise(F.col("value"))).drop("vmin", "vmax", "n")
 
 
 def sharpen(cells: DataFrame, radius: float, amount: float, width: int, height: int) -> DataFrame:
@@ -137,9 +193,10 @@ def convolve(cells: DataFrame, kernel: list[float], axis: str) -> DataFrame:
 
 
 def combine(a: DataFrame, b: DataFrame, f) -> DataFrame:
-    """f(value of a, value of b) of cells at the same place; both rasters must have the same cells, or the query fails."""
-    both = a.select("x", "y", F.col("value").alias("__a"), "raster_id").join(b.select("x", "y", F.col("value").alias("__b")), ["x", "y"], "full")
-    same = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("rasters differ in size"))).otherwise(f(F.col("__a"), F.col("__b")))
+    """f(value of a, value of b) of cells of one raster_id at the same place; both must have the same cells, or the query fails. Null values are data."""
+    left, right = a.select("raster_id", "x", "y", F.col("value").alias("__a"), F.lit(True).alias("__in_a")), b.select("raster_id", "x", "y", F.col("value").alias("__b"), F.lit(True).alias("__in_b"))
+    both = left.join(right, ["raster_id", "x", "y"], "full")
+    same = F.when(F.col("__in_a").isNull() | F.col("__in_b").isNull(), F.raise_error(F.lit("rasters differ in size"))).otherwise(f(F.col("__a"), F.col("__b")))
     return both.select("raster_id", "x", "y", same.alias("value"))
 
 

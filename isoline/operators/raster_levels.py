@@ -22,9 +22,9 @@ def scaled(k: float, size: int = 256) -> list[float]:
     return table(lambda v: v * k, size)
 
 
-def quantized(levels: int, size: int = 1024) -> list[float]:
-    """Equal steps from 0 to 1."""
-    return table(lambda v: min(math.floor(v * levels), levels - 1) / max(levels - 1, 1), size)
+def quantized(steps: int, size: int = 1024) -> list[float]:
+    """Rounded to the nearest of steps + 1 levels k / steps."""
+    return table(lambda v: int(v * steps + 0.5) / steps, size)
 
 
 def midpoint(m: float, size: int = 256) -> list[float]:

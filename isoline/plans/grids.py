@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from isoline.operators import features, raster, raster_grid, raster_levels
 from isoline.plans.collect import CELLS, STOPS, gradient_sql, register
 
-QUANTIZED = raster_levels.quantized(4, 16)
 SIZE = "size AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM cells)"
 
 
@@ -31,12 +30,42 @@ def raster_clamp_extremes(spark, d):
     return raster.clamp_extremes(features.raster(spark, d), 0.1, 0.2).select("x", "y", F.round("value", 6).alias("value"))
 
 
-@register(f"WITH {CELLS}, t AS (SELECT x, y, v/500*16.5::DOUBLE AS p, {QUANTIZED}::DOUBLE[] AS q FROM cells), i AS (SELECT *, CAST(trunc(p) AS INTEGER) AS i FROM t) SELECT x, y, round(CASE WHEN i >= 15 THEN q[16] ELSE q[i+1] + (q[i+2]-q[i+1])*(p-i) END, 6) AS value FROM i")
-def raster_levels_quantized(spark, d):
-    f = raster_levels.apply(QUANTIZED)
+def _levels_sql(table: str, n: int) -> str:
+    """A table of n samples, given as SQL of k / (n - 1), read at (n + 0.5) v and interpolated."""
+    return f"WITH {CELLS}, t AS (SELECT list_transform(range({n}), lambda k: {table.replace('$', f'(k/CAST({n - 1} AS DOUBLE))')}) AS q), p AS (SELECT x, y, v/500*({n} + 0.5::DOUBLE) AS p FROM cells), i AS (SELECT *, CAST(trunc(p) AS INTEGER) AS i FROM p, t) SELECT x, y, round(CASE WHEN i >= {n - 1} THEN q[{n}] ELSE q[i+1] + (q[i+2]-q[i+1])*(p-i) END, 6) AS value FROM i"
+
+
+def _levelled(spark, d, values):
+    f = raster_levels.apply(values)
     return raster.per_cell(features.raster(spark, d), lambda v: f(v / 500)).select("x", "y", F.round("value", 6).alias("value"))
 
 
+@register(_levels_sql("floor($*4 + 0.5::DOUBLE)/4", 16))
+def raster_levels_quantized(spark, d):
+    return _levelled(spark, d, raster_levels.quantized(4, 16))
+
+
+@register(_levels_sql("$", 32))
+def raster_levels_identity(spark, d):
+    return _levelled(spark, d, raster_levels.identity(32))
+
+
+@register(_levels_sql("$*0.7::DOUBLE", 32))
+def raster_levels_scaled(spark, d):
+    return _levelled(spark, d, raster_levels.scaled(0.7, 32))
+
+
+@register(_levels_sql("pow($, ln(0.3::DOUBLE)/ln(0.5::DOUBLE))", 32))
+def raster_levels_midpoint(spark, d):
+    return _levelled(spark, d, raster_levels.midpoint(0.3, 32))
+
+
+@register(_levels_sql("greatest(0, least(1, 0.5::DOUBLE + ($ - 0.5::DOUBLE)*1.8::DOUBLE))", 32))
+def raster_levels_contrast(spark, d):
+    return _levelled(spark, d, raster_levels.scaled_and_clamped(0.5, 1.8, 32))
+
+
+
 @register(f"WITH {CELLS} SELECT x - 20 AS x, y - 2 AS y, v AS value FROM cells WHERE x BETWEEN 20 AND 69 AND y BETWEEN 2 AND 7")
 def raster_crop(spark, d):
     return raster_grid.crop(features.raster(spark, d), 20, 2, 50, 6).select("x", "y", "value")
@@ -75,10 +104,12 @@ def raster_sharpen(spark, d):
     return raster.sharpen(c, 1.0, 0.5, *_size(c)).select("x", "y", F.round("value", 6).alias("value"))
 
 
-@register("SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, round(value - user_id, 6) AS value FROM events")
+@register("SELECT event_type AS raster_id, CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, round(CASE WHEN user_id % 7 = 0 THEN NULL ELSE value - user_id END, 6) AS value FROM events")
 def raster_combine(spark, d):
-    b = _bands(spark, d).select("x", "y", F.col("user_id").cast("double").alias("value"))
-    return raster.combine(features.raster(spark, d), b, lambda p, q: p - q).select("x", "y", F.round("value", 6).alias("value"))
+    """A raster for each event type, with some empty cells."""
+    e = features.read(spark, d, "events").select(F.col("event_type").alias("raster_id"), (F.col("event_id") % 100).cast("int").alias("x"), F.floor(F.col("event_id") / 100).cast("int").alias("y"), "value", "user_id")
+    b = e.select("raster_id", "x", "y", F.when(F.col("user_id") % 7 != 0, F.col("user_id").cast("double")).alias("value"))
+    return raster.combine(e.drop("user_id"), b, lambda p, q: p - q).select("raster_id", "x", "y", F.round("value", 6).alias("value"))
 
 
 @register(f"WITH {CELLS} SELECT x, y, CAST(least(greatest(round_even(v/500*255, 0), 0), 255) AS INTEGER) AS grey, CASE WHEN v < 50 THEN 0 ELSE 255 END AS alpha FROM (SELECT x, y, CASE WHEN v < 50 THEN -9999 ELSE v END AS v0, v FROM cells) WHERE v >= 50 UNION ALL SELECT x, y, 0, 0 FROM cells WHERE v < 50")
@@ -118,10 +149,25 @@ def raster_shrink(spark, d):
     return raster_grid.shrink(features.raster(spark, d), 4).select("x", "y", F.round("value", 6).alias("value"))
 
 
-@register(f"WITH {CELLS} SELECT CAST(x.range AS INTEGER) AS x, CAST(y.range AS INTEGER) AS y, coalesce(v, -9999) AS value FROM range(60) x, range(8) y LEFT JOIN cells c ON c.x = 2*x.range + 1 AND c.y = y.range")
+#: The raster lies at longitude 0 to 100 and latitude -40 to 40; the new grid has as many cells in spherical Mercator metres, and a margin.
+_WARP = f"WITH {CELLS}, {SIZE}, e AS (SELECT w, h, -200000::DOUBLE AS x0, 11400000::DOUBLE AS x1, -5000000::DOUBLE AS y0, 5000000::DOUBLE AS y1 FROM size), g AS (SELECT CAST(a.range AS INTEGER) AS x, CAST(b.range AS INTEGER) AS y, degrees((x0 + (a.range + 0.5::DOUBLE)*((x1-x0)/w))/6378137)*(w/CAST(100 AS DOUBLE)) AS px, (40 - degrees(2*atan(exp((y1 - (b.range + 0.5::DOUBLE)*((y1-y0)/h))/6378137)) - pi()/2))*(h/CAST(80 AS DOUBLE)) AS py, w, h FROM e, range((SELECT w FROM size)) a, range((SELECT h FROM size)) b)"
+
+
+def _warped(spark, d, bilinear):
+    c = features.raster(spark, d)
+    w, h = _size(c)
+    return raster_grid.warp(c, (0.0, 100.0, -40.0, 40.0), (w, h), 4326, (-200000.0, 11400000.0, -5000000.0, 5000000.0), (w, h), 3857, bilinear).select("x", "y", F.round("value", 6).alias("value"))
+
+
+@register(f"{_WARP} SELECT g.x, g.y, round(coalesce(v, -9999), 6) AS value FROM g LEFT JOIN cells c ON c.x = floor(px) AND c.y = floor(py)")
 def raster_warp(spark, d):
-    """Onto cells twice as wide; the new grid is wider than the old raster."""
-    return raster_grid.warp(features.raster(spark, d), (0.0, 100.0, 0.0, 8.0), (100, 8), 4326, (0.0, 120.0, 0.0, 8.0), (60, 8), 4326).select("x", "y", "value")
+    """The whole raster from degrees to spherical Mercator, nearest cell."""
+    return _warped(spark, d, False)
+
+
+@register(f"{_WARP}, f AS (SELECT g.x, g.y, i.range AS i, j.range AS j, CASE WHEN i.range = 1 THEN px - 0.5 - floor(px - 0.5) ELSE 1 - (px - 0.5 - floor(px - 0.5)) END * CASE WHEN j.range = 1 THEN py - 0.5 - floor(py - 0.5) ELSE 1 - (py - 0.5 - floor(py - 0.5)) END AS wt, least(greatest(floor(px - 0.5) + i.range, 0), w - 1) AS cx, least(greatest(floor(py - 0.5) + j.range, 0), h - 1) AS cy, px BETWEEN 0 AND w AND py BETWEEN 0 AND h AS ok FROM g, range(2) i, range(2) j) SELECT f.x, f.y, round(CASE WHEN bool_and(ok AND v IS NOT NULL) THEN sum(v*wt) ELSE -9999 END, 6) AS value FROM f LEFT JOIN cells c ON c.x = cx AND c.y = cy GROUP BY f.x, f.y")
+def raster_warp_bilinear(spark, d):
+    return _warped(spark, d, True)
 
 
 @register(f"WITH {CELLS}, q AS (SELECT a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM cells a JOIN cells b ON b.x = a.x+1 AND b.y = a.y JOIN cells c ON c.x = a.x AND c.y = a.y+1 JOIN cells d ON d.x = a.x+1 AND d.y = a.y+1), t AS (SELECT least(a,b,c) AS lo, greatest(a,b,c) AS hi FROM q UNION ALL SELECT least(b,c,d), greatest(b,c,d) FROM q) SELECT CAST(e AS DOUBLE) AS elev, CAST(count(*) AS BIGINT) AS n FROM t, (SELECT range*100 AS e FROM range(7)) WHERE e > lo AND e <= hi GROUP BY e")

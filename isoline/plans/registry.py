@@ -12,6 +12,7 @@ from isoline.functions import color, crs, geometry, tags
 from isoline.operators import features, joins, raster
 from isoline.plans import grids, shapes  # noqa: F401  (they fill the register)
 from isoline.plans.collect import BOX, BXS, CELLS, LNS, PTS, QUERIES, STOPS, gradient_sql, register
+from isoline.sources import tiles
 
 @register(f"WITH {PTS}, {BXS} SELECT p_partkey, CAST(count(*) AS BIGINT) AS n, min(value) AS vmin, max(value) AS vmax FROM pts JOIN bxs ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax WHERE event_type = 'purchase' GROUP BY p_partkey")
 def points_in_boxes(spark, d):
@@ -135,9 +136,11 @@ def raster_steps(spark, d):
     return raster.per_cell(features.raster(spark, d), raster.steps(25.0, 5.0)).select("x", "y", F.col("value").cast("double").alias("value"))
 
 
-@register(f"WITH {CELLS} SELECT c.x, c.y, round(a.v - b.v, 6) AS value FROM cells c JOIN cells a ON a.x = greatest(c.x, 1) AND a.y = greatest(c.y, 1) JOIN cells b ON b.x = a.x - 1 AND b.y = a.y - 1")
+@register(f"WITH {CELLS} SELECT c.x, c.y, round(CASE WHEN a.v < 50 OR b.v < 50 THEN 0 ELSE a.v - b.v END, 6) AS value FROM cells c JOIN cells a ON a.x = greatest(c.x, 1) AND a.y = greatest(c.y, 1) JOIN cells b ON b.x = a.x - 1 AND b.y = a.y - 1")
 def raster_hillshade(spark, d):
-    return raster.hillshade(features.raster(spark, d)).select("x", "y", F.round("value", 6).alias("value"))
+    """Values below 50 are no-data."""
+    cells = features.raster(spark, d).withColumn("value", F.when(F.col("value") < 50, -9999.0).otherwise(F.col("value")))
+    return raster.hillshade(cells, -9999.0).select("x", "y", F.round("value", 6).alias("value"))
 
 
 def _blur_sql(radius: float) -> str:
@@ -173,9 +176,8 @@ def color_hex(spark, d):
 
 @register(f"WITH {BXS} SELECT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, (CASE WHEN ty >= 0 THEN 'N' ELSE 'S' END) || printf('%02d', CAST(abs(ty) AS INTEGER)) || (CASE WHEN tx >= 0 THEN 'E' ELSE 'W' END) || printf('%03d', CAST(abs(tx) AS INTEGER)) AS tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs)) GROUP BY tx, ty")
 def tile_cover(spark, d):
-    b = features.boxes(spark, d).select("p_partkey", F.explode(F.sequence(F.floor("xmin"), F.ceil("xmax") - 1)).alias("tx"), "ymin", "ymax").select("tx", F.explode(F.sequence(F.floor("ymin"), F.ceil("ymax") - 1)).alias("ty"))
-    name = F.format_string("%s%02d%s%03d", F.when(F.col("ty") >= 0, "N").otherwise("S"), F.abs("ty"), F.when(F.col("tx") >= 0, "E").otherwise("W"), F.abs("tx"))
-    return b.groupBy("tx", "ty").count().select("tx", "ty", name.alias("tile"), F.col("count").alias("n"))
+    b = tiles.cover(features.boxes(spark, d)).groupBy("tx", "ty").count()
+    return b.select("tx", "ty", tiles.srtm_name(F.col("tx"), F.col("ty")).alias("tile"), F.col("count").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,10 +51,10 @@ def line_midpoint(spark, d):
     return m.select("l_orderkey", (F.round("p.x", 5) + F.lit(0.0)).alias("mx"), (F.round("p.y", 5) + F.lit(0.0)).alias("my"))
 
 
-@register(f"WITH {LNS}, u AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS b FROM v WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)), k AS (SELECT l_orderkey, n, x, y FROM u WHERE bx IS NULL OR bx <> x OR b <> y), s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny, count(*) OVER (PARTITION BY l_orderkey) AS c FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)) SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN nx IS NOT NULL THEN x + (ny-y)*0.5::DOUBLE/sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y)) ELSE x + (y-py)*0.5::DOUBLE/sqrt((x-px)*(x-px) + (y-py)*(y-py)) END), 5) AS sx FROM s WHERE c >= 2 GROUP BY l_orderkey")
+@register(f"WITH {LNS}, s AS (SELECT l_orderkey, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)), o AS (SELECT *, (ny-y)*0.5::DOUBLE/sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y)) AS dx, (x-nx)*0.5::DOUBLE/sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y)) AS dy FROM s WHERE nx <> x OR ny <> y) SELECT l_orderkey, CAST(2*count(*) AS BIGINT) AS n, round(sum(x + nx + 2*dx), 5) AS sx, round(sum(y + ny + 2*dy), 5) + 0.0::DOUBLE AS sy FROM o GROUP BY l_orderkey")
 def line_offset(spark, d):
     o = features.lines(spark, d).where(F.size(F.array_distinct("c")) > 1).select("l_orderkey", geometry.offset_line(F.col("c"), 0.5).alias("c"))
-    return o.select("l_orderkey", F.size("c").cast("bigint").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, p: a + p["x"]), 5).alias("sx"))
+    return o.select("l_orderkey", F.size("c").cast("bigint").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, p: a + p["x"]), 5).alias("sx"), (F.round(F.aggregate("c", F.lit(0.0), lambda a, p: a + p["y"]), 5) + F.lit(0.0)).alias("sy"))
 
 
 @register(f"WITH {RINGS} SELECT s_suppkey, CAST(9 AS BIGINT) AS n, round(w*h*7/8, 6) AS area FROM r")
@@ -125,10 +125,11 @@ def van_der_grinten_round_trip(spark, d):
     return features.points(spark, d).select("event_id", x.alias("vx"), y.alias("vy")).select("event_id", (F.round(a, 6) + F.lit(0.0)).alias("lon"), (F.round(b, 6) + F.lit(0.0)).alias("lat"))
 
 
-@register(f"WITH {BXS} SELECT p_partkey, round(6378137*radians(xmin), 3) + 0.0::DOUBLE AS x0, round(6378137*radians(xmax), 3) + 0.0::DOUBLE AS x1, round(6378137*ln(tan(pi()/4 + radians(ymin)/2)), 3) + 0.0::DOUBLE AS y0, round(6378137*ln(tan(pi()/4 + radians(ymax)/2)), 3) + 0.0::DOUBLE AS y1 FROM bxs WHERE ymin > -85 AND ymax < 85")
+@register(f"WITH {BXS} SELECT p_partkey, round(6378137*radians(xmin), 3) + 0.0::DOUBLE AS x0, round(6378137*radians(xmax), 3) + 0.0::DOUBLE AS x1, round(6378137*ln(tan(pi()/4 + radians(ymin)/2)), 3) + 0.0::DOUBLE AS y0, round(6378137*ln(tan(pi()/4 + radians(least(ymax, 89))/2)), 3) + 0.0::DOUBLE AS y1 FROM bxs")
 def bbox_transform(spark, d):
-    out = crs.transform_box(tuple(map(F.col, BOX)), 4326, 3857)
-    return features.boxes(spark, d).where("ymin > -85 and ymax < 85").select("p_partkey", *((F.round(v, 3) + F.lit(0.0)).alias(n) for v, n in zip(out, ("x0", "x1", "y0", "y1"), strict=True)))
+    """Boxes that reach the pole, where the projection has no value, are cut at 89 degrees."""
+    out = crs.transform_box(("xmin", "xmax", "ymin", F.least(F.col("ymax"), F.lit(89.0))), 4326, 3857)
+    return features.boxes(spark, d).select("p_partkey", *((F.round(v, 3) + F.lit(0.0)).alias(n) for v, n in zip(out, ("x0", "x1", "y0", "y1"), strict=True)))
 
 
 @register(f"WITH {RGB} SELECT p_partkey, round((CASE WHEN t = m THEN 0 WHEN t = r THEN CASE WHEN g < b THEN (g-b)/(t-m) + 6 ELSE (g-b)/(t-m) END WHEN t = g THEN (b-r)/(t-m) + 2 ELSE (r-g)/(t-m) + 4 END)/6, 6) AS h, round(CASE WHEN t = m THEN 0 WHEN (t+m)/2 > 0.5 THEN (t-m)/(2-t-m) ELSE (t-m)/(t+m) END, 6) AS s, round((t+m)/2, 6) AS l, round(r, 6) + 0.0::DOUBLE AS r, round(g, 6) + 0.0::DOUBLE AS g, round(b, 6) + 0.0::DOUBLE AS b FROM k")
@@ -141,13 +142,13 @@ def color_hsl(spark, d):
     return out.select("p_partkey", *(F.round(k, 6).alias(k) for k in "hsl"), *((F.round(v, 6) + F.lit(0.0)).alias(n) for v, n in zip(back, "rgb", strict=True)))
 
 
-@register(f"WITH {RGB} SELECT p_partkey, round(t, 6) AS v, round(CASE WHEN t = 0 THEN 0 ELSE (t-m)/t END, 6) AS s, round(r, 6) + 0.0::DOUBLE AS r, round(g, 6) + 0.0::DOUBLE AS g, round(b, 6) + 0.0::DOUBLE AS b FROM k")
+@register(f"WITH {RGB} SELECT p_partkey, round((CASE WHEN t = m THEN 0 WHEN t = r THEN CASE WHEN g < b THEN (g-b)/(t-m) + 6 ELSE (g-b)/(t-m) END WHEN t = g THEN (b-r)/(t-m) + 2 ELSE (r-g)/(t-m) + 4 END)/6, 6) AS h, round(t, 6) AS v, round(CASE WHEN t = 0 THEN 0 ELSE (t-m)/t END, 6) AS s, round(r, 6) + 0.0::DOUBLE AS r, round(g, 6) + 0.0::DOUBLE AS g, round(b, 6) + 0.0::DOUBLE AS b FROM k")
 def color_hsv(spark, d):
     """HSV and back."""
     h, s, v = color.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b"))
     out = _rgb(spark, d).select("p_partkey", h.alias("h"), s.alias("s"), v.alias("v"))
     back = color.hsv_to_rgb(F.col("h"), F.col("s"), F.col("v"))
-    return out.select("p_partkey", F.round("v", 6).alias("v"), F.round("s", 6).alias("s"), *((F.round(x, 6) + F.lit(0.0)).alias(n) for x, n in zip(back, "rgb", strict=True)))
+    return out.select("p_partkey", F.round("h", 6).alias("h"), F.round("v", 6).alias("v"), F.round("s", 6).alias("s"), *((F.round(x, 6) + F.lit(0.0)).alias(n) for x, n in zip(back, "rgb", strict=True)))
 
 
 @register("SELECT p_partkey, CAST(p_size*5 AS INTEGER) AS r, CAST(p_partkey % 256 AS INTEGER) AS g, 10 AS b, 255 AS a FROM part")
@@ -183,9 +184,9 @@ def graticule_lines(spark, d):
     return g.select(t["key"].alias("name"), t["value"].alias("value"), F.size(F.col("parts")[0]).cast("bigint").alias("n"), F.when(t["key"] == "Latitude", F.col("xmin")).otherwise(F.col("ymin")).alias("low"))
 
 
-@register(f"WITH {BXS} SELECT tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT printf('n%02dw%03d', CAST(ty+1 AS INTEGER), CAST(-tx AS INTEGER)) AS tile FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs WHERE xmax <= 0 AND ymin >= 0))) GROUP BY tile")
+@register(f"WITH {BXS} SELECT CASE WHEN tx < 0 AND ty >= 0 THEN printf('n%02dw%03d', CAST(ty+1 AS INTEGER), CAST(-tx AS INTEGER)) END AS tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs)) GROUP BY 1")
 def tile_names(spark, d):
-    return tiles.cover(features.boxes(spark, d).where("xmax <= 0 and ymin >= 0")).groupBy(tiles.usgs_name(F.col("tx"), F.col("ty")).alias("tile")).agg(F.count("*").alias("n"))
+    return tiles.cover(features.boxes(spark, d)).groupBy(tiles.usgs_name(F.col("tx"), F.col("ty")).alias("tile")).agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {PTS} SELECT event_id, round((lon+180)*(1000/CAST(360 AS DOUBLE)), 6) AS cx, round((lat+90)*(1000/CAST(360 AS DOUBLE)) + 250, 6) AS cy FROM pts")

@@ -64,7 +64,7 @@ def _escaped(text: Column) -> Column:
 
 
 def _drawn(m: Map, layer: Layer, sources: dict, no: int) -> DataFrame:
-    """(layer_no, feature_id, geom_type, parts, tags, box) in canvas units, y downwards, of the features that reach into the map."""
+    """(layer_no, feature_id, geom_type, parts, tags, box) in canvas units, y upwards as labels are placed, of the features that reach into the map."""
     if layer.source not in sources:
         raise KeyError(f"no source {layer.source}")
     df, srid = sources[layer.source]
@@ -73,7 +73,7 @@ def _drawn(m: Map, layer: Layer, sources: dict, no: int) -> DataFrame:
     df = df.where(F.lit(True) if layer.where is None else layer.where)
     x0, x1, y0, y1 = f.box
     df = df.where((F.col("xmax") >= x0) & (F.col("xmin") <= x1) & (F.col("ymax") >= y0) & (F.col("ymin") <= y1))
-    moved = F.transform("parts", lambda c: affine(c, f.scale_x, -f.scale_y, f.offset_x, m.height - f.offset_y))
+    moved = F.transform("parts", lambda c: affine(c, f.scale_x, f.scale_y, f.offset_x, f.offset_y))
     return finish(df.select("feature_id", "geom_type", moved.alias("parts"), "tags"), m.srid).withColumn("layer_no", F.lit(no))
 
 
@@ -83,7 +83,7 @@ def draw(m: Map, sources: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     d = m.decimals
     for no, layer in enumerate(m.layers):
         s, df = layer.style, _drawn(m, layer, sources, no)
-        path = F.array_join(F.transform("parts", lambda c: svg_path(c, d)), " ")
+        path = F.array_join(F.transform("parts", lambda c: svg_path(affine(c, 1.0, -1.0, 0.0, m.height), d)), " ")
         area = F.col("geom_type").isin("polygon", "multipolygon")
         shape = F.when(area, F.concat(F.lit('<path d="'), path, F.lit(f'" {attributes(s, "area")}/>'))).when(F.col("geom_type").isin("line", "multiline") & F.lit(bool(s.stroke)), F.concat(F.lit('<path d="'), path, F.lit(f'" {attributes(s, "line")}/>')))
         out.append(df.where(F.lit(bool(s.fill or s.stroke))).select("layer_no", F.lit(0).alias("part"), "feature_id", shape.alias("svg")).where("svg is not null"))
@@ -94,15 +94,15 @@ def draw(m: Map, sources: dict[str, tuple[DataFrame, int]]) -> DataFrame:
         if s.symbol_radius is not None:
             r = float(s.symbol_radius)
             box = F.array(F.struct((x - r).alias("x0"), (x + r).alias("x1"), (y - r).alias("y0"), (y + r).alias("y1")))
-            text = F.concat(F.lit("<circle "), F.format_string(f'cx="%.{d}f" cy="%.{d}f"', x, y), F.lit(f' r="{r:g}" {attributes(s, "symbol")}/>'))
+            text = F.concat(F.lit("<circle "), F.format_string(f'cx="%.{d}f" cy="%.{d}f"', x, m.height - y), F.lit(f' r="{r:g}" {attributes(s, "symbol")}/>'))
             offers.append(at.select("layer_no", F.lit(1).alias("part"), "feature_id", box.alias("boxes"), F.array(text).alias("texts")))
         if s.label_tag is not None:
             size = m.width * 0.003 if s.label_size is None else s.label_size
             name = F.get(F.filter("tags", lambda t: t["key"] == s.label_tag), F.lit(0))["value"]
             w, h = labels.text_size(name, size)
             boxes = labels.candidates(x, y, w, h, F.lit(0.3 * size), s.symbol_radius is not None)
-            head = F.concat(F.lit(f'" font-size="{size:g}" text-anchor="middle" fill="{s.label_color}">'), _escaped(name), F.lit("</text>"))
-            texts = F.transform(boxes, lambda b: F.concat(F.lit("<text "), F.format_string(f'x="%.{d}f" y="%.{d}f', (b["x0"] + b["x1"]) / 2, b["y1"]), head))
+            head = F.concat(F.lit(f'" dominant-baseline="central" font-size="{size:g}" text-anchor="middle" fill="{s.label_color}">'), _escaped(name), F.lit("</text>"))
+            texts = F.transform(boxes, lambda b: F.concat(F.lit("<text "), F.format_string(f'x="%.{d}f" y="%.{d}f', (b["x0"] + b["x1"]) / 2, m.height - (b["y0"] + h / 2)), head))
             offers.append(at.where(name.isNotNull() & (name != "")).select("layer_no", F.lit(2).alias("part"), "feature_id", boxes.alias("boxes"), texts.alias("texts")))
     if offers:
         every = offers[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoline.functions.geometry import area, contains
 from isoline.sources.features import POINTS, finish
 
 _GEOMETRY = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
@@ -58,11 +59,31 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return finish(each.select("feature_id", named.alias("geom_type"), "parts", _tags(F.col("properties")).alias("tags")))
 
 
+def _polygons(parts: Column) -> Column:
+    """Rings as polygons: each counter-clockwise ring with the clockwise ones that it is the smallest to hold; without a counter-clockwise ring, all are one polygon."""
+    outer, inner = F.filter(parts, lambda c: area(c) > 0), F.filter(parts, lambda c: area(c) <= 0)
+    holds = lambda o, i: contains(o, i[0]["x"], i[0]["y"]) | F.exists(o, lambda p: p == i[0])
+    smallest = lambda i: F.array_min(F.transform(F.filter(outer, lambda q: holds(q, i)), area))
+    several = F.transform(outer, lambda o: F.concat(F.array(o), F.filter(inner, lambda i: holds(o, i) & (area(o) == smallest(i)))))
+    return F.when(F.size(outer) == 1, F.array(F.concat(outer, inner))).when(F.size(outer) == 0, F.array(parts)).otherwise(several)
+
+
 def to_geojson(features: DataFrame) -> DataFrame:
-    """(value): one Feature a line, for write.text; the inverse of read_geojson with lines."""
+    """(value): one Feature a line, for write.text; the inverse of read_geojson with lines. A multipolygon with several outer rings is a MultiPolygon."""
     at = lambda p: F.array(p["x"], p["y"])
-    lines = F.transform("parts", lambda c: F.transform(c, at))
-    kind = F.element_at(F.create_map(*map(F.lit, ("point", "Point", "multipoint", "MultiPoint", "line", "LineString", "multiline", "MultiLineString", "polygon", "Polygon", "multipolygon", "Polygon"))), F.col("geom_type"))
-    coords = F.when(F.col("geom_type") == "point", F.to_json(lines[0][0])).when(F.col("geom_type") == "line", F.to_json(lines[0])).when(F.col("geom_type") == "multipoint", F.to_json(F.transform(lines, lambda c: c[0]))).otherwise(F.to_json(lines))
+    line = lambda c: F.transform(c, at)
+    lines = F.transform("parts", line)
+    polygons = _polygons(F.col("parts"))
+    many = (F.col("geom_type") == "multipolygon") & (F.size(polygons) > 1)
+    names = F.element_at(F.create_map(*map(F.lit, ("point", "Point", "multipoint", "MultiPoint", "line", "LineString", "multiline", "MultiLineString", "polygon", "Polygon", "multipolygon", "Polygon"))), F.col("geom_type"))
+    kind = F.when(many, F.lit("MultiPolygon")).otherwise(names)
+    coords = (
+        F.when(F.col("geom_type") == "point", F.to_json(lines[0][0]))
+        .when(F.col("geom_type") == "line", F.to_json(lines[0]))
+        .when(F.col("geom_type") == "multipoint", F.to_json(F.transform(lines, lambda c: c[0])))
+        .when(many, F.to_json(F.transform(polygons, lambda p: F.transform(p, line))))
+        .when(F.col("geom_type") == "multipolygon", F.to_json(F.transform(polygons[0], line)))
+        .otherwise(F.to_json(lines))
+    )
     first = F.aggregate("tags", F.expr("cast(map() as map<string,string>)"), lambda m, t: F.when(F.map_contains_key(m, t["key"]), m).otherwise(F.map_concat(m, F.create_map(t["key"], t["value"]))))
     return features.select(F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), kind, F.lit('","coordinates":'), coords, F.lit('},"properties":'), F.to_json(first), F.lit("}")).alias("value"))

@@ -19,8 +19,8 @@ def srtm_name(tx: Column, ty: Column) -> Column:
 
 
 def usgs_name(tx: Column, ty: Column) -> Column:
-    """By the upper left corner, for the north-western quarter of the globe: n43w070."""
-    return F.format_string("n%02dw%03d", ty + 1, -tx)
+    """By the upper left corner: n43w070. Null outside the north-western quarter of the globe, which the naming covers."""
+    return F.when((tx < 0) & (ty >= 0), F.format_string("n%02dw%03d", ty + 1, -tx))
 
 
 def available(tiles: DataFrame, catalogue: DataFrame, name: str) -> DataFrame:

@@ -104,7 +104,7 @@ def test_vectors(spark):
     )
     assert tuple(r.a) == pytest.approx((3.142857142857143, 2.4285714285714284)) and r.b is None and r.c is None
     assert r.d == pytest.approx(math.sqrt(5)) and r.e == 5 and r.f == pytest.approx(math.pi / 2) and math.isnan(r.g) and r.h == 6
-    assert tuple(r.i) == (4, 2) and tuple(r.j) == (2, 0) and xy(r.k) == [(0, -1), (5, 0), (5, 4)] and tuple(r.l) == (4, 0)
+    assert tuple(r.i) == (4, 2) and tuple(r.j) == (2, 0) and xy(r.k) == [(0, -1), (4, -1), (5, 0), (5, 4)] and tuple(r.l) == (4, 0)
 
 
 def test_world_projections(spark):
@@ -138,7 +138,7 @@ def test_colors(spark):
 
 
 def test_levels(spark):
-    assert L.identity(3) == [0, 0.5, 1] and L.midpoint(0.5, 3) == [0, 0.5, 1] and L.quantized(2, 5) == [0, 0, 1, 1, 1]
+    assert L.identity(3) == [0, 0.5, 1] and L.midpoint(0.5, 3) == [0, 0.5, 1] and L.quantized(2, 5) == [0, 0.5, 0.5, 1, 1]
     r = one(spark, *(L.apply(L.identity(256))(F.lit(v)).alias(n) for v, n in ((0.5, "a"), (-3.0, "b"), (2.0, "c"))))
     assert r.a == pytest.approx((256.5 * 0.5) / 255) and r.b == 0 and r.c == 1
 
