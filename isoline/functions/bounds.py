@@ -51,3 +51,46 @@ def resize_y(box: Box, height: Column | float) -> list[Column]:
 def extent() -> list[Column]:
     """Aggregates over the columns xmin, xmax, ymin, ymax; nulls are ignored."""
     return [F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax")]
+
+
+def of_points(p: Column, q: Column) -> list[Column]:
+    """The box of two corners, in any order."""
+    return [F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"]), F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])]
+
+
+def width(box: Box) -> Column:
+    return _c(box)[1] - _c(box)[0]
+
+
+def height(box: Box) -> Column:
+    return _c(box)[3] - _c(box)[2]
+
+
+def size(box: Box) -> Column:
+    """The longer side."""
+    return F.greatest(width(box), height(box))
+
+
+def center(box: Box) -> Column:
+    bx, bX, by, bY = _c(box)
+    return F.struct(((bx + bX) / 2).alias("x"), ((by + bY) / 2).alias("y"))
+
+
+def affine(box: Box, scale_x, scale_y, offset_x, offset_y) -> list[Column]:
+    """The box of the two moved corners."""
+    bx, bX, by, bY = _c(box)
+    at = lambda x, y: F.struct((x * scale_x + offset_x).alias("x"), (y * scale_y + offset_y).alias("y"))
+    return of_points(at(bx, bY), at(bX, by))
+
+
+def text(box: Box) -> Column:
+    """X: (xmin, xmax) Y: (ymin, ymax), whole numbers without decimals."""
+    n = [F.regexp_replace(v.cast("string"), r"\.0$", "") for v in _c(box)]
+    return F.concat(F.lit("X: ("), n[0], F.lit(", "), n[1], F.lit(") Y: ("), n[2], F.lit(", "), n[3], F.lit(")"))
+
+
+def ring(box: Box) -> Column:
+    """The box as a closed ring from its lower left corner by the upper left one."""
+    bx, bX, by, bY = _c(box)
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(at(bx, by), at(bx, bY), at(bX, bY), at(bX, by), at(bx, by))

@@ -92,6 +92,12 @@ def _van_der_grinten_back(x: Column, y: Column) -> tuple[Column, Column]:
 _WORLD = {VAN_DER_GRINTEN: (_van_der_grinten, _van_der_grinten_back), ROBINSON: (_robinson, _robinson_back)}
 
 
+def add_system(number: int, name: str, area: tuple, forward, back) -> None:
+    """Makes another system known: forward(lon, lat) and back(x, y) are column functions that give two columns."""
+    KNOWN[number] = (name, area)
+    _WORLD[number] = (forward, back)
+
+
 def transform_xy(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
     geographic = {4326, 4269}
     if source == target or {source, target} <= geographic:

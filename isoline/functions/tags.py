@@ -52,3 +52,8 @@ def overpass_ql(kind: str, filters: list[list[tuple]], bbox: tuple | None = None
     box = "" if bbox is None else "({:g},{:g},{:g},{:g})".format(bbox[2], bbox[0], bbox[3], bbox[1])
     body = f"{kind}{sets[0] if sets else ''}{box};" if len(sets) < 2 else f"{kind}(\n" + "".join(f"  {s}{box};\n" for s in sets) + "  );"
     return f"[out:xml]{f'[timeout:{timeout}]' if timeout else ''};\n{body}\nout body{f' {take}' if take else ''};"
+
+
+def contains_pair(tags: str, key: str, value: str) -> Column:
+    """The exact pair, also where the key comes again with another value."""
+    return F.exists(tags, lambda t: (t["key"] == key) & (t["value"] == value))

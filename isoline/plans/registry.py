@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isoline.functions import bounds as B
 from isoline.functions import color, crs, geometry, tags
 from isoline.operators import features, joins, raster
-from isoline.plans import grids, shapes  # noqa: F401  (they fill the register)
+from isoline.plans import files, grids, helpers, shapes  # noqa: F401  (they fill the register)
 from isoline.plans.collect import BOX, BXS, CELLS, LNS, PTS, QUERIES, STOPS, gradient_sql, register
 from isoline.sources import tiles
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isoline.functions.geometry import affine, svg_path
 from isoline.render import canvas, labels
+from isoline.render.png import TILE, image_tiles
 from isoline.sources.features import finish, get_data
 
 
@@ -77,6 +78,19 @@ def _drawn(m: Map, layer: Layer, sources: dict, no: int) -> DataFrame:
     return finish(df.select("feature_id", "geom_type", moved.alias("parts"), "tags"), m.srid).withColumn("layer_no", F.lit(no))
 
 
+def raster_layer(m: Map, cells: DataFrame, box: tuple, width: int, height: int, no: int, tile: int = TILE) -> DataFrame:
+    """(layer_no, part, feature_id, svg): a raster of channels r, g, b, a (already in the map's system and within box) as image tiles at their place on the canvas. Tiles outside the map are left out."""
+    f = canvas.fit(m.box, m.width, m.height, m.strategy)
+    sx, sy = (box[1] - box[0]) / width * f.scale_x, (box[3] - box[2]) / height * f.scale_y
+    x = F.lit(box[0] * f.scale_x + f.offset_x) + F.col("x") * sx
+    y = F.lit(m.height - (box[3] * f.scale_y + f.offset_y)) + F.col("y") * sy
+    w, h = F.col("width") * sx, F.col("height") * sy
+    t = image_tiles(cells, tile).where((x < m.width) & (x + w > 0) & (y < m.height) & (y + h > 0))
+    d = m.decimals
+    svg = F.concat(F.lit("<image "), F.format_string(f'x="%.{d}f" y="%.{d}f" width="%.{d}f" height="%.{d}f"', x, y, w, h), F.lit(' preserveAspectRatio="none" href="'), F.col("href"), F.lit('"/>'))
+    return t.select(F.lit(no).alias("layer_no"), F.lit(0).alias("part"), (F.col("y").cast("bigint") * width + F.col("x")).alias("feature_id"), svg.alias("svg"))
+
+
 def draw(m: Map, sources: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     """(layer_no, part, feature_id, svg): part 0 is geometry, 1 symbols, 2 labels. sources: name to (features, srid). Symbols and labels of all layers share one placement, layer by layer."""
     out, offers = [], []

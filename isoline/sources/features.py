@@ -52,3 +52,46 @@ def get_data(features: DataFrame, source: int = 4326, box_wgs84: tuple | None =
     if box_wgs84 is not None:
         features = in_box(features, tuple(transform_box(box_wgs84, 4326, source)))
     return features if target is None else reproject(features, target, source)
+
+
+#: What a kind's query also finds: a polygon is a closed line.
+KINDS = {"point": ("point",), "line": ("line", "polygon"), "polygon": ("polygon",), "shape": None}
+
+
+def of_type(features: DataFrame, kind: str) -> DataFrame:
+    """Features of a kind: point, line (polygons too), polygon, or shape for all."""
+    if kind not in KINDS:
+        raise ValueError(f"no kind {kind}")
+    return features if KINDS[kind] is None else features.where(F.col("geom_type").isin(*KINDS[kind]))
+
+
+def as_multi(features: DataFrame) -> DataFrame:
+    """Points, lines and polygons as multi-geometries of one member."""
+    return features.withColumn("geom_type", F.when(F.col("geom_type").isin("point", "line", "polygon"), F.concat(F.lit("multi"), F.col("geom_type"))).otherwise(F.col("geom_type")))
+
+
+def as_lines(features: DataFrame) -> DataFrame:
+    """Polygons as the lines around them; other kinds stay."""
+    return features.withColumn("geom_type", F.when(F.col("geom_type") == "polygon", "line").when(F.col("geom_type") == "multipolygon", "multiline").otherwise(F.col("geom_type")))
+
+
+def as_polygons(features: DataFrame) -> DataFrame:
+    """Closed lines of four vertices or more as polygons; other features stay."""
+    closed = F.forall("parts", lambda c: (F.size(c) >= 4) & is_closed(c))
+    return features.withColumn("geom_type", F.when((F.col("geom_type") == "line") & closed, "polygon").when((F.col("geom_type") == "multiline") & closed, "multipolygon").otherwise(F.col("geom_type")))
+
+
+def collect(features: DataFrame, key: str) -> DataFrame:
+    """(key, geom_type, parts): all features of a key and kind as one multi-geometry, in order of feature_id. A key's geometry is one row, as it is one value."""
+    base = F.regexp_replace("geom_type", "^multi", "")
+    found = features.groupBy(key, F.concat(F.lit("multi"), base).alias("geom_type")).agg(F.array_sort(F.collect_list(F.struct("feature_id", "parts"))).alias("v"))
+    return found.select(key, "geom_type", F.flatten(F.transform("v", lambda v: v["parts"])).alias("parts"))
+
+
+def map_points(features: DataFrame, f) -> DataFrame:
+    """f(x, y) -> (x, y) on every vertex; boxes follow."""
+    def moved(p: Column) -> Column:
+        x, y = f(p["x"], p["y"])
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    return finish(features.select("feature_id", "geom_type", F.transform("parts", lambda c: F.transform(c, moved)).alias("parts"), "tags"))

@@ -1,4 +1,4 @@
-"""Raster files as cells (raster_id, band, x, y, value): heights (.hgt), .npy, PGM/PPM and uncompressed TIFF in strips.
+"""Raster files as cells (raster_id, band, x, y, value): heights (.hgt), .npy, PGM/PPM, 8-bit PNG and uncompressed TIFF in strips.
 
 Files are read as binary by Spark, from any store; a file is one task's work and leaves it in blocks of rows. Everything else raises.
 """
@@ -36,6 +36,10 @@ def decode(name: str, data: bytes) -> np.ndarray:
         w, h, top = (int(v) for v in m.groups()[1:])
         bands = 3 if m[1] == b"P6" else 1
         return np.moveaxis(np.frombuffer(data, ">u2" if top > 255 else "u1", w * h * bands, m.end()).reshape(h, w, bands), 2, 0)
+    if kind == "png":
+        from isoline.render.png import decode as decode_png
+
+        return decode_png(data)
     if kind in ("tif", "tiff"):
         return _tiff(data)
     raise ValueError(f"raster files of kind {kind} are not supported")
