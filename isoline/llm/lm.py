@@ -1,9 +1,11 @@
 """Language-model scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
-Words are counted over all training documents. The most frequent words are units of their own, the others belong to tail units by their last bytes; the
-model predicts a unit from the two before it (element-wise context weights, numpy), and a word within its tail unit by its smoothed count. Every
-partition trains one pass over its tokens from the same start, and the parameters are averaged by tokens in Spark. For a model of this form the
-normaliser of every context pair is one matrix product, so all token log-probabilities are normalised and found by table lookups.
+Words are counted over all training documents. The most frequent words are units of their own, the others belong to tail units by their last bytes. The
+model predicts a unit from the two before it (element-wise context weights, numpy), and within a tail unit a member from the same context: each of the
+HEAD most frequent words is a member with a vector of its own, so members grow with the vocabulary up to that bound; all rarer words of a unit are one
+member, shared by their smoothed counts. Every partition trains one pass over its tokens from the same start, units against noise units and members against
+noise members of their unit, and the parameters are averaged in Spark, by tokens and by how often a partition met a member. For units the normaliser of every
+context pair is one matrix product; within a unit it is a sum over its members. So all token log-probabilities are normalised.
 
 The counts of the HEAD most frequent words are broadcast (a bounded table that takes the hot keys out of the join); all other words of a document are
 joined with the full count table by word, so no count is ever left out.
@@ -18,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,9 @@ from isoline.llm.common import batch, crc_remainder, rows_of, text_or_empty, wri
 
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
 HEAD, OWN_UNITS, TAIL_UNITS, DIM, NOISE, BATCH = 1 << 18, 1536, 512, 16, 32, 8192
-UNITS = OWN_UNITS + TAIL_UNITS
+UNITS, MEMBER_NOISE = OWN_UNITS + TAIL_UNITS, 4
+#: Bytes of texts that are scored at once, beside the number of texts.
+GROUP_CHARS = 1 << 22
 END = b" "  # no word holds a space
 _TABLES: dict = {}
 
@@ -36,6 +41,19 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def groups_of(batches, rows: int):
+    """Slices of at most `rows` texts and, but for single texts, GROUP_CHARS bytes."""
+    for b in rows_of(batches, rows):
+        at, held = 0, 0
+        for k, size in enumerate(pa.compute.binary_length(b.column(1)).to_pylist()):
+            if k > at and held + size > GROUP_CHARS:
+                yield b.slice(at, k - at)
+                at, held = k, 0
+            held += size
+        if b.num_rows > at:
+            yield b.slice(at)
+
+
 def tail_unit(word: bytes) -> int:
     return OWN_UNITS + zlib.crc32(word[-3:]) % TAIL_UNITS
 
@@ -46,7 +64,7 @@ def _count(batches):
         for text in b.column(0).to_pylist():
             counts.update(words_of(text))
         counts[END] += b.num_rows
-        if len(counts) > 400_000:
+        if len(counts) > 200_000:
             yield batch(schema, {"word": list(counts), "c": list(counts.values())})
             counts.clear()
     if counts:
@@ -58,6 +76,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, head: int) -> tuple[list[bytes], np.ndarray]:
+    """Words and counts of the most frequent words, most frequent first, at most `head` of them.
+
+    A histogram of counts (some hundred rows) gives the count from which there are no more than that, so nothing but those words leaves its place.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    room, least = head, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return [], np.zeros(0)
+    top = counts.where(step >= least).toArrow()
+    words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
+    order = sorted(range(len(words)), key=lambda k: (-c[k], words[k]))
+    return [words[k] for k in order], c[order]
+
+
 class Vocabulary:
     """Head words with their counts and units; for each tail unit the total and the number of its words."""
 
@@ -68,15 +106,34 @@ class Vocabulary:
         units = {w: i + 1 for i, w in enumerate(own)} | {END: 0}
         self.unit = np.array([units.get(w, -1) if w in units else tail_unit(w) for w in words], np.int64)
         self.c = counts
-        self.tail_log = np.log10(tail_n + tail_v + 1.0)
         mass = np.zeros(UNITS)
         np.add.at(mass, self.unit[self.unit < OWN_UNITS], counts[self.unit < OWN_UNITS])
         mass[OWN_UNITS:] = tail_n
         self.noise = (mass + 1) / (mass.sum() + UNITS)
-        base, inner = np.log10(counts + 1.0), np.zeros(len(words))
-        tail = self.unit >= OWN_UNITS
-        inner[tail] = base[tail] - self.tail_log[self.unit[tail] - OWN_UNITS]
-        self.head_base, self.head_inner = base - self.base_log, inner
+        self.head_base = np.log10(counts + 1.0) - self.base_log
+        # members of tail unit k: start[k] is all its rarer words, head words follow
+        tail = np.flatnonzero(self.unit >= OWN_UNITS)
+        tail = tail[np.argsort(self.unit[tail], kind="stable")]
+        k = self.unit[tail] - OWN_UNITS
+        held = np.bincount(k, minlength=TAIL_UNITS)
+        self.start = np.concatenate([[0], np.cumsum(held + 1)])
+        self.member = np.full(len(words), -1, np.int64)
+        self.member[tail] = self.start[k] + 1 + np.arange(len(tail)) - (np.cumsum(held) - held)[k]
+        rest = tail_n - np.bincount(k, counts[tail], TAIL_UNITS) + tail_v - held + 1.0
+        self.rest_log = np.log10(rest)
+        weight = np.empty(self.start[-1])
+        weight[self.start[:-1]] = rest
+        weight[self.member[tail]] = counts[tail] + 1
+        self.member_cdf = np.concatenate([[0.0], np.cumsum(weight)])
+        whole = np.repeat(self.member_cdf[self.start[1:]] - self.member_cdf[self.start[:-1]], held + 1)
+        self.member_log = np.log(weight / whole).astype(np.float32)
+
+    def members(self, i: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The member of each word with head index i and unit u; -1 for own units."""
+        m = np.where(u >= OWN_UNITS, self.start[np.maximum(u - OWN_UNITS, 0)], -1)
+        known = (i >= 0) & (m >= 0)
+        m[known] = self.member[i[known]]
+        return m
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(head index or -1, unit) of each word."""
@@ -92,19 +149,55 @@ class LogBilinear:
 
     NAMES = ("r", "q", "c", "b")
 
-    def __init__(self, noise: np.ndarray, seed: int = 11):
+    def __init__(self, noise: np.ndarray, seed: int = 11, member_log: np.ndarray = np.zeros(0, np.float32)):
         rng = np.random.default_rng(seed)
         self.r = rng.normal(0, 0.1, (UNITS, DIM)).astype(np.float32)
         self.q = rng.normal(0, 0.1, (UNITS, DIM)).astype(np.float32)
         self.c = np.ones((2, DIM), np.float32)
         self.b = np.log(noise).astype(np.float32)[:, None]
         self.log_noise, self.cdf = np.log(NOISE * noise).astype(np.float32), np.cumsum(noise)
-
-    def train(self, chunks, rate: float = 0.08, seed: int = 5) -> int:
-        """One pass of noise-contrastive estimation over chunks (w, w1, w2) of equal-length arrays, noise shared within a chunk; the number of tokens."""
+        #: vector and, last, bias of each member, predicted within its unit
+        self.z = np.zeros((len(member_log), DIM + 1), np.float32)
+        self.z[:, DIM] = member_log
+
+    def train_members(self, sums: np.ndarray, met: np.ndarray, vocabulary: Vocabulary, u: np.ndarray, m: np.ndarray, p: np.ndarray, rng, rate: float) -> None:
+        """One step for tokens with tail unit u, member m and context vector p, against noise members of the same unit."""
+        lo, hi = vocabulary.member_cdf[vocabulary.start[u - OWN_UNITS]], vocabulary.member_cdf[vocabulary.start[u - OWN_UNITS + 1]]
+        at = lo[:, None] + rng.random((len(u), MEMBER_NOISE)) * (hi - lo)[:, None]
+        noise = np.clip(np.searchsorted(vocabulary.member_cdf, at, side="right") - 1, vocabulary.start[u - OWN_UNITS, None], vocabulary.start[u - OWN_UNITS + 1, None] - 1)
+        every = np.concatenate([m[:, None], noise], axis=1)
+        x = np.concatenate([p, np.ones((len(p), 1), np.float32)], axis=1)
+        s = np.einsum("nkd,nd->nk", self.z[every], x) - (vocabulary.member_log[every] + np.float32(np.log(MEMBER_NOISE)))
+        g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        g[:, 0] -= 1
+        flat = every.ravel()
+        order = np.argsort(flat, kind="stable")
+        who, first = np.unique(flat[order], return_index=True)
+        d = np.add.reduceat((g.astype(np.float32)[:, :, None] * x[:, None, :]).reshape(-1, DIM + 1)[order], first, axis=0)
+        sums[who] += d * d
+        self.z[who] -= np.float32(rate) * d / np.sqrt(sums[who])
+        np.add.at(met, who, np.diff(np.append(first, len(flat))))
+
+    def member_logs(self, vocabulary: Vocabulary, u: np.ndarray, m: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        """log p(member | unit, context) of tokens with tail units, normalised over the unit's members."""
+        out, order = np.empty(len(u)), np.argsort(u, kind="stable")
+        cuts = np.flatnonzero(np.diff(u[order])) + 1
+        x = np.concatenate([self.c[0] * self.r[w1] + self.c[1] * self.r[w2], np.ones((len(u), 1), np.float32)], axis=1)
+        for part in np.split(order, cuts) if len(u) else ():
+            a, b = vocabulary.start[u[part[0]] - OWN_UNITS], vocabulary.start[u[part[0]] - OWN_UNITS + 1]
+            for at in range(0, len(part), max(1, (1 << 20) // (b - a))):  # scores held at once
+                some = part[at : at + max(1, (1 << 20) // (b - a))]
+                s = x[some] @ self.z[a:b].T
+                top = s.max(axis=1)
+                out[some] = s[np.arange(len(some)), m[some] - a] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+        return out
+
+    def train(self, chunks, rate: float = 0.08, seed: int = 5, vocabulary: Vocabulary | None = None) -> tuple[int, np.ndarray]:
+        """One pass of noise-contrastive estimation over chunks (w, w1, w2, member) of equal-length arrays, noise units shared within a chunk; the number of tokens, and how often each member was met."""
         rng, total = np.random.default_rng(seed), 0
+        member_sums, met = np.full_like(self.z, 1.0), np.zeros(len(self.z), np.int64)
         sums = {n: np.full_like(getattr(self, n), 1e-2) for n in self.NAMES}
-        for w, w1, w2 in chunks:
+        for w, w1, w2, member in chunks:
             total += len(w)
             noise = np.minimum(np.searchsorted(self.cdf, rng.random(NOISE)), UNITS - 1)
             r1, r2, qw, qn = self.r[w1], self.r[w2], self.q[w], self.q[noise]
@@ -121,7 +214,10 @@ class LogBilinear:
                 d = grad[n] / np.float32(len(w) ** 0.5)
                 sums[n] += d * d
                 getattr(self, n).__isub__(rate * d / np.sqrt(sums[n]))
-        return total
+            tail = np.flatnonzero(member >= 0)
+            if len(tail):
+                self.train_members(member_sums, met, vocabulary, w[tail], member[tail], p[tail], rng, 2 * rate)
+        return total, met
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, second, normaliser): log p(w | w1, w2) = first[w1, w] + second[w2, w] - normaliser[w1, w2]."""
@@ -155,36 +251,49 @@ def _train(vocabulary, start: LogBilinear):
             held, n = [], 0
             for b in rows_of(batches, 64):
                 for text in b.column(0).to_pylist():
-                    _, u = voc.units(words_of(text))
+                    i, u = voc.units(words_of(text))
                     u = np.append(u, 0)
-                    held.append((u, *_contexts(u, np.array([len(u)]))))
+                    held.append((u, *_contexts(u, np.array([len(u)])), np.append(voc.members(i, u[:-1]), -1)))
                     n += len(u)
                 if n >= BATCH:
-                    w, w1, w2 = (np.concatenate(x) for x in zip(*held, strict=True))
-                    whole = len(w) // BATCH * BATCH
+                    every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    whole = n // BATCH * BATCH
                     for at in range(0, whole, BATCH):
-                        yield w[at : at + BATCH], w1[at : at + BATCH], w2[at : at + BATCH]
-                    held, n = [(w[whole:], w1[whole:], w2[whole:])], len(w) - whole
+                        yield tuple(x[at : at + BATCH] for x in every)
+                    held, n = [tuple(x[whole:] for x in every)], n - whole
             if n:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
-        tokens = model.train(chunks())
+        tokens, met = model.train(chunks(), vocabulary=voc)
+        for at in range(0, len(met), 1 << 16):  # members in short rows of their own
+            who = at + np.flatnonzero(met[at : at + (1 << 16)])
+            if len(who):
+                values = pa.array((model.z[who] * met[who, None]).ravel(), pa.float32())
+                x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, DIM + 1), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([pa.array([None] * len(who), pa.string()), pa.array(who, pa.int32()), pa.array(met[who].astype(np.float64)), x], names=_PARTS)
         if tokens:
             flat = [(f"{n}{i:05d}", (row * np.float64(tokens)).tolist()) for n in model.NAMES for i, row in enumerate(getattr(model, n))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in flat]), pa.array([float(tokens)] * len(flat)), pa.array([v for _, v in flat], pa.list_(pa.float64()))], names=["name", "tokens", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in flat]), pa.array([None] * len(flat), pa.int32()), pa.array([float(tokens)] * len(flat)), pa.array([v for _, v in flat], pa.list_(pa.float32()))], names=_PARTS)
 
     return run
 
 
 def _average(parts: DataFrame, model: LogBilinear) -> LogBilinear:
-    """Token-weighted mean of the partitions' parameters; 2 * UNITS + UNITS + 2 rows reach the driver, however many partitions there are."""
-    sums = [F.sum(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(DIM)]
-    for r in parts.groupBy("name").agg(F.sum("tokens").alias("tokens"), *sums).collect():
-        target = getattr(model, r["name"][0])
-        target[int(r["name"][1:])] = [r[f"x{k}"] / r["tokens"] for k in range(target.shape[1])]
+    """Weighted mean of the partitions' parameters; 3 * UNITS + 2 rows and one for each member (HEAD + TAIL_UNITS at most) reach the driver, however many partitions there are."""
+    sums = [F.sum(F.get("x", F.lit(k)).cast("double")).alias(f"x{k}") for k in range(DIM + 1)]
+    found = parts.groupBy("name", "member").agg(F.sum("tokens").alias("tokens"), *sums).toArrow()
+    names, members, tokens = found.column("name").to_pylist(), found.column("member").to_pylist(), found.column("tokens").to_numpy()
+    x = np.stack([found.column(f"x{k}").to_numpy(zero_copy_only=False) for k in range(DIM + 1)], axis=1) / np.maximum(tokens, 1e-300)[:, None]
+    who = np.array([k for k, n in enumerate(names) if n is None], np.int64)
+    model.z[np.array([members[k] for k in who], np.int64)] = x[who]
+    for k, name in enumerate(names):
+        if name is not None:
+            target = getattr(model, name[0])
+            target[int(name[1:])] = x[k, : target.shape[1]]
     return model
 
 
+_PARTS = ["name", "member", "tokens", "x"]
 _ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("tail_log", pa.float64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
@@ -198,24 +307,32 @@ def _score(vocabulary, model: LogBilinear, key: str):
             _TABLES[key] = model.tables()
         first, second, norm = _TABLES[key]
         uid = TaskContext.get().partitionId() << 40
-        for b in rows_of(batches, 64):
-            out = {f.name: [] for f in _ROWS}
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in groups_of(batches, 128):
+            out, cut = {f.name: [] for f in _ROWS}, []
+            for text in b.column(1).to_pylist():
                 words = words_of(text)
                 words.append(END)
                 i, u = voc.units(words)
                 u[-1] = 0
-                w1, w2 = _contexts(u, np.array([len(u)]))
+                cut.append((words, i, u, *_contexts(u, np.array([len(u)]))))
+            # members of all these texts at once, so that each unit is met once
+            ends = np.cumsum([len(c[0]) for c in cut])
+            i, u, w1, w2 = (np.concatenate([c[k] for c in cut]) for k in (1, 2, 3, 4))
+            tail = np.flatnonzero(u >= OWN_UNITS)
+            inner = np.zeros(len(u))
+            inner[tail] = model.member_logs(voc, u[tail], voc.members(i, u)[tail], w1[tail], w2[tail])
+            inner = np.add.reduceat(inner, ends - [len(c[0]) for c in cut])
+            for doc_id, within, (words, i, u, w1, w2) in zip(b.column(0).to_pylist(), inner.tolist(), cut, strict=True):
                 known = i >= 0
                 at = i[known]
-                logs = float((first[w1, u] + second[w2, u] - norm[w1, w2]).sum(dtype=np.float64)) / np.log(10)
+                logs = (float((first[w1, u] + second[w2, u] - norm[w1, w2]).sum(dtype=np.float64)) + within) / np.log(10)
                 others = Counter(words[k] for k in np.flatnonzero(~known))
                 others.pop(END, None)
                 base = float(voc.head_base[at].sum()) if len(at) else 0.0
                 if not known[-1]:
                     base -= voc.base_log  # no training document: END itself is unknown
-                rows = [(uid, doc_id, END + uid.to_bytes(8, "big"), 0, 0.0, len(words), int((voc.c[at] > 0).sum()) if len(at) else 0, base, logs + (float(voc.head_inner[at].sum()) if len(at) else 0.0))]
-                rows += [(uid, doc_id, w, tf, float(voc.tail_log[tail_unit(w) - OWN_UNITS]), 0, 0, 0.0, 0.0) for w, tf in others.items()]
+                rows = [(uid, doc_id, END + uid.to_bytes(8, "big"), 0, 0.0, len(words), int((voc.c[at] > 0).sum()) if len(at) else 0, base, logs)]
+                rows += [(uid, doc_id, w, tf, float(voc.rest_log[tail_unit(w) - OWN_UNITS]), 0, 0, 0.0, 0.0) for w, tf in others.items()]
                 for k, column in zip(out, zip(*rows, strict=True), strict=True):
                     out[k] += column
                 uid += 1
@@ -236,8 +353,7 @@ def score_texts(docs: DataFrame, *, head: int = HEAD, id_col: str = "doc_id", te
     train = texts.where(crc_remainder("doc_id", HELD_OUT_MODULUS) != HELD_OUT).select("text")
     counts = written(word_counts(train), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()  # a bounded table
-    words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
+    words, c = frequent(counts, head)
     own = spark.createDataFrame([(w,) for w in [x for x in words if x != END][: OWN_UNITS - 1]] + [(END,)], "word binary")
     last = F.expr("case when octet_length(word) <= 3 then word else substring(word, octet_length(word) - 2, 3) end")
     tail_n, tail_v = np.zeros(TAIL_UNITS), np.zeros(TAIL_UNITS)
@@ -245,8 +361,8 @@ def score_texts(docs: DataFrame, *, head: int = HEAD, id_col: str = "doc_id", te
         tail_n[r["k"]], tail_v[r["k"]] = r["n"], r["v"]
     vocabulary = Vocabulary(words, c, n, v, tail_n, tail_v)
     sent = spark.sparkContext.broadcast(vocabulary)
-    model = LogBilinear(vocabulary.noise)
-    model = _average(train.mapInArrow(_train(sent, model), "name string, tokens double, x array<double>"), model)
+    model = LogBilinear(vocabulary.noise, member_log=vocabulary.member_log)
+    model = _average(train.mapInArrow(_train(sent, model), "name string, member int, tokens double, x array<float>"), model)
     rows = texts.mapInArrow(_score(sent, model, uuid.uuid4().hex), "uid bigint, doc_id bigint, word binary, tf bigint, tail_log double, n_tokens bigint, n_known bigint, base double, score double")
     joined = rows.join(counts.select("word", "c"), "word", "left").select("uid", "doc_id", "n_tokens", "n_known", "tf", "base", "score", "tail_log", F.coalesce("c", F.lit(0)).alias("c"))
     log_c = F.log10(F.col("c") + 1.0)

@@ -287,3 +287,68 @@ def test_pipeline(spark):
         after = stage(spark, docs, "/root/testdata/sf0.001")
         assert after.columns == docs.columns and 0 < after.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("sequence_id").distinct().count() > 0
+
+
+def test_lm_score_is_the_models(spark):
+    """Each text's score against a softmax over all units, members and shared words by hand; all words of a context sum to one."""
+    rng = np.random.default_rng(6)
+    vocab = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ak", "on", "uri", "est", "ing", "o")] + [f"rare{k}" for k in range(40)]
+    p = 1 / np.arange(1, len(vocab) + 1)
+    texts = [" ".join(vocab[k] for k in rng.choice(len(vocab), rng.integers(1, 30), p=p / p.sum())) for _ in range(300)]
+    counts: dict = {}
+    for t in texts:
+        for w in [*t.encode().split(), lm.END]:
+            counts[w] = counts.get(w, 0) + 1
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    old, lm.OWN_UNITS, lm.UNITS = lm.OWN_UNITS, 20, 20 + lm.TAIL_UNITS
+    try:
+        head = ranked[:60]
+        own = [w for w in head if w != lm.END][:19] + [lm.END]
+        tail_n, tail_v = np.zeros(lm.TAIL_UNITS), np.zeros(lm.TAIL_UNITS)
+        for w, c in counts.items():
+            if w not in own:
+                tail_n[lm.tail_unit(w) - 20] += c
+                tail_v[lm.tail_unit(w) - 20] += 1
+        voc = lm.Vocabulary(head, np.array([counts[w] for w in head], float), sum(counts.values()), len(counts), tail_n, tail_v)
+        model = lm.LogBilinear(voc.noise, member_log=voc.member_log)
+
+        def chunk():
+            for t in texts:
+                i, u = voc.units(t.encode().split())
+                u = np.append(u, 0)
+                yield (u, *lm._contexts(u, np.array([len(u)])), np.append(voc.members(i, u[:-1]), -1))
+
+        tokens, met = model.train(chunk(), vocabulary=voc)
+        assert tokens == sum(counts.values()) and met.sum() > 0
+        first, second, norm = model.tables()
+        h = model.c[0] * model.r[3] + model.c[1] * model.r[7]
+        units = np.exp(h @ model.q.T + model.b[:, 0])
+        units /= units.sum()
+        assert np.exp(first[3] + second[7] - norm[3, 7]) == pytest.approx(units, rel=1e-3)
+        total = 0.0
+        for w in [*ranked, b"never-met"]:
+            i, u = voc.units([w])
+            if w == lm.END:
+                u[0] = 0
+            q = units[u[0]]
+            m = voc.members(i, u)
+            if m[0] >= 0:
+                a, b = voc.start[u[0] - 20], voc.start[u[0] - 19]
+                s = np.exp(model.z[a:b, :-1] @ h + model.z[a:b, -1])
+                assert model.member_logs(voc, u, m, np.array([3]), np.array([7]))[0] == pytest.approx(np.log(s[m[0] - a] / s.sum()), abs=1e-4)
+                q *= s[m[0] - a] / s.sum()
+                if i[0] < 0:
+                    q *= (counts.get(w, 0) + 1) / 10 ** voc.rest_log[u[0] - 20]
+            total += q
+        # what is missing are the shares of one unknown word in each other unit
+        assert 0.5 < total < 1
+    finally:
+        lm.OWN_UNITS, lm.UNITS = old, old + lm.TAIL_UNITS
+
+
+def test_frequent_words(spark):
+    rows = [(f"w{k}".encode(), 1 + 5000 // (k + 1)) for k in range(3000)]
+    words, c = lm.frequent(spark.createDataFrame(rows, "word binary, c bigint"), 100)
+    best = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert 50 <= len(words) <= 100 and list(zip(words, c)) == best[: len(words)]
+    assert lm.frequent(spark.createDataFrame(rows[:0], "word binary, c bigint"), 100)[0] == []
