@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids over product-quantised residuals.
 
-Centroids and codebooks are fitted on a bounded sample; every vector is indexed. A query visits the lists whose centroids have the largest inner
+Centroids and codebooks are fitted on a bounded sample; every vector is indexed. There are about as many lists as the square root of the number of vectors:
+beyond COARSE of them, a list is a coarse centroid plus one of a set of finer ones for what is left of a vector. A query visits the lists whose centroids have the largest inner
 product with it; there asymmetric distance tables (one lookup for each sub-space) rank the codes, and the best are ranked again by the exact inner
 product in double precision. Equal vectors are one entry that carries its smallest identifiers, which is all that a top k can need of them.
 """
@@ -16,6 +17,8 @@ from isoline.llm.common import rows_of, written
 
 #: Rows that centroids and codebooks are fitted on at most; rows of a list (and queries) that one task holds at once.
 SAMPLE_ROWS, BLOCK_ROWS, BLOCK_QUERIES, SUBSPACES, CODEWORDS = 20_000, 8_192, 2_048, 16, 256
+#: Coarse centroids, and finer ones, at most: 262,144 lists, the square root of 7e10 vectors. Scores that a query batch holds at once.
+COARSE, FINE, HELD_SCORES = 2_048, 128, 1 << 22
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -41,9 +44,12 @@ class IvfPq:
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES):
         x = sample.astype(np.float32)
         self.dim = x.shape[1]
-        self.centroids = kmeans(x, lists)
-        rest = x - self.centroids[nearest(x, self.centroids)]
-        self.sample, self.sample_list = x, nearest(x, self.centroids)
+        self.coarse, self.fine = kmeans(x, min(lists, COARSE)), np.zeros((1, x.shape[1]), np.float32)
+        if lists > COARSE:
+            self.fine = kmeans(x - self.coarse[nearest(x, self.coarse)], min(FINE, -(-lists // COARSE)), 6)
+        self.centroids = (self.coarse[:, None] + self.fine[None]).reshape(-1, self.dim)
+        self.sample, self.sample_list = x, self.assign(x)
+        rest = x - self.centroids[self.sample_list]
         self.cuts = [p for p in np.array_split(np.arange(self.dim), min(subspaces, self.dim))]
         self.books = [kmeans(np.ascontiguousarray(rest[:, p]), CODEWORDS, 6) for p in self.cuts]
         # how far a coded inner product may be off, for all but a thousandth of pairs
@@ -51,6 +57,11 @@ class IvfPq:
         some = np.linspace(0, len(x) - 1, min(256, len(x))).astype(int)
         self.slack = float(np.quantile(np.abs(x[some] @ (rest - coded).T), 0.999)) if len(x) else 0.0
 
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector: its nearest coarse centroid, then the nearest finer one of what is left."""
+        own = nearest(x, self.coarse)
+        return own if len(self.fine) == 1 else own * len(self.fine) + nearest(x - self.coarse[own], self.fine)
+
     def probes(self, k: int, target: float, asked: int = 256) -> int:
         """Lists to visit so that, in the sample, the share `target` of the k nearest lies in them: few on clustered data, many on data without structure."""
         q = self.sample[np.linspace(0, len(self.sample) - 1, min(asked, len(self.sample))).astype(int)]
@@ -60,7 +71,7 @@ class IvfPq:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x.astype(np.float32)
-        own = nearest(x, self.centroids)
+        own = self.assign(x)
         rest = x - self.centroids[own]
         return own, np.stack([nearest(np.ascontiguousarray(rest[:, p]), b).astype(np.uint8) for p, b in zip(self.cuts, self.books, strict=True)], axis=1)
 
@@ -93,7 +104,7 @@ def _visit(model: IvfPq, sizes: np.ndarray, probes: int, least: int, k: int):
     sample's vectors in those lists. What scores less is not among the k best found, so it need not be sent on."""
 
     def run(batches):
-        for b in rows_of(batches, 256):
+        for b in rows_of(batches, max(1, min(256, HELD_SCORES // max(len(model.centroids), len(model.sample))))):
             if not b.num_rows:
                 continue
             q = _vectors(b.column(1)).astype(np.float32)
@@ -151,20 +162,23 @@ def _scan(model: IvfPq, k: int, rerank: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, lists: int | None = None, target_recall: float = 0.96, rerank: int | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, lists: int | None = None, target_recall: float = 0.97, rerank: int | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per query and neighbour: query_id, rank (from 1), vec_id, score (exact inner product), nearest first, ties to the smaller vec_id.
 
     queries are rows with the same two columns; a query's own id is no neighbour of it. Fewer candidates than k give them all. Vectors that are null,
     zero, hold null or non-finite components, or have another length than most, take no part, nor do rows with null ids; repeated rows count once. Empty
     tables give no rows. Other columns are not read.
 
-    lists: coarse centroids (default: the square root of the number of different vectors, 2048 at most). target_recall: the recall at k that the number of
+    Components of doubles are kept and scored as doubles, others as floats.
+
+    lists: centroids (default: the square root of the number of different vectors, COARSE * FINE at most). target_recall: the recall at k that the number of
     visited lists is set for, measured on the sample that the centroids are fitted on. rerank: codes of a list that are ranked exactly (default 3k).
     """
     spark = vectors.sparkSession
+    kind = "array<double>" if dict(vectors.dtypes)[vector_col] == "array<double>" else "array<float>"
 
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col).cast("array<float>")
+        v = F.col(vector_col).cast(kind)
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
         return df.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
 
@@ -177,16 +191,18 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, l
     some_ids = usable(vectors).where(of_size).distinct().withColumn("place", F.row_number().over(by_value)).where(F.col("place") <= k + 1)  # limited before the shuffle too
     entries = written(some_ids.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids", "v"), "distinct-vectors")
     different = entries.count()
-    lists = max(1, min(2048, lists or round(different**0.5), different))
-    sample = entries.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(sample_rows).select("v").toArrow()
+    lists = max(1, min(COARSE * FINE, lists or round(different**0.5), different))
+    # the sample is drawn where the vectors lie: a share of them by hash, a tenth more than needed, and the surplus goes on the driver
+    share = F.pmod(F.xxhash64("v"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.1 * (sample_rows + 100) / max(different, 1)))
+    sample = entries.where(share).select(F.xxhash64("v").alias("h"), F.col("ids")[0].alias("i"), "v").toArrow().sort_by([("h", "ascending"), ("i", "ascending")]).slice(0, sample_rows)
     model = IvfPq(_vectors(sample.column("v").combine_chunks()), lists)
     lists = len(model.centroids)
-    index = written(entries.mapInArrow(_index(model), "list_id int, ids array<bigint>, v array<float>, code binary"), "ivf-pq")
+    index = written(entries.mapInArrow(_index(model), f"list_id int, ids array<bigint>, v {kind}, code binary"), "ivf-pq")
     sizes = np.zeros(lists, np.int64)
     for r in index.groupBy("list_id").count().collect():  # a row for each list
         sizes[r["list_id"]] = r["count"]
     probes = model.probes(k, target_recall)
-    visits = written(usable(queries).where(of_size).distinct().select("id", "v").mapInArrow(_visit(model, sizes, probes, 4 * (k + 1), k), "list_id int, query_id bigint, q array<float>, floor double"), "ivf-visits")
+    visits = written(usable(queries).where(of_size).distinct().select("id", "v").mapInArrow(_visit(model, sizes, probes, 4 * (k + 1), k), f"list_id int, query_id bigint, q {kind}, floor double"), "ivf-visits")
     asked = {r["list_id"]: r["count"] for r in visits.groupBy("list_id").count().collect()}
     # a list or its queries may be of any size: both are cut into blocks, and each block of entries meets each block of queries
     plan = spark.createDataFrame([(i, int(-(-sizes[i] // BLOCK_ROWS)) or 1, -(-n // BLOCK_QUERIES)) for i, n in asked.items()], "list_id int, v_blocks int, q_blocks int")

@@ -352,3 +352,94 @@ def test_frequent_words(spark):
     best = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert 50 <= len(words) <= 100 and list(zip(words, c)) == best[: len(words)]
     assert lm.frequent(spark.createDataFrame(rows[:0], "word binary, c bigint"), 100)[0] == []
+
+
+def _recall(spark, x, k, **options):
+    """Recall at k of every twentieth vector against brute force, in double precision."""
+    d = spark.createDataFrame([(i, v.tolist(), i % 3, "x") for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, list_id int, score string")  # the last two clash
+    got: dict = {}
+    for r in ann.nearest_neighbours(d, d.where("vec_id % 20 = 0"), k=k, **options).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.argpartition(-s, k)[:k].tolist())
+        hit += len(best & set(got[q]))
+        assert all(v == pytest.approx(s[i], abs=1e-12) for i, v in got[q].items())  # doubles are not cut to floats
+    return hit / (k * len(range(0, len(x), 20)))
+
+
+def test_neighbours_at_the_default_recall(spark):
+    rng = np.random.default_rng(12)
+    flat = rng.normal(size=(3000, 16))
+    clustered = rng.normal(size=(60, 16))[rng.integers(0, 60, 3000)] * 3 + rng.normal(size=(3000, 16)) * 0.3
+    assert _recall(spark, flat, 20) >= 0.95 and _recall(spark, clustered, 20) >= 0.95
+
+
+def test_neighbours_of_two_levels(spark, monkeypatch):
+    """More lists than coarse centroids."""
+    monkeypatch.setattr(ann, "COARSE", 8)
+    x = np.random.default_rng(13).normal(size=(2000, 12))
+    m = ann.IvfPq(x, 45)
+    assert len(m.centroids) == 8 * 6 and (m.assign(x.astype(np.float32)) < 48).all()
+    own, codes = m.encode(x)
+    assert codes.shape == (2000, 12) and (own == m.assign(x.astype(np.float32))).all()
+    assert _recall(spark, x, 10) >= 0.95
+
+
+def test_warc_is_read_in_parallel(spark):
+    """Sixteen bundles under adaptive execution: at least as many tasks."""
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id") % 350).alias("html"), F.lit("x").alias("digest"), F.lit(1).alias("bundle")).repartition(16)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    found = warc.read_bundles(spark, warc.write_bundles(pages))
+    assert found.rdd.getNumPartitions() >= 16
+    assert found.count() == 400 and found.where("record_type = 'revisit'").count() == 50
+
+
+def test_token_cache_meets_only_misses(spark, tmp_path):
+    """Copies that share an id or have none are encoded once, and a later call encodes new texts only."""
+    cache = f"file://{tmp_path}/cache"
+    rows = [(1, "same text"), (1, "same text"), (None, "same text"), (None, "other"), (2, "third")]
+    make = lambda r: spark.createDataFrame(r, "doc_id bigint, text string")
+    token_counts.token_counts(make(rows), BYTE, cache_path=cache).count()
+    part = f"{cache}/tokenizer_digest={token_counts.tokenizer_digest(BYTE)}"
+    assert spark.read.parquet(part).count() == 3
+    got = token_counts.token_counts(make([*rows, (3, "fourth")]), BYTE, cache_path=cache)
+    assert got.count() == 6 and spark.read.parquet(part).count() == 4
+    token_counts.compact_cache(spark, cache, f"{cache}-2", BYTE)
+    assert token_counts.cached_counts(spark, f"{cache}-2", BYTE).count() == 4 and token_counts.cached_counts(spark, cache, WORD) is None
+
+
+def test_hot_keys(spark):
+    """A key with most rows is joined by a broadcast, and nothing is lost or doubled."""
+    from isoline.llm.common import join_keys
+
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    got = join_keys(left, right, "k", "n")
+    assert got.count() == 3000 and got.where("k = 7 and n = 2000").count() == 2000 and got.select("id").distinct().count() == 3000
+
+
+def test_near_duplicate_recall(spark):
+    """Planted pairs of similarity 0.80 to 0.85 on five words: every one that brute force finds is found."""
+    rng, rows = np.random.default_rng(21), []
+    for k in range(400):
+        w = [f"d{k}w{j}" for j in range(int(rng.integers(80, 200)))]
+        v = list(w)
+        cut = max(1, int(len(w) * rng.uniform(0.015, 0.025)))
+        for j in rng.choice(len(v), cut, replace=False):
+            v[j] = f"x{k}y{j}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    near = {k for k in range(400) if 100 * len(sets[2 * k] & sets[2 * k + 1]) >= 80 * len(sets[2 * k] | sets[2 * k + 1])}
+    assert 100 < len(near) < 400
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k for k in range(400) if got[2 * k] == got[2 * k + 1]} == near
+
+
+def test_mixed_buckets_in_blocks(spark, monkeypatch):
+    """Buckets that a star does not settle, cut into blocks, give the same groups."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(near_dup, "PAIRS_A_TEXT", 3)
+    test_near_duplicates_of_one_base(spark)
