@@ -1,4 +1,8 @@
-"""Spatial joins as equi joins on grid cells. A pair is kept only in the cell that holds the lower left corner of the common box, so no distinct is needed."""
+"""Spatial joins as equi joins on grid cells. A pair is kept only in the cell that holds the lower left corner of the common box, so no distinct is needed.
+
+Boxes of any size are allowed: a box lies on the level whose cells (each level's are four times as wide as the last's) are at least half as wide as it, so it
+reaches into nine cells of a level at most. Two boxes meet on the coarser of their levels.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +11,65 @@ from pyspark.sql import functions as F
 
 from isoline.functions.bounds import intersects
 
+STEP, REACH = 4.0, 2.0
+
+
+def _level(box: tuple, size: float) -> Column:
+    side = F.greatest(F.col(box[1]) - F.col(box[0]), F.col(box[3]) - F.col(box[2]))
+    return F.greatest(F.lit(0), F.coalesce(F.ceil(F.log(STEP, side / (size * REACH))), F.lit(0))).cast("int")
+
+
+def _top(df: DataFrame, box: tuple, size: float) -> int:
+    """The coarsest level that a side's boxes need: one number, from its four columns only."""
+    return df.agg(F.max(_level(box, size))).first()[0] or 0
+
+
+def _cells(df: DataFrame, box: tuple, size: float, prefix: str, top: int, own_only: bool = False) -> DataFrame:
+    """The cells of each box on its own level and, unless own_only, on the coarser ones."""
+    level = _level(box, size) if top else F.lit(0)
+    df = df.withColumn(f"{prefix}own", level)
+    df = df.withColumn(f"{prefix}level", F.explode(F.sequence(f"{prefix}own", F.lit(top))) if top and not own_only else F.col(f"{prefix}own"))
+    side = F.lit(size) * F.pow(F.lit(STEP), F.col(f"{prefix}level")) if top else F.lit(size)
 
-def _cells(df: DataFrame, box: tuple, size: float, prefix: str) -> DataFrame:
     def cover(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+        return F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
 
     return df.withColumn(f"{prefix}cx", F.explode(cover(box[0], box[1]))).withColumn(f"{prefix}cy", F.explode(cover(box[2], box[3])))
 
 
+_SAME = "__lcx = __rcx and __lcy = __rcy and __llevel = __rlevel"
+_OWN = ("__lcx", "__lcy", "__llevel", "__lown", "__rcx", "__rcy", "__rlevel", "__rown")
+
+
 def bbox_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tuple, size: float) -> DataFrame:
     """Pairs whose boxes strictly overlap. Column names of the two sides must differ. size: the side of a grid cell, about that of a usual box."""
-    a, b = _cells(left, left_box, size, "__l"), _cells(right, right_box, size, "__r")
-    corner = lambda k: F.floor(F.greatest(F.col(left_box[k]), F.col(right_box[k])) / size)
-    on = F.expr("__lcx = __rcx and __lcy = __rcy") & intersects(left_box, right_box) & (F.col("__lcx") == corner(0)) & (F.col("__lcy") == corner(2))
-    return a.join(b, on).drop("__lcx", "__lcy", "__rcx", "__rcy")
-
-
-def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, box: tuple, size: float, how: str = "inner") -> DataFrame:
-    """Pairs of a point and a box that holds it (inclusive); a point has one cell, so only boxes are spread. how: also left, left_semi or left_anti."""
-    a = points.withColumn("__lcx", F.floor(F.col(x) / size)).withColumn("__lcy", F.floor(F.col(y) / size))
-    b = _cells(boxes, box, size, "__r")
-    on = F.expr("__lcx = __rcx and __lcy = __rcy") & F.col(x).between(F.col(box[0]), F.col(box[1])) & F.col(y).between(F.col(box[2]), F.col(box[3]))
-    return a.join(b, on, how).drop("__lcx", "__lcy", "__rcx", "__rcy")
+    top = max(_top(left, left_box, size), _top(right, right_box, size))
+    a, b = _cells(left, left_box, size, "__l", top), _cells(right, right_box, size, "__r", top)
+    side = F.lit(size) * F.pow(F.lit(STEP), F.col("__llevel")) if top else F.lit(size)
+    corner = lambda k: F.floor(F.greatest(F.col(left_box[k]), F.col(right_box[k])) / side)
+    on = F.expr(f"{_SAME} and __llevel = greatest(__lown, __rown)") & intersects(left_box, right_box) & (F.col("__lcx") == corner(0)) & (F.col("__lcy") == corner(2))
+    return a.join(b, on).drop(*_OWN)
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, box: tuple, size: float, how: str = "inner", top: int | None = None) -> DataFrame:
+    """Pairs of a point and a box that holds it (inclusive); how: also left, left_semi or left_anti. A point has one cell on each level that boxes need.
+
+    With more than one level, left and left_anti go through the pairs' points, so points must then have distinct rows to be told apart. top: the coarsest level, where it is known.
+    """
+    top = _top(boxes, box, size) if top is None else top
+    b = _cells(boxes, box, size, "__r", top, own_only=True)
+    a = points.withColumn("__llevel", F.explode(F.sequence(F.lit(0), F.lit(top))) if top else F.lit(0))
+    side = F.lit(size) * F.pow(F.lit(STEP), F.col("__llevel")) if top else F.lit(size)
+    a = a.withColumn("__lcx", F.floor(F.col(x) / side)).withColumn("__lcy", F.floor(F.col(y) / side))
+    on = F.expr(_SAME) & F.col(x).between(F.col(box[0]), F.col(box[1])) & F.col(y).between(F.col(box[2]), F.col(box[3]))
+    if not top or how == "inner":
+        return a.join(b, on, how).drop(*_OWN)
+    found = a.join(b, on, "left_semi").select(points.columns).distinct()
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in points.columns]
+    match = same[0]
+    for s in same[1:]:
+        match = match & s
+    if how in ("left_semi", "left_anti"):
+        return points.alias("p").join(found.alias("f"), match, how)
+    none = points.alias("p").join(found.alias("f"), match, "left_anti")
+    return a.join(b, on).drop(*_OWN).unionByName(none, allowMissingColumns=True)

@@ -20,6 +20,7 @@ from isoline.sources.files import existing, read_vector, shared_folder, write_fi
 from isoline.sources.geojson import read_geojson, to_geojson
 from isoline.sources.kml import read_kml
 from isoline.sources.shapefile import read_shapefile
+from isoline.streaming import boxes
 
 
 def _write_xml(lines, root: str, path: str) -> None:
@@ -183,7 +184,7 @@ def layers_written(spark, d):
 _TRIANGLES = f"WITH {CELLS}, q AS (SELECT a.x, a.y, a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM cells a JOIN cells b ON b.x = a.x+1 AND b.y = a.y JOIN cells c ON c.x = a.x AND c.y = a.y+1 JOIN cells d ON d.x = a.x+1 AND d.y = a.y+1), t AS (SELECT x AS px, y AS py, a AS p, x+1 AS qx, y AS qy, b AS q, x AS rx, y+1 AS ry, c AS r FROM q UNION ALL SELECT x+1, y, b, x+1, y+1, d, x, y+1, c FROM q), e AS (SELECT *, k*100 AS e FROM t, (SELECT unnest(range(0, 7)) AS k)), f AS (SELECT e, list_filter([CASE WHEN (p >= e) <> (q >= e) THEN [px + (qx-px)*(e-p)/(q-p), py + (qy-py)*(e-p)/(q-p)] END, CASE WHEN (q >= e) <> (r >= e) THEN [qx + (rx-qx)*(e-q)/(r-q), qy + (ry-qy)*(e-q)/(r-q)] END, CASE WHEN (r >= e) <> (p >= e) THEN [rx + (px-rx)*(e-r)/(p-r), ry + (py-ry)*(e-r)/(p-r)] END], lambda z: z IS NOT NULL) AS z FROM e)"
 
 
-@register(f"{_TRIANGLES} SELECT CAST(e AS DOUBLE) AS elev, CAST(count(*) AS BIGINT) AS segments, round(sum(sqrt((z[2][1]-z[1][1])*(z[2][1]-z[1][1]) + (z[2][2]-z[1][2])*(z[2][2]-z[1][2]))), 4) AS length, true AS ends_on_edge FROM f WHERE len(z) = 2 GROUP BY e")
+@register(f"{_TRIANGLES} SELECT CAST(e AS DOUBLE) AS elev, CAST(count(*) AS BIGINT) AS segments, round(sum(sqrt((z[2][1]-z[1][1])*(z[2][1]-z[1][1]) + (z[2][2]-z[1][2])*(z[2][2]-z[1][2]))), 4) AS length, true AS ends_on_edge FROM f WHERE len(z) = 2 AND z[1] <> z[2] GROUP BY e")
 def raster_contour_lines(spark, d):
     """Stitched lines have all segments and their length, and an open line ends at the raster's edge."""
     from isoline.functions.geometry import length
@@ -196,3 +197,15 @@ def raster_contour_lines(spark, d):
     near = lambda a, b: (F.abs(a["x"] - b["x"]) < 1e-6) & (F.abs(a["y"] - b["y"]) < 1e-6)
     ok = near(p[0], F.element_at(p, -1)) | (edge(p[0]) & edge(F.element_at(p, -1)))
     return lines.groupBy(T.tag("tags", "ELEV").cast("double").alias("elev")).agg(F.sum(F.size(p) - 1).alias("segments"), F.round(F.sum(length(p)), 4).alias("length"), F.bool_and(ok).alias("ends_on_edge"))
+
+
+@register(f"WITH {PTS}, {BXS}, t AS (SELECT event_id, TIMESTAMP '2024-01-01' + to_hours(CAST(event_id % 240 AS INTEGER)) AS ts FROM events) SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS day, p_partkey, CAST(count(*) AS BIGINT) AS n FROM pts JOIN t USING (event_id) JOIN bxs ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax GROUP BY 1, 2")
+def stream_counts_in_boxes(spark, d):
+    """Events as a stream of files, counted in boxes and days; a last file far in the future closes every window and is in no box."""
+    folder = shared_folder(spark)
+    p = features.points(spark, d).select("event_id", "lon", "lat", F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") % 240 * 3600).alias("ts"))
+    p.write.parquet(f"{folder}/in/a")
+    p.limit(1).select("event_id", F.lit(999.0).alias("lon"), F.lit(999.0).alias("lat"), F.timestamp_seconds(F.lit(4102444800)).alias("ts")).write.parquet(f"{folder}/in/b")
+    stream = spark.readStream.schema(p.schema).parquet(f"{folder}/in/*")
+    counts = boxes.counts_in_boxes(stream, features.boxes(spark, d), "p_partkey", "ts", "1 day", "1 hour")
+    return boxes.run_available(counts, f"{folder}/counts", spark).select(F.unix_timestamp("window_start").alias("day"), "p_partkey", "n")

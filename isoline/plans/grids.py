@@ -32,12 +32,12 @@ def raster_clamp_extremes(spark, d):
 
 def _levels_sql(table: str, n: int) -> str:
     """A table of n samples, given as SQL of k / (n - 1), read at (n + 0.5) v and interpolated."""
-    return f"WITH {CELLS}, t AS (SELECT list_transform(range({n}), lambda k: {table.replace('$', f'(k/CAST({n - 1} AS DOUBLE))')}) AS q), p AS (SELECT x, y, v/500*({n} + 0.5::DOUBLE) AS p FROM cells), i AS (SELECT *, CAST(trunc(p) AS INTEGER) AS i FROM p, t) SELECT x, y, round(CASE WHEN i >= {n - 1} THEN q[{n}] ELSE q[i+1] + (q[i+2]-q[i+1])*(p-i) END, 6) AS value FROM i"
+    return f"WITH {CELLS}, t AS (SELECT list_transform(range({n}), lambda k: {table.replace('$', f'(k/CAST({n - 1} AS DOUBLE))')}) AS q), p AS (SELECT x, y, v/500*({n} + 0.5::DOUBLE) AS p FROM cells), i AS (SELECT *, CAST(trunc(p) AS INTEGER) AS i FROM p, t) SELECT x, y, round(CASE WHEN i >= {n - 1} THEN q[{n}] ELSE q[i+1] + (q[i+2]-q[i+1])*(p-i) END, 8) AS value FROM i"
 
 
 def _levelled(spark, d, values):
     f = raster_levels.apply(values)
-    return raster.per_cell(features.raster(spark, d), lambda v: f(v / 500)).select("x", "y", F.round("value", 6).alias("value"))
+    return raster.per_cell(features.raster(spark, d), lambda v: f(v / 500)).select("x", "y", F.round("value", 8).alias("value"))
 
 
 @register(_levels_sql("floor($*4 + 0.5::DOUBLE)/4", 16))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from isoline.functions import algorithms, color, coords, crs, geometry, regions, text
@@ -83,17 +85,31 @@ def point_buffer(spark, d):
     return c.select("c_custkey", F.round(geometry.area(F.col("c")), 6).alias("area"), F.size("c").cast("bigint").alias("n"))
 
 
-@register()
+_POINTS = "s AS (SELECT l_orderkey, list({'x': x, 'y': y} ORDER BY n) AS p FROM v GROUP BY l_orderkey HAVING count(*) >= 2)"
+_LENGTH = "list_sum(list_transform(range(1, len(q)), lambda i: sqrt((q[i+1].x-q[i].x)*(q[i+1].x-q[i].x) + (q[i+1].y-q[i].y)*(q[i+1].y-q[i].y))))"
+
+
+@register(f"WITH RECURSIVE {LNS}, {_POINTS}, g AS (SELECT l_orderkey, p, 1::BIGINT AS a, len(p)::BIGINT AS b FROM s UNION ALL SELECT l_orderkey, p, unnest([a, m]), unnest([m, b]) FROM (SELECT *, a + list_position(off, list_max(off)) AS m FROM (SELECT l_orderkey, p, a, b, list_transform(range(a + 1, b), lambda i: round(sqrt(pow(p[i].x - p[a].x - greatest(0, least(1, ((p[i].x-p[a].x)*(p[b].x-p[a].x) + (p[i].y-p[a].y)*(p[b].y-p[a].y))/nullif(pow(p[b].x-p[a].x, 2) + pow(p[b].y-p[a].y, 2), 0)))*(p[b].x-p[a].x), 2) + pow(p[i].y - p[a].y - greatest(0, least(1, ((p[i].x-p[a].x)*(p[b].x-p[a].x) + (p[i].y-p[a].y)*(p[b].y-p[a].y))/nullif(pow(p[b].x-p[a].x, 2) + pow(p[b].y-p[a].y, 2), 0)))*(p[b].y-p[a].y), 2)), 9)) AS off FROM g WHERE b - a > 1) WHERE list_max(off) > 2.1234567)), w AS (SELECT DISTINCT l_orderkey, p, unnest([a, b]) AS k FROM g), k AS (SELECT l_orderkey, list(p[k] ORDER BY k) AS q FROM w GROUP BY l_orderkey) SELECT l_orderkey, CAST(len(q) AS BIGINT) AS n, round({_LENGTH}, 6) AS length FROM k")
 def line_simplify(spark, d):
-    c = F.col("c")
-    s = features.lines(spark, d).select("l_orderkey", algorithms.douglas_peucker(c, tolerance=2.0).alias("dp"), algorithms.visvalingam_whyatt(c, 4).alias("vw"))
-    return s.select("l_orderkey", F.size("dp").alias("dp_n"), F.size("vw").alias("vw_n"), F.round(geometry.length(F.col("dp")), 6).alias("dp_length"), F.round(geometry.length(F.col("vw")), 6).alias("vw_length"))
+    """Splitting at the vertex farthest from the chord, down to a tolerance that no whole-numbered vertex meets exactly."""
+    s = features.lines(spark, d).select("l_orderkey", algorithms.douglas_peucker(F.col("c"), tolerance=2.1234567).alias("q"))
+    return s.select("l_orderkey", F.size("q").cast("bigint").alias("n"), F.round(geometry.length(F.col("q")), 6).alias("length"))
 
 
-@register()
+@register(f"WITH RECURSIVE {LNS}, {_POINTS}, g AS (SELECT l_orderkey, p FROM s UNION ALL SELECT l_orderkey, list_concat(p[1:k], p[k+2:]) FROM (SELECT l_orderkey, p, list_position(t, list_min(t)) AS k FROM (SELECT l_orderkey, p, list_transform(range(2, len(p)), lambda i: abs((p[i].x-p[i-1].x)*(p[i+1].y-p[i-1].y) - (p[i+1].x-p[i-1].x)*(p[i].y-p[i-1].y))/2) AS t FROM g WHERE len(p) > 4))) SELECT l_orderkey, CAST(len(q) AS BIGINT) AS n, round({_LENGTH}, 6) AS length FROM (SELECT l_orderkey, p AS q FROM g WHERE len(p) <= 4)")
+def line_simplify_by_area(spark, d):
+    """Removal of the smallest triangle, down to four vertices."""
+    s = features.lines(spark, d).select("l_orderkey", algorithms.visvalingam_whyatt(F.col("c"), 4).alias("q"))
+    return s.select("l_orderkey", F.size("q").cast("bigint").alias("n"), F.round(geometry.length(F.col("q")), 6).alias("length"))
+
+
+@register(f"WITH {LNS} SELECT l_orderkey, min(x) AS first_x, max(x) AS last_x, true AS smooth, true AS shorter FROM v GROUP BY l_orderkey HAVING count(*) >= 2")
 def line_smooth_adaptive(spark, d):
-    s = features.lines(spark, d).select("l_orderkey", algorithms.chaikin_adaptive(F.col("c"), 20.0).alias("c"))
-    return s.select("l_orderkey", F.size("c").alias("n"), F.round(geometry.length(F.col("c")), 6).alias("length"))
+    """Invariants: ends stay, no turn is above twice the limit, and cutting corners never lengthens a line."""
+    s = features.lines(spark, d).select("l_orderkey", "c", algorithms.chaikin_adaptive(F.col("c"), 20.0).alias("q"))
+    n = F.size("q")
+    turn = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.when(n < 3, F.lit(0.0)).otherwise(F.coalesce(F.nanvl(coords.deflection(F.get("q", i - 1), F.get("q", i), F.get("q", i + 1)), F.lit(0.0)), F.lit(0.0))))
+    return s.select("l_orderkey", F.col("q")[0]["x"].alias("first_x"), F.element_at("q", -1)["x"].alias("last_x"), (F.array_max(turn) <= math.radians(40) + 1e-6).alias("smooth"), (geometry.length(F.col("q")) <= geometry.length(F.col("c")) + 1e-9).alias("shorter"))
 
 
 @register(f"WITH {LNS} SELECT l_orderkey, 'M ' || string_agg(printf('%.3f %.3f', x, y), ' L ' ORDER BY n) || CASE WHEN first(x ORDER BY n) = last(x ORDER BY n) AND first(y ORDER BY n) = last(y ORDER BY n) THEN ' Z' ELSE '' END AS path FROM v GROUP BY l_orderkey HAVING count(*) >= 2")
@@ -116,6 +132,12 @@ def robinson(spark, d):
     return features.points(spark, d).select("event_id", (F.round(x, 3) + F.lit(0.0)).alias("rx"), (F.round(y, 3) + F.lit(0.0)).alias("ry"))
 
 
+@register(f"WITH {PTS}, t AS (SELECT event_id, lon, lat, abs(radians(lon)) AS l, asin(abs(2*radians(lat)/pi())) AS th FROM pts), g AS (SELECT *, abs(pi()/nullif(l, 0) - l/pi())/2 AS a, cos(th)/nullif(sin(th) + cos(th) - 1, 0) AS g FROM t), p AS (SELECT *, g*(2/nullif(sin(th), 0) - 1) AS p, a*a + g AS q FROM g) SELECT event_id, round(sign(lon)*6378137*CASE WHEN lat = 0 THEN l WHEN lon = 0 THEN 0 ELSE pi()*(a*(g-p*p) + sqrt(greatest(0, a*a*(g-p*p)*(g-p*p) - (p*p+a*a)*(g*g-p*p))))/(p*p+a*a) END, 1) + 0.0::DOUBLE AS vx, round(sign(lat)*6378137*CASE WHEN lat = 0 THEN 0 WHEN lon = 0 THEN pi()*tan(th/2) ELSE pi()*abs(p*q - a*sqrt(greatest(0, (a*a+1)*(p*p+a*a) - q*q)))/(p*p+a*a) END, 1) + 0.0::DOUBLE AS vy FROM p")
+def van_der_grinten(spark, d):
+    x, y = crs.transform_xy(F.col("lon"), F.col("lat"), 4326, crs.VAN_DER_GRINTEN)
+    return features.points(spark, d).select("event_id", (F.round(x, 1) + F.lit(0.0)).alias("vx"), (F.round(y, 1) + F.lit(0.0)).alias("vy"))
+
+
 @register(f"WITH {PTS} SELECT event_id, round(lon, 6) + 0.0::DOUBLE AS lon, round(lat, 6) + 0.0::DOUBLE AS lat FROM pts")
 def van_der_grinten_round_trip(spark, d):
     """There and back again: the SQL is the input."""
@@ -172,7 +194,7 @@ def json_attribute(spark, d):
     return features.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@register()
+@register("WITH pat(letters, off, digit) AS (VALUES ('na', 0, 1), ('nat', 1, 2), ('tio', 0, 1), ('io', 0, 2), ('ti', 0, 1), ('ka', 0, 1), ('ll', 1, 1), ('rt', 1, 1), ('nt', 1, 1)), w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, unnest(range(len(string_split(p_name, ' ')))) AS k FROM part), c AS (SELECT p_partkey, k, w, unnest(range(length(w))) AS i FROM w), v AS (SELECT p_partkey, k, w, i, max(CASE WHEN substr('.' || lower(w) || '.', i + 2 - off, length(letters)) = letters THEN digit ELSE 0 END) AS digit FROM c, pat GROUP BY ALL), h AS (SELECT p_partkey, k, string_agg(CASE WHEN i BETWEEN 2 AND length(w) - 3 AND digit % 2 = 1 THEN '|' ELSE '' END || substr(w, i + 1, 1), '' ORDER BY i) AS h FROM v GROUP BY p_partkey, k) SELECT p_partkey, string_agg(h, ' ' ORDER BY k) AS name FROM h GROUP BY p_partkey".replace("GROUP BY ALL", "GROUP BY p_partkey, k, w, i"))
 def hyphenate_names(spark, d):
     return features.read(spark, d, "part").select("p_partkey", algorithms.hyphenate(F.col("p_name"), PATTERNS).alias("name"))
 
@@ -195,13 +217,27 @@ def canvas_center(spark, d):
     return features.points(spark, d).select("event_id", F.round(F.col("lon") * f.scale_x + f.offset_x, 6).alias("cx"), F.round(F.col("lat") * f.scale_y + f.offset_y, 6).alias("cy"))
 
 
-@register()
-def label_placement(spark, d):
-    """One map a brand, a label a part, nine places for each."""
+def _placed(spark, d):
+    """One map a brand, a label a part, nine places for each: (map_id, p_partkey, boxes, choice)."""
     p = features.boxes(spark, d).join(features.read(spark, d, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey")
     w, h = labels.text_size(F.col("p_name"), 1.0)
     boxes = labels.candidates((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, w, h, F.lit(0.3), False)
-    return labels.place(p.select(F.col("p_brand").alias("map_id"), "p_partkey", boxes.alias("boxes")), "p_partkey")
+    offers = p.select(F.col("p_brand").alias("map_id"), "p_partkey", boxes.alias("boxes"))
+    return offers.join(labels.place(offers, "p_partkey").select("p_partkey", "choice"), "p_partkey")
+
+
+@register("SELECT p_brand AS map_id, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS unjust FROM part GROUP BY p_brand")
+def label_placement(spark, d):
+    """First fit, held to what defines it: placed labels do not overlap, and each place that a label passed over overlaps a label placed before it."""
+    found = _placed(spark, d)
+    box = lambda c, n: [F.col(f"{c}.{k}").alias(f"{n}{k}") for k in ("x0", "x1", "y0", "y1")]
+    taken = found.where("choice >= 0").select(F.col("map_id").alias("a_map"), F.col("p_partkey").alias("a_key"), F.get("boxes", F.col("choice")).alias("b")).select("a_map", "a_key", *box("b", "a"))
+    every = found.select("map_id", "p_partkey", "choice", F.posexplode("boxes").alias("k", "b")).select("map_id", "p_partkey", "choice", "k", *box("b", "b"))
+    met = joins.bbox_join(every.where("choice < 0 or k <= choice"), taken, ("bx0", "bx1", "by0", "by1"), ("ax0", "ax1", "ay0", "ay1"), 4.0).where("map_id = a_map and p_partkey <> a_key")
+    overlaps = met.where("k = choice").groupBy("map_id").agg(F.count("*").alias("overlaps"))
+    passed = every.where("choice < 0 or k < choice").join(met.where("a_key < p_partkey").select("p_partkey", "k").distinct(), ["p_partkey", "k"], "left_anti").groupBy("map_id").agg(F.count("*").alias("unjust"))
+    n = found.groupBy("map_id").agg(F.count("*").alias("n"))
+    return n.join(overlaps, "map_id", "left").join(passed, "map_id", "left").select("map_id", "n", F.coalesce("overlaps", F.lit(0)).cast("bigint").alias("overlaps"), F.coalesce("unjust", F.lit(0)).cast("bigint").alias("unjust"))
 
 
 @register()

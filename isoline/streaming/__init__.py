@@ -1 +1 @@
-
+"""Map operators on streams."""
