@@ -10,7 +10,7 @@ from isoline.operators import features, raster
 from isoline.plans.collect import BOX, BXS, CELLS, LNS, PTS, register
 from isoline.render import canvas, svg
 from isoline.sources import features as S
-from isoline.sources import osm
+from isoline.sources import osm, world
 
 _P = lambda x, y: geometry.point(F.lit(float(x)), F.lit(float(y)))
 
@@ -194,12 +194,31 @@ def _wide_blur_sql(radius: int) -> str:
     return f"WITH {CELLS}, {taps}, size AS (SELECT max(x) AS xm, max(y) AS ym FROM cells), h AS ({step('cells', 'x', 'y', 'xm')}), g AS ({step('h', 'y', 'x', 'ym')}) SELECT x, y, round(v, 6) AS value FROM g"
 
 
+def _blurred(spark, d, radius):
+    c = features.raster(spark, d)
+    w, h = c.agg(F.max("x") + 1, F.max("y") + 1).first()
+    return raster.gaussian_blur(c, radius, w, h).select("x", "y", F.round("value", 6).alias("value"))
+
+
+@register(_wide_blur_sql(1))
+def raster_blur_1(spark, d):
+    return _blurred(spark, d, 1)
+
+
+@register(_wide_blur_sql(5))
+def raster_blur_5(spark, d):
+    return _blurred(spark, d, 5)
+
+
 @register(_wide_blur_sql(20))
 def raster_blur_wide(spark, d):
     """By tiles with a halo."""
-    c = features.raster(spark, d)
-    w, h = c.agg(F.max("x") + 1, F.max("y") + 1).first()
-    return raster.gaussian_blur(c, 20, w, h).select("x", "y", F.round("value", 6).alias("value"))
+    return _blurred(spark, d, 20)
+
+
+@register(_wide_blur_sql(200))
+def raster_blur_200(spark, d):
+    return _blurred(spark, d, 200)
 
 
 @register(f"WITH {PTS}, s(strategy, sx, sy, ox, oy) AS (VALUES ('stretch', 1000/360.0::DOUBLE, 800/180.0::DOUBLE, 500.0::DOUBLE, 400.0::DOUBLE), ('center', 1000/360.0::DOUBLE, 1000/360.0::DOUBLE, 500.0::DOUBLE, 400.0::DOUBLE), ('crop', 800/180.0::DOUBLE, 800/180.0::DOUBLE, 500.0::DOUBLE, 400.0::DOUBLE), ('extend', 1000/360.0::DOUBLE, 1000/360.0::DOUBLE, 500.0::DOUBLE, 400.0::DOUBLE)) SELECT strategy, event_id, round(lon*sx + ox, 6) AS cx, round(lat*sy + oy, 6) AS cy FROM pts, s")
@@ -236,3 +255,32 @@ def closed_ways(spark, d):
     """A closed way is a polygon if a tag says so."""
     tags = F.array(F.struct(F.when(F.col("s_suppkey") % 2 == 0, "building").otherwise("highway").alias("key"), F.lit("yes").alias("value")))
     return features.rings(spark, d).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), osm.is_polygon(F.col("c"), tags).alias("polygon"))
+
+
+@register("""WITH t(kind, names, scales) AS (VALUES
+('cultural', 'admin_0_countries admin_0_countries_lakes admin_0_map_units admin_0_pacific_groupings admin_0_scale_rank admin_0_sovereignty admin_0_boundary_lines_land admin_1_states_provinces admin_1_states_provinces_lakes admin_1_states_provinces_lines populated_places populated_places_simple', '10 50 110'),
+('cultural', 'admin_0_boundary_lines_disputed_areas admin_0_boundary_lines_maritime_indicator admin_0_boundary_lines_maritime_indicator_chn admin_0_map_subunits urban_areas', '10 50'),
+('cultural', 'admin_0_tiny_countries', '50 110'), ('cultural', 'admin_0_tiny_countries_scale_rank', '50'),
+('cultural', 'admin_0_antarctic_claim_limit_lines admin_0_antarctic_claims admin_0_boundary_lines_map_units admin_0_disputed_areas admin_0_disputed_areas_scale_rank_minor_islands admin_0_label_points admin_0_scale_rank_minor_islands admin_0_seams admin_1_label_points admin_1_label_points_details admin_1_seams admin_1_states_provinces_scale_rank admin_2_counties admin_2_counties_lakes admin_2_counties_scale_rank admin_2_counties_scale_rank_minor_islands admin_2_label_points admin_2_label_points_details airports ports railroads railroads_north_america roads roads_north_america time_zones', '10'),
+('physical', 'coastline land ocean rivers_lake_centerlines lakes geography_regions_polys geography_regions_points geography_regions_elevation_points geography_marine_polys glaciated_areas geographic_lines', '10 50 110'),
+('physical', 'rivers_lake_centerlines_scale_rank lakes_historic playas antarctic_ice_shelves_polys antarctic_ice_shelves_lines', '10 50'),
+('physical', 'land_scale_rank minor_islands minor_islands_coastline reefs ocean_scale_rank rivers_australia rivers_europe rivers_north_america lakes_pluvial lakes_australia lakes_europe lakes_north_america land_ocean_label_points minor_islands_label_points land_ocean_seams', '10')),
+v AS (SELECT kind, name, unnest(string_split(scales, ' ')) AS s FROM (SELECT kind, scales, unnest(string_split(names, ' ')) AS name FROM t))
+SELECT kind, name, s || 'm' AS detail, 'https://naciscdn.org/naturalearth/' || s || 'm/' || kind || '/ne_' || s || 'm_' || name || '.zip' AS url FROM v""")
+def world_vectors(spark, d):
+    return world.catalogue(spark).where("kind <> 'raster'")
+
+
+@register("""SELECT 'raster' AS kind, name, detail, 'https://naciscdn.org/naturalearth/' || url AS url FROM (VALUES
+('HYP', 'HR', '10m/raster/HYP_HR.zip'), ('HYP', 'LR', '10m/raster/HYP_LR.zip'), ('HYP_SR', 'HR', '10m/raster/HYP_HR_SR.zip'), ('HYP_SR', 'LR', '10m/raster/HYP_LR_SR.zip'), ('HYP_SR', '50M', '50m/raster/HYP_50M_SR.zip'),
+('HYP_SR_W', 'HR', '10m/raster/HYP_HR_SR_W.zip'), ('HYP_SR_W', 'LR', '10m/raster/HYP_LR_SR_W.zip'), ('HYP_SR_W', '50M', '50m/raster/HYP_50M_SR_W.zip'), ('HYP_SR_W_DR', 'HR', '10m/raster/HYP_HR_SR_W_DR.zip'), ('HYP_SR_W_DR', 'LR', '10m/raster/HYP_LR_SR_W_DR.zip'),
+('HYP_SR_OB_DR', 'HR', '10m/raster/HYP_HR_SR_OB_DR.zip'), ('HYP_SR_OB_DR', 'LR', '10m/raster/HYP_LR_SR_OB_DR.zip'), ('NE1_LC', 'HR', '10m/raster/NE1_HR_LC.zip'), ('NE1_LC', 'LR', '10m/raster/NE1_LR_LC.zip'), ('NE1_LC_SR', 'HR', '10m/raster/NE1_HR_LC_SR.zip'),
+('NE1_LC_SR', 'LR', '10m/raster/NE1_LR_LC_SR.zip'), ('NE1_LC_SR_W', 'HR', '10m/raster/NE1_HR_LC_SR_W.zip'), ('NE1_LC_SR_W', 'LR', '10m/raster/NE1_LR_LC_SR_W.zip'), ('NE1_LC_SR_W_DR', 'HR', '10m/raster/NE1_HR_LC_SR_W_DR.zip'), ('NE1_LC_SR_W_DR', 'LR', '10m/raster/NE1_LR_LC_SR_W_DR.zip'),
+('NE2_LC', 'HR', '10m/raster/NE2_HR_LC.zip'), ('NE2_LC', 'LR', '10m/raster/NE2_LR_LC.zip'), ('NE2_LC_SR', 'HR', '10m/raster/NE2_HR_LC_SR.zip'), ('NE2_LC_SR', 'LR', '10m/raster/NE2_LR_LC_SR.zip'), ('NE2_SR', '50M', '50m/raster/NE2_50M_SR.zip'),
+('NE2_LC_SR_W', 'HR', '10m/raster/NE2_HR_LC_SR_W.zip'), ('NE2_LC_SR_W', 'LR', '10m/raster/NE2_LR_LC_SR_W.zip'), ('NE2_SR_W', '50M', '50m/raster/NE2_50M_SR_W.zip'), ('NE2_LC_SR_W_DR', 'HR', '10m/raster/NE2_HR_LC_SR_W_DR.zip'), ('NE2_LC_SR_W_DR', 'LR', '10m/raster/NE2_LR_LC_SR_W_DR.zip'),
+('OB', 'LR', '10m/raster/OB_LR.zip'), ('OB', '50M', '50m/raster/OB_50M.zip'), ('SR', 'HR', '10m/raster/SR_HR.zip'), ('SR', 'LR', '10m/raster/SR_LR.zip'), ('SR', '50M', '50m/raster/SR_50M.zip'),
+('GRAY_SR', 'HR', '10m/raster/GRAY_HR_SR.zip'), ('GRAY_SR', 'LR', '10m/raster/GRAY_LR_SR.zip'), ('GRAY_SR', '50M', '50m/raster/GRAY_50M_SR.zip'), ('GRAY_SR_W', 'HR', '10m/raster/GRAY_HR_SR_W.zip'), ('GRAY_SR_W', 'LR', '10m/raster/GRAY_LR_SR_W.zip'), ('GRAY_SR_W', '50M', '50m/raster/GRAY_50M_SR_W.zip'),
+('GRAY_SR_OB', 'HR', '10m/raster/GRAY_HR_SR_OB.zip'), ('GRAY_SR_OB', 'LR', '10m/raster/GRAY_LR_SR_OB.zip'), ('GRAY_SR_OB', '50M', '50m/raster/GRAY_50M_SR_OB.zip'), ('GRAY_SR_OB_DR', 'HR', '10m/raster/GRAY_HR_SR_OB_DR.zip'), ('GRAY_SR_OB_DR', 'LR', '10m/raster/GRAY_LR_SR_OB_DR.zip'),
+('MSR', '50M', '50m/raster/MSR_50M.zip'), ('PRISMA_SR', '50M', '50m/raster/PRISMA_SR_50M.zip')) v(name, detail, url)""")
+def world_rasters(spark, d):
+    return world.catalogue(spark).where("kind = 'raster'")

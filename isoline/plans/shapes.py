@@ -226,20 +226,33 @@ def _placed(spark, d):
     return offers.join(labels.place(offers, "p_partkey").select("p_partkey", "choice"), "p_partkey")
 
 
-@register("SELECT p_brand AS map_id, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS unjust FROM part GROUP BY p_brand")
-def label_placement(spark, d):
-    """First fit, held to what defines it: placed labels do not overlap, and each place that a label passed over overlaps a label placed before it."""
-    found = _placed(spark, d)
+def _checked(found):
+    """(map_id, n, overlaps, unjust) of (map_id, seq, boxes, choice)."""
     box = lambda c, n: [F.col(f"{c}.{k}").alias(f"{n}{k}") for k in ("x0", "x1", "y0", "y1")]
-    taken = found.where("choice >= 0").select(F.col("map_id").alias("a_map"), F.col("p_partkey").alias("a_key"), F.get("boxes", F.col("choice")).alias("b")).select("a_map", "a_key", *box("b", "a"))
-    every = found.select("map_id", "p_partkey", "choice", F.posexplode("boxes").alias("k", "b")).select("map_id", "p_partkey", "choice", "k", *box("b", "b"))
-    met = joins.bbox_join(every.where("choice < 0 or k <= choice"), taken, ("bx0", "bx1", "by0", "by1"), ("ax0", "ax1", "ay0", "ay1"), 4.0).where("map_id = a_map and p_partkey <> a_key")
+    taken = found.where("choice >= 0").select(F.col("map_id").alias("a_map"), F.col("seq").alias("a_key"), F.get("boxes", F.col("choice")).alias("b")).select("a_map", "a_key", *box("b", "a"))
+    every = found.select("map_id", "seq", "choice", F.posexplode("boxes").alias("k", "b")).select("map_id", "seq", "choice", "k", *box("b", "b"))
+    met = joins.bbox_join(every.where("choice < 0 or k <= choice"), taken, ("bx0", "bx1", "by0", "by1"), ("ax0", "ax1", "ay0", "ay1"), 4.0).where("map_id = a_map and seq <> a_key")
     overlaps = met.where("k = choice").groupBy("map_id").agg(F.count("*").alias("overlaps"))
-    passed = every.where("choice < 0 or k < choice").join(met.where("a_key < p_partkey").select("p_partkey", "k").distinct(), ["p_partkey", "k"], "left_anti").groupBy("map_id").agg(F.count("*").alias("unjust"))
+    passed = every.where("choice < 0 or k < choice").join(met.where("a_key < seq").select("seq", "k").distinct(), ["seq", "k"], "left_anti").groupBy("map_id").agg(F.count("*").alias("unjust"))
     n = found.groupBy("map_id").agg(F.count("*").alias("n"))
     return n.join(overlaps, "map_id", "left").join(passed, "map_id", "left").select("map_id", "n", F.coalesce("overlaps", F.lit(0)).cast("bigint").alias("overlaps"), F.coalesce("unjust", F.lit(0)).cast("bigint").alias("unjust"))
 
 
+@register("SELECT 1 AS map_id, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS unjust FROM events")
+def label_placement_one_map(spark, d):
+    """All events in one map, a box each with eight places."""
+    w, h = F.lit(1.5), F.lit(0.5)
+    boxes = labels.candidates(F.col("lon"), F.col("lat"), w, h, F.lit(0.1), True)
+    offers = features.points(spark, d).select(F.lit(1).alias("map_id"), F.col("event_id").alias("seq"), boxes.alias("boxes"))
+    return _checked(offers.join(labels.place(offers).select("seq", "choice"), "seq"))
+
+
+@register("SELECT p_brand AS map_id, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS unjust FROM part GROUP BY p_brand")
+def label_placement(spark, d):
+    """First fit, held to what defines it: placed labels do not overlap, and each place that a label passed over overlaps a label placed before it."""
+    return _checked(_placed(spark, d).withColumnRenamed("p_partkey", "seq"))
+
+
 @register()
 def draw_map(spark, d):
     tags = F.array(F.struct(F.lit("name").alias("key"), F.col("s_suppkey").cast("string").alias("value")))
