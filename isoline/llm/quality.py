@@ -159,19 +159,26 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_featurise, "doc_id bigint, x array<double>"), "quality-features")
 
 
+def _chosen(labels: DataFrame, train_rows: int) -> DataFrame:
+    """(doc_id, y) of at most train_rows usable labels by the hash of their doc_id; a share of them by hash is taken where they lie, so the sort is of little more than that."""
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", HELD_OUT_MODULUS) != HELD_OUT)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    share = min(1.0, 1.2 * (train_rows + 100) / max(1, usable.count()))
+    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return some.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "y").limit(train_rows)
+
+
 def fit_quality(table: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> PairwiseGam:
     """A model fitted on at most train_rows labelled rows outside the held-out part, chosen by the hash of their doc_id. Labels other than 0 and 1, and null ids, are not used."""
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", HELD_OUT_MODULUS) != HELD_OUT)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows)
-    rows = table.join(chosen.hint("shuffle_hash"), "doc_id").orderBy("doc_id", "y").limit(2 * train_rows).toPandas()
+    rows = table.join(F.broadcast(_chosen(labels, train_rows)), "doc_id")  # train_rows ids at most
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(train_rows).toPandas()  # more only where documents repeat an id
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     return PairwiseGam().fit(x, rows["y"].to_numpy(dtype=np.float64))
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> PairwiseGam:
     """fit_quality with the features of labelled documents only."""
-    some = labels.where(F.col("quality").isin(0, 1) & (crc_remainder("doc_id", HELD_OUT_MODULUS) != HELD_OUT)).select(F.col("doc_id").cast("bigint").alias("__labelled")).orderBy(F.xxhash64("__labelled"), "__labelled").limit(train_rows)
-    return fit_quality(feature_table(docs.join(some.hint("shuffle_hash"), F.col(id_col) == F.col("__labelled"), "left_semi"), id_col, text_col), labels, train_rows=train_rows)
+    some = F.broadcast(_chosen(labels, train_rows).select(F.col("doc_id").alias("__labelled")))
+    return fit_quality(feature_table(docs.join(some, F.col(id_col) == F.col("__labelled"), "left_semi"), id_col, text_col), labels, train_rows=train_rows)
 
 
 def _score(model: PairwiseGam):
