@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,11 +102,22 @@ def crc_remainder(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(-1))
 
 
-def rows_of(batches, size: int):
-    """Arrow batches cut into slices of at most `size` rows, so that Python objects of one slice bound the memory."""
+#: Bytes of texts in one slice, unless a single row holds more.
+SLICE_BYTES = 1 << 24
+
+
+def rows_of(batches, size: int, most: int = SLICE_BYTES):
+    """Arrow batches cut into slices of at most `size` rows and, but for single rows, `most` bytes of text, so that Python objects of one slice bound the memory."""
     for b in batches:
-        for at in range(0, b.num_rows, size):
-            yield b.slice(at, size)
+        texts = [c for c in b.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type)]
+        held = np.zeros(b.num_rows + 1, np.int64)
+        for c in texts:
+            held[1:] += np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = min(at + size, max(at + 1, int(np.searchsorted(held, held[at] + most, side="right")) - 1))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -20,7 +20,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ HELD_OUT_MODULUS, HELD_OUT = 7, 2
 HEAD, OWN_UNITS, TAIL_UNITS, DIM, NOISE, BATCH = 1 << 18, 1536, 512, 16, 32, 8192
 UNITS, MEMBER_NOISE = OWN_UNITS + TAIL_UNITS, 4
 #: Bytes of texts that are scored at once, beside the number of texts.
-GROUP_CHARS = 1 << 22
+GROUP_BYTES = 1 << 22
 END = b" "  # no word holds a space
 _TABLES: dict = {}
 
@@ -41,19 +40,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def groups_of(batches, rows: int):
-    """Slices of at most `rows` texts and, but for single texts, GROUP_CHARS bytes."""
-    for b in rows_of(batches, rows):
-        at, held = 0, 0
-        for k, size in enumerate(pa.compute.binary_length(b.column(1)).to_pylist()):
-            if k > at and held + size > GROUP_CHARS:
-                yield b.slice(at, k - at)
-                at, held = k, 0
-            held += size
-        if b.num_rows > at:
-            yield b.slice(at)
-
-
 def tail_unit(word: bytes) -> int:
     return OWN_UNITS + zlib.crc32(word[-3:]) % TAIL_UNITS
 
@@ -307,7 +293,7 @@ def _score(vocabulary, model: LogBilinear, key: str):
             _TABLES[key] = model.tables()
         first, second, norm = _TABLES[key]
         uid = TaskContext.get().partitionId() << 40
-        for b in groups_of(batches, 128):
+        for b in rows_of(batches, 128, GROUP_BYTES):
             out, cut = {f.name: [] for f in _ROWS}, []
             for text in b.column(1).to_pylist():
                 words = words_of(text)

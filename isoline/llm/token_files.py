@@ -67,8 +67,8 @@ def _read(batches):
     for b in batches:
         for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             files, path = open_fs(name)
-            index = pa.ipc.open_file(files.open_input_file(f"{path}.index.arrow"))
-            with files.open_input_file(f"{path}.ids.zst") as f:
+            with files.open_input_file(f"{path}.index.arrow") as listed, files.open_input_file(f"{path}.ids.zst") as f:
+                index = pa.ipc.open_file(listed)
                 reader = SeekableReader(f, f.size())
                 held, frame = bytearray(), 0
                 for k in range(index.num_record_batches):
