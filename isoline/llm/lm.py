@@ -1,9 +1,9 @@
 """Language-model scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
 Words are counted over all training documents. The most frequent words are units of their own, the others belong to tail units by their last bytes. The
-model predicts a unit from the two before it (element-wise context weights, numpy), and within a tail unit a member from the same context: each of the
-HEAD most frequent words is a member with a vector of its own, so members grow with the vocabulary up to that bound; all rarer words of a unit are one
-member, shared by their smoothed counts. Every partition trains one pass over its tokens from the same start, units against noise units and members against
+model predicts a unit from the two before it (element-wise context weights, numpy), and within a tail unit a member from the same context: of the HEAD most
+frequent words the first MOST_MEMBERS of each unit are members with vectors of their own, so members grow with the vocabulary up to that bound; all rarer
+words of a unit are one member, shared by their smoothed counts. Every partition trains one pass over its tokens from the same start, units against noise units and members against
 noise members of their unit, and the parameters are averaged in Spark, by tokens and by how often a partition met a member. For units the normaliser of every
 context pair is one matrix product; within a unit it is a sum over its members. So all token log-probabilities are normalised.
 
@@ -28,9 +28,15 @@ from isoline.llm.common import batch, crc_remainder, rows_of, text_or_empty, wri
 
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
 HEAD, OWN_UNITS, TAIL_UNITS, DIM, NOISE, BATCH = 1 << 18, 1536, 512, 16, 32, 8192
-UNITS, MEMBER_NOISE = OWN_UNITS + TAIL_UNITS, 4
+UNITS, MEMBER_NOISE = OWN_UNITS + TAIL_UNITS, 2
+#: Words of a tail unit that have vectors of their own, most frequent first.
+MOST_MEMBERS = 511
+#: Training tokens of a task at least.
+TASK_TOKENS = 2_000_000
 #: Bytes of texts that are scored at once, beside the number of texts.
 GROUP_BYTES = 1 << 22
+#: Scores of members that are held at once, about what a processor's cache takes.
+HELD_SCORES = 1 << 16
 END = b" "  # no word holds a space
 _TABLES: dict = {}
 
@@ -98,15 +104,23 @@ class Vocabulary:
         self.noise = (mass + 1) / (mass.sum() + UNITS)
         self.head_base = np.log10(counts + 1.0) - self.base_log
         # members of tail unit k: start[k] is all its rarer words, head words follow
-        tail = np.flatnonzero(self.unit >= OWN_UNITS)
-        tail = tail[np.argsort(self.unit[tail], kind="stable")]
-        k = self.unit[tail] - OWN_UNITS
+        every = np.flatnonzero(self.unit >= OWN_UNITS)
+        every = every[np.argsort(self.unit[every], kind="stable")]  # by unit, and the most frequent first
+        k = self.unit[every] - OWN_UNITS
         held = np.bincount(k, minlength=TAIL_UNITS)
+        place = np.arange(len(every)) - (np.cumsum(held) - held)[k]
+        tail, k_tail, place = every[place < MOST_MEMBERS], k[place < MOST_MEMBERS], place[place < MOST_MEMBERS]
+        held = np.minimum(held, MOST_MEMBERS)
         self.start = np.concatenate([[0], np.cumsum(held + 1)])
         self.member = np.full(len(words), -1, np.int64)
-        self.member[tail] = self.start[k] + 1 + np.arange(len(tail)) - (np.cumsum(held) - held)[k]
-        rest = tail_n - np.bincount(k, counts[tail], TAIL_UNITS) + tail_v - held + 1.0
+        self.member[every] = self.start[k]
+        self.member[tail] = self.start[k_tail] + 1 + place
+        rest = tail_n - np.bincount(k_tail, counts[tail], TAIL_UNITS) + tail_v - held + 1.0
         self.rest_log = np.log10(rest)
+        # what a head word that has no vector of its own gets within all the rarer ones
+        self.head_inner = np.zeros(len(words))
+        shared = every[self.member[every] == self.start[k]]
+        self.head_inner[shared] = np.log10(counts[shared] + 1.0) - self.rest_log[self.unit[shared] - OWN_UNITS]
         weight = np.empty(self.start[-1])
         weight[self.start[:-1]] = rest
         weight[self.member[tail]] = counts[tail] + 1
@@ -151,31 +165,43 @@ class LogBilinear:
         lo, hi = vocabulary.member_cdf[vocabulary.start[u - OWN_UNITS]], vocabulary.member_cdf[vocabulary.start[u - OWN_UNITS + 1]]
         at = lo[:, None] + rng.random((len(u), MEMBER_NOISE)) * (hi - lo)[:, None]
         noise = np.clip(np.searchsorted(vocabulary.member_cdf, at, side="right") - 1, vocabulary.start[u - OWN_UNITS, None], vocabulary.start[u - OWN_UNITS + 1, None] - 1)
-        every = np.concatenate([m[:, None], noise], axis=1)
-        x = np.concatenate([p, np.ones((len(p), 1), np.float32)], axis=1)
-        s = np.einsum("nkd,nd->nk", self.z[every], x) - (vocabulary.member_log[every] + np.float32(np.log(MEMBER_NOISE)))
-        g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        g[:, 0] -= 1
-        flat = every.ravel()
-        order = np.argsort(flat, kind="stable")
-        who, first = np.unique(flat[order], return_index=True)
-        d = np.add.reduceat((g.astype(np.float32)[:, :, None] * x[:, None, :]).reshape(-1, DIM + 1)[order], first, axis=0)
+        every = np.concatenate([m[None], noise.T])  # one row of tokens for the data and each noise member
+        who, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
+        inverse, z, shift = inverse.reshape(every.shape), self.z[who], vocabulary.member_log[who] + np.float32(np.log(MEMBER_NOISE))
+        d = np.zeros((DIM + 1, len(who)), np.float64)
+        for k, i in enumerate(inverse):
+            own = z[i]
+            s = np.einsum("nd,nd->n", own[:, :DIM], p) + own[:, DIM] - shift[i]
+            g = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - np.float32(k == 0)
+            for j in range(DIM):
+                d[j] += np.bincount(i, g * p[:, j], len(who))
+            d[DIM] += np.bincount(i, g, len(who))
+        d = d.T.astype(np.float32)
         sums[who] += d * d
-        self.z[who] -= np.float32(rate) * d / np.sqrt(sums[who])
-        np.add.at(met, who, np.diff(np.append(first, len(flat))))
+        self.z[who] = z - np.float32(rate) * d / np.sqrt(sums[who])
+        met[who] += times
 
     def member_logs(self, vocabulary: Vocabulary, u: np.ndarray, m: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         """log p(member | unit, context) of tokens with tail units, normalised over the unit's members."""
         out, order = np.empty(len(u)), np.argsort(u, kind="stable")
         cuts = np.flatnonzero(np.diff(u[order])) + 1
         x = np.concatenate([self.c[0] * self.r[w1] + self.c[1] * self.r[w2], np.ones((len(u), 1), np.float32)], axis=1)
+        columns = np.ascontiguousarray(self.z.T)
         for part in np.split(order, cuts) if len(u) else ():
             a, b = vocabulary.start[u[part[0]] - OWN_UNITS], vocabulary.start[u[part[0]] - OWN_UNITS + 1]
-            for at in range(0, len(part), max(1, (1 << 20) // (b - a))):  # scores held at once
-                some = part[at : at + max(1, (1 << 20) // (b - a))]
-                s = x[some] @ self.z[a:b].T
-                top = s.max(axis=1)
-                out[some] = s[np.arange(len(some)), m[some] - a] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+            step = max(1, HELD_SCORES // (b - a))
+            for at in range(0, len(part), step):
+                some = part[at : at + step]
+                s = x[some] @ columns[:, a:b]
+                s -= s.max()
+                own = s[np.arange(len(some)), m[some] - a]
+                np.exp(s, out=s)
+                total = s @ np.ones(b - a, np.float32)
+                if total.min() < 1e-30:  # scores of these tokens lie too far apart for one shift
+                    s = x[some] @ columns[:, a:b]
+                    s -= s.max(axis=1, keepdims=True)
+                    own, total = s[np.arange(len(some)), m[some] - a], np.exp(s).sum(axis=1)
+                out[some] = own - np.log(total)
         return out
 
     def train(self, chunks, rate: float = 0.08, seed: int = 5, vocabulary: Vocabulary | None = None) -> tuple[int, np.ndarray]:
@@ -265,7 +291,7 @@ def _train(vocabulary, start: LogBilinear):
 
 
 def _average(parts: DataFrame, model: LogBilinear) -> LogBilinear:
-    """Weighted mean of the partitions' parameters; 3 * UNITS + 2 rows and one for each member (HEAD + TAIL_UNITS at most) reach the driver, however many partitions there are."""
+    """Weighted mean of the partitions' parameters; 3 * UNITS + 2 rows and one for each member ((MOST_MEMBERS + 1) * TAIL_UNITS at most) reach the driver, however many partitions there are."""
     sums = [F.sum(F.get("x", F.lit(k)).cast("double")).alias(f"x{k}") for k in range(DIM + 1)]
     found = parts.groupBy("name", "member").agg(F.sum("tokens").alias("tokens"), *sums).toArrow()
     names, members, tokens = found.column("name").to_pylist(), found.column("member").to_pylist(), found.column("tokens").to_numpy()
@@ -293,7 +319,7 @@ def _score(vocabulary, model: LogBilinear, key: str):
             _TABLES[key] = model.tables()
         first, second, norm = _TABLES[key]
         uid = TaskContext.get().partitionId() << 40
-        for b in rows_of(batches, 128, GROUP_BYTES):
+        for b in rows_of(batches, 512, GROUP_BYTES):
             out, cut = {f.name: [] for f in _ROWS}, []
             for text in b.column(1).to_pylist():
                 words = words_of(text)
@@ -317,7 +343,7 @@ def _score(vocabulary, model: LogBilinear, key: str):
                 base = float(voc.head_base[at].sum()) if len(at) else 0.0
                 if not known[-1]:
                     base -= voc.base_log  # no training document: END itself is unknown
-                rows = [(uid, doc_id, END + uid.to_bytes(8, "big"), 0, 0.0, len(words), int((voc.c[at] > 0).sum()) if len(at) else 0, base, logs)]
+                rows = [(uid, doc_id, END + uid.to_bytes(8, "big"), 0, 0.0, len(words), int((voc.c[at] > 0).sum()) if len(at) else 0, base, logs + (float(voc.head_inner[at].sum()) if len(at) else 0.0))]
                 rows += [(uid, doc_id, w, tf, float(voc.rest_log[tail_unit(w) - OWN_UNITS]), 0, 0, 0.0, 0.0) for w, tf in others.items()]
                 for k, column in zip(out, zip(*rows, strict=True), strict=True):
                     out[k] += column
@@ -348,7 +374,9 @@ def score_texts(docs: DataFrame, *, head: int = HEAD, id_col: str = "doc_id", te
     vocabulary = Vocabulary(words, c, n, v, tail_n, tail_v)
     sent = spark.sparkContext.broadcast(vocabulary)
     model = LogBilinear(vocabulary.noise, member_log=vocabulary.member_log)
-    model = _average(train.mapInArrow(_train(sent, model), "name string, member int, tokens double, x array<float>"), model)
+    # a task sends a row for each member that it met, so tasks are given TASK_TOKENS at least; partitions are put together where they lie
+    tasks = min(train.rdd.getNumPartitions(), -(-n // TASK_TOKENS) or 1)
+    model = _average(train.coalesce(max(1, tasks)).mapInArrow(_train(sent, model), "name string, member int, tokens double, x array<float>"), model)
     rows = texts.mapInArrow(_score(sent, model, uuid.uuid4().hex), "uid bigint, doc_id bigint, word binary, tf bigint, tail_log double, n_tokens bigint, n_known bigint, base double, score double")
     joined = rows.join(counts.select("word", "c"), "word", "left").select("uid", "doc_id", "n_tokens", "n_known", "tf", "base", "score", "tail_log", F.coalesce("c", F.lit(0)).alias("c"))
     log_c = F.log10(F.col("c") + 1.0)
