@@ -30,7 +30,7 @@ HELD_OUT_MODULUS, HELD_OUT = 7, 2
 HEAD, OWN_UNITS, TAIL_UNITS, DIM, NOISE, BATCH = 1 << 18, 1536, 512, 16, 32, 8192
 UNITS, MEMBER_NOISE = OWN_UNITS + TAIL_UNITS, 2
 #: Words of a tail unit that have vectors of their own, most frequent first.
-MOST_MEMBERS = 511
+MOST_MEMBERS = 255
 #: Training tokens of a task at least.
 TASK_TOKENS = 2_000_000
 #: Bytes of texts that are scored at once, beside the number of texts.
