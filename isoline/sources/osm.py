@@ -12,6 +12,9 @@ from isoline.sources.features import POINTS, TAGS, finish, wound
 IGNORED = ("note", "note:*", "source", "source_ref", "source:*", "attribution", "comment", "fixme", "tiger:*", "NHD:*", "nhd:*", "gnis:*", "massgis:*")
 AREA_KEYS = ("aeroway", "amenity", "area", "building", "harbour", "historic", "landuse", "leisure", "man_made", "military", "natural", "office", "place", "power", "public_transport", "shop", "sport", "tourism", "water", "waterway", "wetland")
 
+#: The tag of features that lack a node or a way of theirs.
+INCOMPLETE = ("isoline:incomplete", "yes")
+
 _TAG = "tag array<struct<_k:string,_v:string>>"
 _NODE = f"_id long, _lat double, _lon double, {_TAG}"
 _WAY = f"_id long, nd array<struct<_ref:long>>, {_TAG}"
@@ -41,7 +44,8 @@ def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 
 def read_osm(spark: SparkSession, path: str) -> DataFrame:
-    """Features with tags only. Vertices whose node is missing are left out; a relation with a ring that is open or too short is left out. Ids repeat between kinds, so a feature is known by (geom_type, feature_id)."""
+    """Features with tags only. Vertices whose node is missing are left out, as are rings whose way is, and the feature then bears the tag INCOMPLETE; a relation with a ring that is open or too short is left out. Ids repeat between kinds, so a feature is known by (geom_type, feature_id)."""
+    flagged = lambda tags, lacking: F.when(lacking, F.concat(tags, F.array(F.struct(F.lit(INCOMPLETE[0]).alias("key"), F.lit(INCOMPLETE[1]).alias("value"))))).otherwise(tags)
     nodes = _rows(spark, path, "node", _NODE).select("_id", F.struct(F.col("_lon").alias("x"), F.col("_lat").alias("y")).alias("p"), kept_tags(F.col("tag")).alias("tags"))
     points = nodes.where(F.size("tags") > 0).select(F.col("_id").alias("feature_id"), F.lit("point").alias("geom_type"), F.array(F.array("p")).alias("parts"), "tags")
 
@@ -49,7 +53,8 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
     refs = ways.select("_id", F.posexplode("nd").alias("pos", "nd")).select("_id", "pos", F.col("nd._ref").alias("ref"))
     placed = refs.join(nodes.select(F.col("_id").alias("ref"), "p"), "ref").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("v"))
     lines = placed.select("_id", F.transform("v", lambda v: v["p"]).alias("c"))
-    tagged = ways.select("_id", kept_tags(F.col("tag")).alias("tags")).where(F.size("tags") > 0).join(lines, "_id")
+    tagged = ways.select("_id", kept_tags(F.col("tag")).alias("tags"), F.size("nd").alias("refs")).where(F.size("tags") > 0).join(lines, "_id")
+    tagged = tagged.withColumn("tags", flagged(F.col("tags"), F.col("refs") > F.size("c")))
     kind = F.when(is_polygon(F.col("c"), F.col("tags")), "polygon").otherwise("line")
     way_features = tagged.select(F.col("_id").alias("feature_id"), kind.alias("geom_type"), F.array("c").alias("parts"), "tags")
 
@@ -57,13 +62,15 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
     relations = relations.where(F.exists("tag", lambda t: (t["_k"] == "type") & (t["_v"] == "multipolygon")) & (F.size("tags") > 0))
     members = relations.select("_id", "tags", F.posexplode("member").alias("pos", "m")).where("m._type = 'way'").select("_id", "tags", "pos", "m")
     inline = F.transform("m.nd", lambda n: F.struct(n["_lon"].alias("x"), n["_lat"].alias("y"))).cast(POINTS)
-    rings = members.join(lines.select(F.col("_id").alias("way"), "c"), F.col("m._ref") == F.col("way"), "left").select("_id", "tags", "pos", F.col("m._role").alias("role"), F.coalesce("c", F.when(F.size(inline) > 0, inline)).alias("c")).where("c is not null")
+    rings = members.join(lines.select(F.col("_id").alias("way"), "c"), F.col("m._ref") == F.col("way"), "left").select("_id", "tags", "pos", F.col("m._role").alias("role"), F.coalesce("c", F.when(F.size(inline) > 0, inline)).alias("c"))
     turned = F.when(F.col("role").isin("outer", "inner"), wound(F.col("c"), F.col("role") == "outer")).otherwise(F.col("c"))
-    whole = rings.groupBy("_id").agg(F.first("tags").alias("tags"), F.array_sort(F.collect_list(F.struct("pos", turned.alias("c")))).alias("v"))
-    relation_features = whole.select(F.col("_id").alias("feature_id"), F.lit("multipolygon").alias("geom_type"), F.transform("v", lambda v: v["c"]).alias("parts"), "tags")
+    whole = rings.groupBy("_id").agg(F.first("tags").alias("tags"), F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("pos", turned.alias("c"))))).alias("v"), F.bool_or(F.col("c").isNull()).alias("lacking"))
+    relation_features = whole.select(F.col("_id").alias("feature_id"), F.lit("multipolygon").alias("geom_type"), F.transform("v", lambda v: v["c"]).alias("parts"), flagged(F.col("tags"), F.col("lacking")).alias("tags"))
     return finish(points.unionByName(way_features).unionByName(relation_features))
 
 
 def overpass_url(box: tuple, server: str) -> str:
-    """The address that gives all data in a box (xmin, xmax, ymin, ymax)."""
+    """The address that gives all data in a box (xmin, xmax, ymin, ymax); without a box there would be no end."""
+    if box is None:
+        raise ValueError("this source needs a box")
     return "{}/map?bbox={:g},{:g},{:g},{:g}".format(server.rstrip("/"), box[0], box[2], box[1], box[3])

@@ -57,6 +57,7 @@ def test_osm(spark, tmp_path):
     assert set(found) == {("point", 1), ("line", 10), ("polygon", 11), ("line", 12), ("line", 13), ("multipolygon", 20)}
     assert found["point", 1] == ([[(0.0, 0.0)]], [("amenity", "cafe"), ("amenity", "bar")])
     assert found["line", 13][0] == [[(0.0, 0.0), (4.0, 4.0)]]
+    assert found["line", 13][1] == [("barrier", "wall"), ("isoline:incomplete", "yes")] and all(t[0] != "isoline:incomplete" for k, (_, tags) in found.items() if k != ("line", 13) for t in tags)
     outer, inner = found["multipolygon", 20][0]
     assert outer == [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
     assert inner == [(1.0, 1.0), (2.0, 2.0), (2.0, 1.0), (1.0, 1.0)]  # was counter-clockwise
