@@ -202,7 +202,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, l
     for r in index.groupBy("list_id").count().collect():  # a row for each list
         sizes[r["list_id"]] = r["count"]
     probes = model.probes(k, target_recall)
-    visits = written(usable(queries).where(of_size).distinct().select("id", "v").mapInArrow(_visit(model, sizes, probes, 4 * (k + 1), k), f"list_id int, query_id bigint, q {kind}, floor double"), "ivf-visits")
+    visits = written(usable(queries).where(of_size).distinct().select("id", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_visit(model, sizes, probes, 4 * (k + 1), k), f"list_id int, query_id bigint, q {kind}, floor double"), "ivf-visits")
     asked = {r["list_id"]: r["count"] for r in visits.groupBy("list_id").count().collect()}
     # a list or its queries may be of any size: both are cut into blocks, and each block of entries meets each block of queries
     plan = spark.createDataFrame([(i, int(-(-sizes[i] // BLOCK_ROWS)) or 1, -(-n // BLOCK_QUERIES)) for i, n in asked.items()], "list_id int, v_blocks int, q_blocks int")
