@@ -89,7 +89,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 20, percent
     mine = hits.toDF("hit_id", "hit_digest", "hit_item", "shift")
     mine = F.broadcast(mine) if hits.count() <= broadcast_hits else mine.hint("shuffle_hash")
     near = keyed.join(mine, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_digest") == F.col("hit_digest"))).select("doc_id", "text_digest", "hit_item", "shift", tokens(F.col("text")).alias("h"))
-    near = near.join(F.broadcast(items) if few else items, F.col("hit_item").eqNullSafe(F.col("item_id")))  # an item has at least as many seeds as tokens
+    near = near.join(F.broadcast(items) if few else items, F.col("hit_item").eqNullSafe(F.col("item_id")))  # an item has a seed for every nine of its tokens at least, so few seeds are few tokens
     equal = F.transform(F.sequence(F.lit(0), F.size("item_h") - 1), lambda i: F.get("h", F.col("shift") + i).eqNullSafe(F.get("item_h", i)).cast("int"))
     sums = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda i: F.aggregate(F.slice("equal", i + 1, F.col("w")), F.lit(0), lambda a, x: a + x))
     keys = ["doc_id", "text_digest"] if with_digest else ["doc_id"]

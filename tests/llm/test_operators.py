@@ -443,3 +443,25 @@ def test_mixed_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 5)
     monkeypatch.setattr(near_dup, "PAIRS_A_TEXT", 3)
     test_near_duplicates_of_one_base(spark)
+
+
+def test_decontamination_of_long_texts_and_ties(spark):
+    """A very long text, an item that stands in a text twice, items with a null id, clashing names."""
+    item = [f"t{k}" for k in range(30)]
+    long = [f"w{k % 4001}" for k in range(200_000)]
+    long[150_000:150_030] = item
+    twice = ["a", *item, "b", "c", *item]
+    rows = [(1, " ".join(long), 5, "x", 1), (2, " ".join(twice), 5, "x", 1), (3, "", 5, "x", 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, shift int, item_h string, hit_id int")
+    bench = spark.createDataFrame([(7, " ".join(item), 1), (None, " ".join(item[:20]), 2)], "item_id bigint, text string, doc_id int")
+    got = {(r.doc_id, r.item_id): (r.matched, r.of_tokens, r.first_token) for r in decontam.overlaps(d, bench).collect()}
+    assert got == {(1, 7): (20, 20, 150_000), (1, None): (20, 20, 150_000), (2, 7): (20, 20, 1), (2, None): (20, 20, 1)}
+    assert [r.doc_id for r in decontam.decontaminate(d, bench).collect()] == [3]
+
+
+def test_warc_of_long_payloads(spark):
+    """Payloads far beyond a frame, beside small ones."""
+    big = "long page " * 400_000
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", "x"), (3, "u", big), (4, "u", "é" * 3)], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_bundles(spark, warc.write_bundles(pages, frame_bytes=1000)).collect()}
+    assert got == {1: (len(big), "revisit", 3), 2: (1, "response", None), 3: (len(big), "response", None), 4: (6, "response", None)}
