@@ -69,7 +69,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, head: int) -> tuple[list[bytes], np.ndarray]:
-    """Words and counts of the most frequent words, most frequent first, at most `head` of them.
+    """Words and counts of the most frequent words, most frequent first, at most `head` of them and END.
 
     A histogram of counts (some hundred rows) gives the count from which there are no more than that, so nothing but those words leaves its place.
     """
@@ -80,9 +80,8 @@ def frequent(counts: DataFrame, head: int) -> tuple[list[bytes], np.ndarray]:
         if room < 0:
             break
         least = r["step"]
-    if least is None:
-        return [], np.zeros(0)
-    top = counts.where(step >= least).toArrow()
+    common = F.lit(False) if least is None else step >= least
+    top = counts.where(common | (F.col("word") == F.lit(END))).toArrow()
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
     order = sorted(range(len(words)), key=lambda k: (-c[k], words[k]))
     return [words[k] for k in order], c[order]
@@ -255,6 +254,19 @@ def _contexts(units: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return w1, w2
 
 
+def _cut(vocabulary: Vocabulary, texts: list[str]) -> tuple:
+    """The words of texts, END after each, one after another: (words, ends, head index, unit, the unit before, the one before that)."""
+    words, ends = [], []
+    for t in texts:
+        words += words_of(t)
+        words.append(END)
+        ends.append(len(words))
+    ends = np.array(ends, np.int64)
+    i, u = vocabulary.units(words)
+    u[ends - 1] = 0
+    return words, ends, i, u, *_contexts(u, ends)
+
+
 def _train(vocabulary, start: LogBilinear):
     def run(batches):
         voc, model = vocabulary.value, start
@@ -262,11 +274,9 @@ def _train(vocabulary, start: LogBilinear):
         def chunks():
             held, n = [], 0
             for b in rows_of(batches, 64):
-                for text in b.column(0).to_pylist():
-                    i, u = voc.units(words_of(text))
-                    u = np.append(u, 0)
-                    held.append((u, *_contexts(u, np.array([len(u)])), np.append(voc.members(i, u[:-1]), -1)))
-                    n += len(u)
+                _, ends, i, u, w1, w2 = _cut(voc, b.column(0).to_pylist())
+                held.append((u, w1, w2, voc.members(i, u)))
+                n += len(u)
                 if n >= BATCH:
                     every = [np.concatenate(x) for x in zip(*held, strict=True)]
                     whole = n // BATCH * BATCH
@@ -320,35 +330,31 @@ def _score(vocabulary, model: LogBilinear, key: str):
         first, second, norm = _TABLES[key]
         uid = TaskContext.get().partitionId() << 40
         for b in rows_of(batches, 512, GROUP_BYTES):
-            out, cut = {f.name: [] for f in _ROWS}, []
-            for text in b.column(1).to_pylist():
-                words = words_of(text)
-                words.append(END)
-                i, u = voc.units(words)
-                u[-1] = 0
-                cut.append((words, i, u, *_contexts(u, np.array([len(u)]))))
-            # members of all these texts at once, so that each unit is met once
-            ends = np.cumsum([len(c[0]) for c in cut])
-            i, u, w1, w2 = (np.concatenate([c[k] for c in cut]) for k in (1, 2, 3, 4))
-            tail = np.flatnonzero(u >= OWN_UNITS)
-            inner = np.zeros(len(u))
-            inner[tail] = model.member_logs(voc, u[tail], voc.members(i, u)[tail], w1[tail], w2[tail])
-            inner = np.add.reduceat(inner, ends - [len(c[0]) for c in cut])
-            for doc_id, within, (words, i, u, w1, w2) in zip(b.column(0).to_pylist(), inner.tolist(), cut, strict=True):
-                known = i >= 0
-                at = i[known]
-                logs = (float((first[w1, u] + second[w2, u] - norm[w1, w2]).sum(dtype=np.float64)) + within) / np.log(10)
-                others = Counter(words[k] for k in np.flatnonzero(~known))
-                others.pop(END, None)
-                base = float(voc.head_base[at].sum()) if len(at) else 0.0
-                if not known[-1]:
-                    base -= voc.base_log  # no training document: END itself is unknown
-                rows = [(uid, doc_id, END + uid.to_bytes(8, "big"), 0, 0.0, len(words), int((voc.c[at] > 0).sum()) if len(at) else 0, base, logs + (float(voc.head_inner[at].sum()) if len(at) else 0.0))]
-                rows += [(uid, doc_id, w, tf, float(voc.rest_log[tail_unit(w) - OWN_UNITS]), 0, 0, 0.0, 0.0) for w, tf in others.items()]
-                for k, column in zip(out, zip(*rows, strict=True), strict=True):
-                    out[k] += column
-                uid += 1
-            yield batch(_ROWS, out)
+            words, ends, i, u, w1, w2 = _cut(voc, b.column(1).to_pylist())
+            n = np.diff(ends, prepend=0)
+            total = lambda x, starts=ends - n: np.add.reduceat(x, starts)
+            tail, known = np.flatnonzero(u >= OWN_UNITS), i >= 0
+            logs = (first[w1, u] + second[w2, u] - norm[w1, w2]).astype(np.float64)
+            logs[tail] += model.member_logs(voc, u[tail], voc.members(i, u)[tail], w1[tail], w2[tail])
+            head = lambda values, i=i, known=known: np.where(known, values[np.maximum(i, 0)], 0) if len(values) else np.zeros(len(i))
+            base = head(voc.head_base)
+            base[ends - 1] -= np.where(known[ends - 1], 0, voc.base_log)  # no training document: END itself is unknown
+            # rarer words of each document, END apart
+            rare = np.setdiff1d(np.flatnonzero(~known), ends - 1, assume_unique=True)
+            others = Counter(zip(np.searchsorted(ends, rare, side="right").tolist(), map(words.__getitem__, rare.tolist()), strict=True))
+            who, docs, none = [d for d, _ in others], b.column(0).to_pylist(), [0] * len(others)
+            yield batch(_ROWS, {
+                "uid": [*range(uid, uid + len(n)), *(uid + d for d in who)],
+                "doc_id": [*docs, *(docs[d] for d in who)],
+                "word": [*(END + (uid + d).to_bytes(8, "big") for d in range(len(n))), *(w for _, w in others)],
+                "tf": [*([0] * len(n)), *others.values()],
+                "tail_log": [*([0.0] * len(n)), *(float(voc.rest_log[tail_unit(w) - OWN_UNITS]) for _, w in others)],
+                "n_tokens": [*n.tolist(), *none],
+                "n_known": [*total((head(voc.c) > 0).astype(np.int64)).tolist(), *none],
+                "base": [*total(base).tolist(), *none],
+                "score": [*(total(logs) / np.log(10) + total(head(voc.head_inner))).tolist(), *none],
+            })
+            uid += len(n)
 
     return run
 
