@@ -142,14 +142,19 @@ def _outside(kernel: list[float], r: int, size: int):
         yield size - 1, size - n, size - 1, high
 
 
-def blend(bottom: tuple, top: tuple, mode: str = "normal", strength: float = 1.0) -> list[Column]:
-    """Channels r, g, b, a in 0 .. 255 of a pixel under another: bytes are cut, and colours are not divided by the resulting alpha."""
-    if mode not in ("normal", "multiply"):
+#: Colour of a bottom and a top channel, 0 .. 1, by mode.
+MODES = {"normal": lambda b, t: t, "multiply": lambda b, t: t * b}
+
+
+def blend(bottom: tuple, top: tuple, mode="normal", strength: float = 1.0) -> list[Column]:
+    """Channels r, g, b, a in 0 .. 255 of a pixel under another: bytes are cut, and colours are not divided by the resulting alpha. mode: of MODES, or a function of a bottom and a top channel."""
+    if not callable(mode) and mode not in MODES:
         raise ValueError(f"no blend mode {mode}")
+    mix = mode if callable(mode) else MODES[mode]
     *cb, ab = (c / 255 for c in bottom)
     *ct, at = (c / 255 for c in top)
     at = at * strength if strength < 1 else at
-    out = [(t * b if mode == "multiply" else t) * at + b * ab * (1 - at) for b, t in zip(cb, ct, strict=True)]
+    out = [mix(b, t) * at + b * ab * (1 - at) for b, t in zip(cb, ct, strict=True)]
     return [(c * 255).cast("int") for c in (*out, at + ab * (1 - at))]
 
 

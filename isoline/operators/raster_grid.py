@@ -5,6 +5,8 @@ All are projections, unions or equi joins on cell keys: no raster is gathered an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +56,23 @@ def shrink(cells: DataFrame, factor: int, nodata: float | None = None) -> DataFr
     return out if nodata is None else out.withColumn("value", F.coalesce("value", F.lit(float(nodata))))
 
 
-def warp(cells: DataFrame, box: tuple, size: tuple[int, int], source: int, to_box: tuple, to_size: tuple[int, int], target: int, bilinear: bool = False, nodata: float = -9999.0) -> DataFrame:
-    """The raster on another grid, in another reference system: each new cell's centre is taken back, and the cell below it (or the weighted four around it) is joined.
+def _sinc(d: Column) -> Column:
+    x = d * math.pi
+    return F.when(F.abs(d) < 1e-12, F.lit(1.0)).otherwise(F.sin(x) / x)
+
+
+#: Reach in cells and weight by distance of each way to read between cells.
+KERNELS = {"bilinear": (1, lambda d: 1 - F.abs(d)), "lanczos": (3, lambda d: F.when(F.abs(d) < 3, _sinc(d) * _sinc(d / 3)).otherwise(F.lit(0.0)))}
+
+
+def warp(cells: DataFrame, box: tuple, size: tuple[int, int], source: int, to_box: tuple, to_size: tuple[int, int], target: int, method: str = "nearest", nodata: float = -9999.0) -> DataFrame:
+    """The raster on another grid, in another reference system: each new cell's centre is taken back, and the cell below it (nearest), or the weighted ones around it (bilinear: four, lanczos: 36), are joined.
 
-    New cells outside the old raster, or with a no-data cell among the four, are no-data. cells holds one raster; raster_id is null outside it.
+    Edge cells stand for those beyond the edge, and weights are divided by their sum. New cells whose centre is outside the old raster, or with a no-data
+    cell among those around it, are no-data. cells holds one raster; raster_id is null outside it.
     """
+    if method != "nearest" and method not in KERNELS:
+        raise ValueError(f"no method {method}")
     spark, (w, h), (tw, th) = cells.sparkSession, size, to_size
     grid = spark.range(tw * th).select((F.col("id") % tw).cast("int").alias("x"), F.floor(F.col("id") / tw).cast("int").alias("y"))
     gx = to_box[0] + (F.col("x") + 0.5) * ((to_box[1] - to_box[0]) / tw)
@@ -66,15 +80,19 @@ def warp(cells: DataFrame, box: tuple, size: tuple[int, int], source: int, to_bo
     sx, sy = transform_xy(gx, gy, target, source)
     at = grid.select("x", "y", ((sx - box[0]) * (w / (box[1] - box[0]))).alias("px"), ((box[3] - sy) * (h / (box[3] - box[2]))).alias("py"))
     src = cells.select("raster_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "value")
-    if not bilinear:
+    if method == "nearest":
         near = at.select("x", "y", F.floor("px").cast("int").alias("cx"), F.floor("py").cast("int").alias("cy"))
         return near.join(src, ["cx", "cy"], "left").select("raster_id", "x", "y", F.coalesce("value", F.lit(nodata)).alias("value"))
+    reach, weight = KERNELS[method]
     fx, fy = F.col("px") - 0.5, F.col("py") - 0.5
-    four = F.array(*(F.struct((F.floor(fx) + i).alias("cx"), (F.floor(fy) + j).alias("cy"), ((fx - F.floor(fx) if i else 1 - (fx - F.floor(fx))) * (fy - F.floor(fy) if j else 1 - (fy - F.floor(fy)))).alias("w")) for i in (0, 1) for j in (0, 1)))
+    taps = range(1 - reach, reach + 1)
+    along = lambda f: F.array(*(F.struct((F.floor(f) + i).alias("c"), weight(f - F.floor(f) - i).alias("w")) for i in taps))
+    clamped = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
     inside = F.col("px").between(0, w) & F.col("py").between(0, h)
-    spread = at.withColumn("in", inside).withColumn("c", F.explode(four)).select("x", "y", "in", "c.w", F.least(F.greatest("c.cx", F.lit(0)), F.lit(w - 1)).cast("int").alias("cx"), F.least(F.greatest("c.cy", F.lit(0)), F.lit(h - 1)).cast("int").alias("cy"))
+    spread = at.select("x", "y", inside.alias("in"), F.explode(along(fx)).alias("a"), fy.alias("fy"), "py").select("x", "y", "in", "a", F.explode(along(F.col("fy"))).alias("b"))
+    spread = spread.select("x", "y", "in", (F.col("a.w") * F.col("b.w")).alias("w"), clamped(F.col("a.c"), w).alias("cx"), clamped(F.col("b.c"), h).alias("cy"))
     bad = F.max(F.col("value").isNull() | (F.col("value") == nodata) | ~F.col("in"))
-    return spread.join(src, ["cx", "cy"], "left").groupBy("x", "y").agg(F.max("raster_id").alias("raster_id"), F.when(bad, F.lit(nodata)).otherwise(F.sum(F.col("value") * F.col("w"))).alias("value")).select("raster_id", "x", "y", "value")
+    return spread.join(src, ["cx", "cy"], "left").groupBy("x", "y").agg(F.max("raster_id").alias("raster_id"), F.when(bad, F.lit(nodata)).otherwise(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w"))).alias("value")).select("raster_id", "x", "y", "value")
 
 
 def contour_segments(cells: DataFrame, interval: float, base: float = 0.0, nodata: float | None = None) -> DataFrame:

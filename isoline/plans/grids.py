@@ -138,6 +138,14 @@ def raster_blend_alpha(spark, d):
     return _bands(spark, d).select("x", "y", c.alias("c"), a.alias("a"))
 
 
+@register(f"WITH {CELLS}, p AS (SELECT x, y, (CAST(floor(v) AS INTEGER) % 256)/CAST(255 AS DOUBLE) AS b, (CAST(floor(v) AS INTEGER) % 101)/CAST(255 AS DOUBLE) AS t FROM cells) SELECT x, y, CAST(trunc((1 - (1-b)*(1-t))*255) AS INTEGER) AS c FROM p")
+def raster_blend_screen(spark, d):
+    """A mode given as a function."""
+    v = F.col("v")
+    c, *_ = raster.blend((v % 256, v % 256, v % 256, F.lit(255.0)), (v % 101, v % 101, v % 101, F.lit(255.0)), lambda b, t: 1 - (1 - b) * (1 - t))
+    return _bands(spark, d).select("x", "y", c.alias("c"))
+
+
 @register(f"WITH {CELLS} SELECT x, y, v AS value FROM cells WHERE NOT (x BETWEEN 50 AND 59 AND y BETWEEN 2 AND 4) UNION ALL SELECT x + 40, y + 1, v FROM cells WHERE x BETWEEN 10 AND 19 AND y BETWEEN 1 AND 3")
 def raster_mosaic(spark, d):
     c = features.raster(spark, d)
@@ -153,21 +161,29 @@ def raster_shrink(spark, d):
 _WARP = f"WITH {CELLS}, {SIZE}, e AS (SELECT w, h, -200000::DOUBLE AS x0, 11400000::DOUBLE AS x1, -5000000::DOUBLE AS y0, 5000000::DOUBLE AS y1 FROM size), g AS (SELECT CAST(a.range AS INTEGER) AS x, CAST(b.range AS INTEGER) AS y, degrees((x0 + (a.range + 0.5::DOUBLE)*((x1-x0)/w))/6378137)*(w/CAST(100 AS DOUBLE)) AS px, (40 - degrees(2*atan(exp((y1 - (b.range + 0.5::DOUBLE)*((y1-y0)/h))/6378137)) - pi()/2))*(h/CAST(80 AS DOUBLE)) AS py, w, h FROM e, range((SELECT w FROM size)) a, range((SELECT h FROM size)) b)"
 
 
-def _warped(spark, d, bilinear):
+def _warped(spark, d, method):
     c = features.raster(spark, d)
     w, h = _size(c)
-    return raster_grid.warp(c, (0.0, 100.0, -40.0, 40.0), (w, h), 4326, (-200000.0, 11400000.0, -5000000.0, 5000000.0), (w, h), 3857, bilinear).select("x", "y", F.round("value", 6).alias("value"))
+    return raster_grid.warp(c, (0.0, 100.0, -40.0, 40.0), (w, h), 4326, (-200000.0, 11400000.0, -5000000.0, 5000000.0), (w, h), 3857, method).select("x", "y", F.round("value", 6).alias("value"))
 
 
 @register(f"{_WARP} SELECT g.x, g.y, round(coalesce(v, -9999), 6) AS value FROM g LEFT JOIN cells c ON c.x = floor(px) AND c.y = floor(py)")
 def raster_warp(spark, d):
     """The whole raster from degrees to spherical Mercator, nearest cell."""
-    return _warped(spark, d, False)
+    return _warped(spark, d, "nearest")
 
 
 @register(f"{_WARP}, f AS (SELECT g.x, g.y, i.range AS i, j.range AS j, CASE WHEN i.range = 1 THEN px - 0.5 - floor(px - 0.5) ELSE 1 - (px - 0.5 - floor(px - 0.5)) END * CASE WHEN j.range = 1 THEN py - 0.5 - floor(py - 0.5) ELSE 1 - (py - 0.5 - floor(py - 0.5)) END AS wt, least(greatest(floor(px - 0.5) + i.range, 0), w - 1) AS cx, least(greatest(floor(py - 0.5) + j.range, 0), h - 1) AS cy, px BETWEEN 0 AND w AND py BETWEEN 0 AND h AS ok FROM g, range(2) i, range(2) j) SELECT f.x, f.y, round(CASE WHEN bool_and(ok AND v IS NOT NULL) THEN sum(v*wt) ELSE -9999 END, 6) AS value FROM f LEFT JOIN cells c ON c.x = cx AND c.y = cy GROUP BY f.x, f.y")
 def raster_warp_bilinear(spark, d):
-    return _warped(spark, d, True)
+    return _warped(spark, d, "bilinear")
+
+
+_TAP = "CASE WHEN abs({0}) < 1e-12 THEN 1 WHEN abs({0}) < 3 THEN (sin(pi()*{0})/(pi()*{0}))*(sin(pi()*{0}/3)/(pi()*{0}/3)) ELSE 0 END"
+
+
+@register(f"{_WARP}, f AS (SELECT g.x, g.y, px - 0.5 - floor(px - 0.5) - i.range AS dx, py - 0.5 - floor(py - 0.5) - j.range AS dy, least(greatest(floor(px - 0.5) + i.range, 0), w - 1) AS cx, least(greatest(floor(py - 0.5) + j.range, 0), h - 1) AS cy, px BETWEEN 0 AND w AND py BETWEEN 0 AND h AS ok FROM g, range(-2, 4) i, range(-2, 4) j), k AS (SELECT *, ({_TAP.format('dx')})*({_TAP.format('dy')}) AS wt FROM f) SELECT k.x, k.y, round(CASE WHEN bool_and(ok AND v IS NOT NULL) THEN sum(v*wt)/sum(wt) ELSE -9999 END, 6) AS value FROM k LEFT JOIN cells c ON c.x = cx AND c.y = cy GROUP BY k.x, k.y")
+def raster_warp_lanczos(spark, d):
+    return _warped(spark, d, "lanczos")
 
 
 @register(f"WITH {CELLS}, q AS (SELECT a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM cells a JOIN cells b ON b.x = a.x+1 AND b.y = a.y JOIN cells c ON c.x = a.x AND c.y = a.y+1 JOIN cells d ON d.x = a.x+1 AND d.y = a.y+1), t AS (SELECT least(a,b,c) AS lo, greatest(a,b,c) AS hi FROM q UNION ALL SELECT least(b,c,d), greatest(b,c,d) FROM q) SELECT CAST(e AS DOUBLE) AS elev, CAST(count(*) AS BIGINT) AS n FROM t, (SELECT range*100 AS e FROM range(7)) WHERE e > lo AND e <= hi GROUP BY e")

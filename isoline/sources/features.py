@@ -6,6 +6,8 @@ run counter-clockwise, inner ones clockwise. Features without geometry are left
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ COLUMNS = ("feature_id", "geom_type", "parts", "tags", "xmin", "xmax", "ymin", "
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
 
+def bounded(box: tuple | None) -> tuple:
+    """Sources that have no end must be given a box of four finite sides."""
+    if box is None or not all(map(math.isfinite, box)):
+        raise ValueError("this source needs a box")
+    return box
+
+
 def finish(df: DataFrame, srid: int = 4326) -> DataFrame:
     """Adds boxes to (feature_id, geom_type, parts, tags) and leaves out what is too short: lines of one vertex, open rings."""
     flat = F.flatten("parts")

@@ -81,13 +81,6 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     return readers[kind](spark, path)
 
 
-def bounded(box: tuple | None) -> tuple:
-    """Sources that have no end must be given a box."""
-    if box is None:
-        raise ValueError("this source needs a box")
-    return box
-
-
 def newest_cached(folder: str, base: str, extension: str, max_age_s: float) -> str | None:
     """The newest file base*extension that is not older than max_age_s, or None."""
     names = [f"{folder}/{n}" for n in (os.listdir(folder) if os.path.isdir(folder) else ()) if n.startswith(base) and n.endswith(extension)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoline.functions.geometry import is_closed
-from isoline.sources.features import POINTS, TAGS, finish, wound
+from isoline.sources.features import POINTS, TAGS, bounded, finish, wound
 
 #: Tags that are not kept (* stands for any rest), and keys that make a closed way a polygon.
 IGNORED = ("note", "note:*", "source", "source_ref", "source:*", "attribution", "comment", "fixme", "tiger:*", "NHD:*", "nhd:*", "gnis:*", "massgis:*")
@@ -71,6 +71,5 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
 
 def overpass_url(box: tuple, server: str) -> str:
     """The address that gives all data in a box (xmin, xmax, ymin, ymax); without a box there would be no end."""
-    if box is None:
-        raise ValueError("this source needs a box")
+    box = bounded(box)
     return "{}/map?bbox={:g},{:g},{:g},{:g}".format(server.rstrip("/"), box[0], box[2], box[1], box[3])

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoline.sources.features import bounded
 from isoline.sources.files import existing
 from isoline.sources.rasters import read_raster
 
@@ -38,6 +39,7 @@ def read_tiles(spark: SparkSession, folder: str, box: tuple, side: int, extensio
 
     side: cells of a tile's side, the last of which is the next tile's first. x = 0, y = 0 is the upper left corner of the box's tiles.
     """
+    box = bounded(box)
     x0, x1, y0, y1 = math.floor(box[0]), math.ceil(box[1]), math.floor(box[2]), math.ceil(box[3])
     have = set(existing(spark, folder))
     names = {f"{'N' if y >= 0 else 'S'}{abs(y):02d}{'E' if x >= 0 else 'W'}{abs(x):03d}": (x, y) for x in range(x0, x1) for y in range(y0, y1)}  # at most 64,800
