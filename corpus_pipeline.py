@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoline.llm import decontam, near_dup, packing, pii, quality
-from isoline.llm.common import fresh_path, table, written
+from isoline.llm.common import counted, fresh_path, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,9 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows; all columns stay, whatever their names.
     """
     found = written(near_dup.near_duplicates(docs, width=5, percent=80).where("doc_id is not null").select("doc_id", "kept"), "near-dup-kept")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-dup-gone")
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    stay = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    stay = docs.join(counted(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     if again.isEmpty():
         return stay
     repeated, every = F.col("doc_id") == F.col("__again"), F.struct(*docs.columns)

@@ -76,6 +76,24 @@ def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFra
     return left.join(often, key).unionByName(rare)
 
 
+#: Ids of a semi or anti join that are broadcast at most (8 bytes each, some eight times that in a hash relation).
+BROADCAST_IDS = 200_000
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """A written table of one id column with its way of joining: broadcast where its count allows it, else a shuffled hash table."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
+def sweep(spark: SparkSession, folder: str, kept: list[str]) -> None:
+    """Removes files of a folder of one writing that lost or repeated attempts left: those whose name, up to its first dot, is not kept."""
+    path, names = spark._jvm.org.apache.hadoop.fs.Path(folder), {k.rpartition("/")[2].partition(".")[0] for k in kept}
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in store.listStatus(path) if store.exists(path) else ():
+        if f.getPath().getName().partition(".")[0] not in names:
+            store.delete(f.getPath(), False)
+
+
 class Scratch:
     """Written tables that no result reads: clear() removes them together."""
 

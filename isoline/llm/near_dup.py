@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoline.llm.common import Scratch, batch, join_keys, rows_of, text_or_empty, written
+from isoline.llm.common import Scratch, batch, counted, join_keys, rows_of, text_or_empty, written
 from isoline.llm.graph import connected_components
 
 ROWS, BANDS, BITS = 6, 42, 2
@@ -189,8 +189,8 @@ def _confirmed(scratch: Scratch, texts: DataFrame, pairs: DataFrame, width: int,
         counts[end] = scratch.written(likely.groupBy(end).agg(F.count("*").alias("pairs")), f"{label}-{end}")
         parts = F.ceil(F.col("pairs") / PAIRS_A_TEXT)
         dealt = join_keys(dealt, counts[end], end, "pairs").withColumn(f"part_{end}", F.pmod(F.xxhash64(other), parts).cast("int")).drop("pairs")
-    asked = counts["u"].select("u").union(counts["v"].select("v")).distinct().toDF("doc_id")
-    known = scratch.written(texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
+    asked = scratch.written(counts["u"].select("u").union(counts["v"].select("v")).distinct().toDF("doc_id"), f"{label}-asked")
+    known = scratch.written(texts.join(counted(asked), "doc_id", "left_semi"), f"{label}-texts")
     for end in "uv":
         sent = known.toDF(end, f"text_{end}").join(counts[end], end)
         sent = sent.select(end, f"text_{end}", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pairs") / PAIRS_A_TEXT).cast("int") - 1)).alias(f"part_{end}"))
@@ -240,8 +240,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     if not apart.isEmpty():
         mixed = join_keys(placed.select("band", "rep", "own", (F.col("own") != F.col("middle")).alias("off")), apart, "band", "size")
         mixed = scratch.written(mixed, "mixed")
-        asked = mixed.select(F.col("rep").alias("doc_id")).distinct()
-        fine = texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sign_long(width), "rep bigint, long_sig array<bigint>").dropDuplicates(["rep"])
+        asked = scratch.written(mixed.select(F.col("rep").alias("doc_id")).distinct(), "mixed-asked")
+        fine = texts.join(counted(asked), "doc_id", "left_semi").mapInArrow(_sign_long(width), "rep bigint, long_sig array<bigint>").dropDuplicates(["rep"])
         mixed = scratch.written(mixed.join(fine.join(met.select("rep", "n_shingles", "sig", "bands"), "rep"), "rep"), "mixed-signatures")
         # a bucket is cut into blocks, and each block of it meets each other one in a key of its own
         blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")

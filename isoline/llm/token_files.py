@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoline.llm.common import batch, fresh_path, open_fs, rows_of, text_or_empty, written
+from isoline.llm.common import batch, fresh_path, open_fs, rows_of, sweep, text_or_empty, written
 from isoline.llm.seekable import SeekableReader, SeekableWriter
 from isoline.llm.tokenizing import encoder
 
@@ -56,10 +56,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int, fold
     """Writes the shards and returns their manifest (shard_part, shard, n_docs, n_ids), itself a written table.
 
     Order: doc_id ascending with null ids first; rows of one doc_id by their text. Null text is empty: the end id alone. An empty table writes no shard.
+    In a folder of its own (none given), files that lost attempts left are removed.
     """
-    folder = folder or fresh_path(docs.sparkSession, "token-files")
+    own, folder = folder is None, folder or fresh_path(docs.sparkSession, "token-files")
     ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(_write(tokenizer_path, end_id, folder, frame_bytes), "shard_part int, shard string, n_docs bigint, n_ids bigint"), "token-manifest")
+    manifest = written(ordered.mapInArrow(_write(tokenizer_path, end_id, folder, frame_bytes), "shard_part int, shard string, n_docs bigint, n_ids bigint"), "token-manifest")
+    if own:
+        sweep(docs.sparkSession, folder, [r["shard"] for r in manifest.select("shard").collect()])  # a row for each shard
+    return manifest
 
 
 def _read(batches):

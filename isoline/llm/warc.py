@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoline.llm.common import batch, fresh_path, join_keys, open_fs, rows_of, text_or_empty, written
+from isoline.llm.common import batch, fresh_path, join_keys, open_fs, rows_of, sweep, text_or_empty, written
 from isoline.llm.seekable import SeekableReader, SeekableWriter
 
 #: Revisit rows that are broadcast at most (about 40 bytes each).
@@ -110,9 +110,10 @@ def write_bundles(pages: DataFrame, *, folder: str | None = None, least_bytes: i
     """Writes the bundles and returns their index (page_id, bundle, frame, frame_offset, record_bytes), itself a written table.
 
     Of pages with equal payloads of at least least_bytes, the one with the largest page_id is the response. A null payload is empty. Pages with a
-    null id are responses and nothing refers to them. Rows that repeat an id are written each. An empty table writes no bundle.
+    null id are responses and nothing refers to them. Rows that repeat an id are written each. An empty table writes no bundle. In a folder of its own
+    (none given), files that lost attempts left are removed.
     """
-    folder = folder or fresh_path(pages.sparkSession, "warc")
+    own, folder = folder is None, folder or fresh_path(pages.sparkSession, "warc")
     all_pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("html"))
     digest = F.unhex(F.sha1("html"))
     digests = written(all_pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least_bytes)).select("page_id", digest.alias("digest")), "payload-digests")
@@ -122,7 +123,10 @@ def write_bundles(pages: DataFrame, *, folder: str | None = None, least_bytes: i
     keyed = all_pages.withColumn("digest", digest)
     few = revisits.count() <= BROADCAST_REVISITS  # else payloads are dealt by their page
     records = keyed.join(F.broadcast(revisits) if few else revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
-    return written(records.mapInArrow(_write(folder, frame_bytes), INDEX), "warc-index")
+    index = written(records.mapInArrow(_write(folder, frame_bytes), INDEX), "warc-index")
+    if own:
+        sweep(pages.sparkSession, folder, [r["bundle"] for r in index.select("bundle").distinct().collect()])  # a row for each bundle
+    return index
 
 
 def _read(batches):
