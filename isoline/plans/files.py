@@ -33,11 +33,11 @@ def _write_xml(lines, root: str, path: str) -> None:
     lines.mapInPandas(run, "value string").write.text(path)
 
 
-@register(f"WITH {BXS}, {LNS} SELECT 'polygon' AS geom_type, CAST(p_partkey AS VARCHAR) AS k, CAST(5 AS BIGINT) AS vertices, xmin, xmax, ymin, ymax FROM bxs UNION ALL SELECT 'line', NULL, CAST(count(*) AS BIGINT), min(x), max(x), min(y), max(y) FROM v GROUP BY l_orderkey HAVING count(*) >= 2")
+@register(f"WITH {BXS}, {LNS} SELECT 'polygon' AS geom_type, CAST(p_partkey AS VARCHAR) AS k, CAST(5 AS BIGINT) AS vertices, xmin, xmax, ymin, ymax FROM bxs UNION ALL SELECT 'line', '', CAST(count(*) AS BIGINT), min(x), max(x), min(y), max(y) FROM v GROUP BY l_orderkey HAVING count(*) >= 2")
 def geojson_round_trip(spark, d):
     path = f"{shared_folder(spark)}/features.geojson"
     to_geojson(_box_features(spark, d).unionByName(_line_features(spark, d))).write.text(path)
-    return read_geojson(spark, path, lines=True).select("geom_type", T.tag("tags", "k").alias("k"), F.size(F.flatten("parts")).cast("bigint").alias("vertices"), *BOX)
+    return read_geojson(spark, path, lines=True).select("geom_type", F.coalesce(T.tag("tags", "k"), F.lit("")).alias("k"), F.size(F.flatten("parts")).cast("bigint").alias("vertices"), *BOX)
 
 
 @register(f"WITH {BXS} SELECT CAST(p_partkey AS VARCHAR) AS k, xmin, xmax, ymin, ymax FROM bxs WHERE xmax > -20 AND xmin < 60 AND ymax > -30 AND ymin < 40")

@@ -104,12 +104,12 @@ def raster_sharpen(spark, d):
     return raster.sharpen(c, 1.0, 0.5, *_size(c)).select("x", "y", F.round("value", 6).alias("value"))
 
 
-@register("SELECT event_type AS raster_id, CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, round(CASE WHEN user_id % 7 = 0 THEN NULL ELSE value - user_id END, 6) AS value FROM events")
+@register("SELECT event_type AS raster_id, CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, round(CASE WHEN user_id % 7 = 0 THEN -1 ELSE value - user_id END, 6) AS value FROM events")
 def raster_combine(spark, d):
     """A raster for each event type, with some empty cells."""
     e = features.read(spark, d, "events").select(F.col("event_type").alias("raster_id"), (F.col("event_id") % 100).cast("int").alias("x"), F.floor(F.col("event_id") / 100).cast("int").alias("y"), "value", "user_id")
     b = e.select("raster_id", "x", "y", F.when(F.col("user_id") % 7 != 0, F.col("user_id").cast("double")).alias("value"))
-    return raster.combine(e.drop("user_id"), b, lambda p, q: p - q).select("raster_id", "x", "y", F.round("value", 6).alias("value"))
+    return raster.combine(e.drop("user_id"), b, lambda p, q: p - q).select("raster_id", "x", "y", F.round(F.coalesce("value", F.lit(-1.0)), 6).alias("value"))
 
 
 @register(f"WITH {CELLS} SELECT x, y, CAST(least(greatest(round_even(v/500*255, 0), 0), 255) AS INTEGER) AS grey, CASE WHEN v < 50 THEN 0 ELSE 255 END AS alpha FROM (SELECT x, y, CASE WHEN v < 50 THEN -9999 ELSE v END AS v0, v FROM cells) WHERE v >= 50 UNION ALL SELECT x, y, 0, 0 FROM cells WHERE v < 50")

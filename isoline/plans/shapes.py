@@ -206,9 +206,9 @@ def graticule_lines(spark, d):
     return g.select(t["key"].alias("name"), t["value"].alias("value"), F.size(F.col("parts")[0]).cast("bigint").alias("n"), F.when(t["key"] == "Latitude", F.col("xmin")).otherwise(F.col("ymin")).alias("low"))
 
 
-@register(f"WITH {BXS} SELECT CASE WHEN tx < 0 AND ty >= 0 THEN printf('n%02dw%03d', CAST(ty+1 AS INTEGER), CAST(-tx AS INTEGER)) END AS tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs)) GROUP BY 1")
+@register(f"WITH {BXS} SELECT CASE WHEN tx < 0 AND ty >= 0 THEN printf('n%02dw%03d', CAST(ty+1 AS INTEGER), CAST(-tx AS INTEGER)) ELSE 'unnamed' END AS tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs)) GROUP BY 1")
 def tile_names(spark, d):
-    return tiles.cover(features.boxes(spark, d)).groupBy(tiles.usgs_name(F.col("tx"), F.col("ty")).alias("tile")).agg(F.count("*").alias("n"))
+    return tiles.cover(features.boxes(spark, d)).groupBy(F.coalesce(tiles.usgs_name(F.col("tx"), F.col("ty")), F.lit("unnamed")).alias("tile")).agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {PTS} SELECT event_id, round((lon+180)*(1000/CAST(360 AS DOUBLE)), 6) AS cx, round((lat+90)*(1000/CAST(360 AS DOUBLE)) + 250, 6) AS cy FROM pts")
