@@ -30,7 +30,7 @@ def _write(tokenizer_path: str, end_id: int, folder: str, frame_bytes: int):
         files, path = open_fs(name)
         files.create_dir(open_fs(folder)[1], recursive=True)
         out = index = writer = None
-        for b in rows_of(batches, 256):
+        for b in rows_of(batches, 1024, 1 << 22):
             if out is None:
                 out = files.open_output_stream(f"{path}.ids.zst", compression=None)
                 writer = SeekableWriter(out, frame_bytes)

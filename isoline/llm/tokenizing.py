@@ -18,6 +18,9 @@ ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
 #: a stop or comma after another mark: the tokenizer may take the two together
 GLUED = re.compile(r"[.,](?<=[^\w \n].|_.)")
+#: the ASCII marks but the apostrophe, which may start an ending such as 's; and Latin letters with such marks after them
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKED = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{re.escape(MARKS)}]+")
 _OPEN: dict = {}
 
 
@@ -56,6 +59,8 @@ class PieceEncoder:
         self.folds = self.drops_space and same("A\u00c0\u00de. b,c", "a\u00e0\u00fe . b ,c")
         #: ids that end a pre-token, for tokenizers that mark word ends
         self.ends = np.array([str(self.tok.id_to_token(i)).endswith("</w>") for i in range(self.tok.get_vocab_size())]) if self.drops_space else None
+        #: are marks one pre-token, apart from the letters before them?
+        self.parts = self.drops_space and self.ends[self.tok.encode("a" + MARKS, add_special_tokens=False).ids].sum() == 2
 
     def pieces(self, text: str) -> list[str] | None:
         """None: encode it whole."""
@@ -92,22 +97,29 @@ class PieceEncoder:
                 ids[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def _learn_words(self, new: list[str]) -> list[str]:
-        """Learns words of Latin letters, joined by spaces and encoded at once; the others are returned.
+        """Learns words of Latin letters, marks after them or none, joined by spaces and encoded at once; the others are returned.
 
-        A run of letters is one pre-token, and the last id of a pre-token says that it ends, so the ids can be dealt out.
+        A run of letters is one pre-token, marks after it are another, and the last id of a pre-token says that it ends, so the ids can be dealt out.
         """
-        ids, plain, rest = self.ids, [], []
+        ids, plain, runs, rest = self.ids, [], [], []
         for w in new:
-            (plain if w.isalpha() and max(w) < "\u0100" else rest).append(w)
+            if w.isalpha() and max(w) < "\u0100":
+                plain.append(w)
+                runs.append(1)
+            elif self.parts and MARKED.fullmatch(w):
+                plain.append(w)
+                runs.append(2)
+            else:
+                rest.append(w)
         for at in range(0, len(plain), 1000):
-            words = plain[at : at + 1000]
+            words, last = plain[at : at + 1000], np.cumsum(runs[at : at + 1000])
             got = np.array(self.many([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[got]) + 1)).tolist()
-            if len(ends) != len(words):
+            ends = 4 * (np.flatnonzero(self.ends[got]) + 1)
+            if len(ends) != last[-1]:
                 rest += words
                 continue
             raw, start = got.tobytes(), 0
-            for w, stop in zip(words, ends, strict=True):
+            for w, stop in zip(words, ends[last - 1].tolist(), strict=True):
                 ids[w] = raw[start:stop]
                 start = stop
         return rest

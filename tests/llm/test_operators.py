@@ -44,6 +44,22 @@ def test_pieces_are_exact():
             assert got == struct.pack(f"<{len(x)}I", *x)
 
 
+def test_marked_words_are_learnt_together():
+    e = PieceEncoder(WORD)
+    calls, many = [], e.many
+    e.many = lambda texts, **k: calls.append(list(texts)) or many(texts, **k)
+    rng = np.random.default_rng(3)
+    marks = '!"#$%&()*+-/:;<=>?@[\\]^_`{|}~.,'
+    texts = ["thing### \u00e9aux%%% Stra\u00dfe!? (no_ plain", "\u4e2d \u00c9t\u00e9## IT&& a<| endoftext|> b_c d' e's 7## \u00b5## \u00aa!"]
+    texts += [" ".join("".join(rng.choice(list("abzAZ\u00df\u00e9\u00d8\u00ff"), rng.integers(1, 6))) + "".join(rng.choice(list(marks), rng.integers(0, 5))) for _ in range(30)) for _ in range(100)]
+    for t, got in zip(texts, e.encode(texts), strict=True):
+        x = e.tok.encode(t, add_special_tokens=False).ids
+        assert got == struct.pack(f"<{len(x)}I", *x)
+    alone = {w for c in calls for w in c if " " not in w}
+    assert not alone & {"thing###", "\u00e9aux%%%", "\u00c9t\u00e9##", "IT&&"}  # one by one each costs some three times as much
+    assert {"(no_", "7##", "d'", "e's"} <= alone
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, WORD, capacity=64).collect()
     assert sum(r.length for r in rows) == sum(len(ids_of(WORD, r[1])) + 1 for r in ROWS)
