@@ -60,8 +60,8 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
 HOT_KEYS, HOT_ROWS = 10_000, 500
 
 
-def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
-    """left joined (inner) with right, which has each key once and, in column `rows`, how many rows left has of it.
+def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """left joined ("inner" or "left") with right, which has each key once and, in column `rows`, how many rows left has of it.
 
     Keys that hold more than total / HOT_KEYS rows (HOT_ROWS at least) are met by a broadcast, so no task gets all rows of a hot key; as total is the sum
     of right's rows, there are fewer than HOT_KEYS of them however large the tables are. All others are met by a shuffle. left is read twice.
@@ -69,10 +69,10 @@ def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFra
     sums = right.agg(F.sum(rows).alias("total"), F.max(rows).alias("most")).first()
     limit = max(HOT_ROWS, (sums["total"] or 0) // HOT_KEYS)
     if (sums["most"] or 0) <= limit:
-        return left.join(right, key)
+        return left.join(right, key, how)
     hot = F.col(rows) > limit
     often = F.broadcast(right.where(hot))
-    rare = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key)
+    rare = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key, how)
     return left.join(often, key).unionByName(rare)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isoline.llm import ann, decontam, lm, near_dup, packing, pii, quality, token_counts, token_files, warc
+from isoline.llm import ann, decontam, filter_audit, lm, near_dup, packing, pii, quality, token_counts, token_files, warc
 from isoline.llm.common import table
 
 
@@ -53,8 +53,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_near_dup, op3_token_counts, op4_pii, op5_warc, op6_token_files, op7_quality, op8_decontamination, op9_lm_scoring, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dup, op3_token_counts, op4_pii, op5_warc, op6_token_files, op7_quality, op8_decontamination, op9_lm_scoring, op10_nearest_neighbours, op13_filter_audit)}
 
 
 OP2_SQL = r"""
@@ -97,7 +101,31 @@ ok AS (SELECT *, max(matched) OVER (PARTITION BY doc_id, item_id) AS best FROM c
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(w) AS BIGINT) AS of_tokens, CAST(min(first) AS BIGINT) AS first_token FROM ok WHERE matched = best GROUP BY doc_id, item_id
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, doc_id, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails FROM d),
+m AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+p AS (SELECT a.c || b.c || g.c || h.c || i.c AS filter_order FROM c a, c b, c g, c h, c i WHERE len(list_distinct([a.c, b.c, g.c, h.c, i.c])) = 5),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS filter, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+    CAST(coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, CAST(k AS INTEGER), 1)) - 65))), 0) AS INTEGER) AS earlier
+  FROM (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM p)),
+r AS (
+  SELECT part, filter_order, step, filter, sum(CASE WHEN fails & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & earlier = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & earlier > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & earlier = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails & earlier = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """op1, op3, op4, op6, op7, op9 and op10 (tokenizers, models, approximate search) are held against brute force in tests/llm."""
-    return {"op2_near_dup": OP2_SQL, "op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL}
+    return {"op2_near_dup": OP2_SQL, "op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op13_filter_audit": OP13_SQL}
