@@ -106,6 +106,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def added(self, df: DataFrame, label: str) -> DataFrame:
+        """Adds df to the table of this label and reads back all of it."""
+        path = f"{self.folder}/{label}"
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def clear(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

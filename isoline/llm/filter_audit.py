@@ -45,43 +45,40 @@ def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     return every.select("part", *"ABCDE", *(F.coalesce(k, F.lit(False)).alias(k) for k in ("good", "toxic")))
 
 
-def _many(condition: Column) -> Column:
-    return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
-
-
 def edge_counts(rows: DataFrame, filters: str, scratch: Scratch) -> DataFrame:
     """rows: part, a boolean column for each letter of filters (true: fails), good, toxic. Returns part, state, filter, kept, removed, good_lost, toxic_lost.
 
     state is the set of filters that came before, as its letters in the order of `filters`. Parts without survivors have no row at a state.
     """
-    seen: dict[str, DataFrame] = {}
+    seen: set[str] = set()
 
     def visit(state: str, survivors: DataFrame) -> None:
         left = [f for f in filters if f not in state]
-        counts = [F.struct(F.lit(f).alias("filter"), (F.count("*") - _many(F.col(f))).alias("kept"), _many(F.col(f)).alias("removed"), _many(F.col(f) & F.col("good")).alias("good_lost"), _many(F.col(f) & F.col("toxic")).alias("toxic_lost")) for f in left]
-        found = survivors.groupBy("part").agg(F.array(*counts).alias("edges")).select("part", F.lit(state).alias("state"), F.explode("edges").alias("e")).select("part", "state", "e.*")
-        seen[state] = scratch.written(found, f"edges-{state}")
+        counts = ", ".join(f"struct('{f}' AS filter, count_if(NOT {f}) AS kept, count_if({f}) AS removed, count_if({f} AND good) AS good_lost, count_if({f} AND toxic) AS toxic_lost)" for f in left)
+        found = survivors.groupBy("part").agg(F.expr(f"array({counts}) AS e")).selectExpr("part", f"'{state}' AS state", "inline(e)")
+        nonlocal edges
+        edges = scratch.added(found, "edges")
+        seen.add(state)
         for f in left:
             below = "".join(x for x in filters if x in state or x == f)
             if len(below) == len(filters) or below in seen:
                 continue
-            rest = survivors.where(~F.col(f)).drop(f).persist(StorageLevel.MEMORY_AND_DISK)
+            rest = survivors.where(f"NOT {f}").drop(f).persist(StorageLevel.MEMORY_AND_DISK)
             visit(below, rest)
             rest.unpersist()
 
+    edges = rows
     visit("", rows)
-    out, *more = seen.values()
-    for x in more:
-        out = out.unionByName(x)
-    return out
+    return edges
 
 
 def audit(rows: DataFrame, filters: str, scratch: Scratch) -> DataFrame:
     """One row per part, order of all filters and step, from rows as `edge_counts` takes them."""
     spark, n = rows.sparkSession, len(filters)
-    edges = scratch.written(edge_counts(rows, filters, scratch), "edges")
-    fails = [F.struct(F.lit(f).alias("filter"), _many(F.col(f)).alias("fails"), _many(F.col(f) & ~F.greatest(*(F.col(x) for x in filters if x != f), F.lit(False), F.lit(False))).alias("unique_fails")) for f in filters]
-    totals = rows.groupBy("part").agg(F.array(*fails).alias("x")).select("part", F.explode("x").alias("x")).select("part", "x.*")
+    edges = edge_counts(rows, filters, scratch)
+    only = {f: " AND ".join([f, *(f"NOT {x}" for x in filters if x != f)]) for f in filters}
+    fails = ", ".join(f"struct('{f}' AS filter, count_if({f}) AS fails, count_if({only[f]}) AS unique_fails)" for f in filters)
+    totals = rows.groupBy("part").agg(F.expr(f"array({fails}) AS e")).selectExpr("part", "inline(e)")
     # so many orders put the filter right behind the filters of its state
     orders = F.element_at(F.array(*(F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n))), F.length("state") + 1)
     shapley = edges.groupBy("part", "filter").agg(F.sum(F.col("removed") * orders).cast("bigint").alias("shapley"))
