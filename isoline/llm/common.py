@@ -60,7 +60,7 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
 HOT_KEYS, HOT_ROWS = 10_000, 500
 
 
-def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+def join_keys(left: DataFrame, right: DataFrame, key: str | list[str], rows: str, how: str = "inner") -> DataFrame:
     """left joined ("inner" or "left") with right, which has each key once and, in column `rows`, how many rows left has of it.
 
     Keys that hold more than total / HOT_KEYS rows (HOT_ROWS at least) are met by a broadcast, so no task gets all rows of a hot key; as total is the sum
@@ -72,7 +72,7 @@ def join_keys(left: DataFrame, right: DataFrame, key: str, rows: str, how: str =
         return left.join(right, key, how)
     hot = F.col(rows) > limit
     often = F.broadcast(right.where(hot))
-    rare = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key, how)
+    rare = left.join(F.broadcast(right.where(hot).select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(right.where(~hot), key, how)
     return left.join(often, key).unionByName(rare)
 
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isoline.llm import ann, decontam, filter_audit, lm, near_dup, packing, pii, quality, token_counts, token_files, warc
+from isoline.llm import ann, collocations, decontam, filter_audit, lm, near_dup, packing, pii, quality, substring_dedup, token_counts, token_files, warc
 from isoline.llm.common import table
 
 
@@ -53,12 +54,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, most=2000)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_near_dup, op3_token_counts, op4_pii, op5_warc, op6_token_files, op7_quality, op8_decontamination, op9_lm_scoring, op10_nearest_neighbours, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dup, op3_token_counts, op4_pii, op5_warc, op6_token_files, op7_quality, op8_decontamination, op9_lm_scoring, op10_nearest_neighbours, op11_substring_dedup, op12_collocations, op13_filter_audit)}
 
 
 OP2_SQL = r"""
@@ -101,6 +111,33 @@ ok AS (SELECT *, max(matched) OVER (PARTITION BY doc_id, item_id) AS best FROM c
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(w) AS BIGINT) AS of_tokens, CAST(min(first) AS BIGINT) AS first_token FROM ok WHERE matched = best GROUP BY doc_id, item_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, s, sha256(array_to_string(w[s : s + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+b AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, list(DISTINCT s) AS at FROM g JOIN b USING (h) GROUP BY r),
+gone AS (SELECT r, list_distinct(flatten(list_transform(at, lambda s: range(s, s + 35)))) AS places FROM starts),
+k AS (SELECT d.r, doc_id, w, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, p: NOT coalesce(list_contains(places, p), false)), ' '), '')) AS kept_sha256
+FROM k
+"""
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, many, array_to_string(w[i : i + many - 1], ' ') AS gram FROM (SELECT lang, w, many, unnest(range(1, len(w) - many + 2)) AS i FROM (SELECT lang, w, unnest(range(1, 6)) AS many FROM w))),
+f AS (SELECT lang, many, gram, count(*) AS f FROM g GROUP BY lang, many, gram HAVING count(*) >= 100),
+c AS (SELECT lang, many, gram AS phrase, f AS a FROM f WHERE many > 1),
+cuts AS (SELECT lang, phrase, a, many, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS first_part, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, many)) AS k FROM c)),
+s AS (SELECT x.lang, phrase, a, k, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.gram = first_part JOIN f r ON r.lang = x.lang AND r.gram = rest JOIN t ON t.lang = x.lang),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+free AS (SELECT * FROM low x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = x.lang AND y.a >= x.a AND length(y.phrase) > length(x.phrase) AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM free QUALIFY rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
@@ -128,4 +165,4 @@ FROM r
 
 def oracle_sql() -> dict[str, str]:
     """op1, op3, op4, op6, op7, op9 and op10 (tokenizers, models, approximate search) are held against brute force in tests/llm."""
-    return {"op2_near_dup": OP2_SQL, "op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op2_near_dup": OP2_SQL, "op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_collocations": OP12_SQL, "op13_filter_audit": OP13_SQL}
