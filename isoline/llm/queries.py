@@ -115,8 +115,8 @@ OP11_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT r, s, sha256(array_to_string(w[s : s + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
 b AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
-starts AS (SELECT r, list(DISTINCT s) AS at FROM g JOIN b USING (h) GROUP BY r),
-gone AS (SELECT r, list_distinct(flatten(list_transform(at, lambda s: range(s, s + 35)))) AS places FROM starts),
+starts AS (SELECT r, list(DISTINCT s) AS hits FROM g JOIN b USING (h) GROUP BY r),
+gone AS (SELECT r, list_distinct(flatten(list_transform(hits, lambda s: range(s, s + 35)))) AS places FROM starts),
 k AS (SELECT d.r, doc_id, w, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (r))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(list_filter(w, lambda x, p: NOT coalesce(list_contains(places, p), false)), ' '), '')) AS kept_sha256
