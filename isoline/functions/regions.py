@@ -68,6 +68,18 @@ def _pieces(e: np.ndarray, step: float) -> np.ndarray:
     return np.unique(all_, axis=0)
 
 
+def turn(way: tuple, on: tuple) -> float:
+    """The angle by which `on` turns to the left of `way`."""
+    return math.atan2(way[0] * on[1] - way[1] * on[0], way[0] * on[0] + way[1] * on[1])
+
+
+def bends(p: np.ndarray) -> np.ndarray:
+    """The corners of a ring in whole steps (first one not repeated), without those on the straight; none if no region is left."""
+    before, after = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
+    bend = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 4 * np.maximum(np.hypot(*before.T), np.hypot(*after.T))
+    return p[bend] if bend.sum() > 2 else p[:0]
+
+
 def _rings(pieces: np.ndarray, step: float) -> list[np.ndarray]:
     """Directed pieces as rings; where several go on, the one farthest to the left, so rings that touch stay apart."""
     on: dict[tuple, list[tuple]] = {}
@@ -85,7 +97,7 @@ def _rings(pieces: np.ndarray, step: float) -> list[np.ndarray]:
             if way is None or len(options) == 1:
                 q = options[-1]
             else:
-                q = max(options, key=lambda o: math.atan2(way[0] * (o[1] - p[1]) - way[1] * (o[0] - p[0]), way[0] * (o[0] - p[0]) + way[1] * (o[1] - p[1])))
+                q = max(options, key=lambda o: turn(way, (o[0] - p[0], o[1] - p[1])))
             options.remove(q)
             if not options:
                 del on[p]
@@ -94,15 +106,24 @@ def _rings(pieces: np.ndarray, step: float) -> list[np.ndarray]:
             if q == first:
                 break
         if len(ring) > 3 and ring[0] == ring[-1]:
-            p = np.array(ring[:-1], float)
-            before, after = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
-            bend = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 4 * np.maximum(np.hypot(*before.T), np.hypot(*after.T))
-            if bend.sum() > 2:
-                p = p[bend] * step
-                out.append(np.concatenate([p, p[:1]]))
+            p = bends(np.array(ring[:-1], float))
+            if len(p):
+                out.append(np.concatenate([p, p[:1]]) * step)
     return out
 
 
+def boundary(sets: Sequence[np.ndarray], inside, step: float) -> np.ndarray:
+    """Directed pieces (in whole steps) with the region on their left only: all places where inside(winding numbers of each set of edges) holds."""
+    p = _pieces(np.concatenate(sets), step)
+    a, b = p[:, :2] * step, p[:, 2:] * step
+    way = (b - a) / np.hypot(*(b - a).T)[:, None]
+    left = np.column_stack([-way[:, 1], way[:, 0]]) * 16 * step
+    mid = (a + b) / 2
+    on_left, on_right = (inside(*(winding(mid + k * left, s) for s in sets)) for k in (1, -1))
+    p[on_right] = p[on_right][:, [2, 3, 0, 1]]
+    return p[on_left != on_right]
+
+
 def region(groups: Sequence[Rings], inside) -> list[np.ndarray]:
     """Rings around all places where inside(winding numbers of each group) holds."""
     sets = [edges_of(g) for g in groups]
@@ -112,14 +133,7 @@ def region(groups: Sequence[Rings], inside) -> list[np.ndarray]:
     origin = np.minimum(e[:, :2], e[:, 2:]).min(axis=0)
     e, sets = e - np.tile(origin, 2), [s - np.tile(origin, 2) for s in sets]
     step = float(np.abs(e).max()) * 1e-9
-    p = _pieces(e, step)
-    a, b = p[:, :2] * step, p[:, 2:] * step
-    way = (b - a) / np.hypot(*(b - a).T)[:, None]
-    left = np.column_stack([-way[:, 1], way[:, 0]]) * 16 * step
-    mid = (a + b) / 2
-    on_left, on_right = (inside(*(winding(mid + k * left, s) for s in sets)) for k in (1, -1))
-    p[on_right] = p[on_right][:, [2, 3, 0, 1]]
-    return [r + origin for r in _rings(p[on_left != on_right], step)]
+    return [r + origin for r in _rings(boundary(sets, inside, step), step)]
 
 
 def capsule(p: np.ndarray, q: np.ndarray, r: float, arc: int) -> np.ndarray:
@@ -172,12 +186,3 @@ def buffer_line(parts: Column, r: float, arc: int = 24) -> Column:
     if r <= 0:
         raise ValueError("r must be positive")
     return _applied(parts, lambda rings: buffer_lines(rings, r, arc))
-
-
-def dissolve(df: DataFrame, key: str, parts: str, cell: float) -> DataFrame:
-    """(key, parts): the union of all polygons of a key. Polygons are united by grid cells of the side `cell` first, so only what is left of a cell meets the other cells of its key."""
-    x, y = F.get(F.get(parts, F.lit(0)), F.lit(0))["x"], F.get(F.get(parts, F.lit(0)), F.lit(0))["y"]
-    near = df.where(F.size(parts) > 0).groupBy(key, F.floor(x / cell).alias("__cx"), F.floor(y / cell).alias("__cy")).agg(F.flatten(F.collect_list(parts)).alias("p"))
-    one = near.select(key, _applied(F.col("p"), union).alias("p"))
-    whole = one.groupBy(key).agg(F.flatten(F.collect_list("p")).alias("p"))
-    return whole.select(key, _applied(F.col("p"), union).alias("parts"))

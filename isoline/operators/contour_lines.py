@@ -1,4 +1,4 @@
-"""Contour segments joined into lines, first within tiles, then from tile to tile by their ends only."""
+"""Contour segments joined into lines: within tiles by one task each, then from tile to tile by pointer doubling over what is open at their ends."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoline.operators.chains import linked
 from isoline.operators.raster_grid import contour_segments
+from isoline.sources.steps import Steps
 
 
 def trails(ends: list[tuple]) -> list[list[tuple[int, bool]]]:
@@ -44,38 +46,34 @@ def _key(x: float, y: float) -> tuple:
 
 
 def contour_lines(cells: DataFrame, interval: float, base: float = 0.0, nodata: float | None = None, tile: int = 128) -> DataFrame:
-    """(raster_id, elev, line, points, closed). A level's tiles are stitched apart from each other; then only the ends of what they gave meet in one task, for each raster and level."""
+    """(raster_id, elev, line, points, closed). Tiles bound what a task stitches; lines that leave their tile are linked in log rounds, whatever their number."""
     def stitch(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["x1", "y1", "x2", "y2"])
         seg = list(zip(frame["x1"], frame["y1"], frame["x2"], frame["y2"]))
         rows = []
-        for n, trail in enumerate(trails([(_key(a, b), _key(c, d)) for a, b, c, d in seg])):
+        for trail in trails([(_key(a, b), _key(c, d)) for a, b, c, d in seg]):
             i, back = trail[0]
             points = [seg[i][2:] if back else seg[i][:2]] + [seg[i][:2] if back else seg[i][2:] for i, back in trail]
-            rows.append((n, [p[0] for p in points], [p[1] for p in points]))
+            rows.append(([p[0] for p in points], [p[1] for p in points], _key(*points[0]), _key(*points[-1])))
         first = frame.iloc[0]
-        return pd.DataFrame(rows, columns=["n", "xs", "ys"]).assign(raster_id=first["raster_id"], elev=first["elev"], tx=first["tx"], ty=first["ty"])
-
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["tx", "ty", "n"]).reset_index(drop=True)
-        ends = [(_key(a, b), _key(c, d)) for a, b, c, d in zip(frame["x1"], frame["y1"], frame["x2"], frame["y2"])]
-        place = {i: (line, k, back) for line, trail in enumerate(trails(ends)) for k, (i, back) in enumerate(trail)}
-        got = [place[i] for i in range(len(frame))]
-        return frame[["raster_id", "elev", "tx", "ty", "n"]].assign(line=[g[0] for g in got], k=[g[1] for g in got], back=[g[2] for g in got])
+        return pd.DataFrame(rows, columns=["xs", "ys", "head", "tail"]).assign(raster_id=first["raster_id"], elev=first["elev"])
 
+    steps, out = Steps(cells.sparkSession), Steps(cells.sparkSession)
     seg = contour_segments(cells, interval, base, nodata).where("x1 <> x2 or y1 <> y2")
     seg = seg.withColumns({"tx": F.floor(F.least("x1", "x2") / tile), "ty": F.floor(F.least("y1", "y2") / tile)})
     kind = dict(cells.dtypes)["raster_id"]
-    parts = seg.groupBy("raster_id", "elev", "tx", "ty").applyInPandas(stitch, f"raster_id {kind}, elev double, tx bigint, ty bigint, n int, xs array<double>, ys array<double>")
-    at = lambda c, k: F.element_at(c, k)
-    ends = parts.select("raster_id", "elev", "tx", "ty", "n", at("xs", 1).alias("x1"), at("ys", 1).alias("y1"), at("xs", -1).alias("x2"), at("ys", -1).alias("y2"))
-    linked = ends.groupBy("raster_id", "elev").applyInPandas(link, f"raster_id {kind}, elev double, tx bigint, ty bigint, n int, line int, k int, back boolean")
+    parts = seg.groupBy("raster_id", "elev", "tx", "ty").applyInPandas(stitch, f"raster_id {kind}, elev double, xs array<double>, ys array<double>, head array<double>, tail array<double>")
+    parts = out.keep(parts.select(F.monotonically_increasing_id().alias("part"), "*"))
+    whole = parts.where("head = tail")
+    open_ = parts.where("head <> tail").select("part", F.posexplode(F.array("head", "tail")).alias("side", "at"), "raster_id", "elev")
+    found = out.keep(linked(open_.select("part", "side", F.struct("raster_id", "elev", "at").alias("node")), steps))
     points = F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    both = parts.join(linked, ["raster_id", "elev", "tx", "ty", "n"]).select("raster_id", "elev", "line", "k", F.when(F.col("back"), F.reverse(points)).otherwise(points).alias("p"))
-    whole = both.groupBy("raster_id", "elev", "line").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("v"))
-    joined = F.concat(F.col("v")[0]["p"], F.flatten(F.transform(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), lambda v: F.slice(v["p"], 2, F.greatest(F.size(v["p"]) - 1, F.lit(0))))))
-    near = lambda p, q: (F.abs(p["x"] - q["x"]) < 1e-7) & (F.abs(p["y"] - q["y"]) < 1e-7)
-    return whole.select("raster_id", "elev", "line", joined.alias("points")).withColumn("closed", near(F.get("points", F.lit(0)), F.element_at("points", -1)))
+    both = parts.join(found, "part").select("raster_id", "elev", "line", "place", "closed", F.when(F.col("back"), F.reverse(points)).otherwise(points).alias("p"))
+    lines = both.groupBy("raster_id", "elev", "line").agg(F.array_sort(F.collect_list(F.struct("place", "p"))).alias("v"), F.max("closed").alias("closed"))
+    rest = F.flatten(F.transform(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), lambda v: F.slice(v["p"], 2, F.greatest(F.size(v["p"]) - 1, F.lit(0)))))
+    lines = lines.select("raster_id", "elev", "line", F.concat(F.col("v")[0]["p"], rest).alias("points"), "closed")
+    steps.clear()
+    return lines.unionByName(whole.select("raster_id", "elev", (2 * F.col("part")).alias("line"), points.alias("points"), F.lit(True).alias("closed")))
 
 
 def contour_features(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from isoline.functions import algorithms, color, coords, crs, geometry, regions, text
-from isoline.operators import features, joins
+from isoline.operators import dissolve, features, joins
 from isoline.plans.collect import BOX, BXS, LNS, PTS, STOPS, gradient_sql, register
 from isoline.render import canvas, labels, svg
 from isoline.sources import tiles
@@ -281,5 +281,5 @@ def segment_buffer(spark, d):
 def rings_dissolved(spark, d):
     """The SQL counts the unit squares of the whole-numbered rectangles."""
     r = features.rings(spark, d).join(features.read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-    out = regions.dissolve(r.select("s_nationkey", F.array("c").alias("parts")), "s_nationkey", "parts", 60.0)
-    return out.select("s_nationkey", _area(F.col("parts")).alias("area"))
+    out = dissolve.dissolve_rings(r.select("s_nationkey", F.array("c").alias("parts")), "s_nationkey", "parts")
+    return out.groupBy("s_nationkey").agg(F.round(F.sum(geometry.area("ring")), 3).alias("area"))

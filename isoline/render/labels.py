@@ -1,18 +1,17 @@
 """Anchors, label candidates and greedy placement.
 
-First fit is sequential within a map: whether a label stays depends on all before it. So a map (map_id) is one group, and maps are placed
-independently of each other.
+`first_fit` says what placement means, one label after the other; `place` makes the same choices in parallel (see `placement`).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoline.functions.algorithms import pole_of_inaccessibility
 from isoline.functions.geometry import midpoint
+from isoline.render.placement import place_in_rounds
 
 #: Horizontal and vertical place of each candidate, in order.
 WITH_SYMBOL = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
@@ -77,15 +76,6 @@ def first_fit(boxes: list[np.ndarray], cell: float) -> list[int]:
 def place(df: DataFrame, order: str = "seq") -> DataFrame:
     """df: map_id, a unique order column, boxes (array of candidates). Returns (map_id, order, choice): the candidate's number from 0, -1 for none.
 
-    A map is one group: what it can show is bounded by its canvas, but its features are not, so filter features to the map's bounds first.
+    Maps are independent of each other, and a map is not one group: see `placement.place_in_rounds`.
     """
-    flat = df.select("map_id", order, *(F.col(f"boxes.{k}").alias(k) for k in ("x0", "x1", "y0", "y1")))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        boxes = [np.column_stack(v).tolist() for v in zip(frame["x0"], frame["x1"], frame["y0"], frame["y1"], strict=True)]
-        sides = [max(o[0][1] - o[0][0], o[0][3] - o[0][2]) for o in boxes if o]
-        return pd.DataFrame({"map_id": frame["map_id"], order: frame[order], "choice": first_fit(boxes, max(float(np.mean(sides)) if sides else 1.0, 1e-9))})
-
-    kind = dict(df.dtypes)
-    return flat.groupBy("map_id").applyInPandas(run, f"map_id {kind['map_id']}, {order} {kind[order]}, choice int")
+    return place_in_rounds(df, order)

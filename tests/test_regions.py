@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoline.functions import regions as R
+from isoline.operators import dissolve
 
 
 def ring(*xy):
@@ -72,6 +73,6 @@ def test_columns(spark):
     rows = [(1, "a", [[tuple(map(float, p)) for p in SQUARE]]), (2, "a", [[tuple(map(float, p)) for p in SQUARE + [5, 0]]]), (3, "b", [[tuple(map(float, p)) for p in SQUARE]]), (4, "c", None)]
     df = spark.createDataFrame(rows, "id long, k string, parts array<array<struct<x:double,y:double>>>")
     size = lambda parts: None if parts is None else round(area([np.array([tuple(p) for p in c]) for c in parts]), 6)
-    assert {r.k: size(r.parts) for r in R.dissolve(df, "k", "parts", 4.0).collect()} == {"a": 150.0, "b": 100.0}
+    assert {r.k: size(r.parts) for r in dissolve.dissolve(df, "k", "parts", 4.0).collect()} == {"a": 150.0, "b": 100.0}
     r = {r.id: (size(r.o), size(r.b)) for r in df.select("id", R.offset_polygon(F.col("parts"), -1.0).alias("o"), R.buffer_line(F.col("parts"), 1.0).alias("b")).collect()}
     assert r[1][0] == 64 and r[4] == (None, None) and r[1][1] == pytest.approx(140 + DISC - 64)
