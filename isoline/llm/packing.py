@@ -3,23 +3,23 @@
 Every text becomes ids plus an end id; only documents longer than the capacity are cut. Only the histogram of piece lengths (at most
 `capacity` rows, however large the corpus) reaches the driver. There each bin takes the longest length left and a bitset subset-sum
 programme over the lengths still available finds the fullest feasible filling; that pattern is then removed as often as the counts allow.
-Pieces are numbered within their length (local rank plus the offset of their task), and a rank finds its sequence by binary search in the plan.
+Pieces are numbered within their length (local rank plus the offset of their task), and a rank finds its sequence in the plan, whose size the capacity
+bounds. Every piece keeps its ids, written once to the shared folder; `sequences` joins the pieces of a sequence to what a training job reads.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoline.llm.common import batch, rows_of, text_or_empty, written
+from isoline.llm.common import BROADCAST_IDS, batch, fresh_path, rows_of, text_or_empty
 from isoline.llm.tokenizing import encoder
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, pack_part int, pack_rank bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, pack_part int, pack_rank bigint"
+PLAN = "length bigint, rank_from bigint, rank_to bigint, first_sequence bigint, times bigint, first_offset bigint"
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -79,7 +79,7 @@ def plan_table(bins: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 def _cut(tokenizer_path: str, end_id: int, capacity: int):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("pack_part", pa.int32()), ("pack_rank", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("pack_part", pa.int32()), ("pack_rank", pa.int64())])
         ranks, part, end = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
         enc = encoder(tokenizer_path)
         for b in rows_of(batches, 256):
@@ -89,7 +89,7 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int):
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     x = ids[at : at + 4 * capacity]
                     n = len(x) // 4
-                    for k, v in zip(out, (doc_id, p, at // 4, n, zlib.crc32(x), part, int(ranks[n])), strict=True):
+                    for k, v in zip(out, (doc_id, p, at // 4, n, x, part, int(ranks[n])), strict=True):
                         out[k].append(v)
                     ranks[n] += 1
             yield batch(schema, out)
@@ -97,35 +97,34 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int):
     return run
 
 
-def _place(plan: np.ndarray):
-    def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-        shift = 44  # ranks below 2**44, lengths below 2**19
-        keys = plan[:, 0] << shift | plan[:, 1]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5))
-            p = plan[np.searchsorted(keys, n << shift | rank, side="right") - 1]
-            r = rank - p[:, 1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(p[:, 3] + r // p[:, 4]), pa.array(p[:, 5] + r % p[:, 4] * n)], schema=schema)
-
-    return run
-
-
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit integers), sequence_id, offset.
 
     A null or empty text is the end id alone. Null ids and repeated rows are packed like any other row. No rows give no rows. Other columns
     of docs are not read. Ties in length are broken by task and order of reading, so sequence numbers may differ between runs; their number may not.
     """
     if not 0 < capacity < 1 << 19:
         raise ValueError("capacity must be in 1 .. 2**19 - 1")
-    pieces = written(docs.select(F.col(id_col).cast("bigint"), text_or_empty(text_col)).mapInArrow(_cut(tokenizer_path, end_id, capacity), PIECES), "pieces")
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "pieces")
+    cut = docs.select(F.col(id_col).cast("bigint"), text_or_empty(text_col)).mapInArrow(_cut(tokenizer_path, end_id, capacity), PIECES)
+    cut.write.option("compression", "zstd").parquet(path)
+    pieces = spark.read.schema(PIECES).parquet(path)
     per_part = pieces.groupBy("pack_part", "length").count()
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
-    plan = plan_table(plan_bins(histogram, capacity))
+    plan = plan_table(plan_bins(histogram, capacity))  # a filling ends with a length used up, so there are at most `capacity` of them
+    plan = F.broadcast(spark.createDataFrame(plan.tolist(), PLAN))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("pack_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_part.select("pack_part", "length", F.coalesce(before, F.lit(0)).alias("pack_before"))
-    ranked = pieces.join(offsets, ["pack_part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("pack_rank") + F.col("pack_before")).alias("pack_rank"))
-    return ranked.mapInArrow(_place(plan), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    if offsets.count() <= BROADCAST_IDS:
+        offsets = F.broadcast(offsets)
+    rank = F.col("pack_rank") + F.col("pack_before")
+    ranked = pieces.join(offsets, ["pack_part", "length"]).withColumn("rank", rank).join(plan, "length").where("rank >= rank_from and rank < rank_to")
+    return ranked.selectExpr("doc_id", "piece", "start", "length", "ids", "first_sequence + (rank - rank_from) div times AS sequence_id", "first_offset + (rank - rank_from) % times * length AS offset")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row per sequence of what `pack` returns: sequence_id, length, ids, parts (doc_id, piece, start, length, offset, in order of offset)."""
+    piece = F.struct("offset", "length", "doc_id", "piece", "start", "ids")
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(piece)).alias("all"))  # at most `capacity` tokens
+    part = F.transform("all", lambda x: F.struct(*(x[k].alias(k) for k in ("doc_id", "piece", "start", "length", "offset"))))
+    return rows.select("sequence_id", "length", F.aggregate("all", F.lit(b""), lambda ids, x: F.concat(ids, x["ids"])).alias("ids"), part.alias("parts"))

@@ -61,7 +61,8 @@ def test_marked_words_are_learnt_together():
 
 
 def test_packing(docs, empty):
-    rows = packing.pack(docs, WORD, capacity=64).collect()
+    packed = packing.pack(docs, WORD, capacity=64)
+    rows = packed.collect()
     assert sum(r.length for r in rows) == sum(len(ids_of(WORD, r[1])) + 1 for r in ROWS)
     by = {}
     for r in rows:
@@ -74,8 +75,21 @@ def test_packing(docs, empty):
         assert at <= 64
     assert len(by) == -(-sum(r.length for r in rows) // 64)
     one = next(r for r in rows if r.doc_id == 0)
-    assert one.ids_crc32 == zlib.crc32(np.array([*ids_of(WORD, TEXTS[0]), 0], "<u4").tobytes())
-    assert packing.pack(empty, WORD).count() == 0
+    assert np.frombuffer(one.ids, "<u4").tolist() == [*ids_of(WORD, TEXTS[0]), 0]
+    # sequences read back: every document's ids, piece after piece, from the places that its parts name
+    texts: dict = {}
+    for r in packing.sequences(packed).collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length == sum(p.length for p in r.parts) <= 64
+        for p in r.parts:
+            texts.setdefault(p.doc_id, {}).setdefault((p.piece, p.start), []).append(ids[p.offset : p.offset + p.length].tolist())
+    for doc_id in {r[0] for r in ROWS}:
+        want = sorted([*ids_of(WORD, r[1]), 0] for r in ROWS if r[0] == doc_id)
+        if len(want) == 1:
+            assert [i for k in sorted(texts[doc_id]) for i in texts[doc_id][k][0]] == want[0]
+        else:
+            assert sorted(texts[doc_id][0, 0]) == want
+    assert packing.pack(empty, WORD).count() == 0 and packing.sequences(packing.pack(empty, WORD)).count() == 0
 
 
 def test_fullest_is_optimal():
