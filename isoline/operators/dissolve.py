@@ -150,19 +150,23 @@ def _partly(key_type: pa.DataType):
     return run
 
 
-@pandas_udf("array<struct<id:bigint,next:bigint>>")
-def _matched(comes: pd.Series, goes: pd.Series) -> pd.Series:
-    """At places where several paths meet: what comes in goes on as far to the left as it can."""
-    out = []
-    for a, b in zip(comes, goes, strict=True):
-        left, pairs = list(b), []
-        for x in a:
-            if left:
-                y = max(left, key=lambda y: turn((x["dx"], x["dy"]), (y["dx"], y["dy"])))
-                left.remove(y)
-                pairs.append({"id": x["id"], "next": y["id"]})
-        out.append(pairs)
-    return pd.Series(out)
+def matched(comes: list[dict], goes: list[dict]) -> list[dict]:
+    """At a place where several paths meet: what comes in goes on as far to the left as it can."""
+    left, pairs = list(goes), []
+    for x in comes:
+        if left:
+            y = max(left, key=lambda y: turn((x["dx"], x["dy"]), (y["dx"], y["dy"])))
+            left.remove(y)
+            pairs.append({"id": x["id"], "next": y["id"]})
+    return pairs
+
+
+def _matched():
+    @pandas_udf("array<struct<id:bigint,next:bigint>>")
+    def run(comes: pd.Series, goes: pd.Series) -> pd.Series:
+        return pd.Series([matched(a, b) for a, b in zip(comes, goes, strict=True)])
+
+    return run
 
 
 def _ring(step: float):
@@ -214,7 +218,7 @@ def dissolve_rings(df: DataFrame, key: str, parts: str, cell: float | None = Non
     both = open_.select("key", *end(-1, -2, 1), F.lit(True).alias("comes")).unionByName(open_.select("key", *end(1, 2, -1), F.lit(False).alias("comes")))
     nodes = steps.keep(both.groupBy("key", "nx", "ny").agg(F.collect_list(F.when(F.col("comes"), F.col("e"))).alias("comes"), F.collect_list(F.when(~F.col("comes"), F.col("e"))).alias("goes")))
     simple = nodes.where("size(comes) = 1 and size(goes) = 1").select(F.col("comes")[0]["id"].alias("id"), F.col("goes")[0]["id"].alias("next"))
-    tangled = nodes.where("size(comes) > 1 or size(goes) > 1").select(F.inline(_matched("comes", "goes")))
+    tangled = nodes.where("size(comes) > 1 or size(goes) > 1").select(F.inline(_matched()("comes", "goes")))
     arcs = open_.select("id").join(simple.unionByName(tangled), "id", "left")
     order = ranked(steps.keep(arcs), steps)
     whole = open_.join(order.where("closed"), "id").groupBy("key", "chain").agg(F.array_sort(F.collect_list(F.struct((-F.col("to_end")).alias("n"), "xs", "ys"))).alias("v"))
