@@ -14,7 +14,7 @@ from isoline.operators import contour_lines, features, raster
 from isoline.plans.collect import BOX, BXS, CELLS, LNS, PTS, register
 from isoline.plans.helpers import _box_features, _line_features
 from isoline.render import png, svg
-from isoline.sources import datasource, rasters, tiles
+from isoline.sources import datasource, rasters, tiff, tiles
 from isoline.sources.features import finish
 from isoline.sources.files import existing, read_vector, shared_folder, write_file
 from isoline.sources.geojson import read_geojson, to_geojson
@@ -153,6 +153,24 @@ def png_round_trip(spark, d):
     return bands.groupBy("x", "y").agg(F.max(F.when(F.col("band") == 1, F.col("value"))).alias("red"), F.max(F.when(F.col("band") == 4, F.col("value"))).alias("alpha"))
 
 
+@register(f"WITH {CELLS} SELECT c AS raster_id, x, y, v AS value FROM cells, (VALUES ('none'), ('lzw'), ('deflate'), ('packbits')) AS t(c)")
+def tiff_round_trip(spark, d):
+    """The cells as tiled TIFF files of every compression, two of them with a predictor, read by blocks."""
+    folder, c = shared_folder(spark), features.raster(spark, d)
+    for name, predictor in (("none", 1), ("lzw", 3), ("deflate", 3), ("packbits", 1)):
+        tiff.write_tiff(c.withColumn("raster_id", F.lit(name)), folder, compression=name, region=512, tile=64, predictor=predictor).count()
+    found = tiff.placed_cells(spark, folder)
+    return found.select(F.substring_index("raster_id", "-", 1).alias("raster_id"), "x", "y", "value")
+
+
+@register(f"WITH {CELLS} SELECT x, y, v AS value FROM cells WHERE x BETWEEN 20 AND 61 AND y BETWEEN 3 AND 40")
+def tiff_in_box(spark, d):
+    """The box is pushed to the reader, which leaves blocks outside of it unread."""
+    folder = shared_folder(spark)
+    tiff.write_tiff(features.raster(spark, d), folder, region=256, tile=16).count()
+    return tiff.placed_cells(spark, folder).where("x between 20 and 61 and y between 3 and 40").select("x", "y", "value")
+
+
 @register("SELECT 'r' AS raster_id, 4 AS bands, CAST(max(event_id % 100) + 1 AS INTEGER) AS width, CAST(max(event_id // 100) + 1 AS INTEGER) AS height, CAST(min(CAST(floor(value) AS INTEGER) % 200) AS DOUBLE) AS vmin, 255.0::DOUBLE AS vmax FROM events")
 def raster_summary(spark, d):
     folder = shared_folder(spark)

@@ -1,13 +1,13 @@
-"""Raster files as cells (raster_id, band, x, y, value): heights (.hgt), .npy, PGM/PPM, 8-bit PNG and uncompressed TIFF in strips.
+"""Raster files as cells (raster_id, band, x, y, value): heights (.hgt), .npy, PGM/PPM, 8-bit PNG and TIFF.
 
-Files are read as binary by Spark, from any store; a file is one task's work and leaves it in blocks of rows. Everything else raises.
+Files are read as binary by Spark, from any store; a file is one task's work and leaves it in blocks of rows (`tiff` reads large TIFF files by blocks).
+Everything else raises.
 """
 
 from __future__ import annotations
 
 import io
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,30 +41,10 @@ def decode(name: str, data: bytes) -> np.ndarray:
 
         return decode_png(data)
     if kind in ("tif", "tiff"):
-        return _tiff(data)
-    raise ValueError(f"raster files of kind {kind} are not supported")
-
+        from isoline.sources.tiff import decode as decode_tiff
 
-def _tiff(data: bytes) -> np.ndarray:
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        size, code = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}.get(kind, (0, ""))
-        if code:
-            place = at + 10 + 12 * k if size * n <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-            tags[tag] = struct.unpack_from(f"{order}{n}{code}", data, place)
-    one = lambda tag, default=0: tags.get(tag, (default,))[0]
-    if one(259, 1) != 1 or 273 not in tags or one(284, 1) != 1:
-        raise ValueError("only uncompressed TIFF files in strips are supported")
-    w, h, bands, bits, form = one(256), one(257), one(277, 1), one(258, 8), one(339, 1)
-    cells = b"".join(data[a : a + n] for a, n in zip(tags[273], tags[279], strict=True))
-    a = np.frombuffer(cells, f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[form]}{bits // 8}", w * h * bands).reshape(h, w, bands)
-    if one(262) == 3:  # palette: red, green and blue tables of 16 bits
-        table = np.array(tags[320]).reshape(3, -1) >> 8
-        return table[:, a[:, :, 0]]
-    return np.moveaxis(a, 2, 0)
+        return decode_tiff(data)
+    raise ValueError(f"raster files of kind {kind} are not supported")
 
 
 def read_raster(spark: SparkSession, path: str, nodata: float | None = None) -> DataFrame:
