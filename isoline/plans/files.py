@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from isoline.functions import bounds as B
+from isoline.functions import geometry
 from isoline.functions import tags as T
 from isoline.operators import contour_lines, features, raster
 from isoline.plans.collect import BOX, BXS, CELLS, LNS, PTS, register
@@ -19,6 +20,7 @@ from isoline.sources.features import finish
 from isoline.sources.files import existing, read_vector, shared_folder, write_file
 from isoline.sources.geojson import read_geojson, to_geojson
 from isoline.sources.kml import read_kml
+from isoline.sources.osm import INCOMPLETE
 from isoline.sources.shapefile import read_shapefile
 from isoline.streaming import boxes
 
@@ -67,22 +69,40 @@ def geojson_multipolygons(spark, d):
     return read_geojson(spark, path, lines=True).groupBy(T.tag("tags", "name").alias("name")).agg(F.count("*").alias("polygons"), F.sum(F.size("parts")).alias("rings"))
 
 
-@register("""WITH n AS (SELECT c_custkey AS id, c_nationkey, c_custkey % 360 - 180 AS lon, c_custkey*7 % 170 - 85 AS lat FROM customer), o AS (SELECT o_orderkey, o_orderstatus, (SELECT max(id) FROM n) AS m, o_custkey AS a FROM orders), w AS (SELECT o_orderkey, o_orderstatus, unnest([a, a % m + 1, (a + 1) % m + 1]) AS ref FROM o)
-SELECT 'point' AS geom_type, CAST(id AS BIGINT) AS feature_id, CAST(c_nationkey AS VARCHAR) AS tag, CAST(1 AS BIGINT) AS n, CAST(lon AS DOUBLE) AS xmin, CAST(lat AS DOUBLE) AS ymin FROM n WHERE c_nationkey % 2 = 0
-UNION ALL SELECT 'line', o_orderkey, o_orderstatus, count(*), min(lon), min(lat) FROM w JOIN n ON ref = id GROUP BY o_orderkey, o_orderstatus""")
+@register("""WITH n AS (SELECT c_custkey AS id, c_nationkey, c_custkey % 360 - 180 AS lon, c_custkey*7 % 170 - 85 AS lat FROM customer), o AS (SELECT o_orderkey, o_orderstatus, (SELECT max(id) FROM n) AS m, o_custkey AS a FROM orders),
+w AS (SELECT o_orderkey, o_orderstatus, unnest([CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE a END, a % m + 1, (a + 1) % m + 1]) AS ref FROM o)
+SELECT 'point' AS geom_type, CAST(id AS BIGINT) AS feature_id, CAST(c_nationkey AS VARCHAR) AS tag, CAST(1 AS BIGINT) AS n, CAST(lon AS DOUBLE) AS xmin, CAST(lat AS DOUBLE) AS ymin, false AS incomplete, 0::DOUBLE AS area FROM n WHERE c_nationkey % 2 = 0
+UNION ALL SELECT 'line', o_orderkey, o_orderstatus, count(*), min(lon), min(lat), o_orderkey % 7 = 0, 0 FROM w JOIN n ON ref = id GROUP BY o_orderkey, o_orderstatus
+UNION ALL SELECT 'multipolygon', s_suppkey, CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 3 = 0 THEN 5 ELSE 10 END, s_suppkey % 300 - 150, s_suppkey*7 % 120 - 60, s_suppkey % 3 = 0, CASE WHEN s_suppkey % 3 = 0 THEN 36 ELSE 32 END FROM supplier""")
 def osm_round_trip(spark, d):
-    """Customers as nodes, some with a tag, and each order as a way over three of them, written as OSM XML."""
+    """Customers as nodes, some with a tag; each order as a way over three of them, one in seven without its first node; each supplier as a relation of an
+    outer ring (either way round, some given by its places) and an inner one (one in three is not there). Written as OSM XML, read in one scan."""
     n = features.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", (F.col("c_custkey") % 360 - 180).alias("lon"), (F.col("c_custkey") * 7 % 170 - 85).alias("lat"))
     most = n.agg(F.max("id")).first()[0]
     tag = lambda k, v: F.concat(F.lit(f'<tag k="{k}" v="'), v.cast("string"), F.lit('"/>'))
     nodes = n.select(F.concat(F.lit('<node id="'), "id", F.lit('" lat="'), "lat", F.lit('" lon="'), "lon", F.lit('">'), F.when(F.col("c_nationkey") % 2 == 0, tag("nation", F.col("c_nationkey"))).otherwise(tag("note", F.lit("x"))), F.lit("</node>")).alias("value"))
+    refs = lambda *r: F.array_join(F.transform(F.array(*r), lambda r: F.concat(F.lit('<nd ref="'), r, F.lit('"/>'))), "")
     a = F.col("o_custkey")
-    nd = F.array_join(F.transform(F.array(a, a % most + 1, (a + 1) % most + 1), lambda r: F.concat(F.lit('<nd ref="'), r, F.lit('"/>'))), "")
-    ways = features.read(spark, d, "orders").select(F.concat(F.lit('<way id="'), "o_orderkey", F.lit('">'), nd, tag("status", F.col("o_orderstatus")), F.lit("</way>")).alias("value"))
+    first = F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(a)
+    ways = features.read(spark, d, "orders").select(F.concat(F.lit('<way id="'), "o_orderkey", F.lit('">'), refs(first, a % most + 1, (a + 1) % most + 1), tag("status", F.col("o_orderstatus")), F.lit("</way>")).alias("value"))
+
+    k = F.col("s_suppkey")
+    x, y, base = k % 300 - 150, k * 7 % 120 - 60, k * 10 + 100_000_000
+    corners = [(x + a + s * i, y + a + s * j) for a, s in ((0, 6), (2, 2)) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    supplier = features.read(spark, d, "supplier").select("s_suppkey")
+    rings = supplier.select(F.explode(F.array(*(F.concat(F.lit('<node id="'), base + i, F.lit('" lat="'), v, F.lit('" lon="'), u, F.lit('"/>')) for i, (u, v) in enumerate(corners)))).alias("value"))
+    turned = F.when(k % 2 == 1, refs(*(base + i for i in (0, 1, 2, 3, 0)))).otherwise(refs(*(base + i for i in (0, 3, 2, 1, 0))))
+    outer = supplier.where(k % 3 != 2).select(F.concat(F.lit('<way id="'), base, F.lit('">'), turned, F.lit("</way>")).alias("value"))
+    inner = supplier.where(k % 3 != 0).select(F.concat(F.lit('<way id="'), base + 1, F.lit('">'), refs(*(base + i for i in (4, 5, 6, 7, 4))), F.lit("</way>")).alias("value"))
+    places = F.concat(*(F.concat(F.lit('<nd lat="'), corners[i][1], F.lit('" lon="'), corners[i][0], F.lit('"/>')) for i in (0, 3, 2, 1, 0)))
+    member = lambda role, ref, nd: F.concat(F.lit('<member type="way" ref="'), ref, F.lit(f'" role="{role}">'), nd, F.lit("</member>"))
+    relations = supplier.select(F.concat(F.lit('<relation id="'), k, F.lit('">'), member("outer", base, F.when(k % 3 == 2, places).otherwise("")), member("inner", base + 1, F.lit("")), tag("type", F.lit("multipolygon")), tag("name", k), F.lit("</relation>")).alias("value"))
     path = f"{shared_folder(spark)}/map.osm"
-    _write_xml(nodes.unionByName(ways), "osm", path)
+    _write_xml(nodes.unionByName(rings).unionByName(ways).unionByName(outer).unionByName(inner).unionByName(relations), "osm", path)
     found = read_vector(spark, path)
-    return found.select("geom_type", "feature_id", F.coalesce(T.tag("tags", "nation"), T.tag("tags", "status")).alias("tag"), F.size(F.flatten("parts")).cast("bigint").alias("n"), "xmin", "ymin")
+    size = F.when(F.col("geom_type") == "multipolygon", F.round(F.aggregate("parts", F.lit(0.0), lambda s, c: s + geometry.area(c)), 6)).otherwise(0.0)
+    name = F.coalesce(*(T.tag("tags", t) for t in ("nation", "status", "name")))
+    return found.select("geom_type", "feature_id", name.alias("tag"), F.size(F.flatten("parts")).cast("bigint").alias("n"), "xmin", "ymin", F.coalesce(T.tag("tags", INCOMPLETE[0]) == INCOMPLETE[1], F.lit(False)).alias("incomplete"), size.alias("area"))
 
 
 @register("SELECT CAST(s_suppkey AS VARCHAR) AS name, 'polygon' AS geom_type, CAST(s_nationkey AS VARCHAR) AS nation, CAST(s_suppkey*31 % 300 AS DOUBLE) AS xmin, CAST(s_suppkey*17 % 120 AS DOUBLE) AS ymin, CAST((s_nationkey + 1)*(s_suppkey % 7 + 1) AS DOUBLE) AS area FROM supplier")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from isoline.sources.files import open_store
+from isoline.sources.store import open_store
 
 SCHEMA = "feature_id bigint, geom_type string, parts array<array<struct<x:double,y:double>>>, tags array<struct<key:string,value:string>>, xmin double, xmax double, ymin double, ymax double"
 _ARROW = pa.schema([("feature_id", pa.int64()), ("geom_type", pa.string()), ("parts", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), ("tags", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))), *((n, pa.float64()) for n in ("xmin", "xmax", "ymin", "ymax"))])

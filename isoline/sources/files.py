@@ -15,43 +15,7 @@ from isoline.sources.geojson import read_geojson
 from isoline.sources.kml import read_kml
 from isoline.sources.osm import read_osm
 from isoline.sources.shapefile import read_shapefile
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='isoline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/isoline/{uuid.uuid4().hex[:12]}"
-
-
-def open_store(uri: str):
-    """(filesystem, path) of a URI, for tasks that write or read files of their own formats."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
-def write_file(uri: str, data: bytes) -> None:
-    """A whole file, under a name of the task's own until it is complete."""
-    store, path = open_store(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{os.path.dirname(path)}/_{uuid.uuid4().hex}"
-    with store.open_output_stream(part, compression=None) as f:
-        f.write(data)
-    store.move(part, path)
-
-
-def existing(spark: SparkSession, folder: str) -> list[str]:
-    """The names of a folder's files; none where there is no folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(f.getPath().getName() for f in store.listStatus(path)) if store.exists(path) else []
+from isoline.sources.store import existing, open_store, shared_folder, write_file  # noqa: F401  (also known from here)
 
 
 def fetch_cached(folder: str, name: str, fetch, max_age_s: float = float("inf")) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoline.sources.files import shared_folder
+from isoline.sources.store import shared_folder
 
 
 class Steps:
