@@ -2,10 +2,11 @@
 
 1. Texts are split into pieces, and equal pieces of a language become one row with a multiplicity (partial sums before the shuffle), so the copies that a
    corpus is full of are cut into n-grams once.
-2. n-grams are counted out of core: tasks cut slices of pieces, add up what a slice repeats, and send (lang, n-gram, weight) by the hash of the two;
-   each bucket's rows stream into a duckdb table that may spill, which sums them and keeps n-grams at or above the threshold. First single words, then pairs,
-   then three to five words: an n-gram cannot be frequent unless all its words and pairs are, so others are not sent. What is frequent is told by a table of
-   FILTER_BITS bits, whose size does not grow with the data; if it fills up, more is sent than needed, and the counts are the same.
+2. n-grams are counted out of core: tasks cut slices of pieces, add up what a slice repeats, and send (lang, n-gram, weight) by the hash of the two, what a
+   slice has for a bucket in one compressed Arrow block; each bucket's blocks stream into a duckdb table that may spill, which sums them and keeps n-grams
+   at or above the threshold. First single words, then pairs, then three to five words: an n-gram cannot be frequent unless all its words and pairs are, so
+   others are not sent. What is frequent is told by a table of FILTER_BITS bits, whose size does not grow with the data; if it fills up, more is sent than
+   needed, and the counts are the same.
 3. A candidate's parts lie in other buckets: each cut sends a lookup request for its first part and one for its rest, which meet the counts by a shuffle
    (parts that very many candidates ask for, by a broadcast of a bounded number of keys). Scores are whole-number decimals.
 4. Candidates inside a longer one that is as frequent go, and each language's first phrases are ranked.
@@ -34,9 +35,12 @@ FILTER_BITS = 1 << 26
 SLICE_BYTES = 6_000_000
 DUCKDB_MEMORY = "256MB"
 
-GRAMS = "lang string, words int, gram string, weight bigint"
+#: Buckets for each shuffle partition.
+BUCKETS = 4
+BLOCKS = "bucket int, block binary"
 COUNTS = "lang string, words int, gram string, f bigint, code bigint"
 _GRAMS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("gram", pa.string()), ("weight", pa.int64())])
+_BLOCKS = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 _COUNTS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("gram", pa.string()), ("f", pa.int64()), ("code", pa.int64())])
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -80,7 +84,7 @@ def _slices(batches):
 
 
 def slice_grams(slice_: pa.Table, lengths: list[int], words_known: np.ndarray | None, pairs_known: np.ndarray | None):
-    """Weighted n-grams of one slice (lang, piece, times) as record batches, each n-gram once."""
+    """Weighted n-grams of one slice (lang, piece, times), each n-gram once: a table and the n-grams' codes for each length."""
     lang = slice_.column(0).combine_chunks().dictionary_encode()
     cut = pc.split_pattern(slice_.column(1).combine_chunks(), " ")
     tokens, offsets = cut.values.dictionary_encode(), cut.offsets.to_numpy()
@@ -88,7 +92,8 @@ def slice_grams(slice_: pa.Table, lengths: list[int], words_known: np.ndarray |
     word = tokens.indices.to_numpy().astype(np.int64)
     times = slice_.column(2).to_numpy()[piece]
     lang_of = lang.indices.to_numpy().astype(np.int64)[piece]
-    of_word, of_lang = _hashes(tokens.dictionary.to_pylist())[word], _hashes(lang.dictionary.to_pylist())[lang_of]
+    hash_word, hash_lang = _hashes(tokens.dictionary.to_pylist()), _hashes(lang.dictionary.to_pylist())
+    of_word, of_lang = hash_word[word], hash_lang[lang_of]
     # exact numbers of the n-grams of this slice: that of the one before, and the next word's
     keys, number = np.unique(lang_of << 32 | word, return_inverse=True)
     single = [keys & 0xFFFFFFFF]
@@ -111,16 +116,32 @@ def slice_grams(slice_: pa.Table, lengths: list[int], words_known: np.ndarray |
             weight = np.zeros(len(keys), np.int64)
             np.add.at(weight, number, times[at])
             gram = pc.binary_join_element_wise(*(tokens.dictionary.take(pa.array(c)) for c in single), " ")
-            for b in pa.table([lang.dictionary.take(pa.array(owner)), pa.array(np.full(len(keys), n, np.int32)), gram, pa.array(weight)], schema=_GRAMS).to_batches(max_chunksize=50_000):
-                yield b
-
-
-def _cut(lengths: list[int], words_known, pairs_known):
+            yield pa.table([lang.dictionary.take(pa.array(owner)), pa.array(np.full(len(keys), n, np.int32)), gram, pa.array(weight)], schema=_GRAMS), _codes(hash_lang[owner], *(hash_word[c] for c in single))
+
+
+def blocks(grams: pa.Table, codes: np.ndarray, buckets: int):
+    """Record batches of (bucket, block): the n-grams of each bucket as one compressed Arrow stream."""
+    bucket = (codes >> np.uint64(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")  # within a bucket neighbours still share words
+    grams, bucket = grams.take(pa.array(order)), bucket[order]
+    edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)].tolist()
+    for at in range(0, len(edges) - 1, 256):
+        own, out = list(zip(edges[at : at + 256], edges[at + 1 : at + 257])), []
+        for s, e in own:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _GRAMS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(grams.slice(s, e - s).combine_chunks())
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[[s for s, _ in own]].astype(np.int32)), pa.array(out, pa.binary())], schema=_BLOCKS)
+
+
+def _cut(lengths: list[int], words_known, pairs_known, buckets: int):
     def run(batches):
         words, pairs = (None if x is None else x.value for x in (words_known, pairs_known))
         for x in _slices(batches):
             if x.num_rows:
-                yield from slice_grams(x, lengths, words, pairs)
+                for grams, codes in slice_grams(x, lengths, words, pairs):
+                    yield from blocks(grams, codes, buckets)
 
     return run
 
@@ -132,11 +153,22 @@ def _counted(least: int):
         with tempfile.TemporaryDirectory(prefix="bucket-") as folder:
             con = duckdb.connect(os.path.join(folder, "bucket.duckdb"), config={"memory_limit": DUCKDB_MEMORY, "threads": 1, "temp_directory": folder})
             con.execute("CREATE TABLE grams (lang VARCHAR, words INTEGER, gram VARCHAR, weight BIGINT)")
-            some = False
-            for b in batches:
-                if b.num_rows:
-                    some, rows = True, pa.Table.from_batches([b])  # noqa: F841  read by duckdb under its name
+            held, size, some = [], 0, False
+
+            def store() -> None:
+                nonlocal held, size, some
+                if held:
+                    some, rows = True, pa.concat_tables(held)  # noqa: F841  read by duckdb under its name
                     con.execute("INSERT INTO grams SELECT * FROM rows")
+                    held, size = [], 0
+
+            for b in batches:
+                for block in b.column(1):
+                    held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+                    size += held[-1].num_rows
+                    if size >= 100_000:
+                        store()
+            store()
             if some:
                 found = con.execute("SELECT lang, words, gram, CAST(sum(weight) AS BIGINT) AS f FROM grams GROUP BY lang, words, gram HAVING sum(weight) >= ?", [least]).to_arrow_reader(20_000)
                 for b in found:
@@ -164,8 +196,9 @@ def _bits(counts: DataFrame) -> np.ndarray:
 def frequent_grams(units: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """units: lang, piece, times. Returns lang, words, gram, f, code of every n-gram of up to LONGEST words with f >= least."""
     spark, known, found = units.sparkSession, [None, None], []
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k, lengths in enumerate(([1], [2], list(range(3, LONGEST + 1)))):
-        sent = units.mapInArrow(_cut(lengths, *known), GRAMS).repartition("lang", "gram")
+        sent = units.mapInArrow(_cut(lengths, *known, buckets), BLOCKS).repartition("bucket")
         found.append(scratch.written(sent.mapInArrow(_counted(least), COUNTS), f"frequent-{lengths[0]}"))
         if k < 2:
             known[k] = spark.sparkContext.broadcast(_bits(found[-1]))
@@ -180,7 +213,7 @@ def collocations(docs: DataFrame, *, least: int = 100, most: int = 2000, lang_co
     """
     scratch = Scratch(docs.sparkSession, "collocations")
     cut = docs.select(*pieces(F.col(lang_col), text_or_empty(text_col))).select("lang", F.trim("piece").alias("piece")).where("piece <> ''")
-    units = scratch.written(cut.groupBy("lang", "piece").agg(F.count("*").alias("times")), "pieces")
+    units = scratch.written(cut.groupBy("lang", "piece").agg(F.count("*").alias("times")), "pieces", "zstd")
     words = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
     totals = scratch.written(units.groupBy("lang").agg(F.sum(F.col("times") * words).alias("n")), "totals")
     grams = scratch.written(frequent_grams(units, least, scratch).drop("code"), "frequent")

@@ -100,10 +100,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder, self.n = spark, fresh_path(spark, label), 0
 
-    def written(self, df: DataFrame, label: str) -> DataFrame:
+    def written(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n:03d}-{label}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def added(self, df: DataFrame, label: str) -> DataFrame:
