@@ -1,4 +1,4 @@
-"""Reference systems: 4326 and 4269 (taken as equal, which is right to about a metre), 3857, and two world projections.
+"""Reference systems: 4326 and 4269 (taken as equal, which is right to about a metre), 3857, all UTM zones, the British grid, and two world projections.
 
 The world projections are on the sphere of RADIUS, by the published formulas (Snyder, USGS Professional Paper 1395). Robinson's table is read
 linearly between its parallels, so it may differ by some hundred metres from implementations with another interpolation.
@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from isoline.functions.transverse import AIRY, TO_OSGB36, WGS84, TransverseMercator, shifted
+
 #: Fixed value: the semi-major axis used by 3857.
 RADIUS = 6378137.0
 #: Own numbers of two systems that have an ESRI number, not an EPSG one.
@@ -32,11 +34,28 @@ def srid(text: str) -> int:
     """The number of EPSG:n or ESRI:n, or of the name of a known system."""
     kind, _, n = text.partition(":")
     found = int(n) if kind.upper() in ("EPSG", "ESRI") and n.isdigit() else next((k for k, (name, _) in KNOWN.items() if name == text), None)
-    if found not in KNOWN:
+    if found is None or not is_known(found):
         raise ValueError(f"unknown reference system {text}")
     return found
 
 
+BRITISH = 27700
+
+
+def is_known(number: int) -> bool:
+    """Also makes UTM zones (326zz north, 327zz south) and the British grid known when they are first asked for."""
+    if number in KNOWN:
+        return True
+    zone, half = number % 100, number // 100
+    if half in (326, 327) and 1 <= zone <= 60:
+        grid, west = TransverseMercator(6 * zone - 183, northing=10_000_000.0 * (half == 327)), 6 * zone - 186
+        add_system(number, f"WGS 84 / UTM zone {zone}{'N' if half == 326 else 'S'}", (west, west + 6, *((0, 84) if half == 326 else (-80, 0))), grid.forward, grid.back)
+    elif number == BRITISH:
+        grid = TransverseMercator(-2.0, 49.0, 0.9996012717, 400_000.0, -100_000.0, AIRY)
+        add_system(number, "OSGB36 / British National Grid", (-9, 2.01, 49.75, 61.01), lambda x, y: grid.forward(*shifted(x, y, WGS84, AIRY, TO_OSGB36)), lambda x, y: shifted(*grid.back(x, y), AIRY, WGS84, TO_OSGB36, back=True))
+    return number in KNOWN
+
+
 def _table(values: tuple, k: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), k.cast("int") + 1)
 
@@ -100,6 +119,8 @@ def add_system(number: int, name: str, area: tuple, forward, back) -> None:
 
 def transform_xy(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
     geographic = {4326, 4269}
+    if not (is_known(source) and is_known(target)):
+        raise ValueError(f"no transformation from {source} to {target}")
     if source == target or {source, target} <= geographic:
         return x, y
     if source in geographic and target == 3857:

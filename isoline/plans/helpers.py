@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from isoline.functions import bounds as B
 from isoline.functions import color, coords, crs, geometry, query, text, wkt
+from isoline.functions import tags as T
 from isoline.operators import features, raster
 from isoline.plans.collect import BOX, BXS, CELLS, LNS, PTS, register
 from isoline.render import canvas, svg
 from isoline.sources import features as S
-from isoline.sources import osm, world
+from isoline.sources import cache, osm, world
+from isoline.sources.store import shared_folder
 
 _P = lambda x, y: geometry.point(F.lit(float(x)), F.lit(float(y)))
 
@@ -80,11 +83,18 @@ def features_in_system(spark, d):
     return m.select("feature_id", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in BOX))
 
 
-@register("SELECT * FROM (VALUES (4326, 'WGS 84', true), (4269, 'NAD83', true), (3857, 'WGS 84 / Pseudo-Mercator', true), (54029, 'World Van der Grinten I', true), (54030, 'World Robinson', true)) v(srid, name, same)")
+@register(f"WITH {PTS} SELECT event_id, [4326, 4269, 3857, 54029, 54030, 32631, 27700][event_id % 7 + 1] AS srid, ['WGS 84', 'NAD83', 'WGS 84 / Pseudo-Mercator', 'World Van der Grinten I', 'World Robinson', 'WGS 84 / UTM zone 31N', 'OSGB36 / British National Grid'][event_id % 7 + 1] AS name, round(lon/60, 4) + 0.0::DOUBLE AS lon, round(51 + lat/60, 4) + 0.0::DOUBLE AS lat FROM pts")
 def reference_systems(spark, d):
-    """Each known system by its number, its name and its text."""
-    rows = [(k, name, wkt.from_wkt(wkt.to_wkt(k)) == k and wkt.srid_of(name) == k and wkt.srid_of(f"EPSG:{k}") == k) for k, (name, _) in crs.KNOWN.items()]
-    return spark.createDataFrame(rows, "srid int, name string, same boolean")
+    """Events drawn together about 0 east, 51 north, each into one of the systems, by its number, its name or its text, and back."""
+    p = features.points(spark, d).select("event_id", (F.col("lon") / 60).alias("lon"), (51 + F.col("lat") / 60).alias("lat"))
+    out = None
+    for k, srid in enumerate((4326, 4269, 3857, crs.VAN_DER_GRINTEN, crs.ROBINSON, 32631, crs.BRITISH)):
+        by_number = wkt.srid_of(f"EPSG:{srid}")
+        by_text, name = wkt.srid_of(wkt.to_wkt(by_number)), crs.KNOWN[by_number][0]
+        x, y = crs.transform_xy(*crs.transform_xy(F.col("lon"), F.col("lat"), 4326, by_text), wkt.srid_of(name), 4326)
+        one = p.where(F.col("event_id") % 7 == k).select("event_id", F.lit(by_text).alias("srid"), F.lit(name).alias("name"), (F.round(x, 4) + F.lit(0.0)).alias("lon"), (F.round(y, 4) + F.lit(0.0)).alias("lat"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register(f"WITH {PTS} SELECT event_id FROM pts WHERE (event_type = 'click' OR event_type = 'view') AND user_id <> 3 AND lon BETWEEN -100 AND 50 AND lat BETWEEN -20 AND 60")
@@ -93,29 +103,20 @@ def predicate_filter(spark, d):
     return features.points(spark, d).where(p.column("tags", F.col("lon"), F.col("lat"))).select("event_id")
 
 
-@register("""SELECT * FROM (VALUES
-(1, '[out:xml];\nnwr["natural"="wetland"](59.9,10.7,60,10.8);\nout body;'),
-(2, '[out:xml];\nnode["natural"="wetland"](59.9,10.7,60,10.8);\nout body;'),
-(3, '[out:xml];\nway["natural"="wetland"](59.9,10.7,60,10.8);\nout body;'),
-(4, '[out:xml];\nnode["highway"="bus_stop"];\nout body;'),
-(5, '[out:xml];\nnode(\n  ["highway"="bus_stop"];\n  ["highway"="crossing"];\n  );\nout body;'),
-(6, '[out:xml];\nnode["highway"="bus_stop"]["shelter"="yes"];\nout body;'),
-(7, '[out:xml];\nnode["highway"="bus_stop"]["shelter"!="no"];\nout body;'),
-(8, '[out:xml];\nnode["highway"];\nout body;'),
-(9, '[out:xml];\nnode(59.9,10.7,60,10.8);\nout body;'),
-(10, '[out:xml];\nnode["highway"="bus_stop"];\nout body 100;'),
-(11, '[out:xml];\nnode["highway"="bus_stop"](59.9,10.7,60,10.8);\nout body;'),
-(12, '[out:xml];\nway(\n  ["highway"="motorway"](59.9,10.7,60,10.8);\n  ["highway"="primary"](59.9,10.7,60,10.8);\n  );\nout body;'),
-(13, '[out:xml][timeout:3600];\nway["natural"="coastline"];\nout body;')) v(k, text)""")
+@register(f"WITH {PTS}, b AS (SELECT event_type, user_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM pts GROUP BY event_type, user_id) SELECT event_type, user_id, '[out:xml];\n' || kind || '[\"type\"=\"' || event_type || '\"][\"user\"!=\"' || user_id || '\"](' || format('{{:g}},{{:g}},{{:g}},{{:g}}', y0, x0, y1, x1) || ');\nout body' || take || ';' AS text FROM b, (VALUES ('node', ''), ('way', ' 5'), ('nwr', '')) AS k(kind, take)")
 def query_texts(spark, d):
-    box, stop = query.inside((10.7, 10.8, 59.9, 60.0)), query.tag_is("highway", "bus_stop")
-    wet, sides = query.tag_is("natural", "wetland") & box, query.coordinate("y", ">=", 59.9) & query.coordinate("y", "<=", 60.0) & query.coordinate("x", ">=", 10.7) & query.coordinate("x", "<=", 10.8)
-    texts = [
-        wet.text("shape"), wet.text("point"), wet.text("polygon"), stop.text("point"), (stop | query.tag_is("highway", "crossing")).text("point"), (stop & query.tag_is("shelter", "yes")).text("point"),
-        (stop & query.tag_is_not("shelter", "no")).text("point"), query.tag_exists("highway").text("point"), sides.text("point"), stop.text("point", take=100), (stop & sides).text("point"),
-        (query.tag_among("highway", ["motorway", "primary"]) & box).text("line"), query.tag_is("natural", "coastline").text("line", timeout=3600),
-    ]
-    return spark.createDataFrame(list(enumerate(texts, 1)), "k int, text string")
+    """For each kind of event and user: what would ask a server for such features of other users, within the box of the user's own."""
+    def texts(frames):
+        for f in frames:
+            rows = []
+            for kind, user, *box in f.itertuples(index=False):
+                p = query.tag_is("type", kind) & query.tag_is_not("user", str(user)) & query.inside(box)
+                rows += [(kind, user, p.text("point")), (kind, user, p.text("polygon", take=5)), (kind, user, p.text("shape"))]
+            yield pd.DataFrame(rows, columns=["event_type", "user_id", "text"])
+
+    p = features.points(spark, d).select(T.tag("tags", "type").alias("event_type"), T.tag("tags", "user").cast("bigint").alias("user_id"), "lon", "lat")
+    boxes = p.groupBy("event_type", "user_id").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    return boxes.mapInPandas(texts, "event_type string, user_id bigint, text string")
 
 
 @register(f"WITH {PTS} SELECT event_id, round(acos((lon*3 + lat*4)/(sqrt(lon*lon + lat*lat)*5)), 6) AS angle, round(acos(greatest(-1, least(1, ((lon-1)*(10-lon) + (lat-2)*(20-lat))/(sqrt((lon-1)*(lon-1) + (lat-2)*(lat-2))*sqrt((10-lon)*(10-lon) + (20-lat)*(20-lat)))))), 5) AS turn FROM pts WHERE (lon <> 0 OR lat <> 0) AND (lon <> 1 OR lat <> 2) AND (lon <> 10 OR lat <> 20)")
@@ -173,10 +174,15 @@ def raster_channels(spark, d):
     return c.select("x", "y", F.round(s[0], 6).alias("sr"), F.round(s[1], 6).alias("sg"), m[0].alias("r"), m[1].alias("g"), m[3].alias("a"))
 
 
-@register("SELECT CAST(r AS DOUBLE) AS radius, CAST(2*ceil(r) + 1 AS BIGINT) AS taps, round(1/sum(w), 9) AS middle, 1.0::DOUBLE AS total FROM (SELECT r, exp(-(k*k)/(2*(r/2.5::DOUBLE)*(r/2.5::DOUBLE))) AS w FROM (SELECT r, unnest(range(-CAST(ceil(r) AS BIGINT), CAST(ceil(r) AS BIGINT) + 1)) AS k FROM (VALUES (1), (2), (5), (20), (200)) v(r))) GROUP BY r")
+@register("SELECT CAST(r AS DOUBLE) AS radius, CAST(2*ceil(r) + 1 AS BIGINT) AS taps, round(1/sum(w), 9) AS middle, 1.0::DOUBLE AS total FROM (SELECT r, exp(-(k*k)/(2*(r/2.5::DOUBLE)*(r/2.5::DOUBLE))) AS w FROM (SELECT r, unnest(range(-CAST(ceil(r) AS BIGINT), CAST(ceil(r) AS BIGINT) + 1)) AS k FROM (SELECT DISTINCT p_size*4 AS r FROM part))) GROUP BY r")
 def blur_kernels(spark, d):
-    rows = [(float(r), len(k), round(max(k), 9), round(sum(k), 9)) for r, k in ((r, raster.gaussian_kernel(r)) for r in (1, 2, 5, 20, 200))]
-    return spark.createDataFrame(rows, "radius double, taps bigint, middle double, total double")
+    """The kernel of each radius that the parts' sizes give."""
+    def kernels(frames):
+        for f in frames:
+            found = [(r, raster.gaussian_kernel(r)) for r in f["r"]]
+            yield pd.DataFrame([(r, len(k), round(max(k), 9), round(sum(k), 9)) for r, k in found], columns=["radius", "taps", "middle", "total"])
+
+    return features.read(spark, d, "part").select((F.col("p_size") * 4).cast("double").alias("r")).distinct().mapInPandas(kernels, "radius double, taps bigint, middle double, total double")
 
 
 @register(f"WITH {CELLS}, u AS (SELECT x, y, CASE WHEN v < 100 THEN NULL ELSE v END AS v FROM cells), t(o, w) AS (SELECT k, exp(-(k*k)/(2*0.4::DOUBLE*0.4::DOUBLE)) FROM (SELECT unnest([-1, 0, 1]) AS k)), size AS (SELECT max(x) AS xm, max(y) AS ym FROM cells), s AS (SELECT c.x, c.y, c.v, sum(n.v*a.w*b.w) AS top, sum(CASE WHEN n.v IS NOT NULL THEN a.w*b.w END) AS low FROM u c, t a, t b, size JOIN u n ON n.x = greatest(0, least(xm, c.x + a.o)) AND n.y = greatest(0, least(ym, c.y + b.o)) GROUP BY c.x, c.y, c.v) SELECT x, y, round(CASE WHEN v IS NULL THEN -9999 ELSE top/low END, 6) AS value FROM s")
@@ -257,30 +263,36 @@ def closed_ways(spark, d):
     return features.rings(spark, d).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), osm.is_polygon(F.col("c"), tags).alias("polygon"))
 
 
-@register("""WITH t(kind, names, scales) AS (VALUES
-('cultural', 'admin_0_countries admin_0_countries_lakes admin_0_map_units admin_0_pacific_groupings admin_0_scale_rank admin_0_sovereignty admin_0_boundary_lines_land admin_1_states_provinces admin_1_states_provinces_lakes admin_1_states_provinces_lines populated_places populated_places_simple', '10 50 110'),
-('cultural', 'admin_0_boundary_lines_disputed_areas admin_0_boundary_lines_maritime_indicator admin_0_boundary_lines_maritime_indicator_chn admin_0_map_subunits urban_areas', '10 50'),
-('cultural', 'admin_0_tiny_countries', '50 110'), ('cultural', 'admin_0_tiny_countries_scale_rank', '50'),
-('cultural', 'admin_0_antarctic_claim_limit_lines admin_0_antarctic_claims admin_0_boundary_lines_map_units admin_0_disputed_areas admin_0_disputed_areas_scale_rank_minor_islands admin_0_label_points admin_0_scale_rank_minor_islands admin_0_seams admin_1_label_points admin_1_label_points_details admin_1_seams admin_1_states_provinces_scale_rank admin_2_counties admin_2_counties_lakes admin_2_counties_scale_rank admin_2_counties_scale_rank_minor_islands admin_2_label_points admin_2_label_points_details airports ports railroads railroads_north_america roads roads_north_america time_zones', '10'),
-('physical', 'coastline land ocean rivers_lake_centerlines lakes geography_regions_polys geography_regions_points geography_regions_elevation_points geography_marine_polys glaciated_areas geographic_lines', '10 50 110'),
-('physical', 'rivers_lake_centerlines_scale_rank lakes_historic playas antarctic_ice_shelves_polys antarctic_ice_shelves_lines', '10 50'),
-('physical', 'land_scale_rank minor_islands minor_islands_coastline reefs ocean_scale_rank rivers_australia rivers_europe rivers_north_america lakes_pluvial lakes_australia lakes_europe lakes_north_america land_ocean_label_points minor_islands_label_points land_ocean_seams', '10')),
-v AS (SELECT kind, name, unnest(string_split(scales, ' ')) AS s FROM (SELECT kind, scales, unnest(string_split(names, ' ')) AS name FROM t))
-SELECT kind, name, s || 'm' AS detail, 'https://naciscdn.org/naturalearth/' || s || 'm/' || kind || '/ne_' || s || 'm_' || name || '.zip' AS url FROM v""")
+@register(f"WITH {BXS}, m AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'land' WHEN 1 THEN 'lakes' WHEN 2 THEN 'admin_0_countries' ELSE 'populated_places' END AS name, CASE WHEN p_partkey % 4 < 2 THEN 'physical' ELSE 'cultural' END AS kind, CASE WHEN xmax-xmin > 30 THEN '110m' WHEN xmax-xmin > 8 THEN '50m' ELSE '10m' END AS detail FROM bxs) SELECT p_partkey, kind, 'https://naciscdn.org/naturalearth/' || detail || '/' || kind || '/ne_' || detail || '_' || name || '.zip' AS url FROM m")
 def world_vectors(spark, d):
-    return world.catalogue(spark).where("kind <> 'raster'")
-
-
-@register("""SELECT 'raster' AS kind, name, detail, 'https://naciscdn.org/naturalearth/' || url AS url FROM (VALUES
-('HYP', 'HR', '10m/raster/HYP_HR.zip'), ('HYP', 'LR', '10m/raster/HYP_LR.zip'), ('HYP_SR', 'HR', '10m/raster/HYP_HR_SR.zip'), ('HYP_SR', 'LR', '10m/raster/HYP_LR_SR.zip'), ('HYP_SR', '50M', '50m/raster/HYP_50M_SR.zip'),
-('HYP_SR_W', 'HR', '10m/raster/HYP_HR_SR_W.zip'), ('HYP_SR_W', 'LR', '10m/raster/HYP_LR_SR_W.zip'), ('HYP_SR_W', '50M', '50m/raster/HYP_50M_SR_W.zip'), ('HYP_SR_W_DR', 'HR', '10m/raster/HYP_HR_SR_W_DR.zip'), ('HYP_SR_W_DR', 'LR', '10m/raster/HYP_LR_SR_W_DR.zip'),
-('HYP_SR_OB_DR', 'HR', '10m/raster/HYP_HR_SR_OB_DR.zip'), ('HYP_SR_OB_DR', 'LR', '10m/raster/HYP_LR_SR_OB_DR.zip'), ('NE1_LC', 'HR', '10m/raster/NE1_HR_LC.zip'), ('NE1_LC', 'LR', '10m/raster/NE1_LR_LC.zip'), ('NE1_LC_SR', 'HR', '10m/raster/NE1_HR_LC_SR.zip'),
-('NE1_LC_SR', 'LR', '10m/raster/NE1_LR_LC_SR.zip'), ('NE1_LC_SR_W', 'HR', '10m/raster/NE1_HR_LC_SR_W.zip'), ('NE1_LC_SR_W', 'LR', '10m/raster/NE1_LR_LC_SR_W.zip'), ('NE1_LC_SR_W_DR', 'HR', '10m/raster/NE1_HR_LC_SR_W_DR.zip'), ('NE1_LC_SR_W_DR', 'LR', '10m/raster/NE1_LR_LC_SR_W_DR.zip'),
-('NE2_LC', 'HR', '10m/raster/NE2_HR_LC.zip'), ('NE2_LC', 'LR', '10m/raster/NE2_LR_LC.zip'), ('NE2_LC_SR', 'HR', '10m/raster/NE2_HR_LC_SR.zip'), ('NE2_LC_SR', 'LR', '10m/raster/NE2_LR_LC_SR.zip'), ('NE2_SR', '50M', '50m/raster/NE2_50M_SR.zip'),
-('NE2_LC_SR_W', 'HR', '10m/raster/NE2_HR_LC_SR_W.zip'), ('NE2_LC_SR_W', 'LR', '10m/raster/NE2_LR_LC_SR_W.zip'), ('NE2_SR_W', '50M', '50m/raster/NE2_50M_SR_W.zip'), ('NE2_LC_SR_W_DR', 'HR', '10m/raster/NE2_HR_LC_SR_W_DR.zip'), ('NE2_LC_SR_W_DR', 'LR', '10m/raster/NE2_LR_LC_SR_W_DR.zip'),
-('OB', 'LR', '10m/raster/OB_LR.zip'), ('OB', '50M', '50m/raster/OB_50M.zip'), ('SR', 'HR', '10m/raster/SR_HR.zip'), ('SR', 'LR', '10m/raster/SR_LR.zip'), ('SR', '50M', '50m/raster/SR_50M.zip'),
-('GRAY_SR', 'HR', '10m/raster/GRAY_HR_SR.zip'), ('GRAY_SR', 'LR', '10m/raster/GRAY_LR_SR.zip'), ('GRAY_SR', '50M', '50m/raster/GRAY_50M_SR.zip'), ('GRAY_SR_W', 'HR', '10m/raster/GRAY_HR_SR_W.zip'), ('GRAY_SR_W', 'LR', '10m/raster/GRAY_LR_SR_W.zip'), ('GRAY_SR_W', '50M', '50m/raster/GRAY_50M_SR_W.zip'),
-('GRAY_SR_OB', 'HR', '10m/raster/GRAY_HR_SR_OB.zip'), ('GRAY_SR_OB', 'LR', '10m/raster/GRAY_LR_SR_OB.zip'), ('GRAY_SR_OB', '50M', '50m/raster/GRAY_50M_SR_OB.zip'), ('GRAY_SR_OB_DR', 'HR', '10m/raster/GRAY_HR_SR_OB_DR.zip'), ('GRAY_SR_OB_DR', 'LR', '10m/raster/GRAY_LR_SR_OB_DR.zip'),
-('MSR', '50M', '50m/raster/MSR_50M.zip'), ('PRISMA_SR', '50M', '50m/raster/PRISMA_SR_50M.zip')) v(name, detail, url)""")
+    """The file of the catalogue that suits each part's box."""
+    b = features.boxes(spark, d).select("p_partkey", F.element_at(F.array(*map(F.lit, ("land", "lakes", "admin_0_countries", "populated_places"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("name"), F.concat(world.scale_for(B.width(BOX)), F.lit("m")).alias("detail"))
+    return b.join(F.broadcast(world.catalogue(spark)), ["name", "detail"]).select("p_partkey", "kind", "url")
+
+
+@register(f"WITH {BXS}, m AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'HYP' WHEN 1 THEN 'SR' ELSE 'GRAY' END AS style, CASE p_partkey % 3 WHEN 0 THEN '_SR_W' WHEN 1 THEN '' ELSE '_SR_OB' END AS layers, CASE WHEN xmax-xmin > 30 THEN '50M' WHEN xmax-xmin > 8 THEN 'LR' ELSE 'HR' END AS size FROM bxs) SELECT p_partkey, 'https://naciscdn.org/naturalearth/' || CASE size WHEN '50M' THEN '50m' ELSE '10m' END || '/raster/' || style || '_' || size || layers || '.zip' AS url FROM m")
 def world_rasters(spark, d):
-    return world.catalogue(spark).where("kind = 'raster'")
+    """The raster file that suits each part's box."""
+    size = F.element_at(F.create_map(*(F.lit(x) for x in (110, "50M", 50, "LR", 10, "HR"))), world.scale_for(B.width(BOX)))
+    b = features.boxes(spark, d).select("p_partkey", F.element_at(F.array(*map(F.lit, ("HYP_SR_W", "SR", "GRAY_SR_OB"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("name"), size.alias("detail"))
+    return b.join(F.broadcast(world.catalogue(spark).where("kind = 'raster'")), ["name", "detail"]).select("p_partkey", "url")
+
+
+@register("SELECT page_id, CASE WHEN page_id % 3 = 1 AND length(url) % 5 > 0 THEN 'cached' WHEN page_id % 3 = 1 THEN 'known absent' WHEN length(url) % 5 > 0 THEN 'fetched' ELSE 'absent' END AS state, CASE WHEN length(url) % 5 > 0 THEN CAST(octet_length(encode(url)) AS BIGINT) END AS bytes FROM pages")
+def cache_states(spark, d):
+    """Addresses of pages through the cache at three times; those whose length is divisible by five have no file. What was got first is too old the third time."""
+    pages = features.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("name"), "url")
+    store = cache.FileCache(spark, shared_folder(spark))
+    fetch = lambda url: url.encode() if len(url) % 5 else None
+    for third, now in ((0, 0.0), (1, 60.0)):
+        store.get(pages.where(F.col("name").cast("bigint") % 3 == third), fetch, now=now)
+    got = store.get(pages, fetch, max_age_s=70.0, absent_age_s=50.0, now=100.0)
+    return got.select(F.col("name").cast("bigint").alias("page_id"), "state", "bytes")
+
+
+@register("SELECT event_id FROM events WHERE event_type = 'view' AND user_id % 2 = 0")
+def tag_contains_pair(spark, d):
+    """The exact pair, whatever else the key holds: each event also has a second tag `type`."""
+    p = features.points(spark, d)
+    more = F.concat("tags", F.array(F.struct(F.lit("type").alias("key"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("value")), F.struct(F.lit("parity").alias("key"), (T.tag("tags", "user").cast("bigint") % 2).cast("string").alias("value"))))
+    return p.withColumn("tags", more).where(T.contains_pair("tags", "type", "view") & T.contains_pair("tags", "parity", "0")).select("event_id")

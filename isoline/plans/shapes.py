@@ -179,9 +179,12 @@ def color_parse(spark, d):
     return t.select("p_partkey", *(c.alias(n) for c, n in zip(color.from_hex(F.col("t")), "rgba", strict=True)))
 
 
-@register(f"SELECT i, round(t, 6) AS t, {gradient_sql(0)} AS r, {gradient_sql(1)} AS g, {gradient_sql(2)} AS b FROM (SELECT CAST(range AS BIGINT) AS i, range*(1/CAST(20 AS DOUBLE)) AS t FROM range(21))")
+@register(f"SELECT event_id, round(t, 6) AS t, {gradient_sql(0)} AS r, {gradient_sql(1)} AS g, {gradient_sql(2)} AS b FROM (SELECT event_id, least(20, greatest(0, CAST(floor(value/25) AS BIGINT)))*(1/CAST(20 AS DOUBLE)) AS t FROM events)")
 def gradient_samples(spark, d):
-    return color.gradient_samples(spark, STOPS, 21).select("i", F.round("t", 6).alias("t"), *(F.round(k, 6).alias(k) for k in "rgb"))
+    """Each event's value in the nearest of 21 colours below it."""
+    samples = color.gradient_samples(spark, STOPS, 21)
+    e = features.read(spark, d, "events").select("event_id", F.least(F.lit(20), F.greatest(F.lit(0), F.floor(F.col("value") / 25))).alias("i"))
+    return e.join(F.broadcast(samples), "i").select("event_id", F.round("t", 6).alias("t"), *(F.round(k, 6).alias(k) for k in "rgb"))
 
 
 @register("SELECT page_id, split_part(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/', -1) AS name, upper(substr(md5(url), 1, 8)) AS digest FROM pages")
@@ -199,11 +202,15 @@ def hyphenate_names(spark, d):
     return features.read(spark, d, "part").select("p_partkey", algorithms.hyphenate(F.col("p_name"), PATTERNS).alias("name"))
 
 
-@register("SELECT * FROM (SELECT 'Latitude' AS name, printf('%.3f', -90 + 5*range::DOUBLE) AS value, CAST(10 AS BIGINT) AS n, -25::DOUBLE AS low FROM range(21)) UNION ALL SELECT 'Longitude', printf('%.3f', -180 + 10*range::DOUBLE), CAST(10 AS BIGINT), -12.5::DOUBLE FROM range(21)")
+@register(f"WITH {BXS}, g AS (SELECT 'Latitude' AS name, -90 + 5*range::DOUBLE AS place, -25::DOUBLE AS low, 20::DOUBLE AS high FROM range(21) UNION ALL SELECT 'Longitude', -180 + 10*range::DOUBLE, -12.5::DOUBLE, 10::DOUBLE FROM range(21)), m AS (SELECT name, place, p_partkey FROM g JOIN bxs ON CASE WHEN name = 'Latitude' THEN ymin < place AND place < ymax AND xmin < high AND low < xmax ELSE xmin < place AND place < xmax AND ymin < high AND low < ymax END) SELECT name, printf('%.3f', place) AS value, CAST(10 AS BIGINT) AS n, low, CAST((SELECT count(*) FROM m WHERE m.name = g.name AND m.place = g.place) AS BIGINT) AS boxes FROM g")
 def graticule_lines(spark, d):
+    """Parallels and meridians, and how many parts' boxes each crosses."""
     g = graticule(spark, (-20, 20, -10, 10), 10, 5, segments=2)
     t = F.col("tags")[0]
-    return g.select(t["key"].alias("name"), t["value"].alias("value"), F.size(F.col("parts")[0]).cast("bigint").alias("n"), F.when(t["key"] == "Latitude", F.col("xmin")).otherwise(F.col("ymin")).alias("low"))
+    lines = g.select("feature_id", t["key"].alias("name"), t["value"].alias("value"), F.size(F.col("parts")[0]).cast("bigint").alias("n"), F.when(t["key"] == "Latitude", F.col("xmin")).otherwise(F.col("ymin")).alias("low"), *(F.col(c).alias(f"g_{c}") for c in ("xmin", "xmax", "ymin", "ymax")))
+    crossed = joins.bbox_join(lines, features.boxes(spark, d), ("g_xmin", "g_xmax", "g_ymin", "g_ymax"), ("xmin", "xmax", "ymin", "ymax"), 25.0)
+    found = crossed.groupBy("feature_id").agg(F.count("*").alias("boxes"))
+    return lines.join(found, "feature_id", "left").select("name", "value", "n", "low", F.coalesce("boxes", F.lit(0)).cast("bigint").alias("boxes"))
 
 
 @register(f"WITH {BXS} SELECT CASE WHEN tx < 0 AND ty >= 0 THEN printf('n%02dw%03d', CAST(ty+1 AS INTEGER), CAST(-tx AS INTEGER)) ELSE 'unnamed' END AS tile, CAST(count(*) AS BIGINT) AS n FROM (SELECT tx, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(ceil(ymax) AS BIGINT))) AS ty FROM (SELECT *, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(ceil(xmax) AS BIGINT))) AS tx FROM bxs)) GROUP BY 1")
@@ -261,6 +268,31 @@ def draw_map(spark, d):
     return svg.draw(m, {"rings": (rings, 4326)})
 
 
+_KRUEGER = "WITH $PTS, k AS (SELECT 1/298.257223563::DOUBLE AS f), c AS (SELECT f/(2-f) AS n FROM k), g AS (SELECT event_id, radians((lon + 180)/60 - 3) AS d, radians(abs(lat)/85*84) AS p, n, 2*sqrt(n)/(1+n) AS e FROM pts, c), h AS (SELECT *, sinh(atanh(sin(p)) - e*atanh(e*sin(p))) AS t FROM g), x AS (SELECT event_id, n, atan2(t, cos(d)) AS u, atanh(sin(d)/sqrt(1+t*t)) AS v FROM h), s AS (SELECT event_id, n, u, v, [n/2 - n*n*2/3 + n*n*n*5/16 + n*n*n*n*41/180, n*n*13/48 - n*n*n*3/5 + n*n*n*n*557/1440, n*n*n*61/240 - n*n*n*n*103/140, n*n*n*n*49561/161280] AS a FROM x)".replace("$PTS", PTS)
+
+
+def _in_zone(spark, d):
+    """All events, their places drawn together to zone 33."""
+    return features.points(spark, d).select("event_id", ((F.col("lon") + 180) / 60 + 12).alias("lon"), (F.abs("lat") / 85 * 84).alias("lat"))
+
+
+@register(f"{_KRUEGER}, o AS (SELECT event_id, 0.9996::DOUBLE*6378137/(1+n)*(1 + n*n/4 + n*n*n*n/64) AS r, u + a[1]*sin(2*u)*cosh(2*v) + a[2]*sin(4*u)*cosh(4*v) + a[3]*sin(6*u)*cosh(6*v) + a[4]*sin(8*u)*cosh(8*v) AS north, v + a[1]*cos(2*u)*sinh(2*v) + a[2]*cos(4*u)*sinh(4*v) + a[3]*cos(6*u)*sinh(6*v) + a[4]*cos(8*u)*sinh(8*v) AS east FROM s) SELECT event_id, round(500000 + r*east, 3) + 0.0::DOUBLE AS e, round(r*north, 3) + 0.0::DOUBLE AS n FROM o")
+def utm_zone(spark, d):
+    x, y = crs.transform_xy(F.col("lon"), F.col("lat"), 4326, crs.srid("EPSG:32633"))
+    return _in_zone(spark, d).select("event_id", (F.round(x, 3) + F.lit(0.0)).alias("e"), (F.round(y, 3) + F.lit(0.0)).alias("n"))
+
+
+@register(f"WITH {PTS} SELECT event_id, round((lon+180)/60 + 12, 7) + 0.0::DOUBLE AS lon, round(abs(lat)/85*84, 7) + 0.0::DOUBLE AS lat, round((lon+180)/60 - 6, 5) + 0.0::DOUBLE AS b_lon, round(50 + abs(lat)/10, 5) + 0.0::DOUBLE AS b_lat FROM pts")
+def grids_round_trip(spark, d):
+    """UTM and the British grid (a datum shift and its turned signs, right to centimetres) there and back: the SQL is the input."""
+    back = lambda x, y, n: crs.transform_xy(*crs.transform_xy(x, y, 4326, n), n, 4326)
+    p = features.points(spark, d).select("event_id", ((F.col("lon") + 180) / 60).alias("u"), F.abs("lat").alias("v"))
+    x, y = back(F.col("u") + 12, F.col("v") / 85 * 84, 32633)
+    bx, by = back(F.col("u") - 6, 50 + F.col("v") / 10, crs.BRITISH)
+    near = lambda c, want: F.when(F.abs(c - want) < 1e-6, want).otherwise(c)  # noqa: E731  a tenth of a metre
+    return p.select("event_id", *((F.round(c, n) + F.lit(0.0)).alias(k) for c, n, k in ((x, 7, "lon"), (y, 7, "lat"), (near(bx, F.col("u") - 6), 5, "b_lon"), (near(by, 50 + F.col("v") / 10), 5, "b_lat"))))
+
+
 def _area(parts):
     return F.round(F.aggregate(F.transform(parts, geometry.area), F.lit(0.0), lambda a, v: a + v), 3)
 

@@ -1,12 +1,8 @@
-"""Vector files by extension, and a cache of downloaded files."""
+"""Vector files by extension."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import time
-import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,21 +14,6 @@ from isoline.sources.shapefile import read_shapefile
 from isoline.sources.store import existing, open_store, shared_folder, write_file  # noqa: F401  (also known from here)
 
 
-def fetch_cached(folder: str, name: str, fetch, max_age_s: float = float("inf")) -> str:
-    """The path of a cached file, got by fetch() -> bytes when there is none of that age. .zip files are unpacked beside it; the first member is given."""
-    path = f"{folder}/{name}"
-    if not (os.path.exists(path) and time.time() - os.path.getmtime(path) <= max_age_s):
-        write_file(path, fetch())
-    if not name.endswith(".zip"):
-        return path
-    with zipfile.ZipFile(path) as z:
-        members = [n for n in z.namelist() if not n.endswith("/")]
-        for n in members:
-            if not os.path.exists(f"{folder}/{os.path.basename(n)}"):
-                write_file(f"{folder}/{os.path.basename(n)}", z.read(n))
-    return f"{folder}/{os.path.basename(members[0])}"
-
-
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
     kind = os.path.splitext(path)[1].lower()
     if kind == ".shp":
@@ -43,10 +24,3 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     if kind not in readers:
         raise ValueError(f"vector files of kind {kind} are not supported")
     return readers[kind](spark, path)
-
-
-def newest_cached(folder: str, base: str, extension: str, max_age_s: float) -> str | None:
-    """The newest file base*extension that is not older than max_age_s, or None."""
-    names = [f"{folder}/{n}" for n in (os.listdir(folder) if os.path.isdir(folder) else ()) if n.startswith(base) and n.endswith(extension)]
-    fresh = [n for n in names if time.time() - os.path.getmtime(n) <= max_age_s]
-    return max(fresh, key=os.path.getmtime, default=None)

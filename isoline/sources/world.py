@@ -5,9 +5,11 @@ A vector file's address follows from its theme and scale; a raster file's from i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isoline.sources.files import fetch_cached, read_vector
+from isoline.sources.cache import FileCache
+from isoline.sources.files import read_vector
 from isoline.sources.rasters import read_raster
 
 #: Fixed value: where the files are published.
@@ -67,17 +69,25 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, detail string, url string")
 
 
-def read_world_vector(spark: SparkSession, theme: str, scale: int, folder: str, fetch) -> DataFrame:
-    """A theme's features. folder: the cache; fetch(url) -> bytes gets a file that it lacks."""
-    path = vector_path(theme, scale)
+def _cached(spark: SparkSession, path: str, folder: str, fetch) -> str:
     name = path.rpartition("/")[2]
-    fetch_cached(folder, name, lambda: fetch(f"{SERVER}/{path}"))
-    return read_vector(spark, f"{folder}/{name.removesuffix('.zip')}.shp")
+    got = FileCache(spark, folder).get(spark.createDataFrame([(name, f"{SERVER}/{path}")], "name string, url string"), fetch).first()
+    if got["path"] is None:
+        raise FileNotFoundError(f"{SERVER}/{path}")
+    return f"{got['path']}/{name.removesuffix('.zip')}"
+
+
+def read_world_vector(spark: SparkSession, theme: str, scale: int, folder: str, fetch) -> DataFrame:
+    """A theme's features. folder: the cache, on the shared store; fetch(url) -> bytes gets a file that it lacks."""
+    return read_vector(spark, f"{_cached(spark, vector_path(theme, scale), folder, fetch)}.shp")
 
 
 def read_world_raster(spark: SparkSession, layers: str, size: str, folder: str, fetch) -> DataFrame:
     """A raster's cells, through the cache as above."""
-    path = raster_path(layers, size)
-    name = path.rpartition("/")[2]
-    fetch_cached(folder, name, lambda: fetch(f"{SERVER}/{path}"))
-    return read_raster(spark, f"{folder}/{name.removesuffix('.zip')}.tif")
+    return read_raster(spark, f"{_cached(spark, raster_path(layers, size), folder, fetch)}.tif")
+
+
+def scale_for(width: float | Column) -> Column:
+    """The scale (millions) whose files suit a map of so many degrees."""
+    w = width if isinstance(width, Column) else F.lit(float(width))
+    return F.when(w > 30, 110).when(w > 8, 50).otherwise(10)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from isoline.functions import crs, query, wkt
 from isoline.operators import contour_lines, joins, raster
 from isoline.render import png, svg
-from isoline.sources import datasource, files
-from isoline.sources.features import finish
+from isoline.sources import cache, datasource, world
+from isoline.sources.features import finish, get_data
 from isoline.sources.geojson import to_geojson
 
 RNG = np.random.default_rng(31)
@@ -156,20 +156,67 @@ def test_labels_lie_upwards(spark):
     assert len(got) == 2 and sum('y="55.900"' in g for g in got) == 0  # it had to move
 
 
-def test_cached_files(tmp_path):
-    import io
-    import zipfile
+def test_cached_files(spark, tmp_path):
+    store, asked = cache.FileCache(spark, f"file://{tmp_path}/store"), tmp_path / "asked"
+    asked.mkdir()
 
-    calls = []
+    def fetch(url):
+        import io
+        import uuid
+        import zipfile
 
-    def fetch():
-        calls.append(1)
+        (asked / uuid.uuid4().hex).write_text(url)
+        if "none" in url:
+            return None
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr("d/a.shp", b"x")
-        return out.getvalue()
+            z.writestr("d/a.shp", url.encode())
+        return out.getvalue() if url.endswith(".zip") else url.encode()
+
+    wanted = spark.createDataFrame([("a.zip", "http://x/a.zip"), ("b", "http://x/b"), ("c", "http://x/none"), ("b", "http://x/b"), (None, "http://x/d")], "name string, url string")
+    states = lambda **k: {r["name"]: r["state"] for r in store.get(wanted, fetch, **k).collect()}
+    assert states(now=0) == {"a.zip": "fetched", "b": "fetched", "c": "absent"} and len(list(asked.iterdir())) == 3
+    assert states(now=10) == {"a.zip": "cached", "b": "cached", "c": "known absent"} and len(list(asked.iterdir())) == 3
+    assert states(now=100, max_age_s=50, absent_age_s=200) == {"a.zip": "fetched", "b": "fetched", "c": "known absent"}
+    assert states(now=120, max_age_s=50, absent_age_s=60) == {"a.zip": "cached", "b": "cached", "c": "absent"} and len(list(asked.iterdir())) == 6
+    path = {r["name"]: r["path"] for r in store.entries().collect()}
+    assert (tmp_path / "store/files/a/a.shp").read_bytes() == b"http://x/a.zip" and path["a.zip"].endswith("/files/a") and path["c"] is None
+    assert store.newest("b", "", 60, now=130) == path["b"] and store.newest("b", "", 10, now=130) is None and store.newest("c", "", 1e9) is None
+    assert store.get(wanted.limit(0), fetch).count() == 0
+
+
+def test_world_files(spark, tmp_path):
+    """A theme's Shapefile through the catalogue and the cache, with its .prj; a file that is not there raises."""
+    import io
+    import zipfile
 
-    for _ in range(2):
-        path = files.fetch_cached(str(tmp_path), "a.zip", fetch)
-    assert path.endswith("a.shp") and open(path, "rb").read() == b"x" and len(calls) == 1
-    assert files.newest_cached(str(tmp_path), "a", ".zip", 60) and files.newest_cached(str(tmp_path), "a", ".zip", -1) is None
+    from isoline.plans.files import _shapefile
+    from isoline.functions import wkt as w
+    import pandas as pd
+
+    shp, dbf = _shapefile(pd.DataFrame({"event_id": [7, 8], "lon": [500_000.0, 600_000.0], "lat": [0.0, 5e6]}))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for end, data in (("shp", shp), ("dbf", dbf), ("prj", w.to_wkt(32633).encode())):
+            z.writestr(f"ne_10m_ports.{end}", data)
+    data = out.getvalue()
+    fetch = lambda url: data if url == "https://naciscdn.org/naturalearth/10m/cultural/ne_10m_ports.zip" else None
+    found = world.read_world_vector(spark, "ports", 10, f"file://{tmp_path}/c", fetch)
+    assert sorted(r.xmin for r in found.collect()) == [500_000.0, 600_000.0]  # in the file's own system, which its .prj names
+    assert w.read_prj(spark, f"file://{tmp_path}/c/files/ne_10m_ports/ne_10m_ports.prj") == 32633
+    assert min(round(r.xmin, 6) for r in get_data(found, 32633, target=4326).collect()) == 15.0
+    with pytest.raises(FileNotFoundError):
+        world.read_world_vector(spark, "roads", 10, f"file://{tmp_path}/c", fetch)
+    with pytest.raises(ValueError):
+        world.vector_path("ports", 110)
+
+
+def test_query_texts():
+    """The query language's own examples of what a predicate says."""
+    box, stop = query.inside((10.7, 10.8, 59.9, 60.0)), query.tag_is("highway", "bus_stop")
+    assert (query.tag_is("natural", "wetland") & box).text("shape") == '[out:xml];\nnwr["natural"="wetland"](59.9,10.7,60,10.8);\nout body;'
+    assert (stop & query.tag_is_not("shelter", "no")).text("point") == '[out:xml];\nnode["highway"="bus_stop"]["shelter"!="no"];\nout body;'
+    assert (query.tag_among("highway", ["motorway", "primary"]) & box).text("line") == '[out:xml];\nway(\n  ["highway"="motorway"](59.9,10.7,60,10.8);\n  ["highway"="primary"](59.9,10.7,60,10.8);\n  );\nout body;'
+    assert query.tag_is("natural", "coastline").text("line", timeout=3600) == '[out:xml][timeout:3600];\nway["natural"="coastline"];\nout body;'
+    assert stop.text("point", take=100) == '[out:xml];\nnode["highway"="bus_stop"];\nout body 100;'
+    assert query.tag_exists("highway").text("point") == '[out:xml];\nnode["highway"];\nout body;'
