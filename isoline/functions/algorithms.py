@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -210,53 +211,67 @@ def pole_of_inaccessibility(parts: Column, precision: float | None = None) -> Co
     return F.when(at.isNotNull(), F.struct(F.get(at, F.lit(0)).alias("x"), F.get(at, F.lit(1)).alias("y"), F.get(at, F.lit(2)).alias("distance")))
 
 
-def hyphenation_tables(patterns: Sequence[str], exceptions: Sequence[str] = ()) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
-    """Liang's patterns ("hy3ph") as letters to digits, and exceptions ("ta-ble") as words to break places."""
-    found = {}
+#: The key of a trie's node under which the digits of a pattern that ends there stand.
+DIGITS = ""
+
+
+def hyphenation_tables(patterns: Iterable[str], exceptions: Iterable[str] = ()) -> tuple[dict, dict[str, list[int]]]:
+    """Liang's patterns ("hy3ph") as a trie of letters with digits at its nodes, and exceptions ("ta-ble") as words to break places."""
+    trie: dict = {}
     for text in patterns:
-        letters, digits = "", [0]
+        node, digits = trie, [0]
         for ch in text.strip():
             if ch.isdigit():
                 digits[-1] = int(ch)
             else:
-                letters += ch
+                node = node.setdefault(ch, {})
                 digits.append(0)
-        if letters:
-            found[letters] = digits
+        if node is not trie:
+            node[DIGITS] = digits
     known = {}
     for text in exceptions:
-        parts = text.strip().split("-")
-        known["".join(parts)] = np.cumsum([len(s) for s in parts[:-1]]).tolist()
-    return found, known
+        parts = text.strip().lower().split("-")
+        if "".join(parts):
+            known["".join(parts)] = np.cumsum([len(s) for s in parts[:-1]]).tolist()
+    return trie, known
 
 
 def breaks(word: str, tables: tuple, left: int = 2, right: int = 3) -> list[int]:
     """The places inside a word where it may be parted."""
-    patterns, known = tables
+    trie, known = tables
     low = word.lower()
     if low in known:
         return known[low]
     text, values = f".{low}.", [0] * (len(low) + 3)
-    longest = max(map(len, patterns), default=0)
     for i in range(len(text)):
-        for j in range(i + 1, min(i + longest, len(text)) + 1):
-            for k, v in enumerate(patterns.get(text[i:j], ())):
-                values[i + k] = max(values[i + k], v)
+        node = trie
+        for ch in text[i:]:
+            node = node.get(ch)
+            if node is None:
+                break
+            for k, v in enumerate(node.get(DIGITS, ()), i):
+                if v > values[k]:
+                    values[k] = v
     return [i for i in range(left, len(low) - right + 1) if values[i + 1] % 2]
 
 
-def hyphenate(text: Column, patterns: Sequence[str], exceptions: Sequence[str] = (), separator: str = "|", left: int = 2, right: int = 3) -> Column:
-    """separator at every possible break of the text's words. Patterns are a language's list, read from a file of the user's."""
-    import re
+_WORD = re.compile(r"[^\W\d_]+")
 
-    tables, word = hyphenation_tables(patterns, exceptions), re.compile(r"[^\W\d_]+")
 
-    def part(m) -> str:
+def parted(text: str, tables: tuple, separator: str, left: int, right: int) -> str:
+    def part(m: re.Match) -> str:
         w, at = m.group(), [0, *breaks(m.group(), tables, left, right), len(m.group())]
         return separator.join(w[i:j] for i, j in zip(at, at[1:]))
 
+    return _WORD.sub(part, text)
+
+
+def hyphenate(text: Column, patterns: Sequence[str], exceptions: Sequence[str] = (), separator: str = "|", left: int = 2, right: int = 3) -> Column:
+    """separator at every possible break of the text's words. Patterns are a language's list; `sources.hyphenation` reads files of them."""
+    tables = hyphenation_tables(patterns, exceptions)
+
     @pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else word.sub(part, t))
+        return s.map(lambda t: None if t is None else parted(t, tables, separator, left, right))
 
     return run(text)

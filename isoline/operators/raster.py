@@ -56,11 +56,14 @@ def normalize(cells: DataFrame, lo: float = 0.0, hi: float = 1.0, nodata: float
 
 def hillshade(cells: DataFrame, nodata: float | None = None) -> DataFrame:
     """v(x, y) - v(x-1, y-1), or 0 where one of the two is no-data; the left column copies x = 1 and the top row copies y = 1."""
-    before = cells.select("raster_id", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), F.col("value").alias("__from"))
+    diagonal = Window.partitionBy("raster_id", F.col("x") - F.col("y")).orderBy("x")
+    found = cells.select("raster_id", "x", "y", "value", F.lag("x").over(diagonal).alias("px"), F.lag("value").over(diagonal).alias("__from")).where("px = x - 1")
     shade = F.when(_valid("value", nodata) & _valid("__from", nodata), F.col("value") - F.col("__from")).otherwise(F.lit(0.0))
-    inner = cells.join(before, ["raster_id", "x", "y"]).select("raster_id", F.col("x").alias("ix"), F.col("y").alias("iy"), shade.alias("shade"))
-    at = cells.select("raster_id", "x", "y", F.greatest(F.col("x"), F.lit(1)).alias("ix"), F.greatest(F.col("y"), F.lit(1)).alias("iy"))
-    return at.join(inner, ["raster_id", "ix", "iy"]).select("raster_id", "x", "y", F.col("shade").alias("value"))
+    inner = found.select("raster_id", "x", "y", shade.alias("value")).where("x > 0 and y > 0")
+    # only the first two rows and columns meet again
+    edge = cells.where("x = 0 or y = 0").select("raster_id", "x", "y", F.greatest("x", F.lit(1)).alias("ix"), F.greatest("y", F.lit(1)).alias("iy"))
+    near = inner.where("x = 1 or y = 1").select("raster_id", F.col("x").alias("ix"), F.col("y").alias("iy"), "value")
+    return inner.unionByName(edge.join(near, ["raster_id", "ix", "iy"]).select("raster_id", "x", "y", "value"))
 
 
 def gaussian_kernel(radius: float) -> list[float]:
@@ -72,44 +75,19 @@ def gaussian_kernel(radius: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-#: From this kernel reach on, blurring works on tiles of TILE cells a side (or more for large reaches) with a halo, instead of sums of shares.
-TILED_REACH, TILE = 5, 256
+#: Side of the tiles that blurring works on, or twice the kernel's reach where that is more.
+TILE = 256
 
 
 def gaussian_blur(cells: DataFrame, radius: float, width: int, height: int, nodata: float | None = None) -> DataFrame:
-    """Separable, edges extended. With nodata, such cells give nothing and keep their value, and the others share their weight.
+    """Separable, edges extended. Cells that are missing or null give nothing. With nodata, such cells give nothing and keep their value, and the others share their weight.
 
-    Small kernels: each cell gives its share to the cells around it, and shares are summed, partly before the shuffle. Large ones: each cell goes to the
-    tiles within reach (at most nine), and a tile with its halo is one task's array of bounded size.
+    Each cell goes to the tiles within reach (at most nine), and a tile with its halo is one task's array of bounded size: one shuffle for any kernel.
     """
     kernel = gaussian_kernel(radius)
-    r = len(kernel) // 2
     cells = cells.select("raster_id", "x", "y", "value")
     if radius == 0:
         return cells
-    if nodata is not None:
-        ok = _valid("value", nodata) & F.col("value").isNotNull()
-        top = gaussian_blur(cells.withColumn("value", F.when(ok, F.col("value")).otherwise(0.0)), radius, width, height).withColumnRenamed("value", "__v")
-        low = gaussian_blur(cells.withColumn("value", F.when(ok, 1.0).otherwise(0.0)), radius, width, height).withColumnRenamed("value", "__w")
-        both = cells.join(top, ["raster_id", "x", "y"]).join(low, ["raster_id", "x", "y"])
-        return both.select("raster_id", "x", "y", F.when(ok, F.try_divide("__v", "__w")).otherwise(F.col("value")).alias("value"))
-    if r > TILED_REACH:
-        return _blur_tiles(cells, kernel, width, height)
-
-    def along(df: DataFrame, axis: str, size: int) -> DataFrame:
-        taps = F.explode(F.array(*(F.struct(F.lit(k - r).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(kernel))))
-        # an edge cell also stands for the cells beyond the edge
-        inner = df.withColumn("t", taps).withColumn("to", F.col(axis) + F.col("t.o")).where(F.col("to").between(0, size - 1))
-        beyond = [df.where(F.col(axis) == edge).withColumn("to", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("t", F.struct(F.lit(0).alias("o"), share.alias("w"))) for edge, lo, hi, share in _outside(kernel, r, size)]
-        for b in beyond:
-            inner = inner.unionByName(b)
-        other = "y" if axis == "x" else "x"
-        return inner.groupBy("raster_id", F.col("to").alias(axis), other).agg(F.sum(F.col("value") * F.col("t.w")).alias("value"))
-
-    return along(along(cells, "x", width), "y", height).select("raster_id", "x", "y", "value")
-
-
-def _blur_tiles(cells: DataFrame, kernel: list[float], width: int, height: int) -> DataFrame:
     r, weights = len(kernel) // 2, np.array(kernel)
     side = max(TILE, 2 * r)
     reach = lambda axis, size: F.sequence(F.floor(F.greatest(F.col(axis) - r, F.lit(0)) / side), F.floor(F.least(F.col(axis) + r, F.lit(size - 1)) / side))
@@ -119,29 +97,28 @@ def _blur_tiles(cells: DataFrame, kernel: list[float], width: int, height: int)
         x0, y0 = int(frame["tx"].iloc[0]) * side, int(frame["ty"].iloc[0]) * side
         w, h = min(side, width - x0), min(side, height - y0)
         low_x, low_y, high_x, high_y = max(0, x0 - r), max(0, y0 - r), min(width, x0 + w + r), min(height, y0 + h + r)
-        a = np.full((high_y - low_y, high_x - low_x), np.nan)
-        a[frame["y"].to_numpy() - low_y, frame["x"].to_numpy() - low_x] = frame["value"]
-        a = np.pad(a, ((r - (y0 - low_y), r - (high_y - y0 - h)), (r - (x0 - low_x), r - (high_x - x0 - w))), mode="edge")
-        a = sum(k * a[:, i : i + w] for i, k in enumerate(weights))
-        a = sum(k * a[i : i + h] for i, k in enumerate(weights))
-        mine = frame[frame["x"].between(x0, x0 + w - 1) & frame["y"].between(y0, y0 + h - 1)]
-        return pd.DataFrame({"raster_id": mine["raster_id"], "x": mine["x"], "y": mine["y"], "value": a[mine["y"].to_numpy() - y0, mine["x"].to_numpy() - x0]})
+        x, y, v = frame["x"].to_numpy(), frame["y"].to_numpy(), frame["value"].to_numpy(dtype=float)
+        ok = ~np.isnan(v) if nodata is None else ~np.isnan(v) & (v != nodata)
+
+        def soft(values: np.ndarray) -> np.ndarray:
+            a = np.zeros((high_y - low_y, high_x - low_x))
+            a[y - low_y, x - low_x] = values
+            a = np.pad(a, ((r - (y0 - low_y), r - (high_y - y0 - h)), (r - (x0 - low_x), r - (high_x - x0 - w))), mode="edge")
+            a = sum(k * a[:, i : i + w] for i, k in enumerate(weights))
+            return sum(k * a[i : i + h] for i, k in enumerate(weights))
+
+        mine = (x >= x0) & (x < x0 + w) & (y >= y0) & (y < y0 + h)
+        at = y[mine] - y0, x[mine] - x0
+        out = soft(np.where(ok, v, 0.0))[at]
+        if nodata is not None:
+            share = soft(ok.astype(float))[at]
+            out = np.where(ok[mine] & (share > 0), out / np.where(share > 0, share, 1.0), v[mine])
+        return pd.DataFrame({"raster_id": frame["raster_id"].to_numpy()[mine], "x": x[mine], "y": y[mine], "value": out})
 
     kind = dict(cells.dtypes)["raster_id"]
     return dealt.groupBy("raster_id", "tx", "ty").applyInPandas(blur, f"raster_id {kind}, x int, y int, value double")
 
 
-def _outside(kernel: list[float], r: int, size: int):
-    """(edge, first and last cell it reaches from beyond, the share as a function of the cell) for both edges."""
-    tail = [sum(kernel[: r - d]) for d in range(r)]  # what a cell at distance d from the edge takes from beyond it
-    if r:
-        n = min(r, size)
-        low = F.element_at(F.array(*map(F.lit, tail)), F.col("to") + 1)
-        high = F.element_at(F.array(*map(F.lit, tail)), F.lit(size) - F.col("to"))
-        yield 0, 0, n - 1, low
-        yield size - 1, size - n, size - 1, high
-
-
 #: Colour of a bottom and a top channel, 0 .. 1, by mode.
 MODES = {"normal": lambda b, t: t, "multiply": lambda b, t: t * b}
 

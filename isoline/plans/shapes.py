@@ -10,9 +10,10 @@ from isoline.functions import algorithms, color, coords, crs, geometry, regions,
 from isoline.operators import dissolve, features, joins
 from isoline.plans.collect import BOX, BXS, LNS, PTS, STOPS, gradient_sql, register
 from isoline.render import canvas, labels, svg
-from isoline.sources import tiles
+from isoline.sources import hyphenation, tiles
 from isoline.sources.features import finish
 from isoline.sources.graticule import graticule
+from isoline.sources.store import shared_folder, write_file
 
 RINGS = "r AS (SELECT s_suppkey, CAST(s_suppkey*31 % 300 AS DOUBLE) AS x, CAST(s_suppkey*17 % 120 AS DOUBLE) AS y, CAST(s_nationkey+1 AS DOUBLE) AS w, CAST(s_suppkey % 7 + 1 AS DOUBLE) AS h FROM supplier)"
 RGB = "c AS (SELECT p_partkey, (p_partkey % 11)/CAST(10 AS DOUBLE) AS r, (p_partkey % 7)/CAST(6 AS DOUBLE) AS g, p_size/CAST(50 AS DOUBLE) AS b FROM part), k AS (SELECT *, greatest(r,g,b) AS t, least(r,g,b) AS m FROM c)"
@@ -202,6 +203,35 @@ def hyphenate_names(spark, d):
     return features.read(spark, d, "part").select("p_partkey", algorithms.hyphenate(F.col("p_name"), PATTERNS).alias("name"))
 
 
+_LISTS = {
+    "en": (["1na", "2io", "1ti", "er1", "th2e", "1s2h", "o1n", ".an1", "ed."], ["the-re", "a-nd"]),
+    "de": (["1ch", "ei1n", "s2ch", "1zu", "u1ng", ".ver1", "1be"], ["ni-cht"]),
+    "fr": (["1tion", "me2n", "1la", "o1i", "2que.", "1\u00e9"], []),
+    "es": (["1ci", "o1s", "2\u00f3n", "l2l", "1ra", "1lla"], []),
+}
+
+
+@register("""WITH pat(lang, letters, off, digit) AS (VALUES ('en', 'na', 0, 1), ('en', 'io', 0, 2), ('en', 'ti', 0, 1), ('en', 'er', 2, 1), ('en', 'the', 2, 2), ('en', 'sh', 0, 1), ('en', 'sh', 1, 2), ('en', 'on', 1, 1), ('en', '.an', 3, 1),
+('de', 'ch', 0, 1), ('de', 'ein', 2, 1), ('de', 'sch', 1, 2), ('de', 'zu', 0, 1), ('de', 'ung', 1, 1), ('de', '.ver', 4, 1), ('de', 'be', 0, 1),
+('fr', 'tion', 0, 1), ('fr', 'men', 2, 2), ('fr', 'la', 0, 1), ('fr', 'oi', 1, 1), ('fr', 'que.', 0, 2), ('fr', '\u00e9', 0, 1),
+('es', 'ci', 0, 1), ('es', 'os', 1, 1), ('es', '\u00f3n', 0, 2), ('es', 'll', 1, 2), ('es', 'ra', 0, 1), ('es', 'lla', 0, 1)),
+w AS (SELECT DISTINCT lang, unnest(string_split_regex(text, '[^\\p{L}]+')) AS word FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')),
+p AS (SELECT lang, word, '.' || lower(word) || '.' AS t FROM w WHERE word <> ''),
+c AS (SELECT lang, word, t, unnest(range(length(word))) AS i FROM p),
+v AS (SELECT c.lang, word, i, max(CASE WHEN substr(t, i + 2 - off, length(letters)) = letters AND i + 2 - off >= 1 THEN digit ELSE 0 END) AS digit FROM c JOIN pat ON pat.lang = c.lang GROUP BY c.lang, word, i),
+h AS (SELECT lang, word, string_agg(CASE WHEN i BETWEEN 2 AND length(word) - 3 AND digit % 2 = 1 THEN '|' ELSE '' END || substr(word, i + 1, 1), '' ORDER BY i) AS parted FROM v GROUP BY lang, word)
+SELECT lang, word, CASE WHEN lang = 'en' AND lower(word) = 'there' THEN word[1:3] || '|' || word[4:] WHEN lang = 'en' AND lower(word) = 'and' THEN word[1:1] || '|' || word[2:] WHEN lang = 'de' AND lower(word) = 'nicht' THEN word[1:2] || '|' || word[3:] ELSE parted END AS parted FROM h""")
+def hyphenate_documents(spark, d):
+    """Every word of the documents by the lists of its language, which are read from a folder of files."""
+    folder = shared_folder(spark)
+    for language, lists in _LISTS.items():
+        for kind, lines in zip(("pat", "hyp"), lists, strict=True):
+            write_file(f"{folder}/hyph-{language}.{kind}.txt", "\n".join(lines).encode())
+    lists = hyphenation.read_hyphenation(spark, folder)
+    words = features.read(spark, d, "documents").where(F.col("lang").isin(*_LISTS)).select("lang", F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
+    return words.select("lang", "word", hyphenation.hyphenate_by(F.col("word"), F.col("lang"), lists).alias("parted"))
+
+
 @register(f"WITH {BXS}, g AS (SELECT 'Latitude' AS name, -90 + 5*range::DOUBLE AS place, -25::DOUBLE AS low, 20::DOUBLE AS high FROM range(21) UNION ALL SELECT 'Longitude', -180 + 10*range::DOUBLE, -12.5::DOUBLE, 10::DOUBLE FROM range(21)), m AS (SELECT name, place, p_partkey FROM g JOIN bxs ON CASE WHEN name = 'Latitude' THEN ymin < place AND place < ymax AND xmin < high AND low < xmax ELSE xmin < place AND place < xmax AND ymin < high AND low < ymax END) SELECT name, printf('%.3f', place) AS value, CAST(10 AS BIGINT) AS n, low, CAST((SELECT count(*) FROM m WHERE m.name = g.name AND m.place = g.place) AS BIGINT) AS boxes FROM g")
 def graticule_lines(spark, d):
     """Parallels and meridians, and how many parts' boxes each crosses."""

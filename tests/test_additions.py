@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from isoline.functions import crs, query, wkt
 from isoline.operators import contour_lines, joins, raster
 from isoline.render import png, svg
-from isoline.sources import cache, datasource, world
+from isoline.sources import cache, datasource, hyphenation, world
 from isoline.sources.features import finish, get_data
 from isoline.sources.geojson import to_geojson
 
@@ -220,3 +220,16 @@ def test_query_texts():
     assert query.tag_is("natural", "coastline").text("line", timeout=3600) == '[out:xml][timeout:3600];\nway["natural"="coastline"];\nout body;'
     assert stop.text("point", take=100) == '[out:xml];\nnode["highway"="bus_stop"];\nout body 100;'
     assert query.tag_exists("highway").text("point") == '[out:xml];\nnode["highway"];\nout body;'
+
+
+def test_hyphenation_files(spark, tmp_path):
+    """A folder of lists: by-language rows, exceptions, a mark at the start, remarks; a language without patterns is none."""
+    (tmp_path / "hyph-en-us.pat.txt").write_bytes("\ufeffhy3ph\n% a remark\n\nhe2n\nhena4\nhen5at\n1na\nn2at\n1tio\n2io\n".encode())
+    (tmp_path / "hyph-en-us.hyp.txt").write_text("ta-ble\n")
+    (tmp_path / "hyph-nb.hyp.txt").write_text("ab-c\n")
+    (tmp_path / "hyph-cs.pat.txt").write_text("\u010d1a\n", encoding="utf-8")
+    lists = hyphenation.read_hyphenation(spark, f"file://{tmp_path}")
+    assert set(lists) == {"en-us", "cs"} and lists["en-us"][1] == ["ta-ble"]
+    rows = [("Hyphenation, Table!", "en-us"), ("Hyphenation", "cs"), ("ko\u010da\u010da kabinka", "cs"), (None, "cs"), ("abc", "nb"), ("abc", None)]
+    got = spark.createDataFrame(rows, "t string, k string").select(hyphenation.hyphenate_by(F.col("t"), F.col("k"), lists).alias("h")).collect()
+    assert [r.h for r in got] == ["Hy|phen|ation, Ta|ble!", "Hyphenation", "ko\u010d|a\u010da kabinka", None, "abc", "abc"]
