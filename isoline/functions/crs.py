@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from isoline.functions.transverse import AIRY, TO_OSGB36, WGS84, TransverseMercator, shifted
+from isoline.functions.transverse import AIRY, TO_OSGB36, WGS84, TransverseMercator, shifted, then
 
 #: Fixed value: the semi-major axis used by 3857.
 RADIUS = 6378137.0
@@ -42,6 +42,10 @@ def srid(text: str) -> int:
 BRITISH = 27700
 
 
+def _pair(place: Column) -> tuple[Column, Column]:
+    return place["x"], place["y"]
+
+
 def is_known(number: int) -> bool:
     """Also makes UTM zones (326zz north, 327zz south) and the British grid known when they are first asked for."""
     if number in KNOWN:
@@ -49,10 +53,10 @@ def is_known(number: int) -> bool:
     zone, half = number % 100, number // 100
     if half in (326, 327) and 1 <= zone <= 60:
         grid, west = TransverseMercator(6 * zone - 183, northing=10_000_000.0 * (half == 327)), 6 * zone - 186
-        add_system(number, f"WGS 84 / UTM zone {zone}{'N' if half == 326 else 'S'}", (west, west + 6, *((0, 84) if half == 326 else (-80, 0))), grid.forward, grid.back)
+        add_system(number, f"WGS 84 / UTM zone {zone}{'N' if half == 326 else 'S'}", (west, west + 6, *((0, 84) if half == 326 else (-80, 0))), lambda x, y: _pair(grid.forward(x, y)), lambda x, y: _pair(grid.back(x, y)))
     elif number == BRITISH:
         grid = TransverseMercator(-2.0, 49.0, 0.9996012717, 400_000.0, -100_000.0, AIRY)
-        add_system(number, "OSGB36 / British National Grid", (-9, 2.01, 49.75, 61.01), lambda x, y: grid.forward(*shifted(x, y, WGS84, AIRY, TO_OSGB36)), lambda x, y: shifted(*grid.back(x, y), AIRY, WGS84, TO_OSGB36, back=True))
+        add_system(number, "OSGB36 / British National Grid", (-9, 2.01, 49.75, 61.01), lambda x, y: _pair(then(shifted(x, y, WGS84, AIRY, TO_OSGB36), grid.forward)), lambda x, y: _pair(then(grid.back(x, y), lambda u, v: shifted(u, v, AIRY, WGS84, TO_OSGB36, back=True))))
     return number in KNOWN
 
 

@@ -18,6 +18,11 @@ def let(f, **values: Column) -> Column:
     return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f)[0]
 
 
+def then(place: Column, f) -> Column:
+    """f(x, y) of a struct<x, y> that is computed once."""
+    return F.transform(F.array(place), lambda p: f(p["x"], p["y"]))[0]
+
+
 @dataclass(frozen=True)
 class Ellipsoid:
     a: float
@@ -69,7 +74,8 @@ class TransverseMercator:
         n = self.n
         return (n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3 - 1 / 360 * n**4, 1 / 48 * n**2 + 1 / 15 * n**3 - 437 / 1440 * n**4, 17 / 480 * n**3 - 37 / 840 * n**4, 4397 / 161280 * n**4)
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+    def forward(self, lon: Column, lat: Column) -> Column:
+        """struct<x, y>."""
         e = 2 * math.sqrt(self.n) / (1 + self.n)
 
         def series(c: Column) -> Column:
@@ -80,10 +86,10 @@ class TransverseMercator:
             return F.struct((self.easting + self.radius * side).alias("x"), (self.northing - self._origin() + self.radius * up).alias("y"))
 
         on_sphere = lambda a: let(lambda b: let(series, x=F.atan2(b["t"], F.cos(b["turn"])), y=F.atanh(F.sin(b["turn"]) / F.sqrt(1 + b["t"] * b["t"]))), t=F.sinh(F.atanh(a["s"]) - e * F.atanh(e * a["s"])), turn=a["turn"])
-        out = let(on_sphere, s=F.sin(F.radians(lat)), turn=F.radians(lon - self.lon0))
-        return out["x"], out["y"]
+        return let(on_sphere, s=F.sin(F.radians(lat)), turn=F.radians(lon - self.lon0))
 
-    def back(self, x: Column, y: Column) -> tuple[Column, Column]:
+    def back(self, x: Column, y: Column) -> Column:
+        """struct<x, y> of longitude and latitude."""
         n = self.n
         to_lat = (2 * n - 2 / 3 * n**2 - 2 * n**3 + 116 / 45 * n**4, 7 / 3 * n**2 - 8 / 5 * n**3 - 227 / 45 * n**4, 56 / 15 * n**3 - 136 / 35 * n**4, 4279 / 630 * n**4)
 
@@ -103,12 +109,11 @@ class TransverseMercator:
                 lat = lat + k * F.sin(2 * j * a["conformal"])
             return F.struct(a["lon"].alias("x"), F.degrees(lat).alias("y"))
 
-        out = let(unseries, up=(y - self.northing + self._origin()) / self.radius, side=(x - self.easting) / self.radius)
-        return out["x"], out["y"]
+        return let(unseries, up=(y - self.northing + self._origin()) / self.radius, side=(x - self.easting) / self.radius)
 
 
-def shifted(lon: Column, lat: Column, of: Ellipsoid, to: Ellipsoid, parameters: tuple, back: bool = False) -> tuple[Column, Column]:
-    """Places at height 0 on one datum's ellipsoid as places on another's. back: by the parameters with their signs turned, right to some centimetres."""
+def shifted(lon: Column, lat: Column, of: Ellipsoid, to: Ellipsoid, parameters: tuple, back: bool = False) -> Column:
+    """struct<x, y>: places at height 0 on one datum's ellipsoid as places on another's. back: by the parameters with their signs turned, right to some centimetres."""
     p = [-v for v in parameters] if back else parameters
     (tx, ty, tz), (rx, ry, rz), m = p[:3], (math.radians(v / 3600) for v in p[3:6]), 1 + p[6] * 1e-6
     b = to.a * (1 - to.flattening)
@@ -130,5 +135,4 @@ def shifted(lon: Column, lat: Column, of: Ellipsoid, to: Ellipsoid, parameters:
         lat2 = F.atan2(g["z"] + to.e2 / (1 - to.e2) * b * F.pow(F.sin(g["beta"]), 3), g["r"] - to.e2 * to.a * F.pow(F.cos(g["beta"]), 3))
         return F.struct(F.degrees(g["lon"]).alias("x"), F.degrees(lat2).alias("y"))
 
-    out = let(geocentric, s=F.sin(F.radians(lat)), c=F.cos(F.radians(lat)), lon=F.radians(lon))
-    return out["x"], out["y"]
+    return let(geocentric, s=F.sin(F.radians(lat)), c=F.cos(F.radians(lat)), lon=F.radians(lon))

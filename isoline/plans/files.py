@@ -229,7 +229,7 @@ def raster_contour_lines(spark, d):
 
     c = features.raster(spark, d)
     w, h = c.agg(F.max("x"), F.max("y")).first()
-    lines = contour_lines.contour_features(contour_lines.contour_lines(c, 100.0, tile=16))
+    lines = contour_lines.contour_features(contour_lines.contour_lines(c, 100.0, tile=64))
     p = F.col("parts")[0]
     edge = lambda q: (q["x"] < 1e-6) | (q["y"] < 1e-6) | (q["x"] > w - 1e-6) | (q["y"] > h - 1 - 1e-6)  # noqa: E731  the last row may be short
     near = lambda a, b: (F.abs(a["x"] - b["x"]) < 1e-6) & (F.abs(a["y"] - b["y"]) < 1e-6)

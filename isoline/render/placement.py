@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from isoline.sources.steps import Steps
 
 #: Labels that a tile should not exceed (tiles do not get smaller than labels allow), and levels of tile sizes, each twice as wide.
-TILE_LABELS, LEVELS = 3000, 16
+TILE_LABELS, LEVELS = 10_000, 16
 SHIFTS = ((0.0, 0.0), (0.5, 0.5), (0.5, 0.0), (0.0, 0.5))
 #: Rows of a table that is sent to all tasks at most.
 SMALL = 100_000
@@ -44,9 +44,13 @@ def _add(grid: dict, b: tuple, cell: float) -> None:
             grid.setdefault((i, j), []).append(b)
 
 
-def decide(labels: list[tuple], decided: list[tuple], cell: float) -> list[tuple[int, int, int | None]]:
-    """labels: (order, own, first possible place, boxes), decided: boxes. Returns (position, next place, choice or None while it waits) of the own labels."""
+def decide(labels: list[tuple], decided: list[list], cell: float, region: tuple) -> list[tuple[int, int, int | None]]:
+    """labels: (order, own, first possible place, boxes), decided: boxes. Returns (position, next place, choice or None while it waits) of the own labels.
+
+    region: all boxes of own labels lie in it, so others need not be kept.
+    """
     taken, maybe, out = {}, {}, []
+    left, right, bottom, top = region
     for b in decided:
         _add(taken, b, cell)
     for at in sorted(range(len(labels)), key=lambda i: labels[i][0]):
@@ -63,7 +67,7 @@ def decide(labels: list[tuple], decided: list[tuple], cell: float) -> list[tuple
                 continue
             out.append((at, k, None))
         for b in boxes[k:]:
-            if not _hits(taken, b, cell):
+            if (own or (b[0] < right and b[1] > left and b[2] < top and b[3] > bottom)) and not _hits(taken, b, cell):
                 _add(maybe, b, cell)
     return out
 
@@ -76,27 +80,33 @@ def _tiles(df: DataFrame, shift: tuple[float, float]) -> DataFrame:
     return df.withColumn("tx", F.explode(cover("x0", "x1", shift[0]))).withColumn("ty", F.explode(cover("y0", "y1", shift[1])))
 
 
-def _round(kind: str, order_kind: str, seq_type: pa.DataType, map_type: pa.DataType):
+def _boxes(table: pa.Table) -> list[list[list[float]]]:
+    """The boxes of each row."""
+    sides = [table.column(s).combine_chunks() for s in SIDES]
+    flat = np.column_stack([s.values.to_numpy(zero_copy_only=False)[s.offsets[0].as_py() : s.offsets[-1].as_py()] for s in sides]).tolist()
+    at = (sides[0].offsets.to_numpy() - sides[0].offsets[0].as_py()).tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
+def _round(kind: str, order_kind: str, seq_type: pa.DataType, map_type: pa.DataType, shift: tuple[float, float]):
     boxes = [pa.field(s, pa.list_(pa.float64())) for s in SIDES]
     schema = pa.schema([("map_id", map_type), ("seq", seq_type), ("k", pa.int32()), ("choice", pa.int32()), *boxes, ("reach", pa.float64()), ("tile", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        own = np.array(table.column("role").to_pylist()) == 0
-        if not own.any():
+        role = table.column("role").to_numpy()
+        if not (role == 0).any():
             return schema.empty_table()
-        rows = table.select(["role", "seq", "k", *SIDES]).to_pylist()
-        corners = [list(zip(*(r[s] for s in SIDES), strict=True)) for r in rows]
-        open_ = [i for i, r in enumerate(rows) if r["role"] < 2]
-        sides = [max(corners[i][0][1] - corners[i][0][0], corners[i][0][3] - corners[i][0][2]) for i in open_]
-        cell = max(float(np.mean(sides)), 1e-9)
-        found = decide([(rows[i]["seq"], rows[i]["role"] == 0, rows[i]["k"], corners[i]) for i in open_], [corners[i][0] for i, r in enumerate(rows) if r["role"] == 2], cell)
-        at = [open_[f[0]] for f in found]
-        # a decided label keeps its box only, one without a place none
-        left = [corners[i] if c is None else corners[i][c : c + 1] if c >= 0 else [] for i, (_, _, c) in zip(at, found, strict=True)]
-        same = table.take(pa.array(at)).select(["map_id", "seq", "reach", "tile"])
-        values = {"map_id": same.column("map_id"), "seq": same.column("seq"), "k": [f[1] for f in found], "choice": [f[2] for f in found], "reach": same.column("reach"), "tile": same.column("tile")}
-        values |= {s: [[b[n] for b in x] for x in left] for n, s in enumerate(SIDES)}
-        return pa.Table.from_arrays([v.combine_chunks().cast(f.type) if isinstance(v, pa.ChunkedArray) else pa.array(v, f.type) for f, v in ((f, values[f.name]) for f in schema)], schema=schema)
+        corners, seq, first = _boxes(table), table.column("seq").to_pylist(), table.column("k").to_pylist()
+        tile, reach = table.column("tile")[0].as_py(), table.column("reach")[0].as_py()
+        x, y = ((table.column(t)[0].as_py() - s) * tile for t, s in zip(("tx", "ty"), shift, strict=True))
+        open_ = np.flatnonzero(role < 2).tolist()
+        sides = np.array([corners[i][0] for i in open_])
+        cell = max(float(np.maximum(sides[:, 1] - sides[:, 0], sides[:, 3] - sides[:, 2]).mean()), 1e-9)
+        labels = [(seq[i], role[i] == 0, first[i], corners[i]) for i in open_]
+        found = decide(labels, [corners[i][0] for i in np.flatnonzero(role == 2).tolist()], cell, (x, x + tile + reach, y, y + tile + reach))
+        same = table.take(pa.array([open_[f[0]] for f in found]))
+        values = {"k": pa.array([f[1] for f in found], pa.int32()), "choice": pa.array([f[2] for f in found], pa.int32())}
+        return pa.Table.from_arrays([values[f.name] if f.name in values else same.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     arrays = ", ".join(f"{s} array<double>" for s in SIDES)
     return run, f"map_id {kind}, seq {order_kind}, k int, choice int, {arrays}, reach double, tile double"
@@ -127,14 +137,14 @@ def place_in_rounds(df: DataFrame, order: str = "seq", rounds: list[int] | None
     sizes = _small(steps.keep(_tile_sizes(offers, wide)).withColumnRenamed("map_id", "m"))
     waiting = offers.join(sizes, F.col("map_id").eqNullSafe(F.col("m"))).select("map_id", "seq", F.lit(0).alias("k"), *SIDES, "reach", "tile")
     types = df.select("map_id", F.col(order).alias("seq")).limit(0).toArrow().schema
-    run, schema = _round(kind["map_id"], kind[order], types.field("seq").type, types.field("map_id").type)
     decided = None
     for turn in range(1 << 30):
         shift = SHIFTS[turn % len(SHIFTS)]
+        run, schema = _round(kind["map_id"], kind[order], types.field("seq").type, types.field("map_id").type, shift)
         rows = _tiles(waiting, shift).withColumn("role", F.when((F.col("tx") == F.col("ox")) & (F.col("ty") == F.col("oy")), 0).otherwise(1))
         if decided is not None:
             tiles = rows.where("role = 0").select(F.col("map_id").alias("m"), F.col("tx").alias("mx"), F.col("ty").alias("my")).distinct()
-            near = _tiles(decided.where("choice >= 0"), shift).join(tiles, F.col("map_id").eqNullSafe(F.col("m")) & (F.col("tx") == F.col("mx")) & (F.col("ty") == F.col("my")), "left_semi")
+            near = _tiles(decided.where("choice >= 0").withColumns({s: F.array(F.get(s, F.col("choice"))) for s in SIDES}), shift).join(tiles, F.col("map_id").eqNullSafe(F.col("m")) & (F.col("tx") == F.col("mx")) & (F.col("ty") == F.col("my")), "left_semi")
             rows = rows.unionByName(near.withColumn("role", F.lit(2)).drop("choice"))
         step = steps.keep(rows.drop("ox", "oy").groupBy("map_id", "tx", "ty").applyInArrow(run, schema))
         waiting, done = step.where("choice is null").drop("choice"), step.where("choice is not null")
