@@ -17,14 +17,14 @@ from isoline.sources import tiles
 @register(f"WITH {PTS}, {BXS} SELECT p_partkey, CAST(count(*) AS BIGINT) AS n, min(value) AS vmin, max(value) AS vmax FROM pts JOIN bxs ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax WHERE event_type = 'purchase' GROUP BY p_partkey")
 def points_in_boxes(spark, d):
     p = features.points(spark, d).where(tags.any_tag("tags", ("type", "purchase")))
-    return joins.points_in_boxes(p, features.boxes(spark, d), "lon", "lat", BOX, 20.0).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    return joins.points_in_boxes(p, features.boxes(spark, d), "lon", "lat", BOX).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
 
 
 @register(f"WITH {BXS} SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM bxs a JOIN bxs b ON a.p_partkey < b.p_partkey AND a.xmax > b.xmin AND a.xmin < b.xmax AND a.ymax > b.ymin AND a.ymin < b.ymax")
 def bbox_self_join(spark, d):
     a = features.boxes(spark, d).toDF("a_key", "ax", "aX_", "ay", "aY_")
     b = features.boxes(spark, d).toDF("b_key", "bx", "bX_", "by", "bY_")
-    return joins.bbox_join(a, b, ("ax", "aX_", "ay", "aY_"), ("bx", "bX_", "by", "bY_"), 25.0).where("a_key < b_key").select("a_key", "b_key")
+    return joins.bbox_join(a, b, ("ax", "aX_", "ay", "aY_"), ("bx", "bX_", "by", "bY_")).where("a_key < b_key").select("a_key", "b_key")
 
 
 @register(f"WITH {BXS} SELECT p_partkey FROM bxs WHERE xmax > 0 AND xmin < 50 AND ymax > -20 AND ymin < 30")
@@ -112,7 +112,7 @@ def ring_affine(spark, d):
 def points_in_rings(spark, d):
     r = features.rings(spark, d).select("s_suppkey", "c", *(c.alias(n) for c, n in zip(geometry.bounds(F.col("c")), BOX, strict=True)))
     p = features.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 13 % 320 + 0.5).alias("px"), (F.col("c_custkey") * 7 % 130 + 0.5).alias("py"))
-    return joins.points_in_boxes(p, r, "px", "py", BOX, 10.0).where(geometry.contains(F.col("c"), F.col("px"), F.col("py"))).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    return joins.points_in_boxes(p, r, "px", "py", BOX).where(geometry.contains(F.col("c"), F.col("px"), F.col("py"))).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
 @register("SELECT round(min(value), 6) AS vmin, round(max(value), 6) AS vmax, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'error'")

@@ -120,7 +120,7 @@ def svg_paths(spark, d):
 
 @register(f"WITH {PTS}, {BXS} SELECT event_id FROM pts WHERE NOT EXISTS (SELECT 1 FROM bxs WHERE lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax)")
 def points_outside_boxes(spark, d):
-    return joins.points_in_boxes(features.points(spark, d).select("event_id", "lon", "lat"), features.boxes(spark, d), "lon", "lat", BOX, 20.0, "left_anti").select("event_id")
+    return joins.points_in_boxes(features.points(spark, d).select("event_id", "lon", "lat"), features.boxes(spark, d), "lon", "lat", BOX, how="left_anti", dense=20_000).select("event_id")
 
 
 def _world_sql(body: str) -> str:
@@ -238,7 +238,7 @@ def graticule_lines(spark, d):
     g = graticule(spark, (-20, 20, -10, 10), 10, 5, segments=2)
     t = F.col("tags")[0]
     lines = g.select("feature_id", t["key"].alias("name"), t["value"].alias("value"), F.size(F.col("parts")[0]).cast("bigint").alias("n"), F.when(t["key"] == "Latitude", F.col("xmin")).otherwise(F.col("ymin")).alias("low"), *(F.col(c).alias(f"g_{c}") for c in ("xmin", "xmax", "ymin", "ymax")))
-    crossed = joins.bbox_join(lines, features.boxes(spark, d), ("g_xmin", "g_xmax", "g_ymin", "g_ymax"), ("xmin", "xmax", "ymin", "ymax"), 25.0)
+    crossed = joins.bbox_join(lines, features.boxes(spark, d), ("g_xmin", "g_xmax", "g_ymin", "g_ymax"), ("xmin", "xmax", "ymin", "ymax"))
     found = crossed.groupBy("feature_id").agg(F.count("*").alias("boxes"))
     return lines.join(found, "feature_id", "left").select("name", "value", "n", "low", F.coalesce("boxes", F.lit(0)).cast("bigint").alias("boxes"))
 

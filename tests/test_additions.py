@@ -31,7 +31,7 @@ def test_boxes_of_all_sizes(spark):
     # a world-wide box on a fine grid lies in nine cells of its level at most
     one = spark.createDataFrame([(0, -180.0, 180.0, -90.0, 90.0)], "k int, x0 double, x1 double, y0 double, y1 double")
     box = ("x0", "x1", "y0", "y1")
-    assert joins._cells(one, box, 0.001, "__r", joins._top(one, box, 0.001), own_only=True).count() <= 9
+    assert joins._cells(one, box, 0.001, "__r", joins._grid([(one, box)], 0.001)[1], own_only=True).count() <= 9
     points = [(i, float(x), float(y)) for i, (x, y) in enumerate(RNG.uniform(-180, 180, (300, 2)))]
     p = spark.createDataFrame(points, "id int, lon double, lat double")
     inside = {(i, q[0]) for i, x, y in points for q in rb if q[1] <= x <= q[2] and q[3] <= y <= q[4]}
@@ -233,3 +233,26 @@ def test_hyphenation_files(spark, tmp_path):
     rows = [("Hyphenation, Table!", "en-us"), ("Hyphenation", "cs"), ("ko\u010da\u010da kabinka", "cs"), (None, "cs"), ("abc", "nb"), ("abc", None)]
     got = spark.createDataFrame(rows, "t string, k string").select(hyphenation.hyphenate_by(F.col("t"), F.col("k"), lists).alias("h")).collect()
     assert [r.h for r in got] == ["Hy|phen|ation, Ta|ble!", "Hyphenation", "ko\u010d|a\u010da kabinka", None, "abc", "abc"]
+
+
+def test_dense_cells_are_dealt(spark):
+    """Half of the points lie in one cell: the same pairs, and no key holds many times what the others do."""
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.uniform(0, 0.9, (4000, 2)), rng.uniform(-40, 40, (4000, 2))])
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "id int, x double, y double")
+    corners = rng.uniform(-40, 40, (300, 2)).tolist() + [[0.1, 0.1], [-50.0, -50.0]]
+    sides = rng.uniform(0.5, 2, 300).tolist() + [0.5, 100.0]
+    b = spark.createDataFrame([(k, x, x + s, y, y + s) for k, ((x, y), s) in enumerate(zip(corners, sides))], "bk int, x0 double, x1 double, y0 double, y1 double")
+    box = ("x0", "x1", "y0", "y1")
+    want = {(i, k) for k, ((a, c), s) in enumerate(zip(corners, sides)) for i in np.flatnonzero((xy[:, 0] >= a) & (xy[:, 0] <= a + s) & (xy[:, 1] >= c) & (xy[:, 1] <= c + s)).tolist()}
+    for how in ("inner", "left"):
+        got = [(r.id, r.bk) for r in joins.points_in_boxes(points, b, "x", "y", box, how=how, dense=100).collect() if r.bk is not None]
+        assert len(got) == len(want) and set(got) == want
+    left = joins._cells(points.toDF("id", "x", "y").withColumns({"x1": F.col("x"), "y1": F.col("y")}), ("x", "x1", "y", "y1"), 1.0, "__l", 0)
+    dealt, every = joins._dealt(left, joins._cells(b, box, 1.0, "__r", 0), 100)
+    most = dealt.groupBy("__lcx", "__lcy", "__lpart").count().agg(F.max("count")).first()[0]
+    assert most < 200 and dealt.count() == 8000
+    boxes2 = b.toDF("ak", "a0", "a1", "c0", "c1")
+    pairs = lambda **k: sorted((r.ak, r.bk) for r in joins.bbox_join(boxes2, b, ("a0", "a1", "c0", "c1"), box, **k).collect())
+    assert pairs(dense=3) == pairs(size=7.0) == pairs() and len(pairs()) > 600
+    assert joins.bbox_join(boxes2.where("ak < 0"), b, ("a0", "a1", "c0", "c1"), box).count() == 0
