@@ -65,7 +65,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 2048 tokens.
+    """The pieces of all documents with their token ids, packed into sequences of at most 2048 tokens; `packing.sequences` joins the pieces of each.
 
     Null texts are empty: the end id alone; null ids and repeated rows are packed like any other row; an empty table gives no rows; other columns are not read.
     """

@@ -91,8 +91,10 @@ def reference_systems(spark, d):
     for k, srid in enumerate((4326, 4269, 3857, crs.VAN_DER_GRINTEN, crs.ROBINSON, 32631, crs.BRITISH)):
         by_number = wkt.srid_of(f"EPSG:{srid}")
         by_text, name = wkt.srid_of(wkt.to_wkt(by_number)), crs.KNOWN[by_number][0]
-        x, y = crs.transform_xy(*crs.transform_xy(F.col("lon"), F.col("lat"), 4326, by_text), wkt.srid_of(name), 4326)
-        one = p.where(F.col("event_id") % 7 == k).select("event_id", F.lit(by_text).alias("srid"), F.lit(name).alias("name"), (F.round(x, 4) + F.lit(0.0)).alias("lon"), (F.round(y, 4) + F.lit(0.0)).alias("lat"))
+        x, y = crs.transform_xy(F.col("lon"), F.col("lat"), 4326, by_text)
+        there = p.where(F.col("event_id") % 7 == k).select("event_id", x.alias("x"), y.alias("y"))
+        lon, lat = crs.transform_xy(F.col("x"), F.col("y"), wkt.srid_of(name), 4326)
+        one = there.select("event_id", F.lit(by_text).alias("srid"), F.lit(name).alias("name"), (F.round(lon, 4) + F.lit(0.0)).alias("lon"), (F.round(lat, 4) + F.lit(0.0)).alias("lat"))
         out = one if out is None else out.unionByName(one)
     return out
 
