@@ -126,6 +126,17 @@ def crc_remainder(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(-1))
 
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """make(), kept by a Python worker until something else is asked for: workers are used again by other operators, and one table at a time bounds their memory."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 #: Bytes of texts in one slice, unless a single row holds more.
 SLICE_BYTES = 1 << 24
 

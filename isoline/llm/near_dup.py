@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoline.llm.common import Scratch, batch, counted, join_keys, rows_of, text_or_empty, written
+from isoline.llm.common import Scratch, batch, counted, held, join_keys, rows_of, text_or_empty, written
 from isoline.llm.graph import connected_components
 
 ROWS, BANDS, BITS = 6, 42, 2
@@ -45,21 +45,18 @@ MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_words = _WordHashes()
-
-
 def shingle_set(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles: A-Z in lower case, words between ASCII white space; a shorter text is one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("words", _WordHashes).__getitem__, words), np.uint64, len(words))
     w = min(width, len(words))
     out = np.full(len(h) - w + 1, w, np.uint64)
     for k in range(w):
@@ -116,6 +113,7 @@ def _sign(width: int):
                     for k in ("set_digest", "bands", "sig"):
                         out[k].append(None)
             yield batch(schema, out)
+        held("words", _WordHashes).clear()
 
     return run
 

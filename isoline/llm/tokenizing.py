@@ -13,6 +13,8 @@ import struct
 
 import numpy as np
 
+from isoline.llm.common import held
+
 ODD_ASCII = ("<|", *"\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
 ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
@@ -21,7 +23,6 @@ GLUED = re.compile(r"[.,](?<=[^\w \n].|_.)")
 #: the ASCII marks but the apostrophe, which may start an ending such as 's; and Latin letters with such marks after them
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MARKED = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{re.escape(MARKS)}]+")
-_OPEN: dict = {}
 
 
 def tokenizer_digest(path: str) -> str:
@@ -140,8 +141,5 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One for each Python worker and file; its table lives as long as the worker."""
-    if path not in _OPEN:
-        _OPEN.clear()
-        _OPEN[path] = PieceEncoder(path)
-    return _OPEN[path]
+    """One for each Python worker and file; its table lives until the worker is asked for another one."""
+    return held(("encoder", path), lambda: PieceEncoder(path))
