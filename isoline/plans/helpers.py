@@ -280,7 +280,7 @@ def world_rasters(spark, d):
     return b.join(F.broadcast(world.catalogue(spark).where("kind = 'raster'")), ["name", "detail"]).select("p_partkey", "url")
 
 
-@register("SELECT page_id, CASE WHEN page_id % 3 = 1 AND length(url) % 5 > 0 THEN 'cached' WHEN page_id % 3 = 1 THEN 'known absent' WHEN length(url) % 5 > 0 THEN 'fetched' ELSE 'absent' END AS state, CASE WHEN length(url) % 5 > 0 THEN CAST(octet_length(encode(url)) AS BIGINT) END AS bytes FROM pages")
+@register("SELECT page_id, CASE WHEN page_id % 3 = 1 AND length(url) % 5 > 0 THEN 'cached' WHEN page_id % 3 = 1 THEN 'known absent' WHEN length(url) % 5 > 0 THEN 'fetched' ELSE 'absent' END AS state, CASE WHEN length(url) % 5 > 0 THEN CAST(octet_length(encode(url)) AS BIGINT) ELSE -1 END AS bytes FROM pages")
 def cache_states(spark, d):
     """Addresses of pages through the cache at three times; those whose length is divisible by five have no file. What was got first is too old the third time."""
     pages = features.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("name"), "url")
@@ -289,7 +289,7 @@ def cache_states(spark, d):
     for third, now in ((0, 0.0), (1, 60.0)):
         store.get(pages.where(F.col("name").cast("bigint") % 3 == third), fetch, now=now)
     got = store.get(pages, fetch, max_age_s=70.0, absent_age_s=50.0, now=100.0)
-    return got.select(F.col("name").cast("bigint").alias("page_id"), "state", "bytes")
+    return got.select(F.col("name").cast("bigint").alias("page_id"), "state", F.coalesce("bytes", F.lit(-1)).cast("bigint").alias("bytes"))
 
 
 @register("SELECT event_id FROM events WHERE event_type = 'view' AND user_id % 2 = 0")
