@@ -114,6 +114,7 @@ def _sign(width: int):
                         out[k].append(None)
             yield batch(schema, out)
         held("words", _WordHashes).clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -93,12 +93,14 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int):
                         out[k].append(v)
                     ranks[n] += 1
             yield batch(schema, out)
+        enc.older = {}
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit integers), sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit integers), ids_crc32 of these, sequence_id, offset.
 
     A null or empty text is the end id alone. Null ids and repeated rows are packed like any other row. No rows give no rows. Other columns
     of docs are not read. Ties in length are broken by task and order of reading, so sequence numbers may differ between runs; their number may not.
@@ -107,7 +109,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id:
         raise ValueError("capacity must be in 1 .. 2**19 - 1")
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "pieces")
     cut = docs.select(F.col(id_col).cast("bigint"), text_or_empty(text_col)).mapInArrow(_cut(tokenizer_path, end_id, capacity), PIECES)
-    cut.write.option("compression", "zstd").parquet(path)
+    cut.write.parquet(path)
     pieces = spark.read.schema(PIECES).parquet(path)
     per_part = pieces.groupBy("pack_part", "length").count()
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
@@ -119,7 +121,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id:
         offsets = F.broadcast(offsets)
     rank = F.col("pack_rank") + F.col("pack_before")
     ranked = pieces.join(offsets, ["pack_part", "length"]).withColumn("rank", rank).join(plan, "length").where("rank >= rank_from and rank < rank_to")
-    return ranked.selectExpr("doc_id", "piece", "start", "length", "ids", "first_sequence + (rank - rank_from) div times AS sequence_id", "first_offset + (rank - rank_from) % times * length AS offset")
+    return ranked.selectExpr("doc_id", "piece", "start", "length", "ids", "crc32(ids) AS ids_crc32", "first_sequence + (rank - rank_from) div times AS sequence_id", "first_offset + (rank - rank_from) % times * length AS offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

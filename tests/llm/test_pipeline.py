@@ -86,6 +86,7 @@ def test_run_against_brute_force(spark, folder):
     assert sorted(r.doc_id for r in got) == sorted(want)  # none of them is longer than a sequence
     for r in got:
         assert (r.piece, r.start, r.length, r.ids_crc32) == (0, 0, len(want[r.doc_id]), zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes()))
+        assert np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id]
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for parts in by.values():
         ends = list(itertools.accumulate(n for _, n in sorted(parts)))
