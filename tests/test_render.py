@@ -75,6 +75,13 @@ def test_simplify(spark):
     assert xy(r.a) == [(0, 0), (2, 0), (3, 5)] == xy(r.b) and r.n is None
 
 
+def test_simplify_ties():
+    """Of vertices equally far from a chord the first is taken, and vertices on one place are one place."""
+    assert A.split_kept(np.array([[22, 19], [29, 24], [45, 28], [54, 27], [71, 4.0]]), 10**9, 2.1234567) == [0, 1, 3, 4]
+    assert A.split_kept(np.array([[35, 13], [40, 42], [41, 41], [58, 33], [63, 32], [65, 37.0]]), 10**9, 2.1234567) == [0, 1, 3, 4, 5]
+    assert A.split_kept(np.zeros((3, 2)), 10**9, 2.1234567) == [0, 2]
+
+
 def test_smoothing(spark):
     ring = np.array(TEST_POLYGON, float)
     for closed in (False, True):
