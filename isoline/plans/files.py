@@ -245,5 +245,5 @@ def stream_counts_in_boxes(spark, d):
     p.write.parquet(f"{folder}/in/a")
     p.limit(1).select("event_id", F.lit(999.0).alias("lon"), F.lit(999.0).alias("lat"), F.timestamp_seconds(F.lit(4102444800)).alias("ts")).write.parquet(f"{folder}/in/b")
     stream = spark.readStream.schema(p.schema).parquet(f"{folder}/in/*")
-    counts = boxes.counts_in_boxes(stream, features.boxes(spark, d), "p_partkey", "ts", "1 day", "1 hour")
-    return boxes.run_available(counts, f"{folder}/counts", spark).select(F.unix_timestamp("window_start").alias("day"), "p_partkey", "n")
+    closed = boxes.run_available(boxes.counts_at_places(stream, "ts", "1 day", "1 hour"), f"{folder}/counts", spark)
+    return boxes.counts_in_boxes(closed, features.boxes(spark, d), "p_partkey").select(F.unix_timestamp("window_start").alias("day"), "p_partkey", "n")

@@ -68,3 +68,15 @@ def test_points_in_rings_meets_places(spark, tmp_path):
     for k in range(3):
         x, y, w, h = k * 31 % 300, k * 17 % 120, 5, k % 7 + 1
         assert got.get(k, 0) == sum(x < px < x + w and y < py < y + h for px, py in where)
+
+
+def test_stream_counts_keep_places_as_state(spark):
+    """The stream's rows are places of windows, not pairs with boxes; the boxes meet closed windows."""
+    from isoline.streaming import boxes as stream
+
+    p = spark.createDataFrame([(k % 2 * 1.0, 1.0, 86400 * (k % 3)) for k in range(30)], "lon double, lat double, s long").selectExpr("lon", "lat", "timestamp_seconds(s) as ts")
+    closed = stream.counts_at_places(p, "ts", "1 day", "1 hour")
+    assert sorted((r.lon, r.n) for r in closed.collect()) == [(0.0, 5)] * 3 + [(1.0, 5)] * 3
+    b = spark.createDataFrame([(7, 0.0, 1.0, 0.0, 2.0), (8, 0.5, 2.0, 1.0, 1.0), (9, 3.0, 4.0, 0.0, 1.0)], "k long, xmin double, xmax double, ymin double, ymax double")
+    got = stream.counts_in_boxes(closed, b, "k").selectExpr("unix_timestamp(window_start) as s", "k", "n").collect()
+    assert sorted(tuple(r) for r in got) == sorted((86400 * d, k, n) for d in range(3) for k, n in ((7, 10), (8, 5)))
