@@ -329,7 +329,7 @@ def _area(parts):
 
 @register(f"WITH {RINGS} SELECT s_suppkey, round(w*h + 2*(w+h)*0.5::DOUBLE + 0.25::DOUBLE*12*sin(pi()/12), 3) AS grown, CASE WHEN least(w,h) > 1 THEN round((w-1)*(h-1), 3) ELSE 0 END AS shrunk FROM r")
 def ring_offset(spark, d):
-    r = features.rings(spark, d).select("s_suppkey", regions.offset_polygon(F.array("c"), 0.5).alias("a"), regions.offset_polygon(F.array("c"), -0.5).alias("b"))
+    r = features.spread(features.rings(spark, d)).select("s_suppkey", regions.offset_polygon(F.array("c"), 0.5).alias("a"), regions.offset_polygon(F.array("c"), -0.5).alias("b"))
     return r.select("s_suppkey", _area(F.col("a")).alias("grown"), F.coalesce(_area(F.col("b")), F.lit(0.0)).alias("shrunk"))
 
 

@@ -76,3 +76,11 @@ def test_columns(spark):
     assert {r.k: size(r.parts) for r in dissolve.dissolve(df, "k", "parts", 4.0).collect()} == {"a": 150.0, "b": 100.0}
     r = {r.id: (size(r.o), size(r.b)) for r in df.select("id", R.offset_polygon(F.col("parts"), -1.0).alias("o"), R.buffer_line(F.col("parts"), 1.0).alias("b")).collect()}
     assert r[1][0] == 64 and r[4] == (None, None) and r[1][1] == pytest.approx(140 + DISC - 64)
+
+
+def test_ring_offset_is_many_tasks(spark):
+    """A small file is dealt over all cores."""
+    from isoline.plans import registry
+
+    df = registry.queries()["ring_offset"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
