@@ -335,7 +335,7 @@ def ring_offset(spark, d):
 
 @register(f"WITH {RINGS} SELECT s_suppkey, round(w + 0.25::DOUBLE*12*sin(pi()/12), 3) AS area FROM r")
 def segment_buffer(spark, d):
-    r = features.rings(spark, d).select("s_suppkey", regions.buffer_line(F.array(F.slice("c", 1, 2)), 0.5).alias("p"))
+    r = features.spread(features.rings(spark, d)).select("s_suppkey", regions.buffer_line(F.array(F.slice("c", 1, 2)), 0.5).alias("p"))
     return r.select("s_suppkey", _area(F.col("p")).alias("area"))
 
 
