@@ -76,7 +76,7 @@ def ring_centroid_distance(spark, d):
 
 @register(f"WITH {RINGS} SELECT s_suppkey, round(x + w/2, 6) AS px, round(y + h/2, 6) AS py, round(least(w, h)/2, 6) AS distance FROM r")
 def ring_pole(spark, d):
-    p = features.rings(spark, d).select("s_suppkey", algorithms.pole_of_inaccessibility(F.array("c")).alias("p"))
+    p = features.spread(features.rings(spark, d)).select("s_suppkey", algorithms.pole_of_inaccessibility(F.array("c")).alias("p"))
     return p.select("s_suppkey", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"), F.round("p.distance", 6).alias("distance"))
 
 

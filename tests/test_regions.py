@@ -92,3 +92,11 @@ def test_segment_buffer_is_many_tasks(spark):
 
     df = registry.queries()["segment_buffer"](spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_ring_pole_is_many_tasks(spark):
+    """A small file is dealt over all cores."""
+    from isoline.plans import registry
+
+    df = registry.queries()["ring_pole"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
