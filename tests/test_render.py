@@ -4,6 +4,7 @@ import math
 import xml.etree.ElementTree as ET
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,17 @@ def test_simplify_ties():
     assert A.split_kept(np.zeros((3, 2)), 10**9, 2.1234567) == [0, 2]
 
 
+def test_smoothing_of_many_lines(monkeypatch):
+    """Lines smoothed together come out as each alone; one of repeated, missing or no vertices holds up none."""
+    monkeypatch.setattr(A, "VERTICES", 40)
+    rows = [RNG.normal(size=(n, 2)) * 10 for n in RNG.integers(0, 9, 60)] + [np.array([[0, 0], [1, 1], [1, 1], [0, 0.0]]), np.array([[0, 0], [math.nan, 1], [1, 5], [0, 0.0]])]
+    x, y = (pd.Series([None, *(r[:, k] for r in rows), None], dtype=object) for k in (0, 1))
+    got = A._smoothed(x, y, math.radians(20))
+    assert got[0] is None and got[-1] is None
+    for r, q in zip(rows, got[1:-1], strict=True):
+        assert np.array_equal(A.smooth_points(r, False, math.radians(20)).ravel(), q, equal_nan=True)
+
+
 def test_smoothing(spark):
     ring = np.array(TEST_POLYGON, float)
     for closed in (False, True):
