@@ -12,10 +12,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over many tasks, for costly functions of a row: a small file would be one task's work."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over many tasks, for costly functions of a row: a small file would be one task's work. by: rows that are alike in these come to one task."""
     spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

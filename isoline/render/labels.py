@@ -73,9 +73,10 @@ def first_fit(boxes: list[np.ndarray], cell: float) -> list[int]:
     return out
 
 
-def place(df: DataFrame, order: str = "seq") -> DataFrame:
+def place(df: DataFrame, order: str = "seq", boxes: Column | None = None, same: list[str] | None = None) -> DataFrame:
     """df: map_id, a unique order column, boxes (array of candidates). Returns (map_id, order, choice): the candidate's number from 0, -1 for none.
 
+    boxes and same: in place of the column boxes, a function of the columns `same` alone.
     Maps are independent of each other, and a map is not one group: see `placement.place_in_rounds`.
     """
-    return place_in_rounds(df, order)
+    return place_in_rounds(df, order, boxes=boxes, same=same)

@@ -5,13 +5,16 @@ twice as wide as its widest label reaches, wider where labels are few. In each r
 reaches into it: a place that overlaps a decided label is refused; one that overlaps a place which an earlier, undecided label of another tile may still
 take makes the label wait; any other is taken. Each round moves the tiles by half their width, so what waited at a border is inside of one. The first
 undecided label of all can always decide, so the rounds end; in practice all labels are decided in a few.
+
+Labels with the same boxes are told apart by their order only: of those, no more can be placed than they have places, and they are the first ones. The others
+are settled before the rounds, so what these hold grows with different labels, not with copies.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoline.sources.steps import Steps
@@ -112,6 +115,26 @@ def _round(kind: str, order_kind: str, seq_type: pa.DataType, map_type: pa.DataT
     return run, f"map_id {kind}, seq {order_kind}, k int, choice int, {arrays}, reach double, tile double"
 
 
+def _offered(df: DataFrame, order: str, boxes: Column | None, same: list[str] | None) -> DataFrame:
+    """(map_id, seq, four arrays of sides): without places for labels that come after as many others with their boxes as they have places.
+
+    Each of those others took a place that the ones before it did not take, as a box overlaps itself, or found all of them taken: then so do later ones.
+    """
+    sides = [F.coalesce(F.col(f"boxes.{s}").cast("array<double>"), F.array().cast("array<double>")).alias(s) for s in SIDES]
+    seq = F.col(order).alias("seq")
+    if same is None:
+        flat = df.select("map_id", seq, *sides)
+        keys = [F.xxhash64("map_id", *SIDES), *map(F.col, SIDES)]  # the digest sorts quickly, the sides tell
+    else:
+        flat, keys = df.select("map_id", seq, *same), [F.col(c) for c in same]
+    flat = flat.withColumn("__rank", F.row_number().over(Window.partitionBy("map_id", *keys).orderBy("seq")))
+    if same is not None:
+        flat = flat.withColumn("boxes", boxes).select("map_id", "seq", "__rank", *sides)
+    solid = F.forall(F.zip_with("x0", "x1", lambda a, b: a < b), lambda v: v) & F.forall(F.zip_with("y0", "y1", lambda a, b: a < b), lambda v: v)
+    late = solid & (F.col("__rank") > F.size("x0"))
+    return flat.select("map_id", "seq", *(F.when(late, F.array().cast("array<double>")).otherwise(F.col(s)).alias(s) for s in SIDES))
+
+
 def _tile_sizes(flat: DataFrame, reach: Column) -> DataFrame:
     """map_id, reach (of its widest label), tile: the widest tiles that hold TILE_LABELS labels at most, twice the reach at least."""
     reaches = _small(flat.groupBy("map_id").agg(F.greatest(F.max(reach), F.lit(1e-9)).alias("reach")).withColumnRenamed("map_id", "m"))
@@ -123,14 +146,17 @@ def _tile_sizes(flat: DataFrame, reach: Column) -> DataFrame:
     return most.groupBy("map_id", "reach").agg(widest.alias("level")).select("map_id", "reach", (2 * F.col("reach") * F.pow(F.lit(2.0), "level")).alias("tile"))
 
 
-def place_in_rounds(df: DataFrame, order: str = "seq", rounds: list[int] | None = None) -> DataFrame:
+def place_in_rounds(df: DataFrame, order: str = "seq", rounds: list[int] | None = None, boxes: Column | None = None, same: list[str] | None = None) -> DataFrame:
     """df: map_id, a unique order column, boxes (array of candidates). Returns (map_id, order, choice): the candidate's number from 0, -1 for none.
 
+    boxes and same: in place of the column of that name, a function of the columns `same` alone; then only these are shuffled to find copies.
     Labels without candidates get -1; null maps are a map of their own; no labels give no rows. rounds, if given, receives how many labels each round left.
     """
     spark, kind = df.sparkSession, dict(df.dtypes)
     steps, out = Steps(spark), Steps(spark)
-    flat = steps.keep(df.select("map_id", F.col(order).alias("seq"), *(F.coalesce(F.col(f"boxes.{s}").cast("array<double>"), F.array().cast("array<double>")).alias(s) for s in SIDES)))
+    if (boxes is None) != (same is None):
+        raise ValueError("boxes and same go together")
+    flat = steps.keep(_offered(df, order, boxes, same))
     bare = flat.where("size(x0) = 0").select("map_id", "seq", F.lit(-1).alias("choice"))
     wide = F.greatest(F.array_max("x1") - F.array_min("x0"), F.array_max("y1") - F.array_min("y0"))
     offers = flat.where("size(x0) > 0")

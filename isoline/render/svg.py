@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoline.functions.geometry import affine, svg_path
+from isoline.operators.features import spread
 from isoline.render import canvas, labels
+from isoline.render.placement import _small
 from isoline.render.png import TILE, image_tiles
 from isoline.sources.features import finish, get_data
+from isoline.sources.steps import Steps
 
 
 @dataclass(frozen=True)
@@ -93,7 +96,7 @@ def raster_layer(m: Map, cells: DataFrame, box: tuple, width: int, height: int,
 
 def draw(m: Map, sources: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     """(layer_no, part, feature_id, svg): part 0 is geometry, 1 symbols, 2 labels. sources: name to (features, srid). Symbols and labels of all layers share one placement, layer by layer."""
-    out, offers = [], []
+    out, offers, steps = [], [], None
     d = m.decimals
     for no, layer in enumerate(m.layers):
         s, df = layer.style, _drawn(m, layer, sources, no)
@@ -103,7 +106,8 @@ def draw(m: Map, sources: dict[str, tuple[DataFrame, int]]) -> DataFrame:
         out.append(df.where(F.lit(bool(s.fill or s.stroke))).select("layer_no", F.lit(0).alias("part"), "feature_id", shape.alias("svg")).where("svg is not null"))
         if s.symbol_radius is None and s.label_tag is None:
             continue
-        at = labels.anchors(df)
+        steps = steps or Steps(df.sparkSession)
+        at = steps.keep(labels.anchors(spread(df, "parts")).select("layer_no", "feature_id", "anchor", "tags"))  # poles are costly and read three times
         x, y = F.col("anchor.x"), F.col("anchor.y")
         if s.symbol_radius is not None:
             r = float(s.symbol_radius)
@@ -123,8 +127,8 @@ def draw(m: Map, sources: dict[str, tuple[DataFrame, int]]) -> DataFrame:
         for o in offers[1:]:
             every = every.unionByName(o)
         every = every.withColumns({"map_id": F.lit(0), "seq": F.format_string("%06d.%d.%020d", "layer_no", "part", "feature_id")})
-        chosen = labels.place(every).where("choice >= 0")
-        out.append(every.join(chosen.select("seq", "choice"), "seq").select("layer_no", "part", "feature_id", F.get("texts", F.col("choice")).alias("svg")))
+        chosen = _small(labels.place(every).where("choice >= 0").select("seq", "choice"))
+        out.append(every.join(chosen, "seq").select("layer_no", "part", "feature_id", F.get("texts", F.col("choice")).alias("svg")))
     if not out:
         raise ValueError("a map needs a layer")
     drawn = out[0]

@@ -59,3 +59,26 @@ def test_no_labels_and_other_order_columns(spark):
     assert labels.place(offers(spark, [])).count() == 0
     d = offers(spark, [("m", 1, [(0.0, 1.0, 0.0, 1.0)])]).withColumn("rank", F.lit("first"))
     assert [tuple(r) for r in labels.place(d.drop("seq"), "rank").collect()] == [("m", "first", 0)]
+
+
+def test_copies_are_settled_before_the_rounds(spark):
+    """Of labels with the same boxes only as many as they have places enter the rounds, in order; boxes without a size never overlap and all stay."""
+    rng = np.random.default_rng(5)
+    kinds = [r[2] for r in crowd(rng, "a", 30, 3)] + [[(0.0, 0.0, 0.0, 1.0)]]
+    rows = [("a" if k % 3 else "b", int(seq), kinds[k % len(kinds)]) for k, seq in enumerate(rng.permutation(1500))]
+    flat = placement._offered(offers(spark, rows), "seq", None, None).where("size(x0) > 0")
+    assert flat.groupBy("map_id", *SIDES).count().where("size(x0) = 8").agg(F.max("count")).first()[0] == 8
+    assert flat.where("size(x0) = 1").count() == sum(len(r[2]) == 1 for r in rows)
+    got = {(r.map_id, r.seq): r.choice for r in labels.place(offers(spark, rows)).collect()}
+    assert got == one_after_the_other(rows)
+
+
+def test_boxes_as_a_function_of_columns(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", int(seq), float(k % 7), float(k % 5)) for k, seq in enumerate(rng.permutation(800))]
+    d = spark.createDataFrame(rows, "map_id string, seq bigint, x double, y double").repartition(5)
+    boxes = labels.candidates(F.col("x"), F.col("y"), F.lit(1.5), F.lit(0.5), F.lit(0.1), True)
+    got = {r.seq: r.choice for r in labels.place(d, boxes=boxes, same=["x", "y"]).collect()}
+    assert got == {r.seq: r.choice for r in labels.place(d.withColumn("boxes", boxes)).collect()}
+    with pytest.raises(ValueError):
+        labels.place(d, boxes=boxes)

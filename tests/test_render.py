@@ -180,3 +180,14 @@ def test_svg(spark):
     assert text.count("<circle") == 1 and text.count("<text") == 1 and 'mask="url(#mask-cut)"' in text and "far" not in text
     with pytest.raises(KeyError):
         svg.draw(svg.Map((0, 1, 0, 1), 1, 1, layers=[svg.Layer("x", "none", svg.Style())]), {})
+
+
+def test_drawing_finds_each_anchor_once(spark):
+    """Symbols, labels and their placement read anchors that are kept: poles are not found again for each."""
+    tags = F.array(F.struct(F.lit("name").alias("key"), F.col("id").cast("string").alias("value")))
+    p = lambda x, y: F.struct((F.col("id") % 5 * 20.0 + x).alias("x"), F.lit(float(y)).alias("y"))
+    f = finish(spark.range(40).select(F.col("id").alias("feature_id"), F.lit("polygon").alias("geom_type"), F.array(F.array(p(0, 0), p(9, 0), p(9, 9), p(0, 9), p(0, 0))).alias("parts"), tags.alias("tags")))
+    m = svg.Map((0, 100, 0, 50), 1000, 500, layers=[svg.Layer("names", "f", svg.Style(symbol_radius=2.0, fill="#ff0000", label_tag="name", label_size=8))])
+    drawn = svg.draw(m, {"f": (f, 4326)})
+    assert drawn.where("part = 1").count() == 5
+    assert "ArrowEvalPython" not in drawn.where("part > 0")._jdf.queryExecution().executedPlan().toString()
