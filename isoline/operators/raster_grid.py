@@ -1,12 +1,14 @@
 """Operators that change a raster's grid: crop, pad, mosaic, shrink, warp, contours. Cells are (raster_id, x, y, value), y = 0 on top.
 
-All are projections, unions or equi joins on cell keys: no raster is gathered anywhere.
+All are projections, unions or equi joins on cell keys, or meet as tiles of bounded size: no raster is gathered anywhere.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +58,65 @@ def shrink(cells: DataFrame, factor: int, nodata: float | None = None) -> DataFr
     return out if nodata is None else out.withColumn("value", F.coalesce("value", F.lit(float(nodata))))
 
 
-def _sinc(d: Column) -> Column:
-    x = d * math.pi
-    return F.when(F.abs(d) < 1e-12, F.lit(1.0)).otherwise(F.sin(x) / x)
+def _lanczos(d: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(d) < 3, np.sinc(d) * np.sinc(d / 3), 0.0)
 
 
 #: Reach in cells and weight by distance of each way to read between cells.
-KERNELS = {"bilinear": (1, lambda d: 1 - F.abs(d)), "lanczos": (3, lambda d: F.when(F.abs(d) < 3, _sinc(d) * _sinc(d / 3)).otherwise(F.lit(0.0)))}
+KERNELS = {"bilinear": (1, lambda d: 1 - np.abs(d)), "lanczos": (3, _lanczos)}
+#: Side of the tiles of old cells that new ones are read from (smaller where new cells are finer), and new cells that are weighed at once.
+TILE, BLOCK = 256, 65_536
+
+
+def _read_between(at: DataFrame, src: DataFrame, size: tuple[int, int], many: int, method: str, nodata: float) -> DataFrame:
+    """New cells (x, y, px, py) as weighted sums of the old ones around their place: both are dealt to tiles of old cells, these with a halo, so a cell is sent about once and no pair of cells is a row."""
+    (w, h), (reach, weight) = size, KERNELS[method]
+    side = max(4 * reach, int(TILE / math.sqrt(max(1.0, many / (w * h)))))
+    own = lambda p, n: F.floor(F.least(F.greatest(F.floor(p), F.lit(0)), F.lit(n - 1)) / side).cast("int")
+    halo = lambda c, n: F.sequence(F.floor(F.greatest(F.col(c) - reach, F.lit(0)) / side).cast("int"), F.floor(F.least(F.col(c) + reach, F.lit(n - 1)) / side).cast("int"))
+    here = at.where("inside").select("x", "y", "px", "py", own(F.col("px"), w).alias("tx"), own(F.col("py"), h).alias("ty"))
+    src = src.where(F.col("cx").between(0, w - 1) & F.col("cy").between(0, h - 1))
+    dealt = src.select("raster_id", "cx", "cy", F.col("value").cast("double").alias("value")).withColumn("tx", F.explode(halo("cx", w))).withColumn("ty", F.explode(halo("cy", h)))
+    kind = src.limit(0).select("raster_id").toArrow().schema.field(0).type
+    schema = pa.schema([("raster_id", kind), ("x", pa.int32()), ("y", pa.int32()), ("value", pa.float64())])
+
+    def run(new: pa.Table, old: pa.Table) -> pa.Table:
+        if not new.num_rows:
+            return schema.empty_table()
+        x0, y0 = (max(0, new.column(t)[0].as_py() * side - reach) for t in ("tx", "ty"))
+        shape = min(h - y0, side + 2 * reach), min(w - x0, side + 2 * reach)
+        values, ok = np.zeros(shape), np.zeros(shape, bool)
+        name = None
+        if old.num_rows:
+            cell = old.column("cy").to_numpy() - y0, old.column("cx").to_numpy() - x0
+            there = old.column("value").is_valid().to_numpy()
+            v = old.column("value").fill_null(0.0).to_numpy()
+            values[cell], ok[cell], name = v, there & (v != nodata), old.column("raster_id")[0].as_py()
+        px, py = new.column("px").to_numpy(), new.column("py").to_numpy()
+        found, held = np.empty(len(px)), np.empty(len(px), bool)
+        taps = np.arange(1 - reach, reach + 1)
+        for k in range(0, len(px), BLOCK):
+            fx, fy = px[k : k + BLOCK] - 0.5, py[k : k + BLOCK] - 0.5
+            ax, ay = np.floor(fx), np.floor(fy)
+            top, low, good = np.zeros(len(fx)), np.zeros(len(fx)), np.ones(len(fx), bool)
+            for j in taps:
+                wy, row = weight(fy - ay - j), np.clip(ay + j, 0, h - 1).astype(int) - y0
+                for i in taps:
+                    share = weight(fx - ax - i) * wy
+                    col = np.clip(ax + i, 0, w - 1).astype(int) - x0
+                    top += values[row, col] * share
+                    low += share
+                    good &= ok[row, col]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found[k : k + BLOCK], held[k : k + BLOCK] = np.where(good, top / low, nodata), good & (low == 0)
+        return pa.table([pa.array([name], kind).take(pa.array(np.zeros(len(px), np.int32))), new.column("x"), new.column("y"), pa.array(found, mask=held)], schema=schema)
+
+    raster = dict(src.dtypes)["raster_id"]
+    return here.groupBy("tx", "ty").cogroup(dealt.groupBy("tx", "ty")).applyInArrow(run, f"raster_id {raster}, x int, y int, value double")
 
 
 def warp(cells: DataFrame, box: tuple, size: tuple[int, int], source: int, to_box: tuple, to_size: tuple[int, int], target: int, method: str = "nearest", nodata: float = -9999.0) -> DataFrame:
-    """The raster on another grid, in another reference system: each new cell's centre is taken back, and the cell below it (nearest), or the weighted ones around it (bilinear: four, lanczos: 36), are joined.
+    """The raster on another grid, in another reference system: each new cell's centre is taken back, and the cell below it (nearest) is joined, or the weighted ones around it (bilinear: four, lanczos: 36) are read within tiles.
 
     Edge cells stand for those beyond the edge, and weights are divided by their sum. New cells whose centre is outside the old raster, or with a no-data
     cell among those around it, are no-data. cells holds one raster; raster_id is null outside it.
@@ -83,16 +133,10 @@ def warp(cells: DataFrame, box: tuple, size: tuple[int, int], source: int, to_bo
     if method == "nearest":
         near = at.select("x", "y", F.floor("px").cast("int").alias("cx"), F.floor("py").cast("int").alias("cy"))
         return near.join(src, ["cx", "cy"], "left").select("raster_id", "x", "y", F.coalesce("value", F.lit(nodata)).alias("value"))
-    reach, weight = KERNELS[method]
-    fx, fy = F.col("px") - 0.5, F.col("py") - 0.5
-    taps = range(1 - reach, reach + 1)
-    along = lambda f: F.array(*(F.struct((F.floor(f) + i).alias("c"), weight(f - F.floor(f) - i).alias("w")) for i in taps))
-    clamped = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
-    inside = F.col("px").between(0, w) & F.col("py").between(0, h)
-    spread = at.select("x", "y", inside.alias("in"), F.explode(along(fx)).alias("a"), fy.alias("fy"), "py").select("x", "y", "in", "a", F.explode(along(F.col("fy"))).alias("b"))
-    spread = spread.select("x", "y", "in", (F.col("a.w") * F.col("b.w")).alias("w"), clamped(F.col("a.c"), w).alias("cx"), clamped(F.col("b.c"), h).alias("cy"))
-    bad = F.max(F.col("value").isNull() | (F.col("value") == nodata) | ~F.col("in"))
-    return spread.join(src, ["cx", "cy"], "left").groupBy("x", "y").agg(F.max("raster_id").alias("raster_id"), F.when(bad, F.lit(nodata)).otherwise(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w"))).alias("value")).select("raster_id", "x", "y", "value")
+    at = at.withColumn("inside", F.coalesce(F.col("px").between(0, w) & F.col("py").between(0, h), F.lit(False)))
+    raster = dict(cells.dtypes)["raster_id"]
+    outside = at.where("not inside").select(F.lit(None).cast(raster).alias("raster_id"), "x", "y", F.lit(float(nodata)).alias("value"))
+    return _read_between(at, src, size, tw * th, method, nodata).unionByName(outside)
 
 
 def contour_segments(cells: DataFrame, interval: float, base: float = 0.0, nodata: float | None = None) -> DataFrame:
