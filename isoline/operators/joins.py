@@ -74,8 +74,8 @@ _SAME = "__lcx = __rcx and __lcy = __rcy and __llevel = __rlevel"
 _OWN = ("__lcx", "__lcy", "__llevel", "__lown", "__rcx", "__rcy", "__rlevel", "__rown", "__lpart", "__rpart")
 
 
-def bbox_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tuple, size: float | None = None, dense: int | None = None) -> DataFrame:
-    """Pairs whose boxes strictly overlap. Column names of the two sides must differ. size: the side of a grid cell; dense: rows of left that a key holds at most (one more scan of left)."""
+def bbox_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tuple, size: float | None = None, dense: int | None = None, same: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs whose boxes strictly overlap. Column names of the two sides must differ. size: the side of a grid cell; dense: rows of left that a key holds at most (one more scan of left); same: a column of each side, equal in a pair and part of the key."""
     size, top = _grid([(left, left_box), (right, right_box)], size)
     a, b = _cells(left, left_box, size, "__l", top), _cells(right, right_box, size, "__r", top)
     side = F.lit(size) * F.pow(F.lit(STEP), F.col("__llevel")) if top else F.lit(size)
@@ -84,6 +84,8 @@ def bbox_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tup
     if dense is not None:
         a, b = _dealt(a, b, dense)
         on = on & F.expr("__lpart = __rpart")
+    if same is not None:
+        on = on & (F.col(same[0]) == F.col(same[1]))
     return a.join(b, on).drop(*_OWN)
 
 

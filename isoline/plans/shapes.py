@@ -13,6 +13,7 @@ from isoline.render import canvas, labels, svg
 from isoline.sources import hyphenation, tiles
 from isoline.sources.features import finish
 from isoline.sources.graticule import graticule
+from isoline.sources.steps import Steps
 from isoline.sources.store import shared_folder, write_file
 
 RINGS = "r AS (SELECT s_suppkey, CAST(s_suppkey*31 % 300 AS DOUBLE) AS x, CAST(s_suppkey*17 % 120 AS DOUBLE) AS y, CAST(s_nationkey+1 AS DOUBLE) AS w, CAST(s_suppkey % 7 + 1 AS DOUBLE) AS h FROM supplier)"
@@ -254,40 +255,58 @@ def canvas_center(spark, d):
     return features.points(spark, d).select("event_id", F.round(F.col("lon") * f.scale_x + f.offset_x, 6).alias("cx"), F.round(F.col("lat") * f.scale_y + f.offset_y, 6).alias("cy"))
 
 
-def _placed(spark, d):
-    """One map a brand, a label a part, nine places for each: (map_id, p_partkey, boxes, choice)."""
-    p = features.boxes(spark, d).join(features.read(spark, d, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey")
-    w, h = labels.text_size(F.col("p_name"), 1.0)
-    boxes = labels.candidates((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, w, h, F.lit(0.3), False)
-    offers = p.select(F.col("p_brand").alias("map_id"), "p_partkey", boxes.alias("boxes"))
-    return offers.join(labels.place(offers, "p_partkey").select("p_partkey", "choice"), "p_partkey")
+#: What the boxes of a part's label are computed from.
+_PART = ["cx", "cy", "w", "h"]
 
 
-def _checked(found):
-    """(map_id, n, overlaps, unjust) of (map_id, seq, boxes, choice)."""
-    box = lambda c, n: [F.col(f"{c}.{k}").alias(f"{n}{k}") for k in ("x0", "x1", "y0", "y1")]
-    taken = found.where("choice >= 0").select(F.col("map_id").alias("a_map"), F.col("seq").alias("a_key"), F.get("boxes", F.col("choice")).alias("b")).select("a_map", "a_key", *box("b", "a"))
-    every = found.select("map_id", "seq", "choice", F.posexplode("boxes").alias("k", "b")).select("map_id", "seq", "choice", "k", *box("b", "b"))
-    met = joins.bbox_join(every.where("choice < 0 or k <= choice"), taken, ("bx0", "bx1", "by0", "by1"), ("ax0", "ax1", "ay0", "ay1"), 4.0).where("map_id = a_map and seq <> a_key")
-    overlaps = met.where("k = choice").groupBy("map_id").agg(F.count("*").alias("overlaps"))
-    passed = every.where("choice < 0 or k < choice").join(met.where("a_key < seq").select("seq", "k").distinct(), ["seq", "k"], "left_anti").groupBy("map_id").agg(F.count("*").alias("unjust"))
-    n = found.groupBy("map_id").agg(F.count("*").alias("n"))
-    return n.join(overlaps, "map_id", "left").join(passed, "map_id", "left").select("map_id", "n", F.coalesce("overlaps", F.lit(0)).cast("bigint").alias("overlaps"), F.coalesce("unjust", F.lit(0)).cast("bigint").alias("unjust"))
+def _labels_of_parts(spark, d):
+    """One map a brand, a label a part: (map_id, seq, and the columns that its places are computed from)."""
+    p = features.boxes(spark, d).join(features.read(spark, d, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey")
+    w, h = labels.text_size(F.col("p_name"), 1.0)
+    return p.select(F.col("p_brand").alias("map_id"), F.col("p_partkey").alias("seq"), ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"), w.alias("w"), h.alias("h"))
+
+
+def _placed_and_checked(offers, same, boxes):
+    """Places labels (map_id, seq and the columns `same`, which boxes is a function of), and counts what is wrong by map: (map_id, n, overlaps, unjust).
+
+    Labels of one place and choice passed over the same boxes, so each box is met once with the placed labels: for the first label that passed it over. Only
+    boxes that this one should not have passed over are met for every label.
+    """
+    steps = Steps(offers.sparkSession)
+    found = steps.keep(offers.join(labels.place(offers, boxes=boxes, same=same).select("seq", "choice"), "seq"))
+    side = lambda c, n: [F.col(f"{c}.{k}").alias(f"{n}{k}") for k in ("x0", "x1", "y0", "y1")]
+    box, other = ("bx0", "bx1", "by0", "by1"), ("ax0", "ax1", "ay0", "ay1")
+    taken = steps.keep(found.where("choice >= 0").withColumn("boxes", boxes).select("map_id", "seq", F.get("boxes", F.col("choice")).alias("b")).select("map_id", "seq", *side("b", "b")))
+    rivals = taken.select(F.col("map_id").alias("a_map"), F.col("seq").alias("a_key"), *(F.col(b).alias(a) for a, b in zip(other, box, strict=True)))
+    meet = lambda df: joins.bbox_join(df, rivals, box, other, 4.0, same=("map_id", "a_map"))
+    overlaps = meet(taken).where("seq <> a_key").groupBy("map_id").agg(F.count("*").alias("overlaps"))
+    over = lambda df, *more: df.withColumn("boxes", boxes).select("map_id", "choice", *more, F.posexplode("boxes").alias("k", "b")).where("choice < 0 or k < choice").select("map_id", *more, *side("b", "b"))
+    alike = steps.keep(found.groupBy("map_id", *same, "choice").agg(F.count("*").alias("labels"), F.min("seq").alias("first")))
+    passed = steps.keep(over(alike, "first").groupBy("map_id", *box).agg(F.min("first").alias("first")))
+    rival = meet(passed).groupBy("map_id", *box).agg(F.min("a_key").alias("rival"))
+    doubtful = steps.keep(passed.join(rival, ["map_id", *box], "left").where("rival is null or rival >= first").select("map_id", *box, "rival"))
+    n = alike.groupBy("map_id").agg(F.sum("labels").alias("n"))
+    out = n.join(overlaps, "map_id", "left")
+    if doubtful.isEmpty():
+        out = out.withColumn("unjust", F.lit(0))
+    else:
+        unjust = over(found, "seq").join(doubtful, ["map_id", *box]).where("rival is null or rival >= seq").groupBy("map_id").agg(F.count("*").alias("unjust"))
+        out = out.join(unjust, "map_id", "left")
+    return out.select("map_id", "n", F.coalesce("overlaps", F.lit(0)).cast("bigint").alias("overlaps"), F.coalesce("unjust", F.lit(0)).cast("bigint").alias("unjust"))
 
 
 @register("SELECT 1 AS map_id, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS unjust FROM events")
 def label_placement_one_map(spark, d):
     """All events in one map, a box each with eight places."""
-    w, h = F.lit(1.5), F.lit(0.5)
-    boxes = labels.candidates(F.col("lon"), F.col("lat"), w, h, F.lit(0.1), True)
-    offers = features.points(spark, d).select(F.lit(1).alias("map_id"), F.col("event_id").alias("seq"), boxes.alias("boxes"))
-    return _checked(offers.join(labels.place(offers).select("seq", "choice"), "seq"))
+    boxes = labels.candidates(F.col("lon"), F.col("lat"), F.lit(1.5), F.lit(0.5), F.lit(0.1), True)
+    return _placed_and_checked(features.points(spark, d).select(F.lit(1).alias("map_id"), F.col("event_id").alias("seq"), "lon", "lat"), ["lon", "lat"], boxes)
 
 
 @register("SELECT p_brand AS map_id, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS unjust FROM part GROUP BY p_brand")
 def label_placement(spark, d):
     """First fit, held to what defines it: placed labels do not overlap, and each place that a label passed over overlaps a label placed before it."""
-    return _checked(_placed(spark, d).withColumnRenamed("p_partkey", "seq"))
+    boxes = labels.candidates(*map(F.col, _PART), F.lit(0.3), False)
+    return _placed_and_checked(_labels_of_parts(spark, d), _PART, boxes)
 
 
 @register()
