@@ -47,6 +47,19 @@ def decode(name: str, data: bytes) -> np.ndarray:
     raise ValueError(f"raster files of kind {kind} are not supported")
 
 
+def blocks(name: str, data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, bands x rows x columns), some rows at a time; a PNG file is unpacked as they are taken."""
+    if name.lower().endswith(".png"):
+        from isoline.render.png import blocks as png_blocks
+
+        yield from png_blocks(data, BLOCK)
+        return
+    bands = decode(name, bytes(data))
+    rows = max(1, BLOCK // bands.shape[2])
+    for y in range(0, bands.shape[1], rows):
+        yield y, bands[:, y : y + rows]
+
+
 def read_raster(spark: SparkSession, path: str, nodata: float | None = None) -> DataFrame:
     """raster_id is the file's name without its extension; band counts from 1. nodata: only a remark for the caller, cells keep it."""
     files = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("name"), "content")
@@ -54,12 +67,8 @@ def read_raster(spark: SparkSession, path: str, nodata: float | None = None) ->
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"], strict=True):
-                bands = decode(name, bytes(content))
-                _, h, w = bands.shape
-                rows = max(1, BLOCK // w)
-                for k, a in enumerate(bands):
-                    for y in range(0, h, rows):
-                        block = a[y : y + rows]
+                for y, bands in blocks(name, content):
+                    for k, block in enumerate(bands):
                         yy, xx = np.indices(block.shape)
                         yield pd.DataFrame({"raster_id": name.rsplit(".", 1)[0], "band": k + 1, "x": xx.ravel(), "y": (yy + y).ravel(), "value": block.ravel().astype("float64")})
 

@@ -29,14 +29,28 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+class Part:
+    """A file that is written piece by piece, under a name of the task's own until done()."""
+
+    def __init__(self, uri: str) -> None:
+        self.store, self.path = open_store(uri)
+        self.store.create_dir(os.path.dirname(self.path), recursive=True)
+        self.part = f"{os.path.dirname(self.path)}/_{uuid.uuid4().hex}"
+        self.file = self.store.open_output_stream(self.part, compression=None)
+
+    def write(self, data: bytes) -> None:
+        self.file.write(data)
+
+    def done(self) -> None:
+        self.file.close()
+        self.store.move(self.part, self.path)
+
+
 def write_file(uri: str, data: bytes) -> None:
     """A whole file, under a name of the task's own until it is complete."""
-    store, path = open_store(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{os.path.dirname(path)}/_{uuid.uuid4().hex}"
-    with store.open_output_stream(part, compression=None) as f:
-        f.write(data)
-    store.move(part, path)
+    f = Part(uri)
+    f.write(data)
+    f.done()
 
 
 def existing(spark: SparkSession, folder: str) -> list[str]:
