@@ -46,7 +46,7 @@ def geojson_round_trip(spark, d):
 def geojson_source_in_box(spark, d):
     """Through the data source, whose reader gets the box."""
     path = f"{shared_folder(spark)}/features.geojson"
-    to_geojson(_box_features(spark, d)).write.text(path)
+    to_geojson(_box_features(spark, d, True)).write.text(path)
     datasource.register(spark)
     return spark.read.format("isoline_geojson").option("range_bytes", 20_000).load(path).where(B.intersects(BOX, (-20, 60, -30, 40))).select(T.tag("tags", "k").alias("k"), *BOX)
 

@@ -18,9 +18,9 @@ from isoline.sources.store import shared_folder
 _P = lambda x, y: geometry.point(F.lit(float(x)), F.lit(float(y)))
 
 
-def _box_features(spark, d):
-    """Boxes as polygons."""
-    b = features.boxes(spark, d)
+def _box_features(spark, d, spread=False):
+    """Boxes as polygons; spread: by many tasks, from a file of one."""
+    b = features.spread(features.boxes(spark, d)) if spread else features.boxes(spark, d)
     tags = F.array(F.struct(F.lit("k").alias("key"), F.col("p_partkey").cast("string").alias("value")))
     return S.finish(b.select(F.col("p_partkey").cast("bigint").alias("feature_id"), F.lit("polygon").alias("geom_type"), F.array(B.ring(BOX)).alias("parts"), tags.alias("tags")))
 

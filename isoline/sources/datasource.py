@@ -24,6 +24,10 @@ _NAMES = {"Point": "point", "MultiPoint": "multipoint", "LineString": "line", "M
 _SIGNS = {GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, EqualTo: lambda a, b: a == b}
 
 
+#: Ranges that files are split into: more, only if they would be longer than LONGEST bytes.
+MOST, LONGEST = 256, 1 << 25
+
+
 class Range(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
@@ -65,7 +69,8 @@ class GeoJsonReader(DataSourceReader):
         info = store.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
-        return [Range(p, a, min(a + self.range_bytes, size)) for p, size in files for a in range(0, size, self.range_bytes)]
+        step = max(self.range_bytes, min(LONGEST, -(-sum(size for _, size in files) // MOST)))
+        return [Range(p, a, min(a + step, size)) for p, size in files for a in range(0, size, step)]
 
     def read(self, part):
         store, _ = open_store(self.path)
@@ -100,7 +105,7 @@ class GeoJsonReader(DataSourceReader):
 
 
 class GeoJsonSource(DataSource):
-    """Options: path; range_bytes (32 MB). feature_id is the byte place of the feature's line in its file."""
+    """Options: path; range_bytes (32 MB): the shortest range, as each is a task; ranges get longer where there would be more than MOST. feature_id is the byte place of the feature's line in its file."""
 
     @classmethod
     def name(cls):
