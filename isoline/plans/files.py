@@ -120,25 +120,30 @@ def kml_round_trip(spark, d):
 def _shapefile(frame: pd.DataFrame) -> tuple[bytes, bytes]:
     """Points and a numeric field ID as .shp and .dbf: a test's writer, not a sink."""
     n = len(frame)
-    shp = b"".join(struct.pack(">ii", k + 1, 10) + struct.pack("<idd", 1, x, y) for k, (x, y) in enumerate(zip(frame["lon"], frame["lat"])))
-    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + len(shp) // 2) + struct.pack("<ii8d", 1000, 1, *([0.0] * 8))
+    shp = np.zeros(n, [("no", ">i4"), ("words", ">i4"), ("kind", "<i4"), ("x", "<f8"), ("y", "<f8")])
+    shp["no"], shp["words"], shp["kind"], shp["x"], shp["y"] = np.arange(1, n + 1), 10, 1, frame["lon"], frame["lat"]
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + shp.nbytes // 2) + struct.pack("<ii8d", 1000, 1, *([0.0] * 8))
     field = b"ID".ljust(11, b"\0") + b"N" + bytes(4) + bytes([12, 0]) + bytes(14)
-    dbf = struct.pack("<B3BIHH20x", 3, 100, 1, 1, n, 65, 13) + field + b"\r" + b"".join(b" " + str(i).rjust(12).encode() for i in frame["event_id"]) + b"\x1a"
-    return head + shp, dbf
+    dbf = np.char.rjust(frame["event_id"].to_numpy().astype("S12"), 13)  # a blank: not deleted
+    return head + shp.tobytes(), struct.pack("<B3BIHH20x", 3, 100, 1, 1, n, 65, 13) + field + b"\r" + dbf.tobytes() + b"\x1a"
+
+
+#: Events of a Shapefile at most, by the range of their ids: a file is one task's work.
+SHAPES = 200_000
 
 
 @register(f"WITH {PTS} SELECT CAST(event_id AS VARCHAR) AS id, lon AS xmin, lat AS ymin FROM pts")
 def shapefile_round_trip(spark, d):
-    """A Shapefile for each seventh of the events."""
-    folder = shared_folder(spark)
+    """A Shapefile for each seventh of the events of a range of ids."""
+    folder, span = shared_folder(spark), 7 * SHAPES
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        k = int(frame["event_id"].iloc[0] % 7)
+        k, block = int(frame["event_id"].iloc[0] % 7), int(frame["event_id"].iloc[0] // span)
         for ext, data in zip(("shp", "dbf"), _shapefile(frame), strict=True):
-            write_file(f"{folder}/part{k}.{ext}", data)
+            write_file(f"{folder}/part{k}-{block}.{ext}", data)
         return pd.DataFrame({"k": [k]})
 
-    features.points(spark, d).select("event_id", "lon", "lat").groupBy(F.col("event_id") % 7).applyInPandas(run, "k int").count()
+    features.points(spark, d).select("event_id", "lon", "lat").groupBy(F.col("event_id") % 7, F.floor(F.col("event_id") / span)).applyInPandas(run, "k int").count()
     return read_shapefile(spark, folder).select(T.tag("tags", "ID").alias("id"), "xmin", "ymin")
 
 
