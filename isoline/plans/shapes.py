@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from isoline.functions import algorithms, color, coords, crs, geometry, regions, text
 from isoline.operators import dissolve, features, joins
 from isoline.plans.collect import BOX, BXS, LNS, PTS, STOPS, gradient_sql, register
-from isoline.render import canvas, labels, svg
+from isoline.render import canvas, labels, meets, svg
 from isoline.sources import hyphenation, tiles
 from isoline.sources.features import finish
 from isoline.sources.graticule import graticule
@@ -269,28 +269,25 @@ def _labels_of_parts(spark, d):
 def _placed_and_checked(offers, same, boxes):
     """Places labels (map_id, seq and the columns `same`, which boxes is a function of), and counts what is wrong by map: (map_id, n, overlaps, unjust).
 
-    Labels of one place and choice passed over the same boxes, so each box is met once with the placed labels: for the first label that passed it over. Only
+    Labels of one place and choice passed over the same boxes, so these are met once with the placed labels: for the first label that passed them over. Only
     boxes that this one should not have passed over are met for every label.
     """
     steps = Steps(offers.sparkSession)
     found = steps.keep(offers.join(labels.place(offers, boxes=boxes, same=same).select("seq", "choice"), "seq"))
-    side = lambda c, n: [F.col(f"{c}.{k}").alias(f"{n}{k}") for k in ("x0", "x1", "y0", "y1")]
-    box, other = ("bx0", "bx1", "by0", "by1"), ("ax0", "ax1", "ay0", "ay1")
-    taken = steps.keep(found.where("choice >= 0").withColumn("boxes", boxes).select("map_id", "seq", F.get("boxes", F.col("choice")).alias("b")).select("map_id", "seq", *side("b", "b")))
-    rivals = taken.select(F.col("map_id").alias("a_map"), F.col("seq").alias("a_key"), *(F.col(b).alias(a) for a, b in zip(other, box, strict=True)))
-    meet = lambda df: joins.bbox_join(df, rivals, box, other, 4.0, same=("map_id", "a_map"))
-    overlaps = meet(taken).where("seq <> a_key").groupBy("map_id").agg(F.count("*").alias("overlaps"))
-    over = lambda df, *more: df.withColumn("boxes", boxes).select("map_id", "choice", *more, F.posexplode("boxes").alias("k", "b")).where("choice < 0 or k < choice").select("map_id", *more, *side("b", "b"))
+    box = ("x0", "x1", "y0", "y1")
+    taken = steps.keep(found.where("choice >= 0").select("map_id", "seq", F.get(boxes, F.col("choice")).alias("b")).select("map_id", "seq", *(F.col(f"b.{s}").alias(s) for s in box)))
+    rivals = taken.select(F.col("map_id").alias("a_map"), F.col("seq").alias("a_key"), *(F.col(s).alias(f"a{s}") for s in box))
+    overlaps = joins.bbox_join(taken, rivals, box, tuple(f"a{s}" for s in box), 4.0, same=("map_id", "a_map")).where("seq <> a_key").groupBy("map_id").agg(F.count("*").alias("overlaps"))
     alike = steps.keep(found.groupBy("map_id", *same, "choice").agg(F.count("*").alias("labels"), F.min("seq").alias("first")))
-    passed = steps.keep(over(alike, "first").groupBy("map_id", *box).agg(F.min("first").alias("first")))
-    rival = meet(passed).groupBy("map_id", *box).agg(F.min("a_key").alias("rival"))
-    doubtful = steps.keep(passed.join(rival, ["map_id", *box], "left").where("rival is null or rival >= first").select("map_id", *box, "rival"))
+    passed = F.when(F.col("choice") < 0, boxes).otherwise(F.slice(boxes, 1, F.greatest("choice", F.lit(0))))
+    doubtful = steps.keep(meets.passed_over(alike.where("choice <> 0"), passed, taken).distinct())
     n = alike.groupBy("map_id").agg(F.sum("labels").alias("n"))
     out = n.join(overlaps, "map_id", "left")
     if doubtful.isEmpty():
         out = out.withColumn("unjust", F.lit(0))
     else:
-        unjust = over(found, "seq").join(doubtful, ["map_id", *box]).where("rival is null or rival >= seq").groupBy("map_id").agg(F.count("*").alias("unjust"))
+        over = found.withColumn("b", F.explode(passed)).select("map_id", "seq", *(F.col(f"b.{s}").alias(s) for s in box))
+        unjust = over.join(doubtful, ["map_id", *box]).where("rival is null or rival >= seq").groupBy("map_id").agg(F.count("*").alias("unjust"))
         out = out.join(unjust, "map_id", "left")
     return out.select("map_id", "n", F.coalesce("overlaps", F.lit(0)).cast("bigint").alias("overlaps"), F.coalesce("unjust", F.lit(0)).cast("bigint").alias("unjust"))
 

@@ -8,6 +8,9 @@ undecided label of all can always decide, so the rounds end; in practice all lab
 
 Labels with the same boxes are told apart by their order only: of those, no more can be placed than they have places, and they are the first ones. The others
 are settled before the rounds, so what these hold grows with different labels, not with copies.
+
+Where labels crowd, most are refused by the first ones. So a map's labels enter the rounds in parts of its order, each `STEP` times as large as the ones before,
+and those of a part to which placed labels of earlier parts leave no place do not enter. What the rounds hold then grows with what there is room for.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from isoline.render.meets import SIDES, by_tiles, overlapped
 from isoline.sources.steps import Steps
 
 #: Labels that a tile should not exceed (tiles do not get smaller than labels allow), and levels of tile sizes, each twice as wide.
@@ -24,7 +29,8 @@ TILE_LABELS, LEVELS = 10_000, 16
 SHIFTS = ((0.0, 0.0), (0.5, 0.5), (0.5, 0.0), (0.0, 0.5))
 #: Rows of a table that is sent to all tasks at most.
 SMALL = 100_000
-SIDES = ("x0", "x1", "y0", "y1")
+#: Labels of the first part of a map's order in its fullest tile (about), how much longer the order gets with each further part, and parts after the first at most.
+FIRST, STEP, PARTS = 250, 4, 8
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -115,63 +121,97 @@ def _round(kind: str, order_kind: str, seq_type: pa.DataType, map_type: pa.DataT
     return run, f"map_id {kind}, seq {order_kind}, k int, choice int, {arrays}, reach double, tile double"
 
 
-def _offered(df: DataFrame, order: str, boxes: Column | None, same: list[str] | None) -> DataFrame:
-    """(map_id, seq, four arrays of sides): without places for labels that come after as many others with their boxes as they have places.
+def _sides(boxes: Column | None) -> list[Column]:
+    """The four arrays of sides: of the boxes, or the columns of those names."""
+    if boxes is None:
+        return [F.col(s) for s in SIDES]
+    return [F.coalesce(boxes.getField(s).cast("array<double>"), F.array().cast("array<double>")) for s in SIDES]
 
-    Each of those others took a place that the ones before it did not take, as a box overlaps itself, or found all of them taken: then so do later ones.
-    """
-    sides = [F.coalesce(F.col(f"boxes.{s}").cast("array<double>"), F.array().cast("array<double>")).alias(s) for s in SIDES]
+
+def _ranked(df: DataFrame, order: str, same: list[str] | None) -> DataFrame:
+    """(map_id, seq, the columns `same` or four arrays of sides, __rank among the labels of a map that are alike)."""
     seq = F.col(order).alias("seq")
     if same is None:
-        flat = df.select("map_id", seq, *sides)
+        flat = df.select("map_id", seq, *(c.alias(s) for s, c in zip(SIDES, _sides(F.col("boxes")), strict=True)))
         keys = [F.xxhash64("map_id", *SIDES), *map(F.col, SIDES)]  # the digest sorts quickly, the sides tell
     else:
         flat, keys = df.select("map_id", seq, *same), [F.col(c) for c in same]
-    flat = flat.withColumn("__rank", F.row_number().over(Window.partitionBy("map_id", *keys).orderBy("seq")))
-    if same is not None:
-        flat = flat.withColumn("boxes", boxes).select("map_id", "seq", "__rank", *sides)
-    solid = F.forall(F.zip_with("x0", "x1", lambda a, b: a < b), lambda v: v) & F.forall(F.zip_with("y0", "y1", lambda a, b: a < b), lambda v: v)
-    late = solid & (F.col("__rank") > F.size("x0"))
-    return flat.select("map_id", "seq", *(F.when(late, F.array().cast("array<double>")).otherwise(F.col(s)).alias(s) for s in SIDES))
-
-
-def _tile_sizes(flat: DataFrame, reach: Column) -> DataFrame:
-    """map_id, reach (of its widest label), tile: the widest tiles that hold TILE_LABELS labels at most, twice the reach at least."""
-    reaches = _small(flat.groupBy("map_id").agg(F.greatest(F.max(reach), F.lit(1e-9)).alias("reach")).withColumnRenamed("map_id", "m"))
-    cell = lambda side: F.floor(F.array_min(side) / (2 * F.col("reach")))
-    cells = flat.join(reaches, F.col("map_id").eqNullSafe(F.col("m"))).groupBy("map_id", "reach", cell("x0").alias("cx"), cell("y0").alias("cy")).agg(F.count("*").alias("n"))
+    return flat.withColumn("__rank", F.row_number().over(Window.partitionBy("map_id", *keys).orderBy("seq")))
+
+
+def _late(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Whether a label comes after as many others with its boxes as it has places.
+
+    Each of those others took a place that the ones before it did not take, as a box overlaps itself, or found all of them taken: then so do later ones.
+    """
+    solid = F.forall(F.zip_with(x0, x1, lambda a, b: a < b), lambda v: v) & F.forall(F.zip_with(y0, y1, lambda a, b: a < b), lambda v: v)
+    return solid & (F.col("__rank") > F.size(x0))
+
+
+def _offered(df: DataFrame, order: str, boxes: Column | None, same: list[str] | None) -> DataFrame:
+    """(map_id, seq, four arrays of sides): without places for labels that are late."""
+    sides = _sides(boxes)
+    late = _late(*sides)
+    return _ranked(df, order, same).select("map_id", "seq", *(F.when(late, F.array().cast("array<double>")).otherwise(c).alias(s) for s, c in zip(SIDES, sides, strict=True)))
+
+
+def _tile_sizes(flat: DataFrame, reaches: DataFrame | None = None) -> DataFrame:
+    """flat: map_id, __lx, __ly, __wide; reaches: m, reach, where they are known. Returns map_id, reach (of its widest label), tile: the widest tiles that hold TILE_LABELS labels at most, twice the reach at least; crowd: labels of the fullest tile of that least width."""
+    if reaches is None:
+        reaches = _small(flat.groupBy("map_id").agg(F.greatest(F.max("__wide"), F.lit(1e-9)).alias("reach")).withColumnRenamed("map_id", "m"))
+    cell = lambda low: F.floor(F.col(low) / (2 * F.col("reach")))
+    cells = flat.join(reaches, F.col("map_id").eqNullSafe(F.col("m"))).groupBy("map_id", "reach", cell("__lx").alias("cx"), cell("__ly").alias("cy")).agg(F.count("*").alias("n"))
     levels = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).groupBy("map_id", "reach", "level", F.expr("shiftright(cx, level) AS cx"), F.expr("shiftright(cy, level) AS cy")).agg(F.sum("n").alias("n"))
     most = levels.groupBy("map_id", "reach", "level").agg(F.max("n").alias("n"))
     widest = F.coalesce(F.max(F.when(F.col("n") <= TILE_LABELS, F.col("level"))), F.lit(0))
-    return most.groupBy("map_id", "reach").agg(widest.alias("level")).select("map_id", "reach", (2 * F.col("reach") * F.pow(F.lit(2.0), "level")).alias("tile"))
+    crowd = F.max(F.when(F.col("level") == 0, F.col("n")))
+    return most.groupBy("map_id", "reach").agg(widest.alias("level"), crowd.alias("crowd")).select("map_id", "reach", (2 * F.col("reach") * F.pow(F.lit(2.0), "level")).alias("tile"), "crowd")
 
 
-def place_in_rounds(df: DataFrame, order: str = "seq", rounds: list[int] | None = None, boxes: Column | None = None, same: list[str] | None = None) -> DataFrame:
-    """df: map_id, a unique order column, boxes (array of candidates). Returns (map_id, order, choice): the candidate's number from 0, -1 for none.
+def _parted(offers: DataFrame, sizes: DataFrame, steps: Steps) -> tuple[DataFrame, int]:
+    """Adds __part: the part of its map's order that a label is in, from 0; and how many parts there are. Labels of an order that has no quantiles are one part."""
+    orders = isinstance(offers.schema["seq"].dataType, (T.IntegralType, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    parts = F.least(F.greatest(F.ceil(F.log(float(STEP), F.col("crowd") / FIRST)), F.lit(0)), F.lit(PARTS)).cast("int")
+    most = (sizes.agg(F.max(parts)).first()[0] or 0) if orders else 0
+    if not most:
+        return offers.withColumn("__part", F.lit(0)), 1
+    crowded = sizes.select("m", parts.alias("__parts")).where("__parts > 0")
+    cuts = offers.join(F.broadcast(crowded), F.col("map_id").eqNullSafe(F.col("m")), "left_semi").groupBy("map_id").agg(F.percentile_approx("seq", [float(STEP) ** -k for k in range(most, 0, -1)], 10_000).alias("__cuts"))
+    cuts = _small(steps.keep(cuts.join(crowded, F.col("map_id").eqNullSafe(F.col("m"))).select("m", F.slice("__cuts", most - F.col("__parts") + 1, F.col("__parts")).alias("__cuts"))))
+    at = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("seq"))), F.lit(0))
+    return offers.join(cuts, F.col("map_id").eqNullSafe(F.col("m")), "left").withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(at)).drop("m", "__cuts"), most + 1
 
-    boxes and same: in place of the column of that name, a function of the columns `same` alone; then only these are shuffled to find copies.
-    Labels without candidates get -1; null maps are a map of their own; no labels give no rows. rounds, if given, receives how many labels each round left.
-    """
-    spark, kind = df.sparkSession, dict(df.dtypes)
-    steps, out = Steps(spark), Steps(spark)
-    if (boxes is None) != (same is None):
-        raise ValueError("boxes and same go together")
-    flat = steps.keep(_offered(df, order, boxes, same))
-    bare = flat.where("size(x0) = 0").select("map_id", "seq", F.lit(-1).alias("choice"))
-    wide = F.greatest(F.array_max("x1") - F.array_min("x0"), F.array_max("y1") - F.array_min("y0"))
-    offers = flat.where("size(x0) > 0")
-    sizes = _small(steps.keep(_tile_sizes(offers, wide)).withColumnRenamed("map_id", "m"))
-    waiting = offers.join(sizes, F.col("map_id").eqNullSafe(F.col("m"))).select("map_id", "seq", F.lit(0).alias("k"), *SIDES, "reach", "tile")
-    types = df.select("map_id", F.col(order).alias("seq")).limit(0).toArrow().schema
-    decided = None
+
+def _left_over(offers: DataFrame, sides: list[Column], placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds k: the first place of a label that no placed one overlaps, or the number of its places. All labels of placed come before those of offers in their maps."""
+    names = offers.columns
+    schema = T.StructType([*offers.schema.fields, T.StructField("k", T.IntegerType())])
+
+    def run(batch: pa.RecordBatch, at: np.ndarray, boxes: list[np.ndarray], others: list[np.ndarray], _) -> pa.RecordBatch:
+        n = at[1:] - at[:-1]
+        place = np.arange(at[-1]) - np.repeat(at[:-1], n)
+        k = np.minimum.reduceat(np.where(overlapped(boxes, others), np.repeat(n, n), place), at[:-1])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(k, pa.int32())], names=[*names, "k"])
+
+    return by_tiles(offers, sides, placed, sizes, run, schema, (F.col("__lx"), F.col("__ly")))
+
+
+def _rounds(steps: Steps, labels: DataFrame, sizes: DataFrame, placed: DataFrame | None, order_kind: str, types: pa.Schema, rounds: list[int] | None) -> DataFrame:
+    """(map_id, seq, choice, sides) of labels (map_id, seq, k: their first possible place, four arrays of sides), which placed ones (map_id, x0, x1, y0, y1) come before."""
+    of_map = lambda d, *more: d.join(sizes, F.col("map_id").eqNullSafe(F.col("m"))).select("map_id", "seq", *more, *SIDES, "reach", "tile")
+    waiting, decided = of_map(labels, "k"), None
+    fixed = None if placed is None else of_map(placed.withColumns({s: F.array(s) for s in SIDES}), F.lit(0).alias("k"))
     for turn in range(1 << 30):
         shift = SHIFTS[turn % len(SHIFTS)]
-        run, schema = _round(kind["map_id"], kind[order], types.field("seq").type, types.field("map_id").type, shift)
+        run, schema = _round(dict(labels.dtypes)["map_id"], order_kind, types.field("seq").type, types.field("map_id").type, shift)
         rows = _tiles(waiting, shift).withColumn("role", F.when((F.col("tx") == F.col("ox")) & (F.col("ty") == F.col("oy")), 0).otherwise(1))
-        if decided is not None:
+        taken = None if decided is None else decided.where("choice >= 0").withColumns({s: F.array(F.get(s, F.col("choice"))) for s in SIDES}).drop("choice")
+        if fixed is not None:
+            taken = fixed if taken is None else taken.unionByName(fixed)
+        if taken is not None:
             tiles = rows.where("role = 0").select(F.col("map_id").alias("m"), F.col("tx").alias("mx"), F.col("ty").alias("my")).distinct()
-            near = _tiles(decided.where("choice >= 0").withColumns({s: F.array(F.get(s, F.col("choice"))) for s in SIDES}), shift).join(tiles, F.col("map_id").eqNullSafe(F.col("m")) & (F.col("tx") == F.col("mx")) & (F.col("ty") == F.col("my")), "left_semi")
-            rows = rows.unionByName(near.withColumn("role", F.lit(2)).drop("choice"))
+            near = _tiles(taken, shift).join(tiles, F.col("map_id").eqNullSafe(F.col("m")) & (F.col("tx") == F.col("mx")) & (F.col("ty") == F.col("my")), "left_semi")
+            rows = rows.unionByName(near.withColumn("role", F.lit(2)))
         step = steps.keep(rows.drop("ox", "oy").groupBy("map_id", "tx", "ty").applyInArrow(run, schema))
         waiting, done = step.where("choice is null").drop("choice"), step.where("choice is not null")
         decided = done if decided is None else decided.unionByName(done)
@@ -179,7 +219,49 @@ def place_in_rounds(df: DataFrame, order: str = "seq", rounds: list[int] | None
         if rounds is not None:
             rounds.append(left)
         if not left:
-            break
-    found = out.keep(decided.select("map_id", "seq", "choice").unionByName(bare))
+            return decided
+
+
+def place_in_rounds(df: DataFrame, order: str = "seq", rounds: list[int] | None = None, boxes: Column | None = None, same: list[str] | None = None) -> DataFrame:
+    """df: map_id, a unique order column, boxes (array of candidates). Returns (map_id, order, choice): the candidate's number from 0, -1 for none.
+
+    boxes and same: in place of the column of that name, a function of the columns `same` alone; then only these are shuffled to find copies.
+    Labels without candidates get -1; null maps are a map of their own; no labels give no rows. rounds, if given, receives how many labels each round left.
+    """
+    spark, kind = df.sparkSession, dict(df.dtypes)
+    steps, out = Steps(spark), Steps(spark)
+    if (boxes is None) != (same is None):
+        raise ValueError("boxes and same go together")
+    own, sides = list(SIDES) if same is None else same, _sides(boxes)
+    ranked = _ranked(df, order, same)
+    x0, x1, y0, y1 = sides
+    wide = F.greatest(F.array_max(x1) - F.array_min(x0), F.array_max(y1) - F.array_min(y0))
+    extent = [F.array_min(x0).alias("__lx"), F.array_min(y0).alias("__ly"), wide.alias("__wide")]
+    flat = steps.keep(ranked.select("map_id", "seq", *own, *extent, ((F.size(x0) == 0) | _late(*sides)).alias("__bare")))
+    bare = flat.where("__bare").select("map_id", "seq", F.lit(-1).alias("choice"))
+    offers = flat.where("not __bare").drop("__bare")
+    with_sides = lambda d, *more: d.select("map_id", "seq", *more, *(c.alias(s) for s, c in zip(SIDES, sides, strict=True)))
+    sizes = _small(steps.keep(_tile_sizes(offers)).withColumnRenamed("map_id", "m"))
+    offers, parts = _parted(offers, sizes, steps)
+    types = df.select("map_id", F.col(order).alias("seq")).limit(0).toArrow().schema
+    every, placed, tiles = [bare], None, sizes
+    for part in range(parts):
+        entering = offers.where(F.col("__part") == part).drop("__part")
+        if placed is None:
+            entering = entering.withColumn("k", F.lit(0))
+        else:
+            entering = steps.keep(_left_over(entering, sides, placed, sizes))
+            every.append(entering.where(F.col("k") == F.size(sides[0])).select("map_id", "seq", F.lit(-1).alias("choice")))
+            entering = entering.where(F.col("k") < F.size(sides[0]))
+        if parts > 1:
+            tiles = _small(steps.keep(_tile_sizes(entering, sizes.select("m", "reach"))).withColumnRenamed("map_id", "m"))
+        done = _rounds(steps, with_sides(entering, "k"), tiles, placed, kind[order], types, rounds)
+        every.append(done.select("map_id", "seq", "choice"))
+        taken = done.where("choice >= 0").select("map_id", "seq", *(F.get(s, F.col("choice")).alias(s) for s in SIDES))
+        placed = taken if placed is None else placed.unionByName(taken)
+    decided = every[0]
+    for e in every[1:]:
+        decided = decided.unionByName(e)
+    found = out.keep(decided)
     steps.clear()
     return found.withColumnRenamed("seq", order)
