@@ -58,8 +58,7 @@ def by_tiles(rows: DataFrame, sides: list[Column], placed: DataFrame, reaches: D
     f(batch of rows, where each row's boxes begin, the boxes, the placed boxes of the tile, their seq) gives a record batch of the schema. Only the rows' own
     columns are shuffled. Rows need a box at least.
     """
-    spark, keys = rows.sparkSession, ["map_id", "__tx", "__ty"]
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys, tasks = ["map_id", "__tx", "__ty"], 4 * rows.sparkSession.sparkContext.defaultParallelism
     reach = reaches.select("m", F.col("reach").alias("__reach"))
     of_map = lambda df: df.join(reach, F.col("map_id").eqNullSafe(F.col("m"))).drop("m")
     own = {t: F.floor(s / F.col("__reach")) for t, s in zip(keys[1:], low or (F.array_min(sides[0]), F.array_min(sides[2])), strict=True)}

@@ -196,8 +196,8 @@ def _left_over(offers: DataFrame, sides: list[Column], placed: DataFrame, sizes:
     return by_tiles(offers, sides, placed, sizes, run, schema, (F.col("__lx"), F.col("__ly")))
 
 
-def _rounds(steps: Steps, labels: DataFrame, sizes: DataFrame, placed: DataFrame | None, order_kind: str, types: pa.Schema, rounds: list[int] | None) -> DataFrame:
-    """(map_id, seq, choice, sides) of labels (map_id, seq, k: their first possible place, four arrays of sides), which placed ones (map_id, x0, x1, y0, y1) come before."""
+def _rounds(steps: Steps, labels: DataFrame, sizes: DataFrame, placed: DataFrame | None, order_kind: str, types: pa.Schema, rounds: list[int] | None, later: int) -> DataFrame:
+    """(map_id, seq, choice, sides) of labels (map_id, seq, k: their first possible place, four arrays of sides), which placed ones (map_id, x0, x1, y0, y1) come before, and `later` labels come after."""
     of_map = lambda d, *more: d.join(sizes, F.col("map_id").eqNullSafe(F.col("m"))).select("map_id", "seq", *more, *SIDES, "reach", "tile")
     waiting, decided = of_map(labels, "k"), None
     fixed = None if placed is None else of_map(placed.withColumns({s: F.array(s) for s in SIDES}), F.lit(0).alias("k"))
@@ -217,7 +217,7 @@ def _rounds(steps: Steps, labels: DataFrame, sizes: DataFrame, placed: DataFrame
         decided = done if decided is None else decided.unionByName(done)
         left = waiting.count()
         if rounds is not None:
-            rounds.append(left)
+            rounds.append(left + later)
         if not left:
             return decided
 
@@ -255,7 +255,8 @@ def place_in_rounds(df: DataFrame, order: str = "seq", rounds: list[int] | None
             entering = entering.where(F.col("k") < F.size(sides[0]))
         if parts > 1:
             tiles = _small(steps.keep(_tile_sizes(entering, sizes.select("m", "reach"))).withColumnRenamed("map_id", "m"))
-        done = _rounds(steps, with_sides(entering, "k"), tiles, placed, kind[order], types, rounds)
+        later = 0 if rounds is None or part == parts - 1 else offers.where(F.col("__part") > part).count()
+        done = _rounds(steps, with_sides(entering, "k"), tiles, placed, kind[order], types, rounds, later)
         every.append(done.select("map_id", "seq", "choice"))
         taken = done.where("choice >= 0").select("map_id", "seq", *(F.get(s, F.col("choice")).alias(s) for s in SIDES))
         placed = taken if placed is None else placed.unionByName(taken)
