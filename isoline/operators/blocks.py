@@ -1,4 +1,4 @@
-"""Grid joins of many boxes by blocks: a cell's rows lie in lists of about `BLOCK`, each two lists of a cell meet as arrays in one row of a mapInArrow.
+"""Grid joins of many boxes by blocks: a cell's rows lie in lists of about `BLOCK` (pairs of one table: `TIMES` as many), each two lists of a cell meet as arrays in one row of a mapInArrow.
 
 For joins whose pairs are far more than their rows. Boxes and places that are alike are met once; a cell of any number of rows is many blocks,
 which tasks share, so no task holds more than two lists.
@@ -18,6 +18,10 @@ from isoline.operators.joins import SMALL, _cells, _grid
 BLOCK = 2048
 #: Copies of one box that a row holds, and keys that a batch of pairs holds, at most (about).
 COPIES, KEYS = 4096, 1 << 20
+#: Boxes of a list that are met at a time when products are sought, boxes that make it one at least, and keys that a cycle has at most.
+COLUMNS, ALIKE, RUN = 32, 4, 256
+#: BLOCKs in a list of boxes that are met with one another: the longer the lists, the larger the products.
+TIMES = 4
 _CELL = ["__cx", "__cy", "__level"]
 
 
@@ -26,9 +30,10 @@ def _wide(df: DataFrame) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _lists(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """(cell, __part, name): lists of a cell's rows."""
-    parts = df.groupBy(*_CELL).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__parts"))
+def _lists(df: DataFrame, columns: list[str], name: str, times: int = 1, keys: str | None = None) -> DataFrame:
+    """(cell, __part, name): lists of a cell's rows, about `times` BLOCK each, and fewer where their arrays `keys` hold more than KEYS."""
+    parts = F.ceil(F.greatest(F.count("*") / (times * BLOCK), F.sum(F.size(keys)) / KEYS if keys else F.lit(0.0)))
+    parts = df.groupBy(*_CELL).agg(parts.cast("int").alias("__parts"))
     dealt = df.join(parts, _CELL).withColumn("__part", F.pmod(F.xxhash64(*columns), F.col("__parts")).cast("int"))
     return dealt.groupBy(*_CELL, "__part").agg(F.collect_list(F.struct(*columns)).alias(name))
 
@@ -60,8 +65,124 @@ def _gathered(lists: pa.ListArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return n, values[np.repeat(start[:-1][at] - (ends - n), n) + np.arange(n.sum())]
 
 
+def _ordered(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lower, higher): parts of two sorted lists, each key of the first below each of the second; all pairs of unequal keys, once. As large as they can be: the lists are halved where they mix."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        if a[-1] < b[0]:
+            yield a, b
+        elif b[-1] < a[0]:
+            yield b, a
+        elif a[0] == a[-1] or b[0] == b[-1]:
+            one, many = (a, b) if a[0] == a[-1] else (b, a)
+            yield many[: many.searchsorted(one[0])], one
+            yield one, many[many.searchsorted(one[0], "right") :]
+        else:
+            longer = a if len(a) >= len(b) else b
+            at = longer[max(len(longer) // 2, longer.searchsorted(longer[0], "right"))]
+            i, j = a.searchsorted(at), b.searchsorted(at)
+            yield a[:i], b[j:]
+            yield b[:j], a[i:]
+            todo += [(a[:i], b[:j]), (a[i:], b[j:])]
+
+
+def _ordered_within(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of one sorted list with itself."""
+    todo = [keys]
+    while todo:
+        keys = todo.pop()
+        if len(keys) and keys[0] < keys[-1]:
+            at = max(len(keys) // 2, keys.searchsorted(keys[0], "right"))
+            at = keys.searchsorted(keys[at])
+            yield keys[:at], keys[at:]
+            todo += [keys[:at], keys[at:]]
+
+
+def _runs(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(outer, inner, whether outer has the lower keys): each key of outer stands before all of inner. Runs of one key and cycles of as many keys as bytes have bits are what files shorten best."""
+    outer, inner, first = (low, high, True) if len(low) <= len(high) else (high, low, False)
+    even = len(inner) // 8 * 8
+    for m in range(0, len(outer), KEYS // 16):
+        some = outer[m : m + KEYS // 16]
+        for k in range(0, even, RUN):
+            yield some, inner[k : min(k + RUN, even)], first
+        if even < len(inner) and len(some):
+            yield (inner[even:], some, not first) if len(some) > len(inner) - even else (some, inner[even:], first)
+
+
+def _batches(rows: Iterator[tuple[np.ndarray, np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
+    def lists(held):
+        for column in held:
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, column)]), pa.int32()), pa.array(np.concatenate(column)))
+
+    held, n = ([], [], []), 0
+    for row in rows:
+        for column, value in zip(held, row):
+            column.append(value)
+        n += len(row[0]) + len(row[1])
+        if n > KEYS // 8:
+            yield pa.RecordBatch.from_arrays([*lists(held[:2]), pa.array(held[2])], names=["outer", "inner", "first"])
+            held, n = ([], [], []), 0
+    if n:
+        yield pa.RecordBatch.from_arrays([*lists(held[:2]), pa.array(held[2])], names=["outer", "inner", "first"])
+
+
+def _products(meets, akeys: pa.ListArray, bkeys: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys (of a, of b), sorted, of products that cover the pairs. meets(columns): whether each a meets these b. In some columns at a time, rows that are alike are one product; then each row for itself with what is left, which is kept as bits."""
+    keys = lambda lists, at: np.sort(_gathered(lists, at)[1])
+    rest = np.zeros((len(akeys), -(-len(bkeys) // COLUMNS), COLUMNS // 8), np.uint8)
+    for c in range(rest.shape[1]):
+        on = meets(slice(c * COLUMNS, (c + 1) * COLUMNS))
+        bits = np.zeros((len(akeys), COLUMNS // 8), np.uint8)
+        bits[:, : -(-on.shape[1] // 8)] = np.packbits(on, axis=1)
+        known, kind, count = np.unique(bits.view(f"u{COLUMNS // 8}")[:, 0], return_inverse=True, return_counts=True)
+        many = (count >= ALIKE) & (known != 0)
+        order, ends = np.argsort(kind, kind="stable"), np.cumsum(count)
+        for g in np.flatnonzero(many):
+            rows = order[ends[g] - count[g] : ends[g]]
+            yield keys(akeys, rows), keys(bkeys, np.flatnonzero(on[rows[0]]) + c * COLUMNS)
+        rest[:, c] = np.where(many[kind][:, None], 0, bits)
+    rest = rest.reshape(len(akeys), -1)
+    for k in np.flatnonzero(rest.any(axis=1)):
+        yield keys(akeys, np.array([k])), keys(bkeys, np.flatnonzero(np.unpackbits(rest[k])))
+
+
+def _sorted(s: pa.StructArray) -> tuple[list[np.ndarray], pa.ListArray]:
+    """The columns and keys of boxes, neighbours side by side."""
+    x0, x1, y0, y1, own = _columns(s, ("x0", "x1", "y0", "y1", "own"))
+    order = np.lexsort((y1, x1, y0, x0))
+    return [c[order] for c in (x0, x1, y0, y1, own)], s.field("keys").take(pa.array(order))
+
+
+def _met_pairs(level: int, cx: int, cy: int, side: float, a: pa.StructArray, b: pa.StructArray, same: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of _runs for the pairs of a cell's two lists."""
+    (ax0, ax1, ay0, ay1, aown), akeys = left = _sorted(a)
+    (bx0, bx1, by0, by1, bown), bkeys = left if same else _sorted(b)
+    inside = [(np.floor(a0 / side) == at, np.floor(b0 / side) == at) for a0, b0, at in ((ax0, bx0, cx), (ay0, by0, cy))] + [(aown == level, bown == level)]
+    number = np.arange(len(ax0))
+
+    def meets(k):
+        on = (ax1[:, None] > bx0[k]) & (ax0[:, None] < bx1[k]) & (ay1[:, None] > by0[k]) & (ay0[:, None] < by1[k])
+        for u, v in inside:
+            on &= u[:, None] | v[k]
+        return on & (number[:, None] < number[k]) if same else on
+
+    def rows():
+        for u, v in _products(meets, akeys, bkeys):
+            for low, high in _ordered(u, v):
+                yield from _runs(low, high)
+        for k in np.flatnonzero(inside[0][0] & inside[1][0] & inside[2][0]) if same else ():
+            for low, high in _ordered_within(np.sort(akeys[k].values.to_numpy())):
+                yield from _runs(low, high)
+
+    yield from _batches(rows())
+
+
 def self_pairs(boxes: DataFrame, key: str, box: tuple, size: float | None = None) -> DataFrame:
-    """(a, b): keys, a < b, of rows whose boxes strictly overlap. Boxes that are alike are met once and their keys expanded in the last step."""
+    """(a, b): keys, a < b, of rows whose boxes strictly overlap. Boxes that are alike are met once and their keys expanded in the last step, in products of two lists of keys where many boxes overlap the same others: such rows take little place in files."""
     size, top = _grid([(boxes, box)], size)
     given = boxes.select(F.col(key).cast("long").alias("__key"), *(F.col(c).cast("double").alias(n) for c, n in zip(box, ("x0", "x1", "y0", "y1"), strict=True)))
     given = given.where("__key is not null and x0 < x1 and y0 < y1")
@@ -70,39 +191,10 @@ def self_pairs(boxes: DataFrame, key: str, box: tuple, size: float | None = None
     hot = F.broadcast(hot) if hot.count() <= SMALL else hot
     alike = given.join(hot, one, "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("__key"), F.col("__copies")), F.lit(0)).cast("int")).groupBy(*one, "copy").agg(F.collect_list("__key").alias("keys"))
     cells = _cells(alike, tuple(one), size, "__", top)
-    lists = _lists(cells.withColumnRenamed("__own", "own"), [*one, "copy", "own", "keys"], "left")
-
-    def pairs(level, cx, cy, side, a, b, same):
-        ax0, ax1, ay0, ay1, aown = _columns(a, ("x0", "x1", "y0", "y1", "own"))
-        bx0, bx1, by0, by1, bown = _columns(b, ("x0", "x1", "y0", "y1", "own"))
-        ain, bin_ = [np.floor(c / side) == k for c, k in ((ax0, cx), (ay0, cy))], [np.floor(c / side) == k for c, k in ((bx0, cx), (by0, cy))]
-        akeys, bkeys = a.field("keys"), b.field("keys")
-        count = np.diff(bkeys.offsets.to_numpy())
-        step = max(1, min(256, KEYS // max(1, int(count.sum()))))
-        for k in range(0, len(ax0), step):
-            r = slice(k, k + step)
-            on = (ax1[r, None] > bx0) & (ax0[r, None] < bx1) & (ay1[r, None] > by0) & (ay0[r, None] < by1)
-            for u, v in (*zip(ain, bin_), (aown == level, bown == level)):
-                on &= u[r, None] | v
-            if same:
-                on &= np.arange(k, k + len(on))[:, None] <= np.arange(len(bx0))
-            i, j = np.nonzero(on)
-            if not len(i):
-                continue
-            itself = (i + k == j) if same else np.zeros(len(i), bool)
-            for flag in (False, True):
-                u, v = i[itself == flag], j[itself == flag]
-                if not len(u):
-                    continue
-                n, values = _gathered(bkeys, v)
-                rows, first = np.unique(u, return_index=True)
-                ends = np.append(np.cumsum(n)[first[1:] - 1], n.sum())
-                left = akeys.take(pa.array(rows + k))
-                yield pa.RecordBatch.from_arrays([left, pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values)), pa.array(np.full(len(rows), flag))], names=["a", "b", "same"])
-
-    met = _met(lists, lists.withColumnRenamed("left", "right"), size, True, pairs, "a array<long>, b array<long>, same boolean")
-    every = met.withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).where("(not same and a <> b) or a < b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    lists = _lists(cells.withColumnRenamed("__own", "own"), [*one, "copy", "own", "keys"], "left", TIMES, "keys")
+    met = _met(lists, lists.withColumnRenamed("left", "right"), size, True, _met_pairs, "outer array<long>, inner array<long>, first boolean")
+    every = met.withColumn("o", F.explode("outer")).withColumn("i", F.explode("inner"))
+    return every.select(F.when(F.col("first"), F.col("o")).otherwise(F.col("i")).alias("a"), F.when(F.col("first"), F.col("i")).otherwise(F.col("o")).alias("b"))
 
 
 def totals_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, box: tuple, n: str | None = None, value: str | None = None, by: str | None = None, size: float | None = None) -> DataFrame:
